@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ball_tree, chat_format, decontaminate, langid, mixing, secrets, simhash, suffix_dedup
+from marlstone.llm import ball_tree, chat_format, decontaminate, html_template, langid, mixing, secrets, simhash, suffix_dedup
 from marlstone.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.digests(html_template.extract(table(spark, sf_dir, "pages")))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_exact_topk": op2_exact_topk,
+        "op3_html_text": op3_html_text,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language_id": op5_language_id,
         "op6_mix_sources": op6_mix_sources,
