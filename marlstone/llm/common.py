@@ -15,19 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it from there.
-
-    The folder is spark.checkpoint.dir of the session; only where that is unset, as in tests, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of the session, spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         )
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and read it from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and more of df, and _doc, a struct of all its columns, whose names then clash with none."""
+    return df.select("doc_id", "text", *more, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"))
+
+
 def keyed(column: str):
     """A non-null key that tells null from every string, for joins and windows."""
     return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("~"))
@@ -68,5 +76,5 @@ def map_text(df: DataFrame, carry: list[str], text: str, fn, added: str, chunk_b
 
     import pyarrow.compute  # noqa: F401  binds pa.compute for run
 
-    plain = df.select(*carry, F.col(text).cast("string").alias("_text"))
+    plain = df.select(*carry, F.col(text).cast("string").alias("_text to map"))
     return plain.mapInArrow(run, schema)

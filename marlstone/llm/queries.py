@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ball_tree, chat_format, decontaminate, html_template, langid, mixing, secrets, simhash, suffix_dedup
+from marlstone.llm import ball_tree, chat_format, decontaminate, html_template, langid, licenses, mixing, secrets, simhash, suffix_dedup
 from marlstone.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.classes(table(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_language_id": op5_language_id,
         "op6_mix_sources": op6_mix_sources,
+        "op7_license_scan": op7_license_scan,
         "op8_simhash_neardup": op8_simhash_neardup,
         "op9_decontaminate": op9_decontaminate,
         "op10_chat_format": op10_chat_format,

@@ -9,6 +9,7 @@ reported as spans only if they look live.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -16,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, fits, map_text
+from marlstone.llm.common import cut, fits, map_text, packed
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -194,24 +195,19 @@ def redact(
 
         rest = [c for c in columns if c != "text"]
         return map_text(docs, rest, "text", live, "text string").select(*columns)
-    rows = cut(_scan(docs, source, tuple(columns)))
+    rows = cut(_scan(packed(docs, source), source, ("text", "_doc")))
     each = rows.select("_row", F.explode("candidates").alias("c")).select("_row", "c.*")
     kept = each.join(examples, "hash", "left_anti").filter(F.col("kind").isin(*BASE) | (F.col("bits") >= min_bits))
-    by_row = kept.groupBy("_row").agg(F.to_json(F.collect_list(F.struct("kind", "start", "end"))).alias("_spans"))
-    joined = rows.select("_row", *columns).join(by_row, "_row", "left")
-    packed = joined.withColumn("_packed", F.when(F.col("_spans").isNotNull(), F.to_json(F.struct("text", "_spans"))))
-
-    def apply(packs):
-        import json
+    by_row = kept.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
+    order = rows.select("_row", "text", "_doc").join(by_row, "_row", "left")
+    order = order.withColumn("order", F.when(F.col("spans").isNotNull(), F.to_json(F.struct("text", "spans"))))
 
+    def apply(orders):
         out = []
-        for p in packs:
-            if p is None:
-                out.append(None)
-                continue
-            p = json.loads(p)
-            spans = [(s["kind"], s["start"], s["end"]) for s in json.loads(p["_spans"])]
-            out.append(_redacted(p["text"], _merged(spans)))
+        for o in orders:
+            o = json.loads(o) if o else None
+            out.append(_redacted(o["text"], _merged((s["kind"], s["start"], s["end"]) for s in o["spans"])) if o else None)
         return [out]
 
-    return map_text(packed, columns, "_packed", apply, "_new string").withColumn("text", F.coalesce("_new", "text")).select(*columns)
+    done = map_text(order, ["_doc"], "order", apply, "new string")
+    return done.select(*(F.coalesce("new", "_doc.text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in columns))

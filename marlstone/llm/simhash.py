@@ -211,8 +211,10 @@ def digests(found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays."""
-    columns = docs.columns
-    named = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = classes(named, radius, keep=("_row",))
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
-    return named.join(stays.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*columns)
+    columns, row = docs.columns, "_row"
+    while row in columns:
+        row += "_"
+    named = docs.withColumn(row, F.monotonically_increasing_id())
+    found = classes(named.select("doc_id", "text", row), radius, keep=(row,))
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
+    return named.join(stays.select(F.col(f"least.{row}").alias(row)), row, "left_semi").select(*columns)
