@@ -1,15 +1,671 @@
-"""Registry of the retrieval and feedback queries with their SQL."""
+"""Registry of the retrieval and feedback queries, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marlstone.functions import exprs as X
+from marlstone.operators import combine, expand, feedback, lifecycle, overlay, parse, predict, rank, search
+from marlstone.plans import sql as S
+from marlstone.sources import adapters as A
+from marlstone.streaming import feedback_stream
 
-def queries():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def handles(found: DataFrame) -> DataFrame:
+    return found.select(*search.HANDLE)
+
+
+def of(where: str, nodes: str = S.NODES, table: str = "nodes", limit: int | None = 100) -> str:
+    return f"WITH {nodes}, {S.found(where, table, limit)} SELECT * FROM f"
+
+
+C = S.contains
+
+
+# ---- full-text search
+
+
+@query(of(C("thing")))
+def grep_single(spark, d):
+    return handles(search.grep(A.doc_nodes(spark, d), "thing"))
+
+
+@query(of(C("of the"), limit=None))
+def grep_phrase(spark, d):
+    return handles(search.grep(A.doc_nodes(spark, d), '"of the"', limit=None))
+
+
+@query(of(f"{C('thing')} AND {C('thtion')}", limit=None))
+def grep_all_terms(spark, d):
+    return handles(search.grep(A.doc_nodes(spark, d), "thing thtion", limit=None))
+
+
+@query(of(f"({C('thing')} OR {C('attion')}) AND NOT {C('thble')}", limit=None))
+def grep_or_not(spark, d):
+    return handles(search.grep(A.doc_nodes(spark, d), "thing", "attion", none_of=("thble",), limit=None))
+
+
+@query(of(C("échch".replace("é", "e")), limit=None))
+def grep_accents(spark, d):
+    return handles(search.grep(A.doc_nodes(spark, d), "ÉCHCH", limit=None))
+
+
+@query(of(f"file_path LIKE 'src3/%' AND {C('thing')}", limit=50))
+def in_file_grep(spark, d):
+    return handles(search.in_files(search.grep(A.doc_nodes(spark, d), "thing", limit=None), "src3/**", 50))
+
+
+@query(
+    f"WITH {S.NODES}, {S.found(C('the'), limit=100, name='sub')}, f AS (SELECT * FROM sub WHERE file_path LIKE '%/en/%' ORDER BY file_path, node_ord LIMIT 50) SELECT * FROM f"
+)
+def in_file_other_bounded(spark, d):
+    return handles(search.in_files(search.grep(A.doc_nodes(spark, d), "the", limit=100), "**/en/**", 50))
+
+
+@query(f"WITH {S.NODES} SELECT {S.HANDLE}, line_end FROM nodes WHERE regexp_matches(file_path, '^src[12]/(de|fr)/.*')")
+def file_glob(spark, d):
+    found = search.files(A.files(spark, d), "src[12]/{de,fr}/**")
+    return found.select(*search.HANDLE, "line_end")
+
+
+@query(
+    f"WITH f AS (SELECT 'pages/' || page_id || '.html' AS file_path, html AS content FROM pages) SELECT file_path, CAST(strlen(content) // 4 AS INTEGER) AS token_count FROM f WHERE contains({S.norm('content')}, ' footer ')"
+)
+def grep_pages(spark, d):
+    p = A.read(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("content"))
+    found = search.grep(p.withColumn("node_ord", F.lit(0)), "footer", limit=None)
+    return found.select("file_path", X.token_count(F.col("content")).alias("token_count"))
+
+
+# ---- symbols, children, references
+
+
+@query(of("name_lower = 'red plate' AND node_type IN (3, 4, 5, 6)", S.PARTS, "parts"))
+def code_exact(spark, d):
+    return handles(search.code(A.part_nodes(spark, d), "Red Plate"))
+
+
+@query(of(f"node_type IN (3, 4, 5, 6) AND {C('plate', 'name')}", S.PARTS, "parts"))
+def code_fuzzy_fallback(spark, d):
+    return handles(search.code(A.part_nodes(spark, d), "plate"))
+
+
+@query(of("name_lower = 'red plate' AND node_type IN (3, 4, 5, 6)", S.PARTS, "parts", 20))
+def definition(spark, d):
+    return handles(search.definition(A.part_nodes(spark, d), "red plate", 20))
+
+
+@query(of("parent_name_lower = 'brand#12'", S.PARTS, "parts"))
+def children(spark, d):
+    return handles(search.children(A.part_nodes(spark, d), "Brand#12"))
+
+
+@query(of("parent_name_lower = 'brand#12' AND name_lower = 'red plate'", S.PARTS, "parts"))
+def children_named(spark, d):
+    return handles(search.children(A.part_nodes(spark, d), "Brand#12", "red plate"))
+
+
+@query(of("node_type = 3", S.PARTS, "parts", 40))
+def nodes_by_type(spark, d):
+    return handles(search.by_type(A.part_nodes(spark, d), 3, 40))
+
+
+REF_COLUMNS = "r.file_path, r.name, qualifier, ref_type, start_byte, end_byte, r.preview"
+
+
+@query(
+    f"WITH {S.PARTS}, {S.REFS} SELECT {REF_COLUMNS}, p.id AS source_id, p.node_type AS source_type FROM refs r LEFT JOIN parts p ON r.source_id = p.id WHERE r.name_lower = 'red plate'"
+)
+def references_root(spark, d):
+    return search.references(A.lineitem_refs(spark, d), A.part_nodes(spark, d), "red plate", None)
+
+
+@query(of("id IN (SELECT source_id FROM refs WHERE name_lower = 'red plate')", f"{S.PARTS}, {S.REFS}", "parts", None))
+def reference_sources(spark, d):
+    return handles(search.reference_sources(A.lineitem_refs(spark, d), A.part_nodes(spark, d), "red plate", None))
+
+
+# ---- set operations, caps, summaries
+
+BRANCHES = f"""{S.NODES}, {S.found(C('thing'), limit=60, name='a')}, {S.found(C('attion'), limit=60, name='b')}, {S.found(C('thble'), limit=60, name='c')}"""
+
+
+@query(
+    f"""WITH {BRANCHES}, u AS (SELECT *, 0 AS branch FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY branch, file_path, node_ord) AS n FROM u)
+SELECT {S.HANDLE}, branch FROM o WHERE n = 1 ORDER BY branch, file_path, node_ord, id LIMIT 100"""
+)
+def union_any(spark, d):
+    nodes = A.doc_nodes(spark, d)
+    return combine.union_any([search.grep(nodes, t, limit=60) for t in ("thing", "attion", "thble")])
+
+
+@query(of(f"{C('thing')} AND {C('attion')}", limit=None))
+def intersect_all(spark, d):
+    nodes = A.doc_nodes(spark, d)
+    return handles(combine.intersect_all([search.grep(nodes, t, limit=None) for t in ("thing", "attion")], None))
+
+
+@query(
+    f"WITH {BRANCHES} SELECT * FROM a WHERE id IN (SELECT id FROM b) ORDER BY file_path, node_ord LIMIT 30"
+)
+def intersect_bounded(spark, d):
+    nodes = A.doc_nodes(spark, d)
+    return handles(combine.intersect_all([search.grep(nodes, t, limit=60) for t in ("thing", "attion")], 30))
+
+
+@query(f"WITH {BRANCHES} SELECT * FROM a ORDER BY file_path, node_ord LIMIT 5")
+def limit_nested(spark, d):
+    return handles(search.first(search.grep(A.doc_nodes(spark, d), "thing", limit=60), 5))
+
+
+SUMMARY = """r AS (SELECT *, row_number() OVER (ORDER BY file_path, node_ord) AS n FROM (SELECT * FROM m ORDER BY file_path, node_ord LIMIT {two}))
+SELECT count(*) AS total_matches, count(*) > {one} AS truncated, count(*) FILTER (n <= {one}) AS returned, CAST(coalesce(sum(token_count) FILTER (n <= {one}), 0) AS BIGINT) AS total_tokens FROM r"""
+
+
+@query(f"WITH {S.NODES}, {S.found(C('thing'), limit=None, name='m')}, {SUMMARY.format(one=50, two=100)}")
+def query_summary(spark, d):
+    return combine.summary(search.grep(A.doc_nodes(spark, d), "thing", limit=None), 50)
+
+
+@query(f"WITH {S.NODES}, {S.found(C('thing'), limit=50, name='m')}, {SUMMARY.format(one=50, two=100)}")
+def query_summary_with_limit(spark, d):
+    return combine.summary(search.grep(A.doc_nodes(spark, d), "thing", limit=50), 50)
+
+
+@query(f"WITH {S.EVENTS} SELECT 'k' || k AS key, min(ts) AS first_seen FROM e GROUP BY k ORDER BY first_seen DESC, key DESC LIMIT 128")
+def query_cache_fifo(spark, d):
+    e = A.read(spark, d, "events")
+    seen = e.select(F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return combine.newest_keys(seen, 128)
+
+
+# ---- scalars
+
+
+@query(f"WITH {S.NODES} SELECT file_path, id, substring(id, 2) AS raw FROM nodes")
+def handle_ids(spark, d):
+    return A.doc_nodes(spark, d).select("file_path", "id", X.raw_id(F.col("id")).alias("raw"))
+
+
+@query(f"WITH {S.NODES} SELECT id, preview, token_count FROM nodes")
+def preview_and_tokens(spark, d):
+    return A.doc_nodes(spark, d).select("id", "preview", "token_count")
+
+
+@query(
+    r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS l FROM documents) SELECT doc_id, CAST(len(list_distinct(l)) AS INTEGER) AS n_terms, CAST(len(l) AS INTEGER) AS n_all, l[1] AS first_term FROM t"
+)
+def split_terms(spark, d):
+    t = A.read(spark, d, "documents").select("doc_id", X.split_terms(F.col("text")).alias("l"), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "").alias("every"))
+    return t.select("doc_id", F.size("l").alias("n_terms"), F.size("every").alias("n_all"), F.get("l", F.lit(0)).alias("first_term"))
+
+
+@query(
+    r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' WHEN 2 THEN 'markdown' ELSE 'other' END AS kind FROM part"
+)
+def file_types(spark, d):
+    ext = F.element_at(F.array(*map(F.lit, ("rs", "tsx", "md", "zip"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("a/b.c/"), F.col("p_name"), F.lit("."), ext)
+    return A.read(spark, d, "part").select("p_partkey", X.file_type(path).alias("kind"))
+
+
+# ---- parsing
+
+LINES = """l AS (SELECT file_path, n, i, ls[i] AS line FROM (SELECT file_path, string_split(content, chr(10)) AS ls, len(string_split(content, chr(10))) AS n FROM files), unnest(range(1, n + 1)) AS t(i)),
+p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l)"""
+
+
+@query(
+    f"""WITH {S.FILES}, {LINES}, big AS (SELECT file_path, content, len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END AS n FROM files),
+w AS (SELECT file_path, o FROM big, unnest(range(0, n, 4)) AS t(o) WHERE strlen(content) > 2000),
+c AS (SELECT w.file_path, o, min(a) AS s, max(a + strlen(line)) AS e, min(i) AS f, max(i) AS g FROM w JOIN p ON p.file_path = w.file_path AND i > o AND i <= o + 5 JOIN big ON big.file_path = w.file_path AND i <= big.n GROUP BY ALL)
+SELECT file_path, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte, CAST(f AS INTEGER) AS line_start, CAST(g AS INTEGER) AS line_end, 'h' || substring(sha256(file_path || ':7:' || CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT)), 1, 24) AS id FROM c
+UNION ALL SELECT file_path, 0, strlen(content), 1, n, 'h' || substring(sha256(file_path || ':7:0-' || strlen(content)), 1, 24) FROM big WHERE strlen(content) <= 2000 AND content <> ''"""
+)
+def chunk_lines(spark, d):
+    return parse.chunks(A.files(spark, d), 5, 1, 2000)
+
+
+CONVERSATIONS = "files AS (SELECT 'conv/' || conv_id || '.md' AS file_path, string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id)"
+
+
+def conversation_files(spark, d):
+    part = F.concat(F.lit("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
+    c = A.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("ps"))
+    return c.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("file_path"), F.array_join(F.transform("ps", lambda x: x.p), "").alias("content"))
+
+
+SECTIONS = f"""{CONVERSATIONS}, {LINES}, m AS (SELECT *, sum(CAST(line LIKE '## %' AS INTEGER)) OVER (PARTITION BY file_path ORDER BY i) AS s FROM p),
+sections AS (SELECT file_path, 0 AS node_type, CAST(min(a) AS BIGINT) AS start_byte, CAST(max(a + strlen(line)) AS BIGINT) AS end_byte, CAST(min(i) AS INTEGER) AS line_start, CAST(max(i) AS INTEGER) AS line_end, arg_min(substring(line, 4), i) AS heading FROM m WHERE s > 0 GROUP BY file_path, s)"""
+
+
+@query(f"WITH {SECTIONS} SELECT * FROM sections")
+def section_parse(spark, d):
+    return parse.markdown(conversation_files(spark, d)).filter("node_type = 0")
+
+
+@query(f"WITH {SECTIONS} SELECT file_path, start_byte, heading FROM sections WHERE lower(heading) LIKE '%user%2%' ORDER BY file_path, start_byte LIMIT 100")
+def section_like(spark, d):
+    nodes = parse.markdown(conversation_files(spark, d)).withColumn("node_ord", F.col("start_byte"))
+    return search.sections(nodes, "User%2").select("file_path", "start_byte", "heading")
+
+
+SNIPPETS = (
+    ("a/shop.py", "import os\nfrom shop.db import connect\n\nclass Cart:\n    def add(self, item):\n        self.items.append(item)\n\n    def total(self):\n        return sum(i.price for i in self.items)\n\ndef main():\n    Cart().add(1)\n"),
+    ("a/lib.rs", "use std::fs;\n\npub struct Config {\n    name: String,\n}\n\nimpl Config {\n    pub fn load(path: &str) -> Config {\n        parse(fs::read(path))\n    }\n}\n\nfn helper() {}\n"),
+    ("a/app.ts", "import x from 'lib';\nexport class App {\n  run() {\n    start(x);\n  }\n}\nexport const go = async () => {\n  App.run();\n}\n"),
+    ("a/main.go", "package main\n\nimport \"net/http\"\n\ntype Server struct {\n\tport int\n}\n\nfunc (s *Server) Run() {\n\thttp.Listen(s.port)\n}\n\nfunc main() {\n\tnewServer().Run()\n}\n"),
+)
+
+
+def snippet_files(spark):
+    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("file_path"), F.lit(t).alias("content")) for p, t in SNIPPETS)))
+    return spark.range(1).select(rows.alias("r")).select("r.*")
+
+
+@query()
+def declarations(spark, d):
+    return parse.declarations(snippet_files(spark))
+
+
+@query()
+def code_references(spark, d):
+    return parse.references(snippet_files(spark))
+
+
+@query(
+    f"""WITH {S.FILES}, {LINES}, big AS (SELECT * FROM p WHERE i <= n),
+pts AS (SELECT file_path, CAST(a AS BIGINT) AS start_byte, CAST(a + 1 AS BIGINT) AS end_byte FROM p WHERE strlen(line) > 0 AND file_path LIKE 'src1/%'),
+w AS (SELECT file_path, k, min(a) AS s, max(a + strlen(line)) AS e FROM p, unnest(range(0, 2)) AS t(k) WHERE k = 0 OR i <= 3 GROUP BY ALL),
+j AS (SELECT pts.*, arg_min(k, (e - s) * 10 + k) AS k FROM pts JOIN w ON w.file_path = pts.file_path AND s <= start_byte AND end_byte <= e GROUP BY ALL)
+SELECT file_path, start_byte, end_byte, CAST(k AS INTEGER) AS k FROM j"""
+)
+def enclosing_node(spark, d):
+    ls = parse.lines(A.files(spark, d))
+    points = ls.filter((F.octet_length("text") > 0) & F.col("file_path").like("src1/%")).select("file_path", "start_byte", (F.col("start_byte") + 1).alias("end_byte"))
+    spans = [F.struct(F.lit(k).alias("k"), cond.alias("in")) for k, cond in ((0, F.lit(True)), (1, F.col("line") <= 3))]
+    nodes = (
+        ls.select("*", F.explode(F.array(*spans)).alias("z"))
+        .filter("z.in")
+        .groupBy("file_path", F.col("z.k").alias("k"))
+        .agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+        .select("file_path", "start_byte", "end_byte", F.col("k").alias("node_ord"), F.col("k").alias("id"))
+    )
+    return search.enclosing(points, nodes).select("file_path", "start_byte", "end_byte", F.col("source_id").alias("k"))
+
+
+# ---- ranking and evidence
+
+TEXT = "thing attion src1"
+TERMS = ["thing", "attion", "src1"]
+HITS = f"({C('thing')} OR {C('attion')})"
+PACK = f"{S.SOURCES}, {S.found(HITS, 'snodes', None)}, {S.pack('f', TERMS)}"
+TOTALS = "totals AS (SELECT least(count(*), 200) AS total_matches, count(*) > 100 AS truncated FROM f)"
+
+
+def evidence_pack(spark, d):
+    found = search.grep(A.source_nodes(spark, d), "thing", "attion", limit=None)
+    return found, rank.evidence(found, TEXT)
+
+
+@query(f"WITH {S.SOURCES}, hay AS (SELECT *, lower(file_path) || ' ' || lower(preview) AS hay FROM snodes) SELECT id, {S.score(TERMS)} AS score FROM hay")
+def score(spark, d):
+    return A.source_nodes(spark, d).select("id", F.round(rank.score(TEXT), 9).alias("score"))
+
+
+@query(f"WITH {PACK} SELECT {S.HANDLE}, score, rank FROM pack")
+def evidence_handles(spark, d):
+    return evidence_pack(spark, d)[1].select(*search.HANDLE, "score", "rank")
+
+
+@query(f"WITH {PACK} SELECT file_path, string_agg(id, ',' ORDER BY rank) AS handle_ids, CAST(sum(token_count) AS BIGINT) AS tokens, min(rank) AS first_rank FROM pack GROUP BY file_path")
+def evidence_files(spark, d):
+    return rank.evidence_files(evidence_pack(spark, d)[1])
+
+
+@query(
+    f"""WITH {PACK}, {TOTALS}, facts AS (SELECT count(*) AS selected, count(DISTINCT file_path) AS files, coalesce(avg(score) FILTER (rank <= 3), 0) AS top FROM pack),
+g AS (SELECT *, round(least(greatest(0.55::DOUBLE * top + 0.2::DOUBLE * least(files, 3) / 3 + 0.15::DOUBLE * least(selected / 8, 1.0::DOUBLE) + 0.1::DOUBLE * CASE WHEN total_matches = 0 THEN 0 WHEN total_matches < 3 THEN 0.4 ELSE 1 END - CASE WHEN truncated THEN 0.1::DOUBLE ELSE 0 END, 0), 1), 9) AS confidence FROM facts, totals),
+h AS (SELECT *, confidence >= 0.55 OR (selected >= 4 AND files >= 2) AS stop FROM g)
+SELECT confidence, CASE WHEN confidence < 0.35 THEN 'low' WHEN confidence < 0.7 THEN 'medium' ELSE 'high' END AS band, stop AS stop_querying, CASE WHEN stop THEN 'expand_then_answer' ELSE 'refine_query' END AS action,
+CAST(least(selected, CASE WHEN confidence >= 0.75 THEN 2 WHEN confidence >= 0.5 THEN 3 ELSE 4 END) AS INTEGER) AS expand_count, CASE WHEN stop THEN 0 ELSE 1 END AS more_queries FROM h"""
+)
+def evidence_guidance(spark, d):
+    found, pack = evidence_pack(spark, d)
+    return rank.guidance(pack, combine.summary(found, 100))
+
+
+@query(
+    f"""WITH {PACK}, s AS (SELECT *, rank <= 2 OR rank = 5 AS is_recent FROM pack WHERE rank <= 6)
+SELECT CAST(row_number() OVER (ORDER BY is_recent, rank) AS INTEGER) AS place, id, is_recent FROM s"""
+)
+def expand_suggestions(spark, d):
+    pack = evidence_pack(spark, d)[1]
+    return rank.suggestions(pack, pack.filter("rank <= 2 OR rank = 5").select("id"))
+
+
+@query()
+def expand_budget_greedy(spark, d):
+    found = search.grep(A.source_nodes(spark, d), "thing", limit=32)
+    return rank.choose(found, TEXT, 4_000)
+
+
+@query(
+    rf"""WITH {PACK}, w AS (SELECT unnest(list_filter(regexp_split_to_array(preview, '[^\p{{L}}\p{{N}}_]+'), lambda x: strlen(x) >= 4)) AS symbol FROM pack WHERE rank <= 8),
+o AS (SELECT symbol, CAST(sum(1 + CASE WHEN regexp_matches(symbol, '\p{{Lu}}') THEN 2 ELSE 0 END + CASE WHEN contains(symbol, '_') THEN 1 ELSE 0 END) AS BIGINT) AS weight FROM w
+  WHERE NOT regexp_matches(symbol, '^[0-9]') AND lower(symbol) NOT IN ({', '.join(repr(x) for x in [*rank.STOP_WORDS, *TERMS])}) GROUP BY symbol)
+SELECT * FROM o ORDER BY weight DESC, strlen(symbol) DESC, symbol LIMIT 8"""
+)
+def symbol_candidates(spark, d):
+    return rank.symbol_candidates(evidence_pack(spark, d)[1], TEXT)
+
+
+@query(
+    f"WITH {S.PARTS}, {S.found(C('red', 'name') + ' OR ' + C('plate', 'name'), 'parts')} SELECT * FROM f"
+)
+def pattern_fallback(spark, d):
+    """A pattern of several words that finds nothing as a whole is asked again with any of its words; one plan does both."""
+    nodes = A.part_nodes(spark, d).withColumn("content", F.col("name"))
+    whole, words = search.grep(nodes, "red zzz plate", limit=None), search.grep(nodes, "red", "zzz", "plate", limit=None)
+    none = whole.agg((F.count("*") == 0).alias("none"))
+    return handles(search.first(handles(whole).unionByName(handles(words.join(F.broadcast(none)).filter("none"))), 100))
+
+
+@query(f"WITH {S.EVENTS} SELECT 'k' || k AS name, count(*) AS n FROM e GROUP BY k ORDER BY n DESC, name LIMIT 20")
+def top_patterns(spark, d):
+    e = A.read(spark, d, "events").select(F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("pattern"))
+    return rank.top_counts(e, "pattern")
+
+
+@query(
+    "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) // count(*) AS BIGINT) AS avg_value FROM events GROUP BY event_type"
+)
+def service_averages(spark, d):
+    e = A.read(spark, d, "events")
+    total = F.sum(F.round("value").cast("long"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.floor(total / F.count("*")).cast("long").alias("avg_value"))
+
+
+# ---- expansion
+
+OLD_HASH = "CASE WHEN doc_id % 10 = 0 THEN 'old' ELSE content_hash END"
+
+
+def expansion(spark, d):
+    f = A.files(spark, d)
+    nodes = A.whole_file_nodes(f).join(f.select("file_path", "doc_id", "content_hash"), "file_path").withColumn("indexed_hash", F.when(F.col("doc_id") % 10 == 0, "old").otherwise(F.col("content_hash")))
+    ids = nodes.filter("doc_id < 300").select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("id", "^h", "")).when(F.col("doc_id") % 11 == 0, F.lit("h" + "0" * 24)).otherwise(F.col("id")).alias("id"))
+    return expand.expand(ids, nodes, f.filter("doc_id % 13 <> 0"))
+
+
+EXPANSION = f"""{S.NODES}, ids AS (SELECT f.doc_id AS position, CASE WHEN f.doc_id % 7 <> 0 AND f.doc_id % 11 = 0 THEN 'h000000000000000000000000' ELSE n.id END AS id, n.file_path, n.content, f.doc_id % 13 = 0 AS gone, f.doc_id % 10 = 0 AS stale FROM nodes n JOIN files f USING (file_path) WHERE f.doc_id < 300),
+x AS (SELECT position, id, CASE WHEN id LIKE 'h00000000000%' THEN NULL ELSE file_path END AS file_path, CASE WHEN gone OR id LIKE 'h00000000000%' THEN 'not_found' WHEN stale THEN 'stale' ELSE 'ok' END AS status, content FROM ids)"""
+
+
+@query(f"WITH {EXPANSION} SELECT position, id, CASE WHEN status = 'ok' THEN sha256(content) END AS content_sha FROM x")
+def expand_content(spark, d):
+    return expansion(spark, d).select("position", "id", F.sha2("content", 256).alias("content_sha"))
+
+
+@query(f"WITH {EXPANSION} SELECT position, file_path, status FROM x")
+def expand_status_stale(spark, d):
+    return expansion(spark, d).select("position", "file_path", "status")
+
+
+@query(
+    f"WITH {S.NODES}, f AS (SELECT * FROM nodes WHERE {C('thing')} ORDER BY file_path, node_ord LIMIT 20), t AS (SELECT sum(token_count) <= 1000000 AS fit FROM f) SELECT count(*) FILTER (fit) AS expanded_count, CAST(coalesce(sum(token_count) FILTER (fit), 0) AS BIGINT) AS expanded_tokens, count(*) AS handles FROM f, t"
+)
+def auto_expand_all(spark, d):
+    return expand.expand_summary(expand.auto_expand(search.grep(A.doc_nodes(spark, d), "thing", limit=20), 1_000_000))
+
+
+@query(
+    f"WITH {S.NODES}, i AS (SELECT id, doc_id FROM nodes JOIN files USING (file_path)) SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'local' WHEN doc_id % 5 = 0 THEN 'shared' ELSE 'failed' END AS source FROM i"
+)
+def expand_by_provenance(spark, d):
+    f = A.files(spark, d)
+    n = A.whole_file_nodes(f).join(f.select("file_path", "doc_id"), "file_path")
+    return expand.by_provenance(n, n.filter("doc_id % 3 = 0"), n.filter("doc_id % 5 = 0")).select("id", "source")
+
+
+# ---- overlay
+
+DIRTY = "dirty AS (SELECT DISTINCT source || '.txt' AS file_path FROM documents WHERE source IN ('src3', 'src7'))"
+MERGED = f"""{S.SOURCES}, {DIRTY}, local AS (SELECT * FROM snodes WHERE file_path IN (SELECT file_path FROM dirty) AND NOT (file_path = 'src7.txt' AND node_ord % 5 = 0)),
+merged AS (SELECT {S.HANDLE}, 'local' AS source FROM local UNION ALL SELECT {S.HANDLE}, 'shared' FROM snodes WHERE file_path NOT IN (SELECT file_path FROM dirty))"""
+
+
+def dirty_paths(spark, d):
+    return A.read(spark, d, "documents").filter("source IN ('src3', 'src7')").select(F.concat("source", F.lit(".txt")).alias("path")).distinct()
+
+
+def merged(spark, d):
+    nodes = A.source_nodes(spark, d)
+    local = nodes.filter("NOT (file_path = 'src7.txt' AND node_ord % 5 = 0)")
+    return overlay.merge(local, nodes, dirty_paths(spark, d))
+
+
+@query(f"WITH {MERGED} SELECT * FROM merged")
+def merge_overlay(spark, d):
+    return merged(spark, d)
+
+
+@query(f"WITH {MERGED} SELECT count(*) AS total_matches, CAST(sum(token_count) AS BIGINT) AS total_tokens, true AS truncated, CAST(0 AS BIGINT) AS expanded_count, false AS auto_expanded FROM merged")
+def merge_summary(spark, d):
+    return overlay.merged_summary(merged(spark, d), False, True)
+
+
+@query(
+    f"""WITH {S.REFS}, m AS (SELECT DISTINCT file_path, line_start, line_end, name, preview, CASE WHEN file_path = 'part/STANDARD' THEN 'local' ELSE 'shared' END AS source FROM refs) SELECT source, count(*) AS n, count(DISTINCT file_path) AS files FROM m GROUP BY source"""
+)
+def merge_refs(spark, d):
+    refs = A.lineitem_refs(spark, d)
+    dirty = spark.range(1).select(F.lit("part/STANDARD").alias("path"))
+    return overlay.merge_refs(refs, refs, dirty).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"))
+
+
+@query(
+    f"WITH {S.FILES} SELECT sha256(string_agg(file_path || ':' || mtime || chr(10), '' ORDER BY file_path || ':' || mtime || chr(10))) AS fingerprint FROM files WHERE doc_id % 20 = 0"
+)
+def dirty_fingerprint(spark, d):
+    from marlstone.sources.files import fingerprint
+
+    return fingerprint(A.files(spark, d).filter("doc_id % 20 = 0").select(F.col("file_path").alias("path"), "mtime"))
+
+
+# ---- index lifecycle
+
+PLANNED = f"""{S.FILES}, planned AS (SELECT file_path, token_count, CASE WHEN doc_id % 9 = 0 THEN 'index' WHEN doc_id % 4 = 0 AND {S.NOW} - indexed_at < 3600 THEN 'skip_fresh' WHEN doc_id % 3 = 0 THEN 'index' ELSE 'skip_same_hash' END AS action FROM files)"""
+
+
+def planned(spark, d):
+    f = A.files(spark, d)
+    stored = f.filter("doc_id % 9 <> 0").select(
+        "file_path",
+        F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(F.col("doc_id") % 4 == 0, F.col("mtime")).otherwise(F.col("mtime") - 1).alias("mtime"),
+        "indexed_at",
+    )
+    return lifecycle.plan_index(f, stored, A.NOW)
+
+
+@query(f"WITH {PLANNED} SELECT file_path, action FROM planned")
+def index_skip_rules(spark, d):
+    return planned(spark, d).select("file_path", "action")
+
+
+@query(f"WITH {PLANNED} SELECT count(*) FILTER (action = 'index') AS files_indexed, count(*) FILTER (action <> 'index') AS files_skipped, CAST(sum(token_count) AS BIGINT) AS total_tokens FROM planned")
+def index_stats(spark, d):
+    return lifecycle.index_stats(planned(spark, d))
+
+
+@query(f"WITH {S.FILES}, a AS (SELECT count(*) AS files, CAST(sum(token_count) AS BIGINT) AS tokens, max(indexed_at) AS last_indexed FROM files WHERE doc_id >= 10) SELECT *, ({S.NOW} - last_indexed) // 60 || ' minutes ago' AS age FROM a")
+def index_status(spark, d):
+    return lifecycle.status(A.files(spark, d).filter("doc_id >= 10"), A.NOW)
+
+
+@query(f"WITH {S.FILES} SELECT file_path FROM files WHERE NOT (file_path LIKE 'src1/%' OR file_path LIKE 'src2/%')")
+def invalidate_glob(spark, d):
+    return lifecycle.invalidate(A.files(spark, d), "{src1,src2}/**").select("file_path")
+
+
+@query(f"WITH {S.FILES} SELECT file_path, CASE WHEN doc_id % 50 = 0 THEN 'new' ELSE content_hash END AS content_hash FROM files")
+def replace_files(spark, d):
+    f = A.files(spark, d)
+    new = f.filter("doc_id % 50 = 0").select("file_path", F.lit("new").alias("content_hash"))
+    return lifecycle.replace_files(f.select("file_path", "content_hash"), new)
+
+
+# ---- feedback
+
+
+@query(
+    f"WITH {S.EVENTS}, w AS (SELECT first_match_glob AS g, expanded, exp(-greatest({S.NOW} - ts, 0) * ln(2.0::DOUBLE) / 604800) AS weight FROM flagged JOIN queries ON id = query_event_id) SELECT g AS \"glob\", round(sum(CASE WHEN expanded THEN weight ELSE 0 END) / sum(weight), 6) AS score FROM w GROUP BY g"
+)
+def glob_scores_decay(spark, d):
+    return feedback.glob_scores(*A.feedback(spark, d), A.NOW).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {S.EVENTS} SELECT node_type, round(avg(CAST(expanded AS DOUBLE)), 9) AS prior FROM flagged GROUP BY node_type")
+def node_type_priors(spark, d):
+    _, handles_, expands = A.feedback(spark, d)
+    return feedback.node_type_priors(handles_, expands).withColumn("prior", F.round("prior", 9))
+
+
+SINCE = S.NOW - 14 * 86400
+HIT_RATE = """asked AS (SELECT id, unnest(predicted_globs[1:5]) AS g FROM queries WHERE ts >= {since}),
+hits AS (SELECT avg(CAST(EXISTS (SELECT 1 FROM flagged f WHERE f.expanded AND f.query_event_id = asked.id AND f.first_match_glob = g) AS DOUBLE)) AS r FROM asked)"""
+
+
+@query(
+    f"""WITH {S.EVENTS}, {HIT_RATE.format(since=SINCE)} SELECT (SELECT count(*) FROM queries WHERE ts >= {SINCE}) AS sample_count,
+(SELECT round(avg(CAST(expanded AS DOUBLE)), 9) FROM flagged JOIN queries ON id = query_event_id WHERE ts >= {SINCE}) AS handle_expand_accept_rate,
+(SELECT round(avg(token_count), 6) FROM expands WHERE expanded_at >= {SINCE}) AS avg_tokens_per_expand, (SELECT round(r, 9) FROM hits) AS glob_hit_rate_at_k"""
+)
+def feedback_metrics(spark, d):
+    m = feedback.metrics(*A.feedback(spark, d), A.NOW, 14)
+    return m.select("sample_count", F.round("handle_expand_accept_rate", 9).alias("handle_expand_accept_rate"), F.round("avg_tokens_per_expand", 6).alias("avg_tokens_per_expand"), F.round("glob_hit_rate_at_k", 9).alias("glob_hit_rate_at_k"))
+
+
+@query(f"WITH {S.EVENTS}, {HIT_RATE.format(since=0)} SELECT round(r, 9) AS glob_hit_rate_at_k FROM hits")
+def glob_hit_rate(spark, d):
+    queries_, handles_, expands = A.feedback(spark, d)
+    return feedback.hit_rate(queries_, feedback.flagged(handles_, expands)).select(F.round("glob_hit_rate_at_k", 9).alias("glob_hit_rate_at_k"))
+
+
+KEPT = f"""q AS (SELECT * FROM queries WHERE ts >= {S.NOW} - 30 * 86400 ORDER BY ts DESC, id DESC LIMIT {{cap}}), x AS (SELECT * FROM expands WHERE expanded_at >= {S.NOW} - 30 * 86400)
+SELECT (SELECT count(*) FROM q) AS queries, (SELECT count(*) FROM handles WHERE query_event_id IN (SELECT id FROM q)) AS handles, (SELECT count(*) FROM x) AS expands, (SELECT count(*) FROM x WHERE query_event_id NOT IN (SELECT id FROM q)) AS orphans"""
+
+
+def pruned(spark, d, cap):
+    q, h, e = feedback.prune(*A.feedback(spark, d), A.NOW, cap, 10_000_000)
+    counts = [
+        q.agg(F.count("*").alias("queries")),
+        h.agg(F.count("*").alias("handles")),
+        e.agg(F.count("*").alias("expands"), F.count_if(F.col("query_event_id").isNull()).alias("orphans")),
+    ]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(F.broadcast(c))
+    return out
+
+
+@query(f"WITH {S.EVENTS}, {KEPT.format(cap=10_000_000)}")
+def prune_retention(spark, d):
+    return pruned(spark, d, 10_000_000)
+
+
+@query(f"WITH {S.EVENTS}, {KEPT.format(cap=500)}")
+def prune_cap(spark, d):
+    return pruned(spark, d, 500)
+
+
+# ---- prediction
+
+ASKED = ("how does login work", "sql migration runner", "nothing known here", "feedback handler")
+EXTENSIONS = ("py", "rs")
+
+
+def _predicted_sql() -> str:
+    words = ", ".join(f"({k}, '{w}')" for k, (ws, _) in enumerate(predict.KEYWORDS) for w in ws.split())
+    names = ", ".join(f"({k}, '**/{n}/**')" for k, (_, ns) in enumerate(predict.KEYWORDS) for n in ns.split())
+    return f"""asked AS (SELECT * FROM (VALUES {', '.join(f"('{q}')" for q in ASKED)}) t(query)), ext AS (SELECT * FROM (VALUES {', '.join(f"('{e}')" for e in EXTENSIONS)}) t(ext)),
+words AS (SELECT * FROM (VALUES {words}) t(k, word)), names AS (SELECT * FROM (VALUES {names}) t(k, pattern)),
+hit AS (SELECT DISTINCT query, k FROM asked JOIN words ON contains(lower(query), word)),
+globs AS (SELECT query, pattern || '/*.' || ext AS g FROM hit JOIN names USING (k), ext UNION SELECT query, '**/' || n || '.' || ext FROM asked, ext, (VALUES {', '.join(f"('{n}')" for n in predict.ENTRY_POINTS)}) t(n)
+  UNION SELECT query, n || '/**/*.' || ext FROM asked, ext, (VALUES ('src'), ('packages')) t(n) WHERE query NOT IN (SELECT query FROM hit)),
+predicted AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY g) - 1 AS INTEGER) AS place, g FROM globs)"""
+
+
+@query(f"WITH {_predicted_sql()} SELECT query, place, g AS \"glob\" FROM predicted")
+def predict_globs(spark, d):
+    return predict.predicted_globs(predict.literal_queries(spark, ASKED), EXTENSIONS)
+
+
+@query(
+    f"WITH {_predicted_sql()}, s AS (SELECT *, CASE WHEN g LIKE '**/main%' THEN 0.75::DOUBLE WHEN g LIKE '%.rs' THEN 0.25::DOUBLE ELSE 0 END AS score FROM predicted) SELECT query, g AS \"glob\", score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, place) - 1 AS INTEGER) AS place FROM s"
+)
+def predict_globs_reranked(spark, d):
+    p = predict.predicted_globs(predict.literal_queries(spark, ASKED), EXTENSIONS)
+    s = F.when(F.col("glob").startswith("**/main"), 0.75).when(F.col("glob").endswith(".rs"), 0.25)
+    return predict.reranked(p, p.select("glob", s.alias("score")).filter("score IS NOT NULL").distinct())
+
+
+@query(
+    f"WITH {S.FILES} SELECT file_path, CASE WHEN file_path LIKE '%/de/%' THEN '**/de/**' WHEN file_path LIKE 'src1%' THEN 'src1*/**' END AS first_match_glob FROM files"
+)
+def first_match_glob(spark, d):
+    pairs = [F.struct(F.lit(k).alias("place"), F.lit(g).alias("pattern"), F.lit(X.glob_regex(g)).alias("regex")) for k, g in enumerate(("**/de/**", "src1*/**"))]
+    globs = spark.range(1).select(F.explode(F.array(*pairs)).alias("g")).select("g.*")
+    return predict.first_globs(A.files(spark, d).select("file_path"), globs)
+
+
+# ---- streaming
+
+WINDOWS = """w AS (SELECT e.*, s FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type FROM events) e, unnest(range(0, 7)) AS x(s)), g AS (SELECT t - t % 86400 - s * 86400 AS window_start, event_type FROM w),
+a AS (SELECT window_start, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type IN ('click', 'purchase')) AS acts FROM g GROUP BY 1)
+SELECT window_start, views, acts, CASE WHEN views > 0 THEN acts / views ELSE 0 END AS rate FROM a"""
+
+
+@query(f"WITH {WINDOWS}")
+def feedback_windows(spark, d):
+    return feedback_stream.windowed_rates(A.read(spark, d, "events"))
+
+
+@query(f"WITH {WINDOWS}")
+def stream_feedback_available_now(spark, d):
+    from marlstone.sources.state import shared_folder
+
+    events = A.read(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    return feedback_stream.run_available(feedback_stream.windowed_rates(stream), "feedback_rates", shared_folder(spark, "feedback"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search for either of two terms, score, two handles a file, best eight."""
+    return evidence_handles(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
