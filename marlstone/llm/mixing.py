@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WORD, cut, keyed
+from marlstone.llm.common import WORD, cut, fits, keyed
 
+#: Sources whose budgets are broadcast at most; beyond, budgets are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Documents of a key range, about.
 RANGE_ROWS = 2_000
 
@@ -92,13 +94,16 @@ def mix(
         .drop("source")
         .withColumn("_ranges", F.ceil(F.col("_n") / RANGE_ROWS))
     )
+    budget = cut(budget)
+    if fits(budget, BROADCAST_SOURCES):
+        budget = F.broadcast(budget)
     # 1 - exp(-key) rises with the key and spreads it over 0 to 1
-    ranged = sized.join(budget, "_source").withColumn(
-        "_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")), F.col("_ranges") - 1)
+    ranged = (
+        sized.join(budget, "_source")
+        .withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")), F.col("_ranges") - 1))
+        .repartition("_source", "_range")
     )
-    by_range = sized.select("_source", "_key", "size").join(budget.select("_source", "_ranges"), "_source").groupBy(
-        "_source", F.least(F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")), F.col("_ranges") - 1).alias("_range")
-    ).agg(F.sum("size").alias("_range_size"))
+    by_range = ranged.groupBy("_source", "_range").agg(F.sum("size").alias("_range_size"))
     offsets = by_range.select(
         "_source",
         "_range",
