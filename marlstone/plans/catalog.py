@@ -237,7 +237,7 @@ p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_path ORDE
 w AS (SELECT file_path, o FROM big, unnest(range(0, n, 4)) AS t(o) WHERE strlen(content) > 2000),
 c AS (SELECT w.file_path, o, min(a) AS s, max(a + strlen(line)) AS e, min(i) AS f, max(i) AS g FROM w JOIN p ON p.file_path = w.file_path AND i > o AND i <= o + 5 JOIN big ON big.file_path = w.file_path AND i <= big.n GROUP BY ALL)
 SELECT file_path, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte, CAST(f AS INTEGER) AS line_start, CAST(g AS INTEGER) AS line_end, 'h' || substring(sha256(file_path || ':7:' || CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT)), 1, 24) AS id FROM c
-UNION ALL SELECT file_path, 0, strlen(content), 1, n, 'h' || substring(sha256(file_path || ':7:0-' || strlen(content)), 1, 24) FROM big WHERE strlen(content) <= 2000 AND content <> ''"""
+UNION ALL SELECT file_path, 0, strlen(content), 1, CAST(n AS INTEGER), 'h' || substring(sha256(file_path || ':7:0-' || strlen(content)), 1, 24) FROM big WHERE strlen(content) <= 2000 AND content <> ''"""
 )
 def chunk_lines(spark, d):
     return parse.chunks(A.files(spark, d), 5, 1, 2000)
