@@ -58,3 +58,14 @@ def by_provenance(ids: DataFrame, local: DataFrame, shared: DataFrame) -> DataFr
     joined = ids.select("id").distinct().join(a, "id", "left").join(b, "id", "left")
     source = F.when(F.col("_local").isNotNull(), "local").when(F.col("_shared").isNotNull(), "shared").otherwise("failed")
     return joined.select("id", source.alias("source"), F.coalesce("_local", "_shared").alias("content"))
+
+
+def check_generation(handles: DataFrame, shards: DataFrame) -> DataFrame:
+    """handles(id, repo_id, generation) with status: ok, conflict if the shard has moved on, or not_ready if it has no snapshot."""
+    s = shards.select("repo_id", F.col("generation").alias("_now"), F.col("status").alias("_status"))
+    status = (
+        F.when(F.col("_status").isNull() | (F.col("_status") != "ready"), "not_ready")
+        .when(F.col("generation") != F.col("_now"), "conflict")
+        .otherwise("ok")
+    )
+    return handles.join(s, "repo_id", "left").withColumn("status", status).drop("_now", "_status")

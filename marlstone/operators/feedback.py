@@ -68,3 +68,29 @@ def prune(queries: DataFrame, handles: DataFrame, expands: DataFrame, now: int,
     h = handles.join(kept.drop("_kept"), "query_event_id", "left_semi")
     e = e.join(kept, "query_event_id", "left").withColumn("query_event_id", F.when(F.col("_kept"), F.col("query_event_id"))).drop("_kept")
     return q, h, e
+
+
+def latest_query(handles: DataFrame, queries: DataFrame) -> DataFrame:
+    """handle_id with the query event that returned it last, by time and then id."""
+    at = queries.select(F.col("id").alias("query_event_id"), "ts")
+    joined = handles.select("handle_id", "query_event_id").join(at, "query_event_id")
+    return joined.groupBy("handle_id").agg(F.max(F.struct("ts", "query_event_id")).alias("m")).select("handle_id", "m.query_event_id")
+
+
+def answer_shape(answers: DataFrame) -> DataFrame:
+    """answers(id, text) with the paths, headings, bullets and fences of each, and whether it is grounded and structured.
+
+    Grounded: three paths or more. Structured: three headings or more, with five bullets or a fence.
+    """
+    lines = F.split("text", "\n")
+    count = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+    shape = answers.select(
+        "id",
+        F.regexp_count("text", F.lit(r"[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[a-z]{1,4}\b")).alias("paths"),
+        count(r"^#{1,6} ").alias("headings"),
+        count(r"^\s*[-*] ").alias("bullets"),
+        count(r"^```").alias("fences"),
+    )
+    return shape.withColumn("grounded", F.col("paths") >= 3).withColumn(
+        "structured", (F.col("headings") >= 3) & ((F.col("bullets") >= 5) | (F.col("fences") >= 1))
+    )

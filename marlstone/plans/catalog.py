@@ -445,6 +445,15 @@ def expand_by_provenance(spark, d):
     return expand.by_provenance(n, n.filter("doc_id % 3 = 0"), n.filter("doc_id % 5 = 0")).select("id", "source")
 
 
+@query(
+    "SELECT o_orderkey, CASE o_custkey % 4 WHEN 3 THEN 'not_ready' WHEN 2 THEN 'not_ready' ELSE CASE WHEN o_orderkey % 5 = o_custkey % 4 THEN 'ok' ELSE 'conflict' END END AS status FROM orders"
+)
+def expand_generation(spark, d):
+    o = A.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("repo_id"), (F.col("o_orderkey") % 5).alias("generation"))
+    shards = spark.range(3).select(F.col("id").alias("repo_id"), F.col("id").alias("generation"), F.when(F.col("id") == 2, "indexing").otherwise("ready").alias("status"))
+    return expand.check_generation(o, shards).select("o_orderkey", "status")
+
+
 # ---- overlay
 
 DIRTY = "dirty AS (SELECT DISTINCT source || '.txt' AS file_path FROM documents WHERE source IN ('src3', 'src7'))"
@@ -549,6 +558,31 @@ def node_type_priors(spark, d):
     return feedback.node_type_priors(handles_, expands).withColumn("prior", F.round("prior", 9))
 
 
+@query(f"WITH {S.EVENTS} SELECT handle_id, arg_max(query_event_id, (ts, query_event_id)) AS query_event_id FROM handles JOIN queries ON id = query_event_id GROUP BY handle_id")
+def latest_query(spark, d):
+    queries_, handles_, _ = A.feedback(spark, d)
+    return feedback.latest_query(handles_, queries_)
+
+
+SHAPED = "'## a' || chr(10) || '# ' || role || chr(10) || '### c' || chr(10) || repeat('- src/x.py is in ' || role || '/y.rs' || chr(10), CAST(turn + 1 AS INTEGER)) || text || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '```' ELSE '' END"
+
+
+@query(
+    rf"""WITH a AS (SELECT conv_id * 1000 + turn AS id, {SHAPED} AS text FROM conversations), c AS (SELECT id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[a-z]{{1,4}}\b')) AS INTEGER) AS paths,
+CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} '))) AS INTEGER) AS headings, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[-*] '))) AS INTEGER) AS bullets,
+CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^```'))) AS INTEGER) AS fences FROM a)
+SELECT *, paths >= 3 AS grounded, headings >= 3 AND (bullets >= 5 OR fences >= 1) AS structured FROM c"""
+)
+def answer_shape(spark, d):
+    shaped = F.concat(
+        F.lit("## a\n# "), "role", F.lit("\n### c\n"),
+        F.repeat(F.concat(F.lit("- src/x.py is in "), "role", F.lit("/y.rs\n")), (F.col("turn") + 1).cast("int")),
+        "text", F.when(F.col("conv_id") % 3 == 0, "\n```").otherwise(""),
+    )
+    c = A.read(spark, d, "conversations")
+    return feedback.answer_shape(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), shaped.alias("text")))
+
+
 SINCE = S.NOW - 14 * 86400
 HIT_RATE = """asked AS (SELECT id, unnest(predicted_globs[1:5]) AS g FROM queries WHERE ts >= {since}),
 hits AS (SELECT avg(CAST(EXISTS (SELECT 1 FROM flagged f WHERE f.expanded AND f.query_event_id = asked.id AND f.first_match_glob = g) AS DOUBLE)) AS r FROM asked)"""
