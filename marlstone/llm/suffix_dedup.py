@@ -309,7 +309,8 @@ def repeated_spans(docs: DataFrame, window: int = 100) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"),
-        F.pmod(F.xxhash64(body), F.lit(1 << 31)).alias("mark"),
+        # never null, so that both joins below share one exchange of the texts
+        F.xxhash64(body).bitwiseAND(F.lit((1 << 31) - 1).cast("long")).alias("mark"),
         body.alias("text"),
     )
     found = rows.mapInArrow(_find(window), "h long, span long, doc long, place long")
