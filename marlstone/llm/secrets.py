@@ -30,10 +30,12 @@ _MORE = (
     ("hosting", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0),
     ("chat", "xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0),
     ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0),
-    ("url", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,256}:([^\s/:@]{3,256})@"), 1),
-    ("named", "_key", re.compile(r"""\b(?:access|private|secret|account)_key["']?\x20{0,9}[:=]\x20{0,9}["']?([A-Za-z0-9+/_.=-]{12,})""", re.ASCII | re.IGNORECASE), 1),
+    ("url", "://", re.compile(r"://[^\s/:@]++:([^\s/:@]{3,}+)@"), 1),
+    ("named", "_key", re.compile(r"""(?:\b|(?<=_))(?:access|private|secret|account)_key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", re.ASCII | re.IGNORECASE), 1),
     ("bearer", "earer ", re.compile(r"\b[Bb]earer ([A-Za-z0-9+/_.=-]{16,})"), 1),
 )
+_SCHEME = re.compile(r"\b[a-z][a-z0-9+.-]+")
+_SCHEME_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, *(k for k, *_ in _MORE))
 
@@ -43,6 +45,16 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _with_schemes(text: str, found):
+    """Matches from "://" on, led by their schemes; no letter is in two schemes or two matches, so the work is linear."""
+    for kind, start, end, value in found:
+        at = start
+        while at and text[at - 1] in _SCHEME_LETTERS:
+            at -= 1
+        if m := _SCHEME.search(text, at, start):
+            yield kind, m.start(), end, value
+
+
 def candidates_of(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value), base kinds first; offsets are code points, the end exclusive."""
     if not text:
@@ -52,8 +64,9 @@ def candidates_of(text: str | None) -> list[tuple[str, int, int, str]]:
         found += [("access", *m.span(), m[0]) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span(), m[0]) for m in _HEX.finditer(text)]
     for kind, must, pattern, group in _MORE:
-        if must in text:
-            found += [(kind, *m.span(), m[group]) for m in pattern.finditer(text)]
+        if must in text or kind == "named" and must in text.lower():
+            more = ((kind, *m.span(), m[group]) for m in pattern.finditer(text))
+            found += _with_schemes(text, more) if kind == "url" else more
     return found
 
 

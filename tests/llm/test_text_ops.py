@@ -99,6 +99,20 @@ def test_redaction_is_the_same_with_and_without_broadcast(spark):
     assert one == {0: "[assign removed] and more", 1: "nothing", 2: None, 3: texts[3], 4: texts[4], 5: texts[5]}
 
 
+def test_secrets_of_upper_case_names_and_long_urls(spark):
+    key, long = "q8Zr7LmP2xTnV4bW9cYd", "q8Zr7LmP2xTnV4bW9cYd" * 40
+    named = ["SECRET_KEY=", "ACCESS_KEY: ", "Private_Key = ", "AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key=", "account_key" + " " * 30 + "="]
+    texts = [*(n + key for n in named), f"see postgres://{'u' * 900}:{long}@db/x", "MYSECRET_KEYS=" + key, f"x://u:{key}@h http://a/b:{key}@"]
+    d = docs(spark, texts, source=["o/r"] * len(texts))
+    found = {r.doc_id: r.spans for r in secrets.scan(d).collect()}
+    starts = [0, 0, 0, 11, 11, 0]
+    assert [found[k] for k in range(6)] == [f"named:{a}:{len(t)}" for a, t in zip(starts, texts[:6], strict=True)]
+    assert found[6] == f"url:4:{len(texts[6]) - 4}"
+    assert found[7] == found[8] == ""
+    out = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert not any(key in out[k] for k in range(7))
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
