@@ -209,12 +209,168 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs without the rows that another row of their component stands for; the row with the least doc_id stays."""
+# ---- near-duplicates by similarity
+
+#: Bits of one of a text's short fingerprints, of which so many leading ones choose the cell.
+BAND_BITS, BAND_CELL_BITS = 32, 4
+_TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
+
+
+def shingles_of(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles, letters A-Z lowered; the only one of a shorter text is all its words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, n = b" ".join(words), max(1, len(words) - words_per_shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
+    stops = (ends[min(words_per_shingle, len(words)) - 1 :][:n] - 1).tolist()
+    one = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((one(line[a:b]) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def bands_of(shingles: np.ndarray, bands: int) -> np.ndarray:
+    """So many re-seeded SimHash fingerprints of BAND_BITS each of a set of shingles; a set counts a shingle once."""
+    words = (bands * BAND_BITS + 63) // 64
+    seeds = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    counts = np.zeros(words * 8 * 256, np.int64)
+    places = (np.arange(words * 8) * 256)[None, :]
+    for k in range(0, len(shingles), 20_000):
+        h = shingles[k : k + 20_000, None] ^ seeds
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.bincount((h.view(np.uint8) + places).ravel(), minlength=len(counts))
+    sums = counts.reshape(-1, 256).astype(np.float32) @ _TABLE
+    return np.packbits(2 * sums.ravel() > len(shingles)).view(">u4")[:bands].astype(np.uint32)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _to_band_cells(texts: DataFrame, bands: int, radius: int) -> DataFrame:
+    """cell, held: of texts(node, bands), the (node, rest of the fingerprint, flips left) of a batch that go to a cell, packed."""
+    low, side = BAND_BITS - BAND_CELL_BITS, 1 << BAND_CELL_BITS
+    masks = [(m, m.bit_count()) for m in _masks(BAND_CELL_BITS, radius // 2)]
+    kind = np.dtype([("node", "<i8"), ("fp", "<u4"), ("left", "u1")])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column(0).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(len(node), bands)
+            cells, blobs = [], []
+            for band in range(bands):
+                top = fps[:, band] >> np.uint32(low)
+                rows = np.zeros(len(node), kind)
+                rows["node"], rows["fp"] = node, fps[:, band] & np.uint32((1 << low) - 1)
+                for cell in range(side):
+                    parts = []
+                    for mask, flips in masks:
+                        part = rows[top == cell ^ mask]
+                        part["left"] = radius // 2 - flips
+                        parts.append(part)
+                    if sum(map(len, parts)):
+                        cells.append(band * side + cell)
+                        blobs.append(np.concatenate(parts).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "held"])
+
+    return texts.select("node", "bands").mapInArrow(run, "cell int, held binary")
+
+
+def _candidates(cells: DataFrame, radius: int) -> DataFrame:
+    """a, b: nodes with a fingerprint in common at radius flips, chained through each variant that they share."""
+    low = BAND_BITS - BAND_CELL_BITS
+    kind = np.dtype([("node", "<i8"), ("fp", "<u4"), ("left", "u1")])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def solve(held):
+            rows = np.sort(np.frombuffer(b"".join(held), kind), order="node")
+            fps, left = rows["fp"].astype(np.uint64), rows["left"].astype(np.int64)
+            for i, j in _chain(fps, left, low, radius // 2, CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][i]), pa.array(rows["node"][j])], names=["a", "b"])
+
+        cell, held = None, []
+        for batch in batches:
+            for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c != cell and held:
+                    yield from solve(held)
+                    held = []
+                cell = c
+                held.append(h)
+        if held:
+            yield from solve(held)
+
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    return dealt.select("cell", "held").mapInArrow(run, "a long, b long").filter("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """The pairs(a, b) whose texts(node, text) have so similar sets of shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept, last, first = [], None, None
+            for k in range(batch.num_rows):
+                a = batch.column(0)[k].as_py()
+                if a != last:
+                    last, first = a, shingles_of(batch.column(2)[k].as_py(), words_per_shingle)
+                kept.append(jaccard(first, shingles_of(batch.column(3)[k].as_py(), words_per_shingle)) >= similarity)
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32, radius: int = 2) -> DataFrame:
+    """a, b: links of texts(node, text, bands) that are so similar by the Jaccard measure of their word shingles.
+
+    Candidates share one of their short SimHash fingerprints at radius flips: two texts at similarity 0.8 differ in 15% of
+    the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. All candidates are verified.
+    """
+    pairs = cut(_candidates(_to_band_cells(texts, bands, radius), radius))
+    return _verified(pairs, texts, similarity, words_per_shingle)
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32) -> DataFrame:
+    """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
+
+    Links are at similarity of the sets of word shingles, see similar(); texts of the same words are one node, and so are
+    texts without a word. These parameters are apart from those of classes().
+    """
     columns, row = docs.columns, "_row"
     while row in columns:
         row += "_"
     named = docs.withColumn(row, F.monotonically_increasing_id())
-    found = classes(named.select("doc_id", "text", row), radius, keep=(row,))
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least"))
-    return named.join(stays.select(F.col(f"least.{row}").alias(row)), row, "left_semi").select(*columns)
+
+    def run(texts):
+        words, made = [], []
+        for t in texts:
+            line = b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+            words.append(xxhash.xxh3_128_digest(line))
+            made.append(bands_of(shingles_of(t, words_per_shingle), bands).astype("<u4").tobytes() if line else None)
+        return [words, made]
+
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("node"))
+    seen = map_text(named.select("doc_id", row, "text"), ["doc_id", row], "text", run, "words binary, bands binary")
+    seen = seen.withColumn("order", order)
+    nodes = cut(seen.groupBy("words").agg(F.min("order").alias("order"), F.first("bands").alias("bands")).select("order", "order.node", "bands"))
+    own = nodes.filter("bands is not null").select("node", "bands")
+    texts = own.join(named.select(F.col(row).alias("node"), F.col("text").cast("string").alias("text")), "node")
+    roots = components(similar(texts, similarity, words_per_shingle, bands))
+    rooted = nodes.join(roots, "node", "left").select("order", F.coalesce("root", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("order").alias("least"))
+    return named.join(stays.select(F.col("least.node").alias(row)), row, "left_semi").select(*columns)

@@ -70,3 +70,44 @@ def test_run_and_clashing_columns(spark, folder, tmp_path):
     one = {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, folder).collect()}
     two = {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert one and one == two
+
+
+def test_near_duplicates_at_eight_tenths_of_five_word_shingles(spark):
+    import random
+
+    from marlstone.llm.simhash import jaccard, shingles_of
+
+    draw = random.Random(3)
+    word = lambda: f"w{draw.randrange(5000)}"
+    texts = {}
+    for k in range(60):
+        base = [word() for _ in range(200)]
+        texts[10 * k] = " ".join(base)
+        for n, edits in ((1, 2), (2, 4), (3, 16)):
+            other = list(base)
+            for at in range(edits):
+                other[10 + at * 12 if edits == 16 else 10 + at * 45] = word()
+            texts[10 * k + n] = " ".join(other)
+    sets = {i: shingles_of(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in range(60):
+        own = range(10 * k, 10 * k + 4)
+        for a in own:
+            for b in own:
+                if jaccard(sets[a], sets[b]) >= 0.8:
+                    x, y = root(a), root(b)
+                    parent[max(x, y)] = min(x, y)
+    want = {root(i) for i in texts}
+    assert len(want) == 120
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(i, t, "en", "s", 0) for i, t in ((9000, ""), (9001, None), (9002, " \n"), (None, "a lone text"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == want | {9000, None}
