@@ -46,14 +46,32 @@ CONTAINER = frozenset(["article", "main"])
 CONTAINER_WORDS = frozenset("article main content post entry story articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*)>""", re.DOTALL
-)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.DOTALL)
+_UNQUOTED = re.compile(r"""[^<>"']*+""")
+_TO_END = re.compile(r"[^<>]*+>")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
-@functools.lru_cache(maxsize=4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
+def _tag_end(page: str, at: int, missing: dict[str, int]) -> int:
+    """Place of the > that ends the tag whose attributes start at at, or -1; quoted values may be of any length.
+
+    Where quotes do not close, the first > before any < ends the tag. missing holds from where on a quote does not occur.
+    """
+    k = at
+    while (k := _UNQUOTED.match(page, k).end()) < len(page) and page[k] != "<":
+        c = page[k]
+        if c == ">":
+            return k
+        close = page.find(c, k + 1) if k < missing.get(c, len(page)) else -1
+        if close < 0:
+            missing[c] = min(k, missing.get(c, k))
+            break
+        k = close + 1
+    loose = _TO_END.match(page, at)
+    return loose.end() - 1 if loose else -1
+
+
+def _element_of(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Name, whether it is no text, whether it is a container."""
     names = [w.lower() for m in _NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").split()]
     words = {w for n in names for w in re.split(r"[^a-z0-9]+", n)}
@@ -63,6 +81,14 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return ".".join([tag, *sorted(set(names))]), dropped, not dropped and (tag in CONTAINER or bool(words & CONTAINER_WORDS))
 
 
+_cached_element = functools.lru_cache(maxsize=4096)(_element_of)
+
+
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """_element_of(), kept for later unless the attributes are long."""
+    return _cached_element(tag, attributes) if len(attributes) < 2_000 else _element_of(tag, attributes)
+
+
 def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, str, bool, int]]]:
     """Paths of all elements, and the blocks: path, text, whether in an element that is no text, depth of containers (0: none)."""
     page = page or ""
@@ -90,7 +116,7 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, str, bool, i
                 return None
         return None
 
-    at, n = 0, len(page)
+    at, n, missing = 0, len(page), {}
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -101,6 +127,10 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, str, bool, i
         at = m.end()
         if m[2] is None:
             continue
+        if (end := _tag_end(page, at, missing)) < 0:
+            parts.append(m[0])
+            continue
+        attributes, at = page[at:end], end + 1
         tag = m[2].lower()
         if m[1]:
             k = nearest((tag,), ())
@@ -108,7 +138,7 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, str, bool, i
                 pop(k)
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
                 at = close.end() if close else n
             continue
@@ -122,7 +152,7 @@ def blocks_of(page: str | None) -> tuple[list[str], list[tuple[str, str, bool, i
             flush()
         if tag in VOID:
             continue
-        name, dropped, container = _element(tag, m[3])
+        name, dropped, container = _element(tag, attributes)
         _, above, was_dropped, inside, by = stack[-1] if stack else ("", "", False, 0, "")
         # a heading in the header of an article is the article's
         own = dropped or was_dropped

@@ -126,3 +126,15 @@ def test_every_operator_has_one_query():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_html_tags_of_any_length_and_unclosed_quotes():
+    from marlstone.llm.html_template import blocks_of
+
+    long = "x>" * 50_000
+    for quote in "\"'":
+        page = f"<div data-a={quote}{long}{quote} class='post'><p>one</p><img src={quote}{long}{quote}><p>two</p></div>"
+        assert [b[:2] for b in blocks_of(page)[1]] == [("/div.post/p", "one"), ("/div.post/p", "two")]
+    assert [b[1] for b in blocks_of('<p title="abc>Hello</p><p class="x">more</p>')[1]] == ["Hello", "more"]
+    assert [b[1] for b in blocks_of("<p>a < b and <3</p><p id='q>end</p>")[1]] == ["a < b and <3", "end"]
+    assert blocks_of("<i title='>" * 20_000 + "end")[1][0][1].endswith("end")
