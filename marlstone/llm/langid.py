@@ -2,8 +2,9 @@
 
 A document is a mixture of languages: each word, a run of letters, is drawn from one of them with the product of its letter
 trigrams' likelihoods. Expectation-maximisation estimates the proportions over all learned languages, then over the best
-one, two and three of them; the set with the best likelihood after a penalty for each further language wins, and its largest
-proportion gives the prediction.
+one, two, three of them and on, as long as the likelihood after a penalty for each further language improves; the best set
+wins, and its largest proportion gives the prediction. The fit tells how much likelier the text is in these languages than
+by evenly drawn trigrams.
 
 The model is trigram counts per language, hashed to a fixed number of buckets, so its size is buckets x languages whatever
 the corpus. It learns from a sample bounded by max_docs per language; every word of a sampled document counts.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import cut, map_text
 
 BUCKETS_LOG2 = 16
-#: Languages that a document may mix.
-MOST = 3
+#: Sizes of the set that are tried in any case; larger ones only as long as the last one was better.
+TRIED = 3
 ROUNDS = 8
 #: Log-likelihood that a further language must add, times the log of the words plus one.
 PENALTY = 3.0
@@ -65,22 +66,26 @@ def _proportions(e: np.ndarray, texts_at: np.ndarray, allowed: np.ndarray):
     return p, np.add.reduceat(np.log((e * p[owner]).sum(1, dtype=np.float64)), texts_at[:-1])
 
 
-def classify(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the predicted language (-1: none) and its proportion, for every text; model: buckets x languages, log."""
+def classify(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every text, index of the predicted language (-1: none), its proportion, all proportions (0: not in the set) and
+    the fit, the log-likelihood of a trigram above that of evenly drawn ones; model: buckets x languages, log."""
     found, share = np.full(len(texts), -1), np.zeros(len(texts))
+    mix, gain = np.zeros((len(texts), model.shape[1])), np.zeros(len(texts))
     h, words, texts_at = grams(texts)
     some = np.flatnonzero(np.diff(texts_at))
     if not len(some) or not model.shape[1]:
-        return found, share
+        return found, share, mix, gain
     likelihood = np.add.reduceat(model[h], words, axis=0)
-    likelihood -= likelihood.max(1, keepdims=True)
+    top = likelihood.max(1, keepdims=True)
+    likelihood -= top
     e = np.exp(np.maximum(likelihood, FLOOR))
     starts = np.concatenate((texts_at[some], [len(words)]))
     p, _ = _proportions(e, starts, np.ones((len(some), model.shape[1])))
     order = np.argsort(-p, axis=1, kind="stable")
     cost = PENALTY * np.log1p(np.diff(starts))
     best, best_p, undecided = np.full(len(some), -np.inf), p, np.arange(len(some))
-    for k in range(1, min(MOST, model.shape[1]) + 1):
+    best_fit = np.zeros(len(some))
+    for k in range(1, model.shape[1] + 1):
         # a k-th language with less than half a word cannot pay for itself
         undecided = undecided[p[undecided, order[undecided, k - 1]] * np.diff(starts)[undecided] >= 0.5 * (k > 1)]
         if not len(undecided):
@@ -90,15 +95,21 @@ def classify(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np
         own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in undecided]) if len(undecided) < len(some) else slice(None)
         at = np.concatenate(([0], np.cumsum(np.diff(starts)[undecided])))
         q, fit = _proportions(e[own], at, allowed)
-        fit = fit - cost[undecided] * (k - 1)
-        better = fit > best[undecided]
-        best[undecided[better]] = fit[better]
+        after = fit - cost[undecided] * (k - 1)
+        better = after > best[undecided]
+        best[undecided[better]] = after[better]
+        best_fit[undecided[better]] = fit[better]
         if k == 1:
             best_p = p.copy()
         best_p[undecided[better]] = q[better]
+        if k >= TRIED:
+            undecided = undecided[better]
     found[some] = best_p.argmax(1)
     share[some] = best_p.max(1)
-    return found, np.clip(share, 0, 1)
+    mix[some] = best_p
+    trigrams = np.diff(np.concatenate((words[starts[:-1]], [len(h)])))
+    gain[some] = (np.add.reduceat(top[:, 0].astype(np.float64), starts[:-1]) + best_fit) / trigrams + np.log(1 << BUCKETS_LOG2)
+    return found, np.clip(share, 0, 1), np.clip(mix, 0, 1), gain
 
 
 def held_out(doc_id: Column) -> Column:
@@ -149,22 +160,35 @@ def learn(docs: DataFrame, max_docs: int = 200_000, smoothing: float = 0.5) -> t
     return languages, np.log((table + smoothing) / (table.sum(0) + smoothing * len(table))).astype(np.float32)
 
 
+def typical_fit(model: np.ndarray) -> float:
+    """Least of the languages' mean fits over the trigrams that they were learned from; infinite without a language."""
+    own = model.astype(np.float64)
+    return float(((np.exp(own) * own).sum(0) + np.log(len(own))).min()) if own.shape[1] else np.inf
+
+
+ADDED = "lang_pred string, score double, languages array<struct<lang: string, share: double>>, fit double"
+
+
 def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs(doc_id, text) with held_out, lang_pred and score, the proportion of the predicted language.
+    """Every row of docs(doc_id, text) with held_out, lang_pred and score, the proportion of the predicted language; with
+    languages, all that the text mixes and their proportions, largest first; and with fit, see classify().
 
-    lang_pred is und, and score 0, for a text that is null or has no letter, and where nothing was learned. Ties go to the
+    lang_pred is und, score and fit are 0 and languages is empty for a text that is null or has no letter, and where nothing was learned. Ties go to the
     language first in order. Repeated rows are predicted each; further columns are ignored unless named in keep.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [*languages, "und"]
 
     def run(texts):
-        found, share = classify(texts, held.value)
-        return [[names[k] for k in found], share]
+        found, share, mix, gain = classify(texts, held.value)
+        sets = [
+            [{"lang": names[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable")[: np.count_nonzero(row)]] for row in mix
+        ]
+        return [[names[k] for k in found], share, sets, gain]
 
     carry = list(dict.fromkeys(("doc_id", *keep)))
-    made = map_text(docs, carry, "text", run, "lang_pred string, score double", max(50_000, 4_000_000 // max(4, len(languages))))
-    return made.select(*carry, held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    made = map_text(docs, carry, "text", run, ADDED, max(50_000, 4_000_000 // max(4, len(languages))))
+    return made.select(*carry, held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "fit")
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = (), **how) -> DataFrame:

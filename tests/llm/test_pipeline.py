@@ -111,3 +111,25 @@ def test_near_duplicates_at_eight_tenths_of_five_word_shingles(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()]
     assert len(kept) == len(set(kept)) and set(kept) == want | {9000, None}
+
+
+def test_language_stage_rejects_what_is_in_no_language_or_in_too_many(spark):
+    import random
+
+    import corpus_pipeline
+    from marlstone.llm import langid
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.lang: r.text for r in d.orderBy("doc_id").collect() if 2000 < r.n_chars < 5000}
+    assert len(text) == 4
+    draw = random.Random(4)
+    four = "\n".join(t[:500] for t in text.values())
+    texts = ["".join(draw.choices("bcdfghjklmnpqrstvwxz ", k=2000)), "Быстрая коричневая лиса прыгает через собаку " * 9, four]
+    texts += [text["en"][:600] + "\n" + text["de"][:600], *text.values()]
+    added = spark.createDataFrame([(10_000_000 + k, t, None, "s", len(t)) for k, t in enumerate(texts)], d.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, d.unionByName(added), "").collect()}
+    assert [k for k in range(len(texts)) if 10_000_000 + k in kept] == list(range(3, len(texts)))
+    assert kept >= {r.doc_id for r in d.collect() if any(c.isalpha() for c in r.text)}
+    row = langid.predict(added.filter("doc_id = 10000002"), *langid.learn(d)).first()
+    assert {x.lang for x in row.languages} == set(text) and abs(sum(x.share for x in row.languages) - 1) < 1e-3
+    assert row.languages[0].lang == row.lang_pred and row.languages[0].share == row.score
