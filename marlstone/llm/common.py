@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is set."""
+    """The shared folder of the session, spark.checkpoint.dir; where that is unset, a temporary one on a single machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='marlstone-')}")
     return context.getCheckpointDir()
 
 
@@ -46,6 +48,22 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", keys: int = 64) -> DataFrame:
+    """left joined to right, which has a key once, where a key may hold any share of left.
+
+    Keys with over a thousandth of left's rows, of which there are a thousand at most, are dealt out over so many keys by a
+    hash of left's column spread. left is read twice, so it is a table or a checkpoint.
+    """
+    counted = left.groupBy(key).agg(F.count("*").alias("_n"))
+    total = left.count()
+    hot = F.broadcast(counted.filter(F.col("_n") > total / 1000).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(keys))).otherwise(F.lit(0)).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(keys - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def map_text(df: DataFrame, carry: list[str], text: str, fn, added: str, chunk_bytes: int = 8_000_000) -> DataFrame:
     """Columns carry of df as they are, and the columns added (DDL) that fn makes from a list of texts (null: None).
 

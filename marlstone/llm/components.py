@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut
+from marlstone.llm.common import cut, spread_join
 
 
 def _with_least(links: DataFrame) -> DataFrame:
-    """links(a, b) with m, the least of a and its partners; the least is summed before the shuffle, so a hot a is no burden."""
+    """links(a, b), a checkpoint, with m, the least of a and its partners; a may have any number of partners."""
     least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return links.join(least, "a")
+    return spread_join(links, least, "a", "b")
 
 
 def _large(links: DataFrame) -> DataFrame:
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     return _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    found = _with_least(links)
     own = links.groupBy("a").agg(F.min("b").alias("b"))
-    return found.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).distinct()
+    return _with_least(links).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).distinct()
 
 
 def _state(links: DataFrame):

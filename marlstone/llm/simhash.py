@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, map_text
+from marlstone.llm.common import cut, map_text, spread_join
 from marlstone.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -196,13 +196,12 @@ def classes(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, seed:
     """
     rows = cut(fingerprints(docs, words_per_shingle, seed, keep))
     firsts = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), radius))
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
-        firsts["fp"], "first", F.coalesce("root", firsts["fp"]).alias("root")
-    )
+    roots = components(links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = cut(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(*[c for c in rows.columns], "component_id")
+    # a component and a fingerprint may hold any share of the documents
+    by_fp = spread_join(rooted, least, "root", "fp").select("fp", "component_id")
+    return spread_join(rows, by_fp, "fp", "doc_id").select(*rows.columns, "component_id")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -349,12 +348,16 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
 
     Links are at similarity of the sets of word shingles, see similar(); texts of the same words are one node, and so are
-    texts without a word. These parameters are apart from those of classes().
+    texts without a word, null ones among them. Rows without a doc_id stand for a group only if no other does; of rows equal in
+    all columns one stays, of others with the same least doc_id the first by a hash. All columns stay; an empty table gives no
+    rows. These parameters are apart from those of classes().
     """
     columns, row = docs.columns, "_row"
     while row in columns:
         row += "_"
-    named = docs.withColumn(row, F.monotonically_increasing_id())
+    # a row's key is a hash of all its columns, so it is the same in every scan; rows equal in all of them are one key
+    key = F.xxhash64(*(F.col(f"`{c}`") for c in columns)), F.xxhash64(F.lit("two"), *(F.col(f"`{c}`") for c in columns))
+    named = docs.withColumn(row, F.struct(key[0].alias("one"), key[1].alias("two")))
 
     def run(texts):
         words, made = [], []
@@ -364,13 +367,15 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
             made.append(bands_of(shingles_of(t, words_per_shingle), bands).astype("<u4").tobytes() if line else None)
         return [words, made]
 
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("node"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key"))
     seen = map_text(named.select("doc_id", row, "text"), ["doc_id", row], "text", run, "words binary, bands binary")
-    seen = seen.withColumn("order", order)
-    nodes = cut(seen.groupBy("words").agg(F.min("order").alias("order"), F.first("bands").alias("bands")).select("order", "order.node", "bands"))
-    own = nodes.filter("bands is not null").select("node", "bands")
-    texts = own.join(named.select(F.col(row).alias("node"), F.col("text").cast("string").alias("text")), "node")
+    nodes = seen.groupBy("words").agg(F.min(order).alias("order"), F.first("bands").alias("bands"))
+    # numbered as they are written, once
+    nodes = cut(nodes.select("order", "bands", F.monotonically_increasing_id().alias("node")))
+    own = nodes.filter("bands is not null").select("node", "bands", F.col("order.key").alias(row))
+    # the text of one row of each node
+    texts = own.join(named.select(row, F.col("text").cast("string").alias("text")), row).dropDuplicates([row]).drop(row)
     roots = components(similar(texts, similarity, words_per_shingle, bands))
     rooted = nodes.join(roots, "node", "left").select("order", F.coalesce("root", "node").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min("order").alias("least"))
-    return named.join(stays.select(F.col("least.node").alias(row)), row, "left_semi").select(*columns)
+    stays = rooted.groupBy("root").agg(F.min("order").alias("least")).select(F.col("least.key").alias(row))
+    return named.join(stays, row, "left_semi").dropDuplicates([row]).select(*columns)
