@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, fits, map_text, packed
+from marlstone.llm.common import cut, fits, map_text, packed, spread_join
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -98,7 +98,7 @@ _FIELDS = (
 
 
 def ownership(candidates: DataFrame, min_owners: int) -> DataFrame:
-    """hash, n_owners, n_repositories, example of candidates(hash, owner, repository); null owners count as one owner."""
+    """hash, n_owners, n_repositories, example of candidates(hash, owner, repository)."""
     triples = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = triples.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     return by_owner.groupBy("hash").agg(
@@ -118,31 +118,35 @@ def _scan(docs: DataFrame, source: str, keep: tuple[str, ...] = ()) -> DataFrame
     return map_text(named, carry, "_body", _scanned, _FIELDS)
 
 
-def scan(docs: DataFrame, source: str = "source", min_owners: int = 3, min_bits: float = 2.5) -> DataFrame:
-    """One row per row of docs(doc_id, text, source): counts and spans of base kinds, all spans, live and example counts.
+def scan(docs: DataFrame, source: str = "source", min_owners: int = 3, min_bits: float = 2.5, broadcast_rows: int = 200_000) -> DataFrame:
+    """One row per row of docs(doc_id, text, source): counts and spans of base kinds, all spans, live and example counts, and
+    the most owners and repositories that one of its candidates has.
 
     The repository is the whole source and the owner its part before the first slash. A value of min_owners owners or more is
-    an example. Further candidates become spans if they are no example and have min_bits of entropy a character. Null and
-    empty texts have no spans; a null source is one owner; repeated rows are reported each; further columns are ignored.
+    an example. Further candidates become spans if they are no example and have min_bits of entropy a character; those, and
+    base candidates that are no example, are live. Null and empty texts have no spans; a null source is one owner; repeated
+    rows are reported each; further columns are ignored.
     """
     rows = cut(_scan(docs, source))
     each = rows.select("_row", "owner", "repository", F.explode("candidates").alias("c")).select(
         "_row", "owner", "repository", "c.*"
     )
-    owned = ownership(each, min_owners)
-    judged = (
-        each.join(owned, "hash")
-        .groupBy("_row")
-        .agg(
-            F.count_if(~F.col("example")).alias("n_live"),
-            F.count_if("example").alias("n_example"),
-            F.collect_list(
-                F.when(
-                    F.col("kind").isin(*BASE) | (~F.col("example") & (F.col("bits") >= min_bits)),
-                    F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "end", "kind"),
-                )
-            ).alias("found"),
-        )
+    # most values have one owner and one repository, and need no join
+    common = cut(ownership(each, min_owners).filter("n_repositories > 1"))
+    if fits(common, broadcast_rows):
+        known = each.join(F.broadcast(common), "hash", "left")
+    else:
+        known = spread_join(cut(each), common, "hash", "_row", "left")
+    example = F.coalesce("example", F.lit(False))
+    shown = F.col("kind").isin(*BASE) | (~example & (F.col("bits") >= min_bits))
+    judged = known.groupBy("_row").agg(
+        F.count_if(~example & shown).alias("n_live"),
+        F.count_if(example).alias("n_example"),
+        F.max(F.coalesce("n_owners", F.lit(1))).alias("n_owners"),
+        F.max(F.coalesce("n_repositories", F.lit(1))).alias("n_repositories"),
+        F.collect_list(
+            F.when(shown, F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "end", "kind"))
+        ).alias("found"),
     )
     spans = F.array_join(
         F.transform(F.array_sort("found"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
@@ -156,12 +160,14 @@ def scan(docs: DataFrame, source: str = "source", min_owners: int = 3, min_bits:
         F.coalesce(spans, F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        F.coalesce("n_owners", F.lit(0)).alias("n_owners"),
+        F.coalesce("n_repositories", F.lit(0)).alias("n_repositories"),
     )
 
 
 def digests(found: DataFrame) -> DataFrame:
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example"
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "n_owners", "n_repositories"
     )
 
 
@@ -187,7 +193,8 @@ def redact(
 ) -> DataFrame:
     """docs with every live-looking secret of its text replaced by "[kind removed]"; examples stay. All columns stay.
 
-    Values of many owners are broadcast where they are few; otherwise the verdicts are joined to the documents' candidates.
+    Null and empty texts stay as they are; a null source is one owner; repeated rows are each redacted; an empty table gives no
+    rows. Values of many owners are broadcast where they are few; otherwise the verdicts are joined to the documents' candidates.
     """
     seen = _scan(docs, source).select("owner", "repository", F.explode("candidates.hash").alias("hash"))
     examples = cut(ownership(seen, min_owners).filter("example").select("hash"))
@@ -210,7 +217,8 @@ def redact(
         return map_text(docs, rest, "text", live, "text string").select(*columns)
     rows = cut(_scan(packed(docs, source), source, ("text", "_doc")))
     each = rows.select("_row", F.explode("candidates").alias("c")).select("_row", "c.*")
-    kept = each.join(examples, "hash", "left_anti").filter(F.col("kind").isin(*BASE) | (F.col("bits") >= min_bits))
+    found = spread_join(cut(each), examples.withColumn("_example", F.lit(True)), "hash", "_row", "left").filter("_example IS NULL")
+    kept = found.filter(F.col("kind").isin(*BASE) | (F.col("bits") >= min_bits))
     by_row = kept.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
     order = rows.select("_row", "text", "_doc").join(by_row, "_row", "left")
     order = order.withColumn("order", F.when(F.col("spans").isNotNull(), F.to_json(F.struct("text", "spans"))))
