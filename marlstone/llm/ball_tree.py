@@ -56,10 +56,13 @@ class BallTree:
                 self.order[a:b] = self.order[a:b][np.argpartition(side, half)]
                 todo += [(a, a + half, (node, 0)), (a + half, b, (node, 1))]
         self.centres, self.radii = np.array(centres), np.array(radii)
+        self.sizes = np.sqrt((self.centres**2).sum(1))
 
     def above(self, q: np.ndarray, bound, visit) -> None:
         """Visits leaves' rows best bound first while a node's bound reaches bound(), which visit may raise."""
-        upper = self.centres @ q + np.sqrt(q @ q) * self.radii + 1e-6
+        length = np.sqrt(q @ q)
+        # what rounding may take from a score or a bound grows with the vectors
+        upper = self.centres @ q + length * self.radii + 1e-10 * length * (self.sizes + self.radii)
         heap = [(-upper[0], 0)]
         while heap:
             best, node = heapq.heappop(heap)
@@ -80,7 +83,9 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int):
 
 
 def _merged(ids: np.ndarray, x: np.ndarray, most: int):
-    """Distinct rows of x, and the most smallest ids of each, as flat arrays with offsets."""
+    """Distinct rows of x, and the most smallest ids of each, as flat arrays with offsets; an id that is there several times
+    may be the query's own, so as many more are kept."""
+    most += int(np.unique(ids, return_counts=True)[1].max()) - 1 if len(ids) else 0
     distinct, at = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, at.ravel()))
     at, ids = at.ravel()[order], ids[order]
@@ -94,15 +99,21 @@ def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k:
     distinct, flat, at = _merged(ids, x, k + 1)
     tree = BallTree(distinct)
     out = []
+    # whole numbers below 2**53 are exact as doubles, and so are their sums; larger scores are summed as integers
+    largest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    whole = distinct.astype(np.int64) if largest >= 2**53 else None
     for row in range(len(q)):
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def bound():
             return max(floor[row], best[-1]) if len(best) >= k else floor[row]  # noqa: B023
 
         def visit(rows):
             nonlocal best_ids, best
-            scores = distinct[rows] @ q[row]  # noqa: B023
+            if whole is None:
+                scores = (distinct[rows] @ q[row]).astype(np.int64)  # noqa: B023
+            else:
+                scores = whole[rows] @ q[row].astype(np.int64)  # noqa: B023
             rows, scores = rows[scores >= bound()], scores[scores >= bound()]
             if not len(rows):
                 return
@@ -136,7 +147,7 @@ def _against(vectors: DataFrame, block, k: int, shard_rows: int) -> DataFrame:
                 [
                     pa.array(qids[rows]),
                     pa.array(np.array([m[1] for m in made], np.int64)),
-                    pa.array(np.array([m[2] for m in made], np.float64)),
+                    pa.array(np.array([m[2] for m in made], np.int64)),
                 ],
                 names=["query_id", "vec_id", "score"],
             )
@@ -154,7 +165,28 @@ def _against(vectors: DataFrame, block, k: int, shard_rows: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score double")
+    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _floors(queries: DataFrame, pilot, k: int) -> DataFrame:
+    """queries(vec_id, v) with floor, the k-th score that the pilot's (ids, rows) give a query; made in tasks, some queries at once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, x = pilot.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1_000):
+                part = batch.slice(a, 1_000)
+                qids = part.column(0).to_numpy(zero_copy_only=False)
+                scores = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(qids), -1) @ x.T
+                scores[ids[None, :] == qids[:, None]] = -np.inf
+                floor = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(qids), -np.inf)
+                # a little lower, by more than rounding
+                floor = np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), -np.inf)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(floor, pa.float64())], names=["vec_id", "v", "floor"])
+
+    return queries.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, floor double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -175,6 +207,10 @@ def vectors_of(table: DataFrame, scale: float = 256.0) -> DataFrame:
     )
 
 
+def _matrix(column, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(rows, -1)
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 20_000, block_cells: int = BLOCK_CELLS
 ) -> DataFrame:
@@ -182,7 +218,8 @@ def top_k(
 
     A row of the query's own id is no candidate; ties go to the smaller vec_id; with fewer rows than k, all are returned.
     Vectors of another length than the query's are not compared. Of several queries with one id, the first by components
-    counts; rows repeated in vectors are candidates each. Empty tables give no rows.
+    counts; rows repeated in vectors are candidates each. Components are whole numbers, and scores must fit a long. Empty tables
+    give no rows; further columns are ignored. The driver holds one block of queries and a pilot of shard_rows / 10 vectors.
     """
     context = vectors.sparkSession.sparkContext
     vectors = vectors.withColumn("n", F.size("v"))
@@ -191,22 +228,19 @@ def top_k(
     for length in one.groupBy("n").agg(F.count("*").alias("queries")).orderBy("n").collect():
         blocks = -(-length.queries * max(1, length.n) // block_cells)
         rows = vectors.filter(F.col("n") == length.n).select("vec_id", "v")
+        asked = one.filter(F.col("n") == length.n).select("vec_id", "v")
+        taken = rows.limit(max(1, min(shard_rows // 10, block_cells // max(1, length.n)))).toArrow()
+        if taken.num_rows and length.n:
+            ids = taken.column(0).to_numpy()
+            asked = cut(_floors(asked, context.broadcast((ids, _matrix(taken.column(1), len(ids)))), k))
+        else:
+            asked = asked.withColumn("floor", F.lit(float("-inf")))
         for b in range(blocks):
-            own = one.filter((F.col("n") == length.n) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "v").toArrow()
+            own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
             if not own.num_rows:
                 continue
             qids = own.column(0).to_numpy()
-            q = own.column(1).combine_chunks().flatten().to_numpy().reshape(len(qids), -1)
-            floor = np.full(len(qids), -np.inf)
-            pilot = rows.limit(shard_rows // 10).toArrow()
-            if pilot.num_rows and length.n:
-                ids = pilot.column(0).to_numpy()
-                x = pilot.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                scores = q @ x.T
-                scores[ids[None, :] == qids[:, None]] = -np.inf
-                if len(ids) >= k + 1:
-                    floor = np.partition(scores, -k, axis=1)[:, -k].astype(np.float64)
-            held = context.broadcast((qids, q, floor))
+            held = context.broadcast((qids, _matrix(own.column(1), len(qids)), own.column(2).to_numpy()))
             # what a block found is at most k rows per query once it is merged
             parts.append(cut(_best(_against(rows, held, k, shard_rows), k)) if blocks > 1 else _best(_against(rows, held, k, shard_rows), k))
     if not parts:
