@@ -20,8 +20,9 @@ from marlstone.llm.common import cut, map_text
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-#: Bytes of windows and item ids that one broadcast block may hold.
-BLOCK_BYTES = 64_000_000
+#: Bytes of windows and item ids that one broadcast block may hold; the automaton of a block takes about 22 times as much in
+#: every Python worker.
+BLOCK_BYTES = 6_000_000
 
 
 def clean(text: str | None) -> bytes:
