@@ -6,8 +6,9 @@ one, two, three of them and on, as long as the likelihood after a penalty for ea
 wins, and its largest proportion gives the prediction. The fit tells how much likelier the text is in these languages than
 by evenly drawn trigrams.
 
-The model is trigram counts per language, hashed to a fixed number of buckets, so its size is buckets x languages whatever
-the corpus. It learns from a sample bounded by max_docs per language; every word of a sampled document counts.
+The model is trigram counts per language, hashed to buckets: 65,536 of them, or a lower power of two where languages are so
+many that the model would have more than MODEL_CELLS numbers. So its size is bounded whatever the corpus. It learns from a
+sample bounded by max_docs per language; every word of a sampled document counts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import cut, map_text
 
-BUCKETS_LOG2 = 16
+MODEL_CELLS, MOST_BUCKETS_LOG2 = 1 << 24, 16
+#: Characters of a text whose trigrams are looked up at once; longer texts are cut between words.
+PIECE = 1_000_000
 #: Sizes of the set that are tried in any case; larger ones only as long as the last one was better.
 TRIED = 3
 ROUNDS = 8
@@ -28,7 +31,6 @@ ROUNDS = 8
 PENALTY = 3.0
 #: Least log-odds of a word against its best language, so no single word rules a language out.
 FLOOR = -30.0
-MAX_MODEL_CELLS = 1 << 26
 
 
 @functools.cache
@@ -36,7 +38,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]):
+def grams(texts: list[str | None], buckets_log2: int = MOST_BUCKETS_LOG2):
     """Bucket of every trigram, the first trigram of every word, and the first word of every text (with one end more)."""
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer("\0".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -51,7 +53,47 @@ def grams(texts: list[str | None]):
     words = np.flatnonzero((c != 0) & (before == 0))
     ends = np.cumsum([len(t) + 1 for t in low])
     texts_at = np.searchsorted(at[words], np.concatenate(([0], ends)))
-    return (h >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), words, texts_at
+    return (h >> np.uint64(64 - buckets_log2)).astype(np.int64), words, texts_at
+
+
+def pieces_of(text: str | None, most: int) -> list[str]:
+    """text in pieces of at most so many characters, cut at white space; a longer run of letters is cut as it comes."""
+    text, out = text or "", []
+    while len(text) > most:
+        at = max(text.rfind(" ", 1, most), text.rfind("\n", 1, most))
+        at = at if at > 0 else most
+        out.append(text[:at])
+        text = text[at:]
+    return [*out, text]
+
+
+def word_likelihoods(texts: list[str | None], model: np.ndarray, piece: int = PIECE):
+    """Log-likelihood of each word under each language (words x languages), the first word of every text (with one end more),
+    and the trigrams of every text."""
+    buckets_log2 = len(model).bit_length() - 1
+    rows, words, trigrams = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    owners, parts, size = [], [], 0
+
+    def take():
+        h, first, texts_at = grams(parts, buckets_log2)
+        if len(first):
+            rows.append(np.add.reduceat(model[h], first, axis=0))
+        np.add.at(words, owners, np.diff(texts_at))
+        ends = np.append(first, len(h))
+        np.add.at(trigrams, owners, np.diff(ends[texts_at]))
+
+    for k, text in enumerate(texts):
+        for part in pieces_of(text, piece):
+            if parts and size + len(part) > piece:
+                take()
+                owners, parts, size = [], [], 0
+            owners.append(k)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        take()
+    every = np.concatenate(rows) if rows else np.zeros((0, model.shape[1]), model.dtype)
+    return every, np.concatenate(([0], np.cumsum(words))), trigrams
 
 
 def _proportions(e: np.ndarray, texts_at: np.ndarray, allowed: np.ndarray):
@@ -71,15 +113,16 @@ def classify(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np
     the fit, the log-likelihood of a trigram above that of evenly drawn ones; model: buckets x languages, log."""
     found, share = np.full(len(texts), -1), np.zeros(len(texts))
     mix, gain = np.zeros((len(texts), model.shape[1])), np.zeros(len(texts))
-    h, words, texts_at = grams(texts)
+    if not model.shape[1]:
+        return found, share, mix, gain
+    likelihood, texts_at, trigrams = word_likelihoods(texts, model)
     some = np.flatnonzero(np.diff(texts_at))
-    if not len(some) or not model.shape[1]:
+    if not len(some):
         return found, share, mix, gain
-    likelihood = np.add.reduceat(model[h], words, axis=0)
     top = likelihood.max(1, keepdims=True)
     likelihood -= top
     e = np.exp(np.maximum(likelihood, FLOOR))
-    starts = np.concatenate((texts_at[some], [len(words)]))
+    starts = np.concatenate((texts_at[some], texts_at[-1:]))
     p, _ = _proportions(e, starts, np.ones((len(some), model.shape[1])))
     order = np.argsort(-p, axis=1, kind="stable")
     cost = PENALTY * np.log1p(np.diff(starts))
@@ -107,8 +150,7 @@ def classify(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np
     found[some] = best_p.argmax(1)
     share[some] = best_p.max(1)
     mix[some] = best_p
-    trigrams = np.diff(np.concatenate((words[starts[:-1]], [len(h)])))
-    gain[some] = (np.add.reduceat(top[:, 0].astype(np.float64), starts[:-1]) + best_fit) / trigrams + np.log(1 << BUCKETS_LOG2)
+    gain[some] = (np.add.reduceat(top[:, 0].astype(np.float64), starts[:-1]) + best_fit) / trigrams[some] + np.log(len(model))
     return found, np.clip(share, 0, 1), np.clip(mix, 0, 1), gain
 
 
@@ -119,13 +161,13 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, max_docs: int = 200_000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages, and log-likelihoods of buckets, of docs(doc_id, text, lang) that are neither held out nor without id or lang.
 
-    Of a language with more than max_docs documents about that many are taken, by a hash of the id.
+    Of a language with more than max_docs documents about that many are taken, by a hash of the id. The driver holds the names
+    of the languages and a model of MODEL_CELLS at most, but for 256 buckets a language.
     """
     own = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     numbers = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
     languages = sorted(numbers)
-    if len(languages) << BUCKETS_LOG2 > MAX_MODEL_CELLS:
-        raise ValueError(f"{len(languages)} languages are more than the model holds")
+    buckets_log2 = max(8, min(MOST_BUCKETS_LOG2, (MODEL_CELLS // max(1, len(languages))).bit_length() - 1))
     many = {lang: max_docs / n for lang, n in numbers.items() if n > max_docs}
     if many:
         kept = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("lang")]
@@ -140,20 +182,21 @@ def learn(docs: DataFrame, max_docs: int = 200_000, smoothing: float = 0.5) -> t
             texts = batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 held, size = [], 0
-                for i in [*np.flatnonzero(langs == lang), None]:
-                    if held and (i is None or size > 1_000_000):
-                        made = np.bincount(grams(held)[0], minlength=1 << BUCKETS_LOG2)
+                own = (part for i in np.flatnonzero(langs == lang) for part in pieces_of(texts[i], PIECE))
+                for part in [*own, None]:
+                    if held and (part is None or size > PIECE):
+                        made = np.bincount(grams(held, buckets_log2)[0], minlength=1 << buckets_log2)
                         totals[lang] = totals.get(lang, 0) + made
                         held, size = [], 0
-                    if i is not None:
-                        held.append(texts[i])
-                        size += len(texts[i])
+                    if part is not None:
+                        held.append(part)
+                        size += len(part)
         for lang, n in totals.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     counted = own.select("lang", F.col("text").cast("string")).mapInArrow(count, "lang string, bucket long, n long")
-    table = np.zeros((1 << BUCKETS_LOG2, len(languages)))
+    table = np.zeros((1 << buckets_log2, len(languages)))
     place = {lang: k for k, lang in enumerate(languages)}
     for r in cut(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))).toLocalIterator():
         table[r.bucket, place[r.lang]] = r.n
