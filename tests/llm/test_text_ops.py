@@ -90,6 +90,38 @@ def test_secrets_base_and_added_spans(spark):
     assert rows[3].spans == "" and rows[3].n_example == 1
 
 
+def test_ownership_of_the_registered_query_against_brute_force(spark, tmp_path):
+    from marlstone.llm import queries
+
+    rng = np.random.default_rng(15)
+    values = ["".join(rng.choice(list("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789"), 24)) for _ in range(12)]
+    texts, source = [], []
+    for k in range(400):
+        v = values[0] if k % 3 == 0 else values[int(rng.integers(0, 12))]
+        texts.append(f"text {k} token={v} and private_key={values[int(rng.integers(0, 12))]} end" if k % 7 else "nothing here")
+        source.append(None if k == 5 else f"owner{int(rng.integers(0, 4 if k % 3 == 0 else 2))}/repo{int(rng.integers(0, 9))}")
+    docs(spark, texts, source=source).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for t, s in zip(texts, source, strict=True):
+        for _, _, _, v in secrets.candidates_of(t):
+            seen.setdefault(v, set()).add((s or "", (s or "").split("/")[0]))
+    owners = {v: len({o for _, o in x}) for v, x in seen.items()}
+    rows = {r.doc_id: r for r in queries.op1_secret_scan(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        own = secrets.candidates_of(t)
+        assert rows[k].n_example == sum(owners[v] >= 3 for *_, v in own)
+        assert rows[k].n_live == len(own) - rows[k].n_example
+        assert rows[k].n_owners == max([owners[v] for *_, v in own], default=0)
+        assert rows[k].n_repositories == max([len(seen[v]) for *_, v in own], default=0)
+        shown = [f"{kind}:{a}:{b}" for kind, a, b, v in sorted(own, key=lambda c: c[1]) if kind == "assign" or owners[v] < 3]
+        assert rows[k].spans == ",".join(shown)
+    assert 0 < sum(r.n_example for r in rows.values()) < sum(len(secrets.candidates_of(t)) for t in texts)
+    spread = secrets.digests(secrets.scan(docs(spark, texts, source=source), broadcast_rows=-1)).collect()
+    assert sorted(map(str, spread)) == sorted(map(str, rows.values()))
+    low = secrets.scan(docs(spark, ["Bearer aaaaaaaaaaaaaaaaaaaaaaaa"])).first()
+    assert (low.spans, low.n_live) == ("", 0)
+
+
 def test_redaction_is_the_same_with_and_without_broadcast(spark):
     texts = ["password=abcdefgh12 and more", "nothing", None, "token=wide12345", "token=wide12345", "token=wide12345"]
     d = docs(spark, texts, source=["a", "a", "a", "b", "c", "d"])
@@ -329,6 +361,71 @@ def test_language_mixture_and_no_letters(spark):
     assert [(r.lang_pred, r.score) for r in rows[2:]] == [("und", 0.0)] * 3
 
 
+def brute_mixture(text, model, buckets_log2):
+    """The documented inference, word by word in plain Python."""
+    import math
+
+    h, first, _ = langid.grams([text], buckets_log2)
+    words = [h[a:b] for a, b in zip(first, [*first[1:], len(h)], strict=True)]
+    n = model.shape[1]
+    table = [[sum(float(model[x, k]) for x in w) for k in range(n)] for w in words]
+    e = [[math.exp(max(v - max(row), langid.FLOOR)) for v in row] for row in table]
+
+    def em(allowed):
+        p = [1 / len(allowed) if k in allowed else 0.0 for k in range(n)]
+        for _ in range(langid.ROUNDS if len(allowed) > 1 else 0):
+            total = [0.0] * n
+            for row in e:
+                s = sum(a * b for a, b in zip(row, p, strict=True))
+                total = [t + a * b / s for t, a, b in zip(total, row, p, strict=True)]
+            p = [t / len(e) for t in total]
+        return p, sum(math.log(sum(a * b for a, b in zip(row, p, strict=True))) for row in e)
+
+    start, _ = em(set(range(n)))
+    order = sorted(range(n), key=lambda k: -start[k])
+    best = None
+    for k in range(1, n + 1):
+        if k > 1 and start[order[k - 1]] * len(e) < 0.5:
+            break
+        p, fit = em(set(order[:k]))
+        after = fit - langid.PENALTY * math.log1p(len(e)) * (k - 1)
+        if best is None or after > best[0]:
+            best = after, p
+        elif k >= langid.TRIED:
+            break
+    return best[1]
+
+
+def test_language_mixtures_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    letters = ["abcde ", "cdefg ", "hijkl ", "klmno ", "pqrst ", "xyzab "]
+    said = lambda k, n: "".join(rng.choice(list(letters[k]), n))
+    rows = [(10 * i, said(i % 6, 300), f"l{i % 6}", "s", 0) for i in range(120)]
+    languages, model = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert len(languages) == 6
+    texts = [" ".join(said(k, 200) for k in rng.choice(6, size, replace=False)) for size in (1, 2, 3, 4, 5, 6, 2, 3)]
+    found, share, mix, _ = langid.classify(texts, model)
+    for t, f, s, row in zip(texts, found, share, mix, strict=True):
+        want = brute_mixture(t, model, 16)
+        assert np.allclose(row, want, atol=2e-3) and f == int(np.argmax(want)) and abs(s - max(want)) < 2e-3
+    assert max(np.count_nonzero(mix, axis=1)) > 3
+
+
+def test_languages_of_long_texts_in_pieces_and_of_many_languages(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    languages, model = langid.learn(d)
+    texts = [r.text for r in d.limit(40).collect()] + ["x" * 5000, "", None]
+    whole, some = langid.word_likelihoods(texts, model), langid.word_likelihoods(texts, model, 4000)
+    assert len(whole[0]) + 1 == len(some[0]) and np.array_equal(whole[1][:-3], some[1][:-3]) and np.array_equal(whole[2][:-3], some[2][:-3])
+    assert np.allclose(whole[0][: whole[1][-4]], some[0][: whole[1][-4]], atol=1e-3)
+    many = d.crossJoin(spark.range(12)).select(F.col("doc_id") * 100 + F.col("id"), "text", F.concat("lang", F.col("id").cast("string")).alias("lang"), "source", "n_chars").toDF(*d.columns)
+    monkeypatch.setattr(langid, "MODEL_CELLS", 1 << 16)
+    languages, model = langid.learn(many)
+    assert len(languages) == 48 and len(model) == 1 << 10
+    rows = langid.predict(d, languages, model, keep=("lang",)).collect()
+    assert sum(r.lang_pred.startswith(r.lang) for r in rows if r.lang) > 0.9 * len(rows)
+
+
 def test_licences_on_planted_lines(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = {
