@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, map_text, spread_join
+from marlstone.llm.common import cut, fits, map_text, spread_join
 from marlstone.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -313,6 +313,29 @@ def _candidates(cells: DataFrame, radius: int) -> DataFrame:
     ).distinct()
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) of nodes(node, bands) whose fingerprints differ in no more bits than so similar sets may.
+
+    Each bit is drawn by a hash function of its own, and differs with the chance arccos(2 s / (1 + s)) / pi at similarity s. A
+    tenth of all bits more is allowed: for 1,024 bits, eight standard deviations at 0.8, and five for sets of a few shingles.
+    """
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.1
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
+            mask = pa.array(np.bitwise_count(one ^ two).sum(1) <= most * BAND_BITS * one.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    one = nodes.select(F.col("node").alias("a"), F.col("bands").alias("fa"))
+    two = nodes.select(F.col("node").alias("b"), F.col("bands").alias("fb"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
     """The pairs(a, b) whose texts(node, text) have so similar sets of shingles."""
 
@@ -334,30 +357,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words_per_s
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32, radius: int = 2) -> DataFrame:
-    """a, b: links of texts(node, text, bands) that are so similar by the Jaccard measure of their word shingles.
+def _only(rows: DataFrame, keys: DataFrame, key: str, how: str, broadcast_rows: int) -> DataFrame:
+    """rows joined to keys, a checkpoint with each key once; keys are broadcast if they are few, so that rows need no shuffle."""
+    return rows.join(F.broadcast(keys) if fits(keys, broadcast_rows) else keys, key, how)
+
+
+def similar(
+    nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32, radius: int = 2, broadcast_rows: int = 200_000
+) -> DataFrame:
+    """a, b: links of nodes(node, bands, key) that are so similar by the Jaccard measure of their word shingles; the key gives a
+    node's text in texts(key, text).
 
     Candidates share one of their short SimHash fingerprints at radius flips: two texts at similarity 0.8 differ in 15% of
-    the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. All candidates are verified.
+    the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. Candidates whose fingerprints are too far
+    apart in all are put aside, and the others are verified on their texts.
     """
-    pairs = cut(_candidates(_to_band_cells(texts, bands, radius), radius))
-    return _verified(pairs, texts, similarity, words_per_shingle)
+    pairs = cut(_candidates(_to_band_cells(nodes, bands, radius), radius))
+    near = cut(_close(pairs, nodes, similarity))
+    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    asked = cut(nodes.join(ends, "node", "left_semi").select("node", key))
+    # a key that several equal rows have gives their text more than once
+    found = _only(texts, asked, key, "inner", broadcast_rows).select("node", "text").dropDuplicates(["node"])
+    return _verified(near, found, similarity, words_per_shingle)
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
 
     Links are at similarity of the sets of word shingles, see similar(); texts of the same words are one node, and so are
     texts without a word, null ones among them. Rows without a doc_id stand for a group only if no other does; of rows equal in
     all columns one stays, of others with the same least doc_id the first by a hash. All columns stay; an empty table gives no
-    rows. These parameters are apart from those of classes().
+    rows. These parameters are apart from those of classes(). Texts are shuffled only if what is asked of them, or what goes, is
+    more than broadcast_rows rows.
     """
     columns, row = docs.columns, "_row"
     while row in columns:
         row += "_"
     # a row's key is a hash of all its columns, so it is the same in every scan; rows equal in all of them are one key
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in columns)), F.xxhash64(F.lit("two"), *(F.col(f"`{c}`") for c in columns))
-    named = docs.withColumn(row, F.struct(key[0].alias("one"), key[1].alias("two")))
+    held = [F.col(f"`{c}`") for c in columns]
+    named = docs.withColumn(row, F.struct(F.xxhash64(*held).alias("one"), F.xxhash64(F.lit("two"), *held).alias("two")))
 
     def run(texts):
         words, made = [], []
@@ -367,15 +405,19 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
             made.append(bands_of(shingles_of(t, words_per_shingle), bands).astype("<u4").tobytes() if line else None)
         return [words, made]
 
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key"))
     seen = map_text(named.select("doc_id", row, "text"), ["doc_id", row], "text", run, "words binary, bands binary")
-    nodes = seen.groupBy("words").agg(F.min(order).alias("order"), F.first("bands").alias("bands"))
+    seen = cut(seen.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key")).alias("order"), "words", "bands"))
+    nodes = seen.groupBy("words").agg(F.min("order").alias("order"), F.first("bands").alias("bands"))
     # numbered as they are written, once
     nodes = cut(nodes.select("order", "bands", F.monotonically_increasing_id().alias("node")))
     own = nodes.filter("bands is not null").select("node", "bands", F.col("order.key").alias(row))
-    # the text of one row of each node
-    texts = own.join(named.select(row, F.col("text").cast("string").alias("text")), row).dropDuplicates([row]).drop(row)
-    roots = components(similar(texts, similarity, words_per_shingle, bands))
+    texts = named.select(row, F.col("text").cast("string").alias("text"))
+    roots = components(similar(own, texts, row, similarity, words_per_shingle, bands, broadcast_rows=broadcast_rows))
     rooted = nodes.join(roots, "node", "left").select("order", F.coalesce("root", "node").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min("order").alias("least")).select(F.col("least.key").alias(row))
-    return named.join(stays, row, "left_semi").dropDuplicates([row]).select(*columns)
+    stays = rooted.groupBy("root").agg(F.min("order").alias("least")).select(F.col("least.key").alias(row), F.lit(True).alias("stays"))
+    keys = seen.groupBy(F.col("order.key").alias(row)).agg(F.count("*").alias("rows")).join(stays, row, "left")
+    # keys of rows that go, or that are there several times and stay once
+    odd = cut(keys.filter("stays IS NULL OR rows > 1"))
+    once = odd.filter("stays").select(row)
+    rest = _only(named, odd.select(row), row, "left_anti", broadcast_rows)
+    return rest.union(_only(named, once, row, "left_semi", broadcast_rows).dropDuplicates([row])).select(*columns)

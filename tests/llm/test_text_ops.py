@@ -234,6 +234,16 @@ def test_keep_one_leaves_the_least_id(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [10, 12]
 
 
+def test_keep_one_without_broadcasts_and_with_repeated_rows(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join(base).upper(), "other words of a text that stands alone", "", None]
+    d = docs(spark, texts, start=5)
+    d = d.unionByName(d).unionByName(d.filter("doc_id = 8").withColumn("source", F.lit(None).cast("string")))
+    for how in ({}, {"broadcast_rows": -1}):
+        assert sorted(r.doc_id for r in simhash.keep_one(d, **how).collect()) == [5, 8, 9]
+    assert simhash.keep_one(d.limit(0)).collect() == []
+
+
 def brute_removed(rows, window=100):
     seen, out = set(), {}
     for key, text in sorted(rows):
