@@ -249,11 +249,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def _to_band_cells(texts: DataFrame, bands: int, radius: int) -> DataFrame:
-    """cell, held: of texts(node, bands), the (node, rest of the fingerprint, flips left) of a batch that go to a cell, packed."""
+_ENTRY = np.dtype([("node", "<i8"), ("label", "<i8"), ("fp", "<u4"), ("left", "u1")])
+
+
+def _to_band_cells(nodes: DataFrame, chosen: range, bands: int, radius: int) -> DataFrame:
+    """cell, held: of nodes(node, label, bands), the entries of a batch that go to a cell of one of the chosen bands, packed: node,
+    label, the rest of the fingerprint, and the flips that are left."""
     low, side = BAND_BITS - BAND_CELL_BITS, 1 << BAND_CELL_BITS
     masks = [(m, m.bit_count()) for m in _masks(BAND_CELL_BITS, radius // 2)]
-    kind = np.dtype([("node", "<i8"), ("fp", "<u4"), ("left", "u1")])
 
     def run(batches):
         import pyarrow as pa
@@ -261,13 +264,13 @@ def _to_band_cells(texts: DataFrame, bands: int, radius: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch.column(0).to_numpy()
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(len(node), bands)
+            rows = np.zeros(batch.num_rows, _ENTRY)
+            rows["node"], rows["label"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(rows), bands)
             cells, blobs = [], []
-            for band in range(bands):
+            for band in chosen:
                 top = fps[:, band] >> np.uint32(low)
-                rows = np.zeros(len(node), kind)
-                rows["node"], rows["fp"] = node, fps[:, band] & np.uint32((1 << low) - 1)
+                rows["fp"] = fps[:, band] & np.uint32((1 << low) - 1)
                 for cell in range(side):
                     parts = []
                     for mask, flips in masks:
@@ -279,33 +282,38 @@ def _to_band_cells(texts: DataFrame, bands: int, radius: int) -> DataFrame:
                         blobs.append(np.concatenate(parts).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "held"])
 
-    return texts.select("node", "bands").mapInArrow(run, "cell int, held binary")
+    return nodes.select("node", "label", "bands").mapInArrow(run, "cell int, held binary")
 
 
 def _candidates(cells: DataFrame, radius: int) -> DataFrame:
-    """a, b: nodes with a fingerprint in common at radius flips, chained through each variant that they share."""
+    """a, b: nodes of different labels with a fingerprint in common at radius flips, chained through each variant that they share.
+
+    In a chain the nodes of a label are together, in an order that each cell draws anew, so that other nodes meet others of them.
+    """
     low = BAND_BITS - BAND_CELL_BITS
-    kind = np.dtype([("node", "<i8"), ("fp", "<u4"), ("left", "u1")])
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(held):
-            rows = np.sort(np.frombuffer(b"".join(held), kind), order="node")
-            fps, left = rows["fp"].astype(np.uint64), rows["left"].astype(np.int64)
+        def solve(cell, held):
+            rows = np.frombuffer(b"".join(held), _ENTRY)
+            drawn = ((rows["node"].astype(np.uint64) ^ np.uint64(cell)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            rows = rows[np.lexsort((drawn, rows["label"]))]
+            fps, left, label = rows["fp"].astype(np.uint64), rows["left"].astype(np.int64), rows["label"]
             for i, j in _chain(fps, left, low, radius // 2, CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][i]), pa.array(rows["node"][j])], names=["a", "b"])
+                other = label[i] != label[j]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][i[other]]), pa.array(rows["node"][j[other]])], names=["a", "b"])
 
         cell, held = None, []
         for batch in batches:
             for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if c != cell and held:
-                    yield from solve(held)
+                    yield from solve(cell, held)
                     held = []
                 cell = c
                 held.append(h)
         if held:
-            yield from solve(held)
+            yield from solve(cell, held)
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
     return dealt.select("cell", "held").mapInArrow(run, "a long, b long").filter("a <> b").select(
@@ -363,25 +371,37 @@ def _only(rows: DataFrame, keys: DataFrame, key: str, how: str, broadcast_rows:
 
 
 def similar(
-    nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32, radius: int = 2, broadcast_rows: int = 200_000
-) -> DataFrame:
-    """a, b: links of nodes(node, bands, key) that are so similar by the Jaccard measure of their word shingles; the key gives a
-    node's text in texts(key, text).
+    nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5,
+    phases: tuple[int, ...] = (4, 28), radius: int = 2, broadcast_rows: int = 200_000,
+) -> DataFrame:
+    """node, root: the components of nodes(node, bands, key) by links that are so similar by the Jaccard measure of their word
+    shingles, without nodes that have none; the key gives a node's text in texts(key, text).
 
     Candidates share one of their short SimHash fingerprints at radius flips: two texts at similarity 0.8 differ in 15% of
     the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. Candidates whose fingerprints are too far
-    apart in all are put aside, and the others are verified on their texts.
+    apart in all are put aside, and the others are verified on their texts. The fingerprints are taken in phases, so many in
+    each: what one phase has linked needs no more pairs in the next, so a large group of copies does not meet 32 times.
     """
-    pairs = cut(_candidates(_to_band_cells(nodes, bands, radius), radius))
-    near = cut(_close(pairs, nodes, similarity))
-    ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    asked = cut(nodes.join(ends, "node", "left_semi").select("node", key))
-    # a key that several equal rows have gives their text more than once
-    found = _only(texts, asked, key, "inner", broadcast_rows).select("node", "text").dropDuplicates(["node"])
-    return _verified(near, found, similarity, words_per_shingle)
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, bands: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
+    found, first, roots = None, 0, None
+    for n in phases:
+        labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("root", "label"), "node", "left")
+        labelled = labelled.withColumn("label", F.coalesce("label", "node"))
+        cells = _to_band_cells(labelled, range(first, first + n), sum(phases), radius)
+        near = cut(_close(cut(_candidates(cells, radius)), nodes, similarity))
+        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        asked = cut(nodes.join(ends, "node", "left_semi").select("node", key))
+        # a key that several equal rows have gives their text more than once
+        own = _only(texts, asked, key, "inner", broadcast_rows).select("node", "text").dropDuplicates(["node"])
+        links = cut(_verified(near, own, similarity, words_per_shingle))
+        found = links if found is None else found.union(links)
+        roots = components(found)
+        first += n
+    return roots
+
+
+def keep_one(
+    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (4, 28), broadcast_rows: int = 200_000
+) -> DataFrame:
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
 
     Links are at similarity of the sets of word shingles, see similar(); texts of the same words are one node, and so are
@@ -402,7 +422,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
         for t in texts:
             line = b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
             words.append(xxhash.xxh3_128_digest(line))
-            made.append(bands_of(shingles_of(t, words_per_shingle), bands).astype("<u4").tobytes() if line else None)
+            made.append(bands_of(shingles_of(t, words_per_shingle), sum(phases)).astype("<u4").tobytes() if line else None)
         return [words, made]
 
     seen = map_text(named.select("doc_id", row, "text"), ["doc_id", row], "text", run, "words binary, bands binary")
@@ -412,7 +432,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
     nodes = cut(nodes.select("order", "bands", F.monotonically_increasing_id().alias("node")))
     own = nodes.filter("bands is not null").select("node", "bands", F.col("order.key").alias(row))
     texts = named.select(row, F.col("text").cast("string").alias("text"))
-    roots = components(similar(own, texts, row, similarity, words_per_shingle, bands, broadcast_rows=broadcast_rows))
+    roots = similar(own, texts, row, similarity, words_per_shingle, phases, broadcast_rows=broadcast_rows)
     rooted = nodes.join(roots, "node", "left").select("order", F.coalesce("root", "node").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("order").alias("least")).select(F.col("least.key").alias(row), F.lit(True).alias("stays"))
     keys = seen.groupBy(F.col("order.key").alias(row)).agg(F.count("*").alias("rows")).join(stays, row, "left")
