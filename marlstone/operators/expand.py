@@ -12,13 +12,15 @@ def expand(ids: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
     """ids(position, id) with status and, where ok, content.
 
     nodes(id, file_path, start_byte, end_byte, indexed_hash) as indexed; files(file_path, content, content_hash) as they are.
-    Ids with and without their h are the same. not_found: no such node or no such file; stale: the file has changed.
+    Ids with and without their h are the same. not_found: no such node or no such file; stale: the file has changed. Nodes are
+    reduced to those asked for, and files to theirs, before their content is joined.
     """
     key = F.concat(F.lit("h"), X.raw_id(F.col("id")))
     asked = ids.select("position", key.alias("id"))
     n = nodes.select("id", "file_path", "start_byte", "end_byte", "indexed_hash")
-    f = files.select("file_path", "content", "content_hash")
-    joined = asked.join(n, "id", "left").join(f, "file_path", "left")
+    known = asked.join(n, "id", "left")
+    f = files.select("file_path", "content", "content_hash").join(known.select("file_path").distinct(), "file_path", "left_semi")
+    joined = known.join(f, "file_path", "left")
     status = (
         F.when(F.col("indexed_hash").isNull() | F.col("content_hash").isNull(), "not_found")
         .when(F.col("indexed_hash") != F.col("content_hash"), "stale")

@@ -6,6 +6,7 @@ spans are whole lines. Strings and comments are not told apart from code.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,22 +36,41 @@ DECLARATIONS = {
     ),
 }
 DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
+# Import statements by language, and the group of a statement that lists the imported names.
 IMPORTS = {
-    "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))",
-    "rust": r"^\s*(?:pub\s+)?use\s+[\w:]*?(\w+)\s*;",
-    "javascript": r"^\s*import\s+[^;]*?from\s+['\"]([^'\"]+)['\"]",
-    "typescript": r"^\s*import\s+[^;]*?from\s+['\"]([^'\"]+)['\"]",
-    "go": r"^\s*(?:import\s+)?\"(?:[^\"]*/)?([^\"/]+)\"",
+    "python": (r"(?m)^[ \t]*(?:from[ \t]+[\w.]+[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", 2),
+    "rust": (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([^;]+);", 1),
+    "javascript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", 1),
+    "typescript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", 1),
+    "go": (r"(?m)^[ \t]*import[ \t]+(\([^)]*\)|(?:[\w.]+[ \t]+)?\"[^\"]*\")", 1),
 }
 
 
+def _names(language: Column, listed: Column) -> Column:
+    """Names in the list of an import statement: those that are imported, whatever they are called here."""
+    flat = F.regexp_replace(listed, r"[\s(){}]+", " ")
+    go = F.transform(F.regexp_extract_all(listed, F.lit(r'"([^"]*)"'), F.lit(1)), lambda x: F.element_at(F.split(x, "/"), -1))
+    # a group of Rust names stands after its path, and its paths may go on
+    rust = F.transform(F.split(F.regexp_replace(listed, r"[{}\s]+", " "), ","), lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+\w+$", ""))
+    rust = F.transform(rust, lambda x: F.element_at(F.split(F.regexp_replace(x, r"(::)?\s+", "::"), "::"), -1))
+    plain = F.transform(F.split(flat, ","), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^\*\s+as\s+", ""), r"\s+as\s+\w+$", ""))
+    found = F.when(language == "go", go).when(language == "rust", rust).otherwise(plain)
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x.rlike(r"^[\w.$-]+$"))
+
+
+def _starts(texts: pd.Series) -> pd.Series:
+    """Byte offsets of the lines of each text."""
+    ends = (np.flatnonzero(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) == 10) + 1 if t is not None else None for t in texts)
+    return pd.Series([None if e is None else np.concatenate(([0], e)) for e in ends])
+
+
 def lines(files: DataFrame, *keep: str) -> DataFrame:
-    """file_path, line (from 1), text, start_byte, end_byte of every line, the line feed not counted."""
-    parts = files.select("file_path", *keep, F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    order = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("text") + 1).over(order), F.lit(0)).cast("long")
-    rows = parts.withColumn("start_byte", start)
-    return rows.withColumn("end_byte", F.col("start_byte") + F.octet_length("text")).withColumn("line", F.col("line") + 1)
+    """file_path, line (from 1), text, start_byte, end_byte of every line, the line feed not counted; no shuffle."""
+    starts = F.pandas_udf(_starts, "array<long>")(F.col("content"))
+    parts = files.select("file_path", *keep, F.split("content", "\n").alias("_lines"), starts.alias("_starts"))
+    each = parts.select("file_path", *keep, F.posexplode(F.arrays_zip("_lines", "_starts")).alias("line", "_z"))
+    rows = each.select("file_path", *keep, (F.col("line") + 1).alias("line"), F.col("_z._lines").alias("text"), F.col("_z._starts").alias("start_byte"))
+    return rows.withColumn("end_byte", F.col("start_byte") + F.octet_length("text"))
 
 
 def chunks(files: DataFrame, chunk_lines: int = 50, overlap: int = 10, threshold: int = 1_000_000) -> DataFrame:
@@ -81,9 +101,20 @@ def markdown(files: DataFrame) -> DataFrame:
     ls = lines(files)
     order = Window.partitionBy("file_path").orderBy("line")
     fence = F.regexp_extract("text", r"^ {0,3}(```|~~~)", 1)
-    # fences take turns in opening and closing: an even number before a line is outside
-    so_far = F.sum(F.when(fence != "", 1).otherwise(0)).over(order)
-    marked = ls.withColumn("fences", so_far).withColumn("is_fence", fence != "")
+    # a fence is closed by the next one of its kind, so the state after each is found in order, over a file's fences only
+    each = ls.filter(fence != "").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line", fence.alias("kind")))).alias("all"))
+    none = F.lit(None).cast("string")
+    state = F.aggregate(
+        "all",
+        F.struct(none.alias("open"), F.array().cast("array<int>").alias("kept")),
+        lambda s, f: F.struct(
+            F.when(s["open"].isNull(), f["kind"]).when(s["open"] == f["kind"], none).otherwise(s["open"]).alias("open"),
+            F.when(s["open"].isNull() | (s["open"] == f["kind"]), F.concat(s["kept"], F.array(f["line"]))).otherwise(s["kept"]).alias("kept"),
+        ),
+    )
+    real = each.select("file_path", F.explode(state["kept"]).alias("line"), F.lit(True).alias("is_fence"))
+    ls = ls.join(real, ["file_path", "line"], "left").withColumn("is_fence", F.coalesce("is_fence", F.lit(False)))
+    marked = ls.withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(order))
     inside = F.when(F.col("is_fence"), True).otherwise(F.col("fences") % 2 == 1)
     heading = F.col("text").rlike(r"^ {0,3}#{1,6}(\s|$)") & ~inside
     blank = (F.trim("text") == "") & ~inside
@@ -118,14 +149,6 @@ def markdown(files: DataFrame) -> DataFrame:
     return sections.unionByName(code).unionByName(paragraphs)
 
 
-def _by_language(language: Column, patterns: dict[str, str], text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for lang, pattern in patterns.items():
-        groups = [F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in range(1, pattern.count("(") - pattern.count("(?") + 1)]
-        out = F.when(language == lang, F.coalesce(*groups)).otherwise(out)
-    return out
-
-
 def _nesting(indents: pd.Series, kinds: pd.Series) -> pd.Series:
     """For each line: the next one indented no deeper, and the class or type around it (-1: none), by a stack of open lines."""
     out = []
@@ -174,11 +197,27 @@ def declarations(files: DataFrame) -> DataFrame:
     )
 
 
+def _imports(files: DataFrame) -> DataFrame:
+    """Imported names of files(file_path, content, language), statements over several lines among them; line: the statement's."""
+    parts = []
+    for language, (pattern, groups) in IMPORTS.items():
+        own = files.filter(F.col("language") == language)
+        statement = F.explode(F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1))).alias("statement")
+        listed = F.coalesce(*(F.nullif(F.regexp_extract("statement", pattern, g), F.lit("")) for g in range(1, groups + 1)))
+        found = own.select("file_path", "language", "content", statement).distinct().withColumn("names", _names(F.col("language"), listed))
+        before = F.substring("content", F.lit(1), F.position(F.col("statement"), F.col("content")).cast("int"))
+        line = F.size(F.split(before, "\n"))
+        parts.append(found.select("file_path", line.cast("int").alias("line"), F.explode("names").alias("name")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.select("file_path", "line", "name", F.lit(None).cast("string").alias("qualifier"), F.lit("import").alias("ref_type"))
+
+
 def references(files: DataFrame) -> DataFrame:
-    """Calls and imports of source files, line by line: name, qualifier, ref_type and the line."""
+    """Calls, line by line, and imported names of source files: name, qualifier, ref_type and the line."""
     ls = lines(files.withColumn("language", X.file_type(F.col("file_path"))), "language").filter("language NOT IN ('other', 'markdown')")
-    imported = _by_language(F.col("language"), IMPORTS, F.col("text"))
-    imports = ls.withColumn("name", imported).filter("name IS NOT NULL").select("file_path", "line", "name", F.lit(None).cast("string").alias("qualifier"), F.lit("import").alias("ref_type"))
+    imports = _imports(files.withColumn("language", X.file_type(F.col("file_path"))))
     head = r"^\s*(?:pub\s+|export\s+|default\s+|async\s+)*(?:def|fn|func|function|class|interface|import|use|from)\b"
     code = F.when(F.col("text").rlike(head), F.regexp_replace("text", r"^[^{:]*[{:]?", "")).otherwise(F.col("text"))
     calls = ls.select("file_path", "line", F.explode(F.regexp_extract_all(code, F.lit(r"((?:\w+(?:\.|::))*\w+)\s*\("), F.lit(1))).alias("target"))

@@ -87,30 +87,37 @@ def suggestions(pack: DataFrame, recent: DataFrame, most: int = 6) -> DataFrame:
     return pool.withColumn("place", place).filter(F.col("place") <= F.col("n")).select("place", "id", "is_recent")
 
 
-def choose(found: DataFrame, query: str, budget: int, priors: dict[int, float] | None = None, most: int = 200) -> DataFrame:
+def choose(found: DataFrame, query: str, budget: int, priors: dict[int, float] | None = None, most: int | None = None) -> DataFrame:
     """found with chosen: by score, what fits the budget, PER_FILE of a file at most, none next to one chosen before.
 
-    The choice depends on all before it, so it runs in one task, over the most candidates that a query returns.
+    A handle that is chosen takes a token at least, so the walk goes over the sorted rows and holds budget of them at most; most
+    bounds the rows that are looked at, all of them by default.
     """
-    scored = found.withColumn("score", F.round(score(query, priors), 9)).orderBy(F.desc("score"), "token_count", *ORDER).limit(most)
-
-    def pick(pdf):
-        pdf = pdf.sort_values(["score", "token_count", "file_path", "node_ord"], ascending=[False, True, True, True])
-        used, lines, chosen = 0, {}, []
-        for r in pdf.itertuples():
-            own = lines.setdefault(r.file_path, [])
-            near = any(r.line_start <= b + LINE_GAP and a <= r.line_end + LINE_GAP for a, b in own)
-            ok = not near and len(own) < PER_FILE and used + r.token_count <= budget
-            if ok:
-                own.append((r.line_start, r.line_end))
-                used += r.token_count
-            chosen.append(bool(ok))
-        return pdf.assign(chosen=chosen)[["id", "file_path", "node_ord", "line_start", "line_end", "token_count", "score", "chosen"]]
-
-    small = scored.select("id", "file_path", "node_ord", "line_start", "line_end", "token_count", "score")
-    return small.withColumn("everything", F.lit(0)).groupBy("everything").applyInPandas(
-        pick, "id string, file_path string, node_ord long, line_start int, line_end int, token_count int, score double, chosen boolean"
+    small = found.withColumn("score", F.round(score(query, priors), 9)).select(
+        "id", "file_path", "node_ord", "line_start", "line_end", "token_count", "score"
     )
+    order = [F.desc("score"), F.asc("token_count"), *map(F.asc, ORDER)]
+    ranked = small if most is None else small.orderBy(*order).limit(most)
+
+    def walk(batches):
+        import pyarrow as pa
+
+        used, taken = 0, {}
+        for batch in batches:
+            chosen = []
+            for path, a, b, tokens in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True):
+                own = taken.get(path, ())
+                near = any(a <= d + LINE_GAP and c <= b + LINE_GAP for c, d in own)
+                ok = not near and len(own) < PER_FILE and used + tokens <= budget
+                if ok:
+                    taken[path] = (*own, (a, b))
+                    used += tokens
+                chosen.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.bool_())], names=[*batch.schema.names, "chosen"])
+
+    # the choice depends on all before it, so one task sorts the handles, without their texts, and walks through them
+    kinds = ", ".join(f"{c} {t}" for c, t in small.dtypes)
+    return ranked.repartition(1).sortWithinPartitions(*order).mapInArrow(walk, f"{kinds}, chosen boolean")
 
 
 # Words that are no symbols.

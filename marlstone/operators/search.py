@@ -121,13 +121,23 @@ def reference_sources(refs: DataFrame, nodes: DataFrame, symbol: str, limit: int
     return first(nodes.join(own, "id", "left_semi"), limit)
 
 
-def enclosing(points: DataFrame, nodes: DataFrame) -> DataFrame:
+def enclosing(points: DataFrame, nodes: DataFrame, bucket: int = 4_096) -> DataFrame:
     """points(file_path, start_byte, end_byte, ...) with source_id, the smallest node around them, the first of equals, or null.
 
-    Joined by file; node spans that cross are no trouble.
+    Nodes of up to bucket bytes meet points by file and run of so many bytes, longer ones by file and a run of a power of 16
+    times as many, so a point meets only nodes of its neighbourhood at each length, whatever the size of the file.
     """
     n = nodes.select("file_path", F.col("start_byte").alias("_a"), F.col("end_byte").alias("_b"), "node_ord", F.col("id").alias("_id"))
-    inside = points.join(n, "file_path").filter("_a <= start_byte AND end_byte <= _b")
+    size = F.greatest(F.col("_b") - F.col("_a"), F.lit(1))
+    level = F.greatest(F.ceil(F.log2(size / F.lit(float(bucket))) / 4), F.lit(0)).cast("int")
+    levels = range(8)
+    wide = lambda k: F.pow(F.lit(16.0), k) * F.lit(float(bucket))
+    run = lambda at, k: F.floor(at / wide(k)).cast("long")
+    n = n.withColumn("_level", F.least(level, F.lit(len(levels) - 1)))
+    n = n.withColumn("_run", F.explode(F.sequence(run(F.col("_a"), F.col("_level")), run(F.col("_b"), F.col("_level")))))
     keys = ["file_path", "start_byte", "end_byte"]
+    asked = points.select(*keys).distinct()
+    places = F.array(*(F.struct(F.lit(k).alias("_level"), run(F.col("start_byte"), F.lit(k)).alias("_run")) for k in levels))
+    inside = asked.select(*keys, F.inline(places)).join(n, ["file_path", "_level", "_run"]).filter("_a <= start_byte AND end_byte <= _b")
     best = inside.groupBy(*keys).agg(F.min_by("_id", F.struct(F.col("_b") - F.col("_a"), "node_ord")).alias("source_id"))
     return points.join(best, keys, "left")

@@ -292,14 +292,14 @@ def code_references(spark, d):
 
 @query(
     f"""WITH {S.FILES}, {LINES}, big AS (SELECT * FROM p WHERE i <= n),
-pts AS (SELECT file_path, CAST(a AS BIGINT) AS start_byte, CAST(a + 1 AS BIGINT) AS end_byte FROM p WHERE strlen(line) > 0 AND file_path LIKE 'src1/%'),
+pts AS (SELECT file_path, CAST(a AS BIGINT) AS start_byte, CAST(a + 1 AS BIGINT) AS end_byte FROM p WHERE strlen(line) > 0),
 w AS (SELECT file_path, k, min(a) AS s, max(a + strlen(line)) AS e FROM p, unnest(range(0, 2)) AS t(k) WHERE k = 0 OR i <= 3 GROUP BY ALL),
 j AS (SELECT pts.*, arg_min(k, (e - s) * 10 + k) AS k FROM pts JOIN w ON w.file_path = pts.file_path AND s <= start_byte AND end_byte <= e GROUP BY ALL)
 SELECT file_path, start_byte, end_byte, CAST(k AS INTEGER) AS k FROM j"""
 )
 def enclosing_node(spark, d):
     ls = parse.lines(A.files(spark, d))
-    points = ls.filter((F.octet_length("text") > 0) & F.col("file_path").like("src1/%")).select("file_path", "start_byte", (F.col("start_byte") + 1).alias("end_byte"))
+    points = ls.filter(F.octet_length("text") > 0).select("file_path", "start_byte", (F.col("start_byte") + 1).alias("end_byte"))
     spans = [F.struct(F.lit(k).alias("k"), cond.alias("in")) for k, cond in ((0, F.lit(True)), (1, F.col("line") <= 3))]
     nodes = (
         ls.select("*", F.explode(F.array(*spans)).alias("z"))
@@ -411,11 +411,11 @@ OLD_HASH = "CASE WHEN doc_id % 10 = 0 THEN 'old' ELSE content_hash END"
 def expansion(spark, d):
     f = A.files(spark, d)
     nodes = A.whole_file_nodes(f).join(f.select("file_path", "doc_id", "content_hash"), "file_path").withColumn("indexed_hash", F.when(F.col("doc_id") % 10 == 0, "old").otherwise(F.col("content_hash")))
-    ids = nodes.filter("doc_id < 300").select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("id", "^h", "")).when(F.col("doc_id") % 11 == 0, F.lit("h" + "0" * 24)).otherwise(F.col("id")).alias("id"))
+    ids = nodes.select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("id", "^h", "")).when(F.col("doc_id") % 11 == 0, F.lit("h" + "0" * 24)).otherwise(F.col("id")).alias("id"))
     return expand.expand(ids, nodes, f.filter("doc_id % 13 <> 0"))
 
 
-EXPANSION = f"""{S.NODES}, ids AS (SELECT f.doc_id AS position, CASE WHEN f.doc_id % 7 <> 0 AND f.doc_id % 11 = 0 THEN 'h000000000000000000000000' ELSE n.id END AS id, n.file_path, n.content, f.doc_id % 13 = 0 AS gone, f.doc_id % 10 = 0 AS stale FROM nodes n JOIN files f USING (file_path) WHERE f.doc_id < 300),
+EXPANSION = f"""{S.NODES}, ids AS (SELECT f.doc_id AS position, CASE WHEN f.doc_id % 7 <> 0 AND f.doc_id % 11 = 0 THEN 'h000000000000000000000000' ELSE n.id END AS id, n.file_path, n.content, f.doc_id % 13 = 0 AS gone, f.doc_id % 10 = 0 AS stale FROM nodes n JOIN files f USING (file_path)),
 x AS (SELECT position, id, CASE WHEN id LIKE 'h00000000000%' THEN NULL ELSE file_path END AS file_path, CASE WHEN gone OR id LIKE 'h00000000000%' THEN 'not_found' WHEN stale THEN 'stale' ELSE 'ok' END AS status, content FROM ids)"""
 
 
@@ -491,12 +491,14 @@ def merge_refs(spark, d):
 
 
 @query(
-    f"WITH {S.FILES} SELECT sha256(string_agg(file_path || ':' || mtime || chr(10), '' ORDER BY file_path || ':' || mtime || chr(10))) AS fingerprint FROM files WHERE doc_id % 20 = 0"
+    f"""WITH {S.FILES}, l AS (SELECT file_path || ':' || mtime || chr(10) AS line, CAST('0x' || substring(sha256(file_path), 1, 4) AS INTEGER) AS bucket FROM files),
+b AS (SELECT bucket, sha256(string_agg(line, '' ORDER BY line)) AS digest FROM l GROUP BY bucket)
+SELECT sha256(string_agg(bucket || ':' || digest || chr(10), '' ORDER BY bucket)) AS fingerprint FROM b"""
 )
 def dirty_fingerprint(spark, d):
     from marlstone.sources.files import fingerprint
 
-    return fingerprint(A.files(spark, d).filter("doc_id % 20 = 0").select(F.col("file_path").alias("path"), "mtime"))
+    return fingerprint(A.files(spark, d).select(F.col("file_path").alias("path"), "mtime"))
 
 
 # ---- index lifecycle

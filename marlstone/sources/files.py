@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 from marlstone.functions import exprs as X
 
 # Names that a scan leaves out by default.
-IGNORED = ("node_modules", ".git", "dist", "build", "__pycache__", "target", ".next", "vendor", "*.lock", "*.min.js", "*.map")
+IGNORED = (
+    ".git",
+    ".marlstone",
+    "node_modules",
+    "target",
+    "__pycache__",
+    ".venv",
+    "venv",
+    "*.min.js",
+    "*.min.css",
+    ".DS_Store",
+    "*.lock",
+    "package-lock.json",
+    "Cargo.lock",
+)
 
 
 def scan(spark: SparkSession, root: str, glob: str = "**/*", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
@@ -55,6 +69,21 @@ def dirty_files(status: Column) -> Column:
 
 
 def fingerprint(dirty: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the sorted path:mtime lines of dirty(path, mtime)."""
-    lines = F.array_sort(F.collect_list(F.concat_ws(":", "path", F.concat(F.col("mtime").cast("string"), F.lit("\n")))))
-    return dirty.agg(F.sha2(F.array_join(lines, ""), 256).alias("fingerprint"))
+    """One row: SHA-256 of dirty(path, mtime), by levels.
+
+    Paths fall into 65,536 buckets by the first four hex digits of their own SHA-256; a bucket's digest is of its sorted
+    path:mtime lines, the whole one of the buckets' numbers and digests in order. So a bucket, not the table, is held at once.
+    """
+    line = F.concat_ws(":", "path", F.concat(F.col("mtime").cast("string"), F.lit("\n")))
+    bucket = F.conv(F.substring(F.sha2("path", 256), 1, 4), 16, 10).cast("int")
+    lines = dirty.select(bucket.alias("bucket"), line.alias("line"))
+    each = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda b: F.concat(b["bucket"].cast("string"), F.lit(":"), b["digest"], F.lit("\n")))
+    return each.agg(F.sha2(F.array_join(shown, ""), 256).alias("fingerprint"))
+
+
+def changed_since(dirty: DataFrame, saved: DataFrame) -> DataFrame:
+    """One row: the fingerprint of dirty, and whether it differs from that of the one-row table saved(fingerprint), or that is empty."""
+    old = saved.agg(F.max("fingerprint").alias("_old"))
+    now = fingerprint(dirty).join(F.broadcast(old))
+    return now.select("fingerprint", (~F.coalesce(F.col("fingerprint") == F.col("_old"), F.lit(False))).alias("changed"))

@@ -111,10 +111,54 @@ def test_declarations_and_references(spark):
     assert rows["a/shop.py", "main"].node_type == 3 and rows["a/lib.rs", "load"].parent_name == "Config"
     assert rows["a/main.go", "Run"].node_type == 6 and rows["a/app.ts", "go"].node_type == 3
     refs = {(r.file_path, r.ref_type, r.name, r.qualifier) for r in parse.references(catalog.snippet_files(spark)).collect()}
-    assert {("a/shop.py", "import", "shop.db", None), ("a/lib.rs", "call", "read", "fs"), ("a/app.ts", "import", "lib", None), ("a/main.go", "import", "http", None), ("a/main.go", "call", "Listen", "http")} <= refs
+    assert {("a/shop.py", "import", "connect", None), ("a/shop.py", "import", "os", None), ("a/lib.rs", "call", "read", "fs"), ("a/app.ts", "import", "x", None), ("a/main.go", "import", "http", None), ("a/main.go", "call", "Listen", "http")} <= refs
     assert not any(t == "call" and n in ("load", "total", "Config") for _, t, n, _ in refs)
 
 
+def test_imported_names(spark):
+    texts = {
+        "a.py": "import os, sys\nfrom a.b import (\n  c as d,\n  e,\n)\nfrom x import y  # z\n",
+        "b.rs": "use std::collections::{HashMap, io::Read};\npub use a::b as c;\nuse solo;\n",
+        "c.js": "import {a, b as c} from 'lib'\nimport d, * as e from \"m\";\nimport 'side';\n",
+        "d.go": 'package main\n\nimport (\n\t"net/http"\n\tx "a/b"\n)\nimport "fmt"\nvar z = []string{\n\t"foo/bar",\n}\n',
+    }
+    refs = parse.references(spark.createDataFrame(list(texts.items()), "file_path string, content string")).filter("ref_type = 'import'")
+    got = {}
+    for r in refs.collect():
+        got.setdefault(r.file_path, set()).add((r.name, r.line))
+    assert got["a.py"] == {("os", 1), ("sys", 1), ("c", 2), ("e", 2), ("y", 6)}
+    assert got["b.rs"] == {("HashMap", 1), ("Read", 1), ("b", 2), ("solo", 3)}
+    assert got["c.js"] == {("a", 1), ("b", 1), ("d", 2), ("e", 2)}
+    assert got["d.go"] == {("http", 3), ("b", 3), ("fmt", 7)}
+
+
+def test_fences_are_closed_by_their_own_kind(spark):
+    text = "```\n~~~\n# no heading\n~~~\n```\n# One\n~~~\n```\n~~~\nend\n"
+    rows = parse.markdown(spark.createDataFrame([("a.md", text)], "file_path string, content string")).collect()
+    assert [(r.line_start, r.heading) for r in rows if r.node_type == 0] == [(6, "One")]
+    assert sorted((r.line_start, r.line_end) for r in rows if r.node_type == 1) == [(1, 5), (7, 9)]
+
+
+def test_enclosing_against_brute_force(spark):
+    import random
+
+    draw = random.Random(1)
+    spans = [("f", a, a + draw.choice([0, 3, 900, 5_000, 70_000, 2_000_000]), k, f"n{k}") for k, a in enumerate(draw.randrange(3_000_000) for _ in range(300))]
+    points = [("f", a, a + draw.randrange(50)) for a in (draw.randrange(3_000_000) for _ in range(300))]
+    n = spark.createDataFrame(spans, "file_path string, start_byte long, end_byte long, node_ord long, id string")
+    got = {(r.start_byte, r.end_byte): r.source_id for r in search.enclosing(spark.createDataFrame(points, "file_path string, start_byte long, end_byte long"), n).collect()}
+    for _, a, b in points:
+        inside = [(d - c, k, i) for _, c, d, k, i in spans if c <= a and b <= d]
+        assert got[a, b] == (min(inside)[2] if inside else None)
+
+
+def test_fingerprint_changes_with_the_files(spark):
+    d = spark.createDataFrame([(f"p{k}", k) for k in range(50)], "path string, mtime long")
+    one = files.fingerprint(d)
+    assert one.first() == files.fingerprint(d.repartition(7)).first() != files.fingerprint(d.withColumn("mtime", F.col("mtime") + 1)).first()
+    assert [files.changed_since(d, x).first().changed for x in (one, one.limit(0), files.fingerprint(d.limit(3)))] == [False, True, True]
+
+
 def test_chunks_cover_the_file(spark):
     text = "\n".join(f"line {k} é" for k in range(100)) + "\n"
     rows = sorted(parse.chunks(spark.createDataFrame([("a", text), ("b", "x\n")], "file_path string, content string"), 10, 2, 100).collect(), key=lambda r: (r.file_path, r.start_byte))
