@@ -212,6 +212,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 #: Bits of one of a text's short fingerprints, of which so many leading ones choose the cell.
 BAND_BITS, BAND_CELL_BITS = 32, 4
+#: Shingles below which a text's bits are compared more loosely.
+SMALL = 40
 _TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
 
 
@@ -322,12 +324,13 @@ def _candidates(cells: DataFrame, radius: int) -> DataFrame:
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs(a, b) of nodes(node, bands) whose fingerprints differ in no more bits than so similar sets may.
+    """The pairs(a, b) of nodes(node, bands, size) whose fingerprints differ in no more bits than so similar sets may.
 
-    Each bit is drawn by a hash function of its own, and differs with the chance arccos(2 s / (1 + s)) / pi at similarity s. A
-    tenth of all bits more is allowed: for 1,024 bits, eight standard deviations at 0.8, and five for sets of a few shingles.
+    Each bit is drawn by a hash function of its own, and differs with the chance arccos(2 s / (1 + s)) / pi at similarity s. Of
+    all bits, 6% more are allowed, which is five standard deviations for 1,024 bits at 0.8, and 10% for sets of under SMALL
+    shingles, whose bits differ more often.
     """
-    most = math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.1
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
 
     def run(batches):
         import pyarrow as pa
@@ -336,12 +339,13 @@ def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-            mask = pa.array(np.bitwise_count(one ^ two).sum(1) <= most * BAND_BITS * one.shape[1])
+            small = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy()) < SMALL
+            mask = pa.array(np.bitwise_count(one ^ two).sum(1) <= np.where(small, most + 0.1, most + 0.06) * BAND_BITS * one.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    one = nodes.select(F.col("node").alias("a"), F.col("bands").alias("fa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("bands").alias("fb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    one = nodes.select(F.col("node").alias("a"), F.col("bands").alias("fa"), F.col("size").alias("na"))
+    two = nodes.select(F.col("node").alias("b"), F.col("bands").alias("fb"), F.col("size").alias("nb"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
@@ -374,7 +378,7 @@ def similar(
     nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5,
     phases: tuple[int, ...] = (4, 28), radius: int = 2, broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """node, root: the components of nodes(node, bands, key) by links that are so similar by the Jaccard measure of their word
+    """node, root: the components of nodes(node, bands, size, key) by links that are so similar by the Jaccard measure of their word
     shingles, without nodes that have none; the key gives a node's text in texts(key, text).
 
     Candidates share one of their short SimHash fingerprints at radius flips: two texts at similarity 0.8 differ in 15% of
@@ -418,19 +422,21 @@ def keep_one(
     named = docs.withColumn(row, F.struct(F.xxhash64(*held).alias("one"), F.xxhash64(F.lit("two"), *held).alias("two")))
 
     def run(texts):
-        words, made = [], []
+        words, sizes, made = [], [], []
         for t in texts:
             line = b" ".join((t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+            shingles = shingles_of(t, words_per_shingle)
             words.append(xxhash.xxh3_128_digest(line))
-            made.append(bands_of(shingles_of(t, words_per_shingle), sum(phases)).astype("<u4").tobytes() if line else None)
-        return [words, made]
+            sizes.append(len(shingles))
+            made.append(bands_of(shingles, sum(phases)).astype("<u4").tobytes() if line else None)
+        return [words, sizes, made]
 
-    seen = map_text(named.select("doc_id", row, "text"), ["doc_id", row], "text", run, "words binary, bands binary")
-    seen = cut(seen.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key")).alias("order"), "words", "bands"))
-    nodes = seen.groupBy("words").agg(F.min("order").alias("order"), F.first("bands").alias("bands"))
+    seen = map_text(named.select("doc_id", row, "text"), ["doc_id", row], "text", run, "words binary, size int, bands binary")
+    seen = cut(seen.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("key")).alias("order"), "words", "size", "bands"))
+    nodes = seen.groupBy("words").agg(F.min("order").alias("order"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     # numbered as they are written, once
-    nodes = cut(nodes.select("order", "bands", F.monotonically_increasing_id().alias("node")))
-    own = nodes.filter("bands is not null").select("node", "bands", F.col("order.key").alias(row))
+    nodes = cut(nodes.select("order", "bands", "size", F.monotonically_increasing_id().alias("node")))
+    own = nodes.filter("bands is not null").select("node", "bands", "size", F.col("order.key").alias(row))
     texts = named.select(row, F.col("text").cast("string").alias("text"))
     roots = similar(own, texts, row, similarity, words_per_shingle, phases, broadcast_rows=broadcast_rows)
     rooted = nodes.join(roots, "node", "left").select("order", F.coalesce("root", "node").alias("root"))
