@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 # Keywords, and the folders that a query with one of them is about.
 KEYWORDS = (
-    ("auth login logout session jwt oauth password credential", "auth login session authentication"),
-    ("database db query sql orm repository migration", "db database repositories repo"),
-    ("api endpoint route controller handler rest graphql", "api routes controllers handlers endpoints"),
-    ("config configuration env settings options", "config settings conf"),
-    ("middleware interceptor filter guard", "middleware middlewares interceptors guards"),
-    ("workflow execution engine runner worker job queue", "workflow workflows execution engine workers jobs"),
-    ("core shared common utils helpers lib", "core shared common utils lib"),
-    ("service services", "services service"),
+    (("auth", "login", "logout", "session", "jwt", "oauth", "password", "credential"), ("auth", "login", "session", "authentication")),
+    (("database", "db", "query", "sql", "orm", "repository", "migration"), ("db", "database", "repositories", "repo")),
+    (("api", "endpoint", "route", "controller", "handler", "rest", "graphql"), ("api", "routes", "controllers", "handlers", "endpoints")),
+    (("config", "configuration", "env", "settings", "options"), ("config", "settings", "conf")),
+    (("middleware", "interceptor", "filter", "guard"), ("middleware", "middlewares", "interceptors", "guards")),
+    (("workflow", "execution", "engine", "runner", "worker", "job", "queue"), ("workflow", "workflows", "execution", "engine", "workers", "jobs")),
+    (("core", "shared", "common", "utils", "helpers", "lib"), ("core", "shared", "common", "utils", "lib")),
+    (("service", "services"), ("services", "service")),
 )
 ENTRY_POINTS = ("main", "index", "app", "server")
 ELSE_ROOTS = ("src", "packages")
@@ -24,7 +24,7 @@ def predicted_globs(queries: DataFrame, extensions: tuple[str, ...]) -> DataFram
     """query, glob, place: for every row of queries(query) its distinct globs, in order."""
     low = F.lower("query")
     folders = [
-        (F.exists(F.array(*map(F.lit, words.split())), lambda w: F.contains(low, w)), names.split()) for words, names in KEYWORDS
+        (F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), names) for words, names in KEYWORDS
     ]
     some = folders[0][0]
     for hit, _ in folders[1:]:

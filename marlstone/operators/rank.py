@@ -122,9 +122,10 @@ def choose(found: DataFrame, query: str, budget: int, priors: dict[int, float] |
 
 # Words that are no symbols.
 STOP_WORDS = (
-    "the and for with from this that auth authentication token user users request response middleware handler function class "
-    "method const let return true false null undefined"
-).split()
+    "the", "and", "for", "with", "from", "this", "that", "auth", "authentication", "token", "user", "users",
+    "request", "response", "middleware", "handler", "function", "class", "method", "const", "let", "return", "true",
+    "false", "null", "undefined",
+)
 
 
 def symbol_candidates(pack: DataFrame, query: str, limit: int = 8) -> DataFrame:

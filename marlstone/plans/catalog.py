@@ -640,8 +640,8 @@ EXTENSIONS = ("py", "rs")
 
 
 def _predicted_sql() -> str:
-    words = ", ".join(f"({k}, '{w}')" for k, (ws, _) in enumerate(predict.KEYWORDS) for w in ws.split())
-    names = ", ".join(f"({k}, '**/{n}/**')" for k, (_, ns) in enumerate(predict.KEYWORDS) for n in ns.split())
+    words = ", ".join(f"({k}, '{w}')" for k, (ws, _) in enumerate(predict.KEYWORDS) for w in ws)
+    names = ", ".join(f"({k}, '**/{n}/**')" for k, (_, ns) in enumerate(predict.KEYWORDS) for n in ns)
     return f"""asked AS (SELECT * FROM (VALUES {', '.join(f"('{q}')" for q in ASKED)}) t(query)), ext AS (SELECT * FROM (VALUES {', '.join(f"('{e}')" for e in EXTENSIONS)}) t(ext)),
 words AS (SELECT * FROM (VALUES {words}) t(k, word)), names AS (SELECT * FROM (VALUES {names}) t(k, pattern)),
 hit AS (SELECT DISTINCT query, k FROM asked JOIN words ON contains(lower(query), word)),
