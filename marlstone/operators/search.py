@@ -17,13 +17,15 @@ def first(found: DataFrame, limit: int | None) -> DataFrame:
     return found if limit is None else found.orderBy(*ORDER).limit(limit)
 
 
-def _phrase(norm: Column, text: str) -> Column:
-    """Whether the tokens of a literal follow one another; never, if it has none."""
+def _phrase(text: Column, literal: str, stored: bool) -> Column:
+    """Whether the tokens of a literal follow one another; never, if it has none. Text is lower-cased, or stored tokens."""
     import unicodedata
 
-    plain = "".join(X.PLAIN[X.ACCENTED.index(c)] if c in X.ACCENTED else c for c in text.lower())
+    plain = "".join(X.PLAIN[X.ACCENTED.index(c)] if c in X.ACCENTED else c for c in literal.lower())
     words = ["".join(c) for c in _runs(plain, lambda c: unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co")]
-    return F.contains(norm, F.lit(f" {' '.join(words)} ")) if words else F.lit(False)
+    if not words:
+        return F.lit(False)
+    return F.contains(text, F.lit(f" {' '.join(words)} ")) if stored else text.rlike(X.token_pattern(words))
 
 
 def _runs(text, inside):
@@ -38,24 +40,28 @@ def _runs(text, inside):
         yield run
 
 
-def matches(norm: Column, text: str) -> Column:
-    """Terms of text: all must occur; text with any of " ( ) - * < > is one phrase."""
-    if re.search(r'["()\-*<>]', text):
-        return _phrase(norm, text)
+def matches(text: Column, asked: str, stored: bool = False) -> Column:
+    """Terms of asked: all must occur in text (lower-cased, or stored tokens); asked with any of " ( ) - * < > is one phrase."""
+    if re.search(r'["()\-*<>]', asked):
+        return _phrase(text, asked, stored)
     out = F.lit(True)
-    for word in text.split():
-        out = out & _phrase(norm, word)
-    return out if text.split() else F.lit(False)
+    for word in asked.split():
+        out = out & _phrase(text, word, stored)
+    return out if asked.split() else F.lit(False)
 
 
 def grep(nodes: DataFrame, *any_of: str, none_of: tuple[str, ...] = (), limit: int | None = 100) -> DataFrame:
-    """nodes(content, ...) that hold the terms of one of any_of and of none of none_of; one scan, whatever their number."""
-    norm = X.norm(F.col("content"))
+    """nodes(content, ...) that hold the terms of one of any_of and of none of none_of; one scan, whatever their number.
+
+    Nodes of an index hold norm_text, their tokens, which is looked into instead.
+    """
+    stored = "norm_text" in nodes.columns
+    text = F.col("norm_text") if stored else F.lower("content")
     hit = F.lit(False)
-    for text in any_of:
-        hit = hit | matches(norm, text)
-    for text in none_of:
-        hit = hit & ~matches(norm, text)
+    for asked in any_of:
+        hit = hit | matches(text, asked, stored)
+    for asked in none_of:
+        hit = hit & ~matches(text, asked, stored)
     return first(nodes.filter(hit), limit)
 
 
@@ -83,7 +89,7 @@ def code(nodes: DataFrame, symbol: str, limit: int | None = 100) -> DataFrame:
     """Code nodes of exactly that name, or, where there is none, those whose name has its terms."""
     own = nodes.filter(F.col("node_type").isin(*X.CODE_TYPES))
     exact = F.col("name_lower") == symbol.lower()
-    either = own.filter(exact | matches(X.norm(F.col("name")), symbol)).withColumn("_exact", exact)
+    either = own.filter(exact | matches(F.lower("name"), symbol)).withColumn("_exact", exact)
     some = either.agg(F.coalesce(F.bool_or("_exact"), F.lit(False)).alias("_some"))
     return first(either.join(F.broadcast(some)).filter(F.col("_exact") | ~F.col("_some")).drop("_exact", "_some"), limit)
 
