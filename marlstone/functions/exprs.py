@@ -160,3 +160,14 @@ def duration_seconds(text: str, default: int = 3600) -> int:
     """Of 30s, 5m, 1h or 2d; default for anything else."""
     m = re.fullmatch(r"(\d+)([smhd])", text.strip())
     return int(m[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[m[2]] if m else default
+
+
+def metadata_json(node_type: Column, name: Column, heading: Column, parent: Column) -> Column:
+    """What a node is, as JSON: its kind, and of name, heading and parent those that it has."""
+    kinds = F.array(*map(F.lit, NODE_TYPES))
+    return F.to_json(F.struct(F.element_at(kinds, node_type + 1).alias("kind"), name.alias("name"), heading.alias("heading"), parent.alias("parent")))
+
+
+def metadata_of(text: Column) -> Column:
+    """metadata_json() read back, as a struct."""
+    return F.from_json(text, "kind string, name string, heading string, parent string")

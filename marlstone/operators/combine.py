@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import exprs as X
 from marlstone.operators.search import HANDLE, ORDER
 
 
@@ -49,6 +50,21 @@ def summary(found: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def references_summary(refs: DataFrame, limit: int) -> DataFrame:
+    """As summary(), for references, whose tokens are those of their previews."""
+    from pyspark.sql import Window
+
+    order = ("file_path", "start_byte", "end_byte", "preview")
+    ranked = refs.select(*order).orderBy(*order).limit(2 * limit).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    kept = F.col("_n") <= limit
+    return ranked.agg(
+        F.count("*").alias("total_matches"),
+        (F.count("*") > limit).alias("truncated"),
+        F.count_if(kept).alias("returned"),
+        F.coalesce(F.sum(F.when(kept, X.token_count(F.col("preview")))), F.lit(0)).cast("long").alias("total_tokens"),
+    )
+
+
 def newest_keys(seen: DataFrame, cap: int) -> DataFrame:
     """key, first_seen of the cap keys of seen(key, at) that were inserted last; seeing a key again does not renew it."""
     once = seen.groupBy("key").agg(F.min("at").alias("first_seen"))

@@ -43,6 +43,30 @@ def auto_expand(found: DataFrame, budget: int) -> DataFrame:
     return found.join(F.broadcast(total)).withColumn("content", F.when(F.col("fit") & (F.lit(budget) > 0), F.col("content"))).drop("fit")
 
 
+def budget_expand(found: DataFrame, query: str, budget: int, priors: dict[int, float] | None = None) -> DataFrame:
+    """found with content kept for all rows if their tokens fit the budget, else for those that rank.choose() takes."""
+    from marlstone.operators.rank import choose
+
+    total = found.agg((F.coalesce(F.sum("token_count"), F.lit(0)) <= budget).alias("_fit"))
+    chosen = choose(found, query, budget, priors).select("id", "chosen")
+    kept = (F.col("_fit") | F.col("chosen")) & (F.lit(budget) > 0)
+    return found.join(chosen, "id").join(F.broadcast(total)).withColumn("content", F.when(kept, F.col("content"))).drop("_fit", "chosen")
+
+
+def expand_note(expanded: DataFrame) -> DataFrame:
+    """One row: counts of expand_summary(), auto_expanded if no row is without content, and a note where some are."""
+    total = F.coalesce(F.sum("token_count"), F.lit(0)).cast("long")
+    facts = expanded.agg(
+        F.count_if(F.col("content").isNotNull()).alias("expanded_count"),
+        F.coalesce(F.sum(F.when(F.col("content").isNotNull(), F.col("token_count"))), F.lit(0)).cast("long").alias("expanded_tokens"),
+        F.count("*").alias("handles"),
+        total.alias("total_tokens"),
+    )
+    note = F.format_string("Expanded %d/%d handles (%d/%d tokens).", "expanded_count", "handles", "expanded_tokens", "total_tokens")
+    every = F.col("expanded_count") == F.col("handles")
+    return facts.withColumn("auto_expanded", every).withColumn("note", F.when(~every, note))
+
+
 def expand_summary(expanded: DataFrame) -> DataFrame:
     """One row: handles that have content, and their tokens."""
     has = F.col("content").isNotNull()

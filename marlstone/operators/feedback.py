@@ -94,3 +94,30 @@ def answer_shape(answers: DataFrame) -> DataFrame:
     return shape.withColumn("grounded", F.col("paths") >= 3).withColumn(
         "structured", (F.col("headings") >= 3) & ((F.col("bullets") >= 5) | (F.col("fences") >= 1))
     )
+
+
+def append_events(folder: str, queries: DataFrame | None = None, handles: DataFrame | None = None, expands: DataFrame | None = None) -> None:
+    """Appends query events, the handles they returned and expansions to the tables of these names in folder.
+
+    A query event without globs is written with null, not with an empty list.
+    """
+    if queries is not None:
+        globs = F.when(F.size("predicted_globs") > 0, F.col("predicted_globs"))
+        queries.withColumn("predicted_globs", globs).write.mode("append").parquet(f"{folder}/queries")
+    if handles is not None:
+        handles.write.mode("append").parquet(f"{folder}/handles")
+    if expands is not None:
+        expands.write.mode("append").parquet(f"{folder}/expands")
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row a variant of runs(variant, tokens, duration, turns, success, grounded, structured): totals, extremes and rates."""
+    rate = lambda c: F.avg(F.col(c).cast("double")).alias(f"{c}_rate")
+    return runs.groupBy("variant").agg(
+        F.count("*").alias("runs"),
+        F.sum("tokens").cast("long").alias("tokens"),
+        F.max("duration").alias("max_duration"),
+        F.avg("duration").alias("avg_duration"),
+        F.sum("turns").cast("long").alias("turns"),
+        *map(rate, ("success", "grounded", "structured")),
+    )

@@ -38,3 +38,23 @@ def merged_summary(merged: DataFrame, local_truncated: bool, shared_truncated: b
         F.count_if(has).alias("expanded_count"),
         ((F.count_if(has) > 0) & (F.count_if(has) == F.count("*"))).alias("auto_expanded"),
     )
+
+
+def rebuild(local: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Nodes of the working copy: local without the files of dirty(path, status), and these, unless deleted, indexed again."""
+    from marlstone.operators import index
+
+    paths = dirty.select(F.col("path").alias("file_path"), "status").distinct()
+    changed = files.join(paths.filter("status <> 'deleted'").select("file_path").distinct(), "file_path", "left_semi")
+    kept = local.select(*index.NODE).join(paths.select("file_path").distinct(), "file_path", "left_anti")
+    return kept.select(*index.NODE).unionByName(index.nodes(changed))
+
+
+def drop_stale_provenance(provenance: DataFrame, shards: DataFrame) -> DataFrame:
+    """provenance(repo_id, generation, ...) without the rows of repositories whose shard has another generation now.
+
+    Local rows, which have no repository, stay, and so do those of unknown shards.
+    """
+    now = shards.select("repo_id", F.col("generation").alias("_now"))
+    moved = provenance.join(now, "repo_id").filter("NOT generation <=> _now").select("repo_id").distinct()
+    return provenance.join(moved, "repo_id", "left_anti")

@@ -1,14 +1,17 @@
-"""Files to nodes and references, line by line, in Spark expressions.
+"""Files to nodes and references.
 
 Declarations are found by the form of their line and reach to the line before the next one that is indented no deeper, so
-spans are whole lines. Strings and comments are not told apart from code.
+spans are whole lines. References are found outside strings and comments, and have spans of their own.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
@@ -28,6 +31,7 @@ DECLARATIONS = {
         (5, r"^\s*(?:export\s+)?(?:interface|type)\s+(\w+)"),
         (3, r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),
         (3, r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"),
+        (6, r"^\s+(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|with|return)\b)([\w$#]+)\s*\([^;()]*(?:\([^()]*\)[^;()]*)*\)\s*(?::[^{;=]+)?\{"),
     ),
     "go": (
         (6, r"^func\s+\([^)]*\)\s*(\w+)"),
@@ -36,26 +40,32 @@ DECLARATIONS = {
     ),
 }
 DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
-# Import statements by language, and the group of a statement that lists the imported names.
+# Import statements by language, and the groups of a statement that list the imported names.
 IMPORTS = {
-    "python": (r"(?m)^[ \t]*(?:from[ \t]+[\w.]+[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", 2),
-    "rust": (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([^;]+);", 1),
-    "javascript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", 1),
-    "typescript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", 1),
-    "go": (r"(?m)^[ \t]*import[ \t]+(\([^)]*\)|(?:[\w.]+[ \t]+)?\"[^\"]*\")", 1),
+    "python": (r"(?m)^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", (1, 2, 3)),
+    "rust": (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([^;]+);", (1,)),
+    "javascript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", (1,)),
+    "typescript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", (1,)),
+    "go": (r"(?m)^[ \t]*import[ \t]+(\([^)]*\)|(?:[\w.]+[ \t]+)?\"[^\"]*\")", (1,)),
 }
-
-
-def _names(language: Column, listed: Column) -> Column:
-    """Names in the list of an import statement: those that are imported, whatever they are called here."""
-    flat = F.regexp_replace(listed, r"[\s(){}]+", " ")
-    go = F.transform(F.regexp_extract_all(listed, F.lit(r'"([^"]*)"'), F.lit(1)), lambda x: F.element_at(F.split(x, "/"), -1))
-    # a group of Rust names stands after its path, and its paths may go on
-    rust = F.transform(F.split(F.regexp_replace(listed, r"[{}\s]+", " "), ","), lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+\w+$", ""))
-    rust = F.transform(rust, lambda x: F.element_at(F.split(F.regexp_replace(x, r"(::)?\s+", "::"), "::"), -1))
-    plain = F.transform(F.split(flat, ","), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^\*\s+as\s+", ""), r"\s+as\s+\w+$", ""))
-    found = F.when(language == "go", go).when(language == "rust", rust).otherwise(plain)
-    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x.rlike(r"^[\w.$-]+$"))
+CODE_LANGUAGES = tuple(DECLARATIONS)
+# Strings and comments by language (all others: as JavaScript), words before a parenthesis that call nothing, and
+# what stands before the name of a declaration.
+_QUOTED = r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
+_SLASHED = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+PLAIN_TEXT = {
+    "python": rf"""\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|{_QUOTED}|\#[^\n]*""",
+    "rust": rf"""{_SLASHED}|"(?:\\.|[^"\\])*"|'(?:\\[^']*|[^'\\])'""",
+    "go": rf"{_SLASHED}|`[^`]*`|{_QUOTED}",
+    "javascript": rf"{_SLASHED}|`(?:\\.|[^`\\])*`|{_QUOTED}",
+}
+NO_CALLS = (
+    "if", "for", "while", "switch", "match", "return", "catch", "func", "fn", "def", "function", "class", "and", "or", "not",
+    "in", "elif", "except", "with", "await", "yield", "lambda",
+)
+_DECLARED = r"(?:\b(?:def|fn|func|function|class|interface)\b\s*\*?\s*|^[ \t]*func\s*\([^)]*\)\s*)\Z"
+#: Bytes of the line around a reference that are shown.
+REFERENCE_PREVIEW = 200
 
 
 def _starts(texts: pd.Series) -> pd.Series:
@@ -164,14 +174,17 @@ def _nesting(indents: pd.Series, kinds: pd.Series) -> pd.Series:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Functions, methods, classes and the like of source files, with the name of the declaration they are in."""
+    """Functions, methods, classes and the like of source files, with the name of the class or type they are in.
+
+    Methods of Go have the type of their receiver."""
     ls = lines(files.withColumn("language", X.file_type(F.col("file_path"))), "language")
-    found = F.lit(None).cast("struct<node_type: int, name: string>")
+    found = F.lit(None).cast("struct<node_type: int, name: string, receiver: string>")
+    receiver = F.nullif(F.regexp_extract("text", r"^func\s+\(\s*(?:\w+\s+)?\*?\s*(\w+)", 1), F.lit(""))
     for lang, forms in DECLARATIONS.items():
         for kind, pattern in reversed(forms):
             name = F.regexp_extract("text", pattern, 1)
             hit = (F.col("language") == lang) & (name != "")
-            found = F.when(hit, F.struct(F.lit(kind).alias("node_type"), name.alias("name"))).otherwise(found)
+            found = F.when(hit, F.struct(F.lit(kind).alias("node_type"), name.alias("name"), (receiver if lang == "go" else F.lit(None).cast("string")).alias("receiver"))).otherwise(found)
     indent = F.length(F.regexp_extract("text", r"^(\s*)", 1))
     own = ls.withColumn("d", found).withColumn("indent", indent)
     # the lines of a declaration end where one no deeper starts; a closing brace may stand there alone
@@ -189,7 +202,7 @@ def declarations(files: DataFrame) -> DataFrame:
         "file_path", "language", F.col("z.ls.line").alias("line"), F.col("z.ls.start_byte").alias("start_byte"),
         F.col("z.ls.d.node_type").alias("node_type"), F.col("z.ls.d.name").alias("name"),
         F.coalesce(stop["line"] - 1, F.col("lines")).alias("line_end"), F.coalesce(stop["start_byte"] - 1, F.col("bytes")).alias("end_byte"),
-        F.get("ls", F.col("z.at.parent"))["d"]["name"].alias("parent_name"),
+        F.coalesce(F.col("z.ls.d.receiver"), F.get("ls", F.col("z.at.parent"))["d"]["name"]).alias("parent_name"),
     )
     kind = F.when((F.col("language") == "python") & (F.col("node_type") == 3) & F.col("parent_name").isNotNull(), 6).otherwise(F.col("node_type"))
     return out.select(
@@ -197,34 +210,98 @@ def declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def _imports(files: DataFrame) -> DataFrame:
-    """Imported names of files(file_path, content, language), statements over several lines among them; line: the statement's."""
-    parts = []
-    for language, (pattern, groups) in IMPORTS.items():
-        own = files.filter(F.col("language") == language)
-        statement = F.explode(F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1))).alias("statement")
-        listed = F.coalesce(*(F.nullif(F.regexp_extract("statement", pattern, g), F.lit("")) for g in range(1, groups + 1)))
-        found = own.select("file_path", "language", "content", statement).distinct().withColumn("names", _names(F.col("language"), listed))
-        before = F.substring("content", F.lit(1), F.position(F.col("statement"), F.col("content")).cast("int"))
-        line = F.size(F.split(before, "\n"))
-        parts.append(found.select("file_path", line.cast("int").alias("line"), F.explode("names").alias("name")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.select("file_path", "line", "name", F.lit(None).cast("string").alias("qualifier"), F.lit("import").alias("ref_type"))
+def _imported(text: str, language: str):
+    """name, qualifier, start and end of every imported name: those that are imported, whatever they are called here."""
+    pattern, groups = IMPORTS[language]
+    for statement in re.finditer(pattern, text):
+        for g in groups:
+            for item in re.finditer(r"[^,{}()\s][^,{}()]*" if language != "go" else r"(?:[\w.]+[ \t]+)?\"[^\"]*\"", statement[g] or ""):
+                shown = re.sub(r"^\*\s+as\s+|\s+as\s+\w+\s*$", "", item[0].strip())
+                path = shown.split('"')[1] if language == "go" else None
+                name = path.rsplit("/", 1)[-1] if path is not None else shown.rsplit("::", 1)[-1] if language == "rust" else shown
+                # a module that is named by dots alone is no name
+                if re.fullmatch(r"[\w$-][\w.$-]*", name):
+                    start = statement.start(g) + item.start()
+                    yield name, path, start, start + len(item[0].rstrip())
+
+
+def _called(text: str, language: str):
+    """name, qualifier, start and end of every call, to its closing parenthesis, outside strings and comments."""
+    skipped = PLAIN_TEXT.get(language, PLAIN_TEXT["javascript"])
+    token = re.compile(rf"(?P<skip>{skipped})|(?P<path>(?:\??\.|::)?(?:[\w$]+(?:\??\.|::))*[\w$]+)?[ \t]*(?P<open>[(\[])|(?P<close>[)\]])", re.S)
+    opened: list[tuple[int, tuple[str, str | None] | None]] = []
+    ends: dict[int, int] = {}
+    for m in token.finditer(text):
+        if m["close"]:
+            if opened:
+                start, call = opened.pop()
+                ends[m.end()] = start
+                # a body after the parentheses makes it a method, where nothing but modifiers stands before
+                if call and not (language in ("javascript", "typescript") and _is_method(text, start, m.end())):
+                    yield *call, start, m.end()
+        elif m["open"]:
+            path = m["path"] or ""
+            start, call = (m.start("path") if path else m.start("open")), None
+            before = ends.get(start)
+            parts = re.split(r"\??\.|::", path)
+            if before is not None:
+                start = before
+            line = _line_before(text, start)
+            if m["open"] == "(" and parts[-1] and parts[-1] not in NO_CALLS and not parts[-1][0].isdigit() and not re.search(_DECLARED, line):
+                cut = m.end("path") - len(parts[-1])
+                call = parts[-1], re.sub(r"(?:\??\.|::)\Z", "", text[start:cut]) or None
+            opened.append((start, call))
+
+
+def _line_before(text: str, start: int) -> str:
+    """The line up to start, its last 200 characters if it is longer."""
+    near = max(start - 200, 0)
+    return text[max(text.rfind("\n", near, start) + 1, near) : start]
+
+
+def _is_method(text: str, start: int, end: int) -> bool:
+    line = _line_before(text, start)
+    modifiers = r"[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override)[ \t]+)*\*?[ \t]*"
+    return re.fullmatch(modifiers, line) is not None and re.compile(r"\s*(?::[^{}();=]+)?\{").match(text, end) is not None
+
+
+def _references(texts: pd.Series, languages: pd.Series) -> pd.Series:
+    """All references of each file, in order of their start, with spans in bytes and the lines around them."""
+    out = []
+    for text, language in zip(texts, languages, strict=True):
+        if text is None or language not in IMPORTS:
+            out.append([])
+            continue
+        found = [(*r, "import") for r in _imported(text, language)] + [(*r, "call") for r in _called(text, language)]
+        if text.isascii():
+            at = range(len(text) + 1)
+        else:
+            sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = np.concatenate(([0], np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)))).tolist()
+        feeds = [m.start() for m in re.finditer("\n", text)]
+        rows = []
+        for name, qualifier, a, b, kind in sorted(found, key=lambda r: (r[2], r[3], r[0])):
+            first, last = bisect.bisect_left(feeds, a), bisect.bisect_left(feeds, b)
+            head, stop = feeds[first - 1] + 1 if first else 0, feeds[last] if last < len(feeds) else len(text)
+            whole = text[head : min(stop, head + REFERENCE_PREVIEW + 1)].encode("utf-8", "surrogatepass")
+            shown = re.sub(r"[ \t\n\x0b\f\r]+", " ", whole[:REFERENCE_PREVIEW].decode("utf-8", "ignore")).strip(" ")
+            rows.append(
+                {
+                    "name": name, "qualifier": qualifier, "ref_type": kind, "start_byte": at[a], "end_byte": at[b],
+                    "line_start": first + 1, "line_end": last + 1, "preview": shown + ("..." if len(whole) > REFERENCE_PREVIEW else ""),
+                }
+            )
+        out.append(rows)
+    return pd.Series(out)
 
 
 def references(files: DataFrame) -> DataFrame:
-    """Calls, line by line, and imported names of source files: name, qualifier, ref_type and the line."""
-    ls = lines(files.withColumn("language", X.file_type(F.col("file_path"))), "language").filter("language NOT IN ('other', 'markdown')")
-    imports = _imports(files.withColumn("language", X.file_type(F.col("file_path"))))
-    head = r"^\s*(?:pub\s+|export\s+|default\s+|async\s+)*(?:def|fn|func|function|class|interface|import|use|from)\b"
-    code = F.when(F.col("text").rlike(head), F.regexp_replace("text", r"^[^{:]*[{:]?", "")).otherwise(F.col("text"))
-    calls = ls.select("file_path", "line", F.explode(F.regexp_extract_all(code, F.lit(r"((?:\w+(?:\.|::))*\w+)\s*\("), F.lit(1))).alias("target"))
-    words = ("if", "for", "while", "switch", "match", "return", "catch", "func", "fn")
-    split = F.split("target", r"\.|::")
-    called = calls.select(
-        "file_path", "line", F.element_at(split, -1).alias("name"),
-        F.nullif(F.regexp_extract("target", r"^(.*?)(?:\.|::)\w+$", 1), F.lit("")).alias("qualifier"), F.lit("call").alias("ref_type"),
-    ).filter(~F.col("name").isin(*words))
-    return imports.unionByName(called)
+    """Calls and imported names of source files(file_path, content): name, qualifier, ref_type, span, lines and the text of these.
+
+    A file is read in one place, without a shuffle. A call reaches to its closing parenthesis; its qualifier is all that stands
+    before the last name. Null and empty files have none.
+    """
+    kind = "array<struct<name: string, qualifier: string, ref_type: string, start_byte: long, end_byte: long, line_start: int, line_end: int, preview: string>>"
+    language = X.file_type(F.col("file_path"))
+    own = files.filter(language.isin(*IMPORTS)).select("file_path", F.explode(F.pandas_udf(_references, kind)("content", language)).alias("r"))
+    return own.select("file_path", "r.name", F.lower("r.name").alias("name_lower"), *(f"r.{c}" for c in ("qualifier", "ref_type", "start_byte", "end_byte", "line_start", "line_end", "preview")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keywords, and the folders that a query with one of them is about.
@@ -18,6 +18,7 @@ KEYWORDS = (
 )
 ENTRY_POINTS = ("main", "index", "app", "server")
 ELSE_ROOTS = ("src", "packages")
+USUAL_EXTENSIONS = ("ts", "js", "py", "rs")
 
 
 def predicted_globs(queries: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
@@ -53,5 +54,14 @@ def first_globs(paths: DataFrame, globs: DataFrame) -> DataFrame:
     return paths.join(best, "file_path", "left")
 
 
+def extensions(glob: Column) -> Column:
+    """Extensions that a glob names: those in its braces, else the one it ends in, else the usual ones."""
+    braces = F.regexp_extract(glob, r"\{([^}]*)\}", 1)
+    last = F.regexp_extract(glob, r"(?s)^.*\*\.([^/*]*)$", 1)
+    listed = F.transform(F.split(braces, ","), lambda x: F.trim(x))
+    usual = F.array(*map(F.lit, USUAL_EXTENSIONS))
+    return F.when(glob.rlike(r"\{[^}]*\}"), listed).when(last != "", F.array(last)).otherwise(usual)
+
+
 def literal_queries(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("query"))

@@ -44,6 +44,22 @@ def scan(spark: SparkSession, root: str, glob: str = "**/*", ignored: tuple[str,
     )
 
 
+def head_commit(root: str) -> str | None:
+    """The commit that is checked out at root on the driver's disk; none if there is none."""
+    import subprocess
+
+    try:
+        done = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=30)
+    except OSError:
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None
+
+
+def save_fingerprint(dirty: DataFrame, path: str) -> None:
+    """The fingerprint of dirty, kept as a one-row table for changed_since()."""
+    fingerprint(dirty).write.mode("overwrite").parquet(path)
+
+
 def dirty_files(status: Column) -> Column:
     """Array of (path, status) in the NUL-separated porcelain v2 output of git status."""
     records = F.filter(F.split(status, "\0"), lambda r: r != "")

@@ -109,10 +109,13 @@ def test_declarations_and_references(spark):
     add = rows["a/shop.py", "add"]
     assert (add.node_type, add.parent_name, add.line_start, add.line_end) == (6, "Cart", 5, 7)
     assert rows["a/shop.py", "main"].node_type == 3 and rows["a/lib.rs", "load"].parent_name == "Config"
-    assert rows["a/main.go", "Run"].node_type == 6 and rows["a/app.ts", "go"].node_type == 3
+    assert (rows["a/main.go", "Run"].node_type, rows["a/main.go", "Run"].parent_name) == (6, "Server")
+    assert (rows["a/app.ts", "run"].node_type, rows["a/app.ts", "run"].parent_name) == (6, "App")
+    assert rows["a/app.ts", "go"].node_type == 3
     refs = {(r.file_path, r.ref_type, r.name, r.qualifier) for r in parse.references(catalog.snippet_files(spark)).collect()}
-    assert {("a/shop.py", "import", "connect", None), ("a/shop.py", "import", "os", None), ("a/lib.rs", "call", "read", "fs"), ("a/app.ts", "import", "x", None), ("a/main.go", "import", "http", None), ("a/main.go", "call", "Listen", "http")} <= refs
+    assert {("a/shop.py", "import", "connect", None), ("a/shop.py", "import", "os", None), ("a/lib.rs", "call", "read", "fs"), ("a/app.ts", "import", "x", None), ("a/main.go", "import", "http", "net/http"), ("a/main.go", "call", "Run", "newServer()"), ("a/shop.py", "call", "add", "Cart()"), ("a/shop.py", "call", "append", "self.items"), ("a/main.go", "call", "Listen", "http")} <= refs
     assert not any(t == "call" and n in ("load", "total", "Config") for _, t, n, _ in refs)
+    assert ("a/app.ts", "call", "run", None) not in refs and ("a/app.ts", "call", "run", "App") in refs
 
 
 def test_imported_names(spark):
@@ -125,11 +128,21 @@ def test_imported_names(spark):
     refs = parse.references(spark.createDataFrame(list(texts.items()), "file_path string, content string")).filter("ref_type = 'import'")
     got = {}
     for r in refs.collect():
-        got.setdefault(r.file_path, set()).add((r.name, r.line))
-    assert got["a.py"] == {("os", 1), ("sys", 1), ("c", 2), ("e", 2), ("y", 6)}
+        got.setdefault(r.file_path, set()).add((r.name, r.line_start))
+    assert got["a.py"] == {("os", 1), ("sys", 1), ("a.b", 2), ("c", 3), ("e", 4), ("x", 6), ("y", 6)}
     assert got["b.rs"] == {("HashMap", 1), ("Read", 1), ("b", 2), ("solo", 3)}
     assert got["c.js"] == {("a", 1), ("b", 1), ("d", 2), ("e", 2)}
-    assert got["d.go"] == {("http", 3), ("b", 3), ("fmt", 7)}
+    assert got["d.go"] == {("http", 4), ("b", 5), ("fmt", 7)}
+
+
+def test_reference_spans(spark):
+    text = "# f(x)\nimport os\nnäme = 'g(1)'\nx = a.b(\n    c(d[0](2)),\n)\n"
+    rows = parse.references(spark.createDataFrame([("a.py", text), ("b.py", ""), ("c.py", None), ("d.txt", "f(1)")], "file_path string, content string")).collect()
+    cut = lambda r: text.encode()[r.start_byte : r.end_byte].decode()
+    assert [(r.name, r.qualifier, cut(r), r.line_start, r.line_end) for r in rows] == [
+        ("os", None, "os", 2, 2), ("b", "a", "a.b(\n    c(d[0](2)),\n)", 4, 6), ("c", None, "c(d[0](2))", 5, 5),
+    ]
+    assert [r.preview for r in rows] == ["import os", "x = a.b( c(d[0](2)), )", "c(d[0](2)),"]
 
 
 def test_fences_are_closed_by_their_own_kind(spark):
