@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
-from marlstone.operators import combine, expand, feedback, lifecycle, overlay, parse, predict, rank, search
+from marlstone.operators import combine, expand, feedback, index, lifecycle, overlay, parse, predict, rank, search
 from marlstone.plans import sql as S
 from marlstone.sources import adapters as A
 from marlstone.streaming import feedback_stream
@@ -311,6 +311,75 @@ def enclosing_node(spark, d):
     return search.enclosing(points, nodes).select("file_path", "start_byte", "end_byte", F.col("source_id").alias("k"))
 
 
+# ---- index build
+
+INDEXED = f"""{CONVERSATIONS}, {LINES}, k AS (SELECT *, CASE WHEN line LIKE '## %' THEN 0 WHEN trim(line) = '' THEN -1 ELSE 2 END AS kind, sum(CAST(line LIKE '## %' AS INTEGER)) OVER (PARTITION BY file_path ORDER BY i) AS s FROM p),
+g AS (SELECT *, sum(CAST(kind = 0 OR kind <> before AS INTEGER)) OVER (PARTITION BY file_path ORDER BY i) AS r FROM (SELECT *, lag(kind, 1, -2) OVER (PARTITION BY file_path ORDER BY i) AS before FROM k)),
+spans AS (SELECT file_path, 0 AS node_type, CAST(min(a) AS BIGINT) AS start_byte, CAST(max(a + strlen(line)) AS BIGINT) AS end_byte, min(i) AS f, max(i) AS t, arg_min(substring(line, 4), i) AS heading, string_agg(line, chr(10) ORDER BY i) AS body FROM g WHERE s > 0 GROUP BY file_path, s
+  UNION ALL SELECT file_path, 2, CAST(min(a) AS BIGINT), CAST(max(a + strlen(line)) AS BIGINT), min(i), max(i), NULL, string_agg(line, chr(10) ORDER BY i) FROM g WHERE kind = 2 GROUP BY file_path, r),
+indexed AS (SELECT 'h' || substring(sha256(file_path || ':' || node_type || ':' || start_byte || '-' || end_byte), 1, 24) AS id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY start_byte, end_byte DESC, node_type) - 1 AS node_ord, node_type, start_byte, end_byte,
+  CAST(f AS INTEGER) AS line_start, CAST(t AS INTEGER) AS line_end, CAST((end_byte - start_byte) // 4 AS INTEGER) AS token_count, {S.preview('body')} AS preview, heading, body AS content FROM spans)"""
+
+
+def conversation_nodes(spark, d):
+    return index.nodes(conversation_files(spark, d).withColumn("content_hash", F.sha2("content", 256)))
+
+
+@query(f"WITH {INDEXED} SELECT * EXCLUDE content, sha256(content) AS content_sha, sha256({S.norm('content')}) AS norm_sha FROM indexed")
+def index_nodes(spark, d):
+    shown = ("id", "file_path", "node_ord", "node_type", "start_byte", "end_byte", "line_start", "line_end", "token_count", "preview", "heading")
+    return conversation_nodes(spark, d).select(*shown, F.sha2("content", 256).alias("content_sha"), F.sha2("norm_text", 256).alias("norm_sha"))
+
+
+@query(f"WITH {INDEXED} SELECT {S.HANDLE} FROM indexed WHERE {C('thing')} OR {C('user')}")
+def index_grep(spark, d):
+    return handles(search.grep(conversation_nodes(spark, d), "thing", "user", limit=None))
+
+
+CODE = """u AS (SELECT 'shop/' || replace(p_brand, '#', '') || '.py' AS file_path, p_partkey, 'class Part' || p_partkey || '(Base):' AS c, '    def price(self, n):' AS m, '        return ' AS h, 'shop.find' || p_size || '(n, "f(1)")' AS x, p_size FROM part),
+o AS (SELECT *, 12 + coalesce(sum(strlen(c || m || h || x) + 4) OVER w, 0) AS a, row_number() OVER w - 1 AS k, lead(1) OVER (PARTITION BY file_path ORDER BY p_partkey) IS NULL AS last FROM u WINDOW w AS (PARTITION BY file_path ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT * REPLACE (CAST(k_ AS BIGINT) AS k) FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY p_partkey) - 1 AS k_ FROM o)),
+z AS (SELECT *, CAST(a AS BIGINT) AS s, CAST(a + strlen(c) + 1 AS BIGINT) AS d, CAST(a + strlen(c || m) + 2 + strlen(h) AS BIGINT) AS r, CAST(a + strlen(c || m || h || x) + CASE WHEN last THEN 4 ELSE 3 END AS BIGINT) AS e, CAST(4 * k + CASE WHEN last THEN 6 ELSE 5 END AS INTEGER) AS l FROM q),
+cn AS (SELECT file_path, 2 * k AS node_ord, 4 AS node_type, s AS start_byte, e AS end_byte, CAST(4 * k + 2 AS INTEGER) AS line_start, l AS line_end, 'Part' || p_partkey AS name, CAST(NULL AS VARCHAR) AS parent_name, '{"kind":"class","name":"Part' || p_partkey || '"}' AS metadata FROM z
+  UNION ALL SELECT file_path, 2 * k + 1, 6, d, e, CAST(4 * k + 3 AS INTEGER), l, 'price', 'Part' || p_partkey, '{"kind":"method","name":"price","parent":"Part' || p_partkey || '"}' FROM z)"""
+
+
+def part_files(spark, d):
+    """part as Python files, one of each brand, with a class of one method and one call for every part."""
+    p = A.read(spark, d, "part")
+    unit = F.format_string('class Part%d(Base):\n    def price(self, n):\n        return shop.find%d(n, "f(1)")\n\n', "p_partkey", "p_size")
+    path = F.concat(F.lit("shop/"), F.regexp_replace("p_brand", "#", ""), F.lit(".py"))
+    f = p.groupBy(path.alias("file_path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", unit.alias("u")))).alias("us"))
+    f = f.select("file_path", F.concat(F.lit("import shop\n"), F.array_join(F.transform("us", lambda x: x.u), "")).alias("content"))
+    return f.withColumn("content_hash", F.sha2("content", 256))
+
+
+@query(f"WITH {CODE} SELECT *, 'h' || substring(sha256(file_path || ':' || node_type || ':' || start_byte || '-' || end_byte), 1, 24) AS id, CAST((end_byte - start_byte) // 4 AS INTEGER) AS token_count FROM cn")
+def index_code_nodes(spark, d):
+    shown = ("id", "file_path", "node_ord", "node_type", "start_byte", "end_byte", "line_start", "line_end", "token_count", "name", "parent_name", "metadata")
+    return index.nodes(part_files(spark, d)).select(*shown)
+
+
+@query(
+    f"""WITH {CODE} SELECT file_path, 'find' || p_size AS name, 'shop' AS qualifier, 'call' AS ref_type, r AS start_byte, CAST(r + strlen(x) AS BIGINT) AS end_byte, CAST(4 * k + 4 AS INTEGER) AS line_start, CAST(4 * k + 4 AS INTEGER) AS line_end, 'return ' || x AS preview, 'h' || substring(sha256(file_path || ':6:' || d || '-' || e), 1, 24) AS source_id FROM z
+UNION ALL SELECT DISTINCT file_path, 'shop', NULL, 'import', 7, 11, 1, 1, 'import shop', NULL FROM u"""
+)
+def index_refs(spark, d):
+    return index.build(part_files(spark, d))[1].drop("name_lower")
+
+
+@query(
+    f"""WITH {INDEXED}, c AS (SELECT DISTINCT conv_id FROM conversations) SELECT file_path, node_type, start_byte, end_byte FROM indexed JOIN c ON file_path = 'conv/' || conv_id || '.md' WHERE conv_id % 10 > 1
+UNION ALL SELECT 'conv/' || conv_id || '.md', t, s, e FROM c, (VALUES (0, 0, 10), (2, 8, 10)) v(t, s, e) WHERE conv_id % 10 = 0"""
+)
+def overlay_rebuild(spark, d):
+    c = A.read(spark, d, "conversations").select("conv_id").distinct()
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".md"))
+    dirty = c.filter("conv_id % 10 <= 1").select(path.alias("path"), F.when(F.col("conv_id") % 10 == 1, "deleted").otherwise("modified").alias("status"))
+    files = c.select(path.alias("file_path"), F.lit("## new\n\nhi").alias("content"), F.lit("new").alias("content_hash"))
+    return overlay.rebuild(conversation_nodes(spark, d), files, dirty).select("file_path", "node_type", "start_byte", "end_byte")
+
+
 # ---- ranking and evidence
 
 TEXT = "thing attion src1"
@@ -361,7 +430,14 @@ def expand_suggestions(spark, d):
     return rank.suggestions(pack, pack.filter("rank <= 2 OR rank = 5").select("id"))
 
 
-@query()
+GREEDY = f"""{S.SOURCES}, f AS (SELECT * FROM snodes WHERE {C('thing')} ORDER BY file_path, node_ord LIMIT 32), hay AS (SELECT *, lower(file_path) || ' ' || lower(preview) AS hay FROM f), scored AS (SELECT * EXCLUDE (hay), {S.score(TERMS)} AS score FROM hay),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, token_count, file_path, node_ord) AS n FROM scored),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([] AS STRUCT(p VARCHAR, a INTEGER, b INTEGER)[]) AS taken, false AS chosen
+  UNION ALL SELECT n, CASE WHEN ok THEN used + token_count ELSE used END, CASE WHEN ok THEN list_append(taken, {{'p': file_path, 'a': line_start, 'b': line_end}}) ELSE taken END, ok FROM
+  (SELECT r.n, used, taken, token_count, file_path, line_start, line_end, used + token_count <= 4000 AND len(list_filter(taken, lambda t: t.p = file_path)) < 2 AND len(list_filter(taken, lambda t: t.p = file_path AND line_start <= t.b + 2 AND t.a <= line_end + 2)) = 0 AS ok FROM walk JOIN r ON r.n = walk.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT id, file_path, node_ord, line_start, line_end, token_count, score, chosen FROM r JOIN (SELECT n, chosen FROM walk) USING (n)")
 def expand_budget_greedy(spark, d):
     found = search.grep(A.source_nodes(spark, d), "thing", limit=32)
     return rank.choose(found, TEXT, 4_000)
@@ -436,6 +512,32 @@ def auto_expand_all(spark, d):
     return expand.expand_summary(expand.auto_expand(search.grep(A.doc_nodes(spark, d), "thing", limit=20), 1_000_000))
 
 
+@query(
+    f"""WITH RECURSIVE {GREEDY}, t AS (SELECT count(*) FILTER (chosen) AS expanded_count, CAST(coalesce(sum(token_count) FILTER (chosen), 0) AS BIGINT) AS expanded_tokens, count(*) AS handles, CAST(sum(token_count) AS BIGINT) AS total_tokens FROM r JOIN (SELECT n, chosen FROM walk) USING (n))
+SELECT *, false AS auto_expanded, 'Expanded ' || expanded_count || '/' || handles || ' handles (' || expanded_tokens || '/' || total_tokens || ' tokens).' AS note FROM t"""
+)
+def expand_within_budget(spark, d):
+    return expand.expand_note(expand.budget_expand(search.grep(A.source_nodes(spark, d), "thing", limit=32), TEXT, 4_000))
+
+
+@query(
+    "WITH p AS (SELECT o_orderkey, CASE WHEN o_custkey % 6 = 5 THEN NULL ELSE o_custkey % 6 END AS repo_id, CASE WHEN o_custkey % 6 = 1 THEN o_orderkey % 2 ELSE o_custkey % 6 END AS generation FROM orders) SELECT o_orderkey FROM p WHERE coalesce(repo_id <> 2 AND (repo_id <> 1 OR NOT EXISTS (SELECT 1 FROM p WHERE repo_id = 1 AND generation <> 1)), true)"
+)
+def provenance_of_generation(spark, d):
+    repo = F.col("o_custkey") % 6
+    p = A.read(spark, d, "orders").select("o_orderkey", F.when(repo != 5, repo).alias("repo_id"), F.when(repo == 1, F.col("o_orderkey") % 2).otherwise(repo).alias("generation"))
+    shards = spark.range(4).select(F.col("id").alias("repo_id"), F.when(F.col("id") == 2, 9).otherwise(F.col("id")).alias("generation"))
+    return overlay.drop_stale_provenance(p, shards).select("o_orderkey")
+
+
+@query(
+    f"""WITH {S.REFS}, r AS (SELECT *, row_number() OVER (ORDER BY file_path, start_byte, end_byte, preview) AS n FROM refs)
+SELECT count(*) AS total_matches, count(*) > 100 AS truncated, count(*) FILTER (n <= 100) AS returned, CAST(sum(strlen(preview) // 4) FILTER (n <= 100) AS BIGINT) AS total_tokens FROM r WHERE n <= 200"""
+)
+def references_summary(spark, d):
+    return combine.references_summary(A.lineitem_refs(spark, d), 100)
+
+
 @query(
     f"WITH {S.NODES}, i AS (SELECT id, doc_id FROM nodes JOIN files USING (file_path)) SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'local' WHEN doc_id % 5 = 0 THEN 'shared' ELSE 'failed' END AS source FROM i"
 )
@@ -633,6 +735,31 @@ def prune_cap(spark, d):
     return pruned(spark, d, 500)
 
 
+@query(
+    """SELECT o_orderpriority AS variant, count(*) AS runs, CAST(sum(o_custkey) AS BIGINT) AS tokens, round(max(o_totalprice), 2) AS max_duration, round(avg(o_totalprice), 4) AS avg_duration, CAST(sum(o_custkey % 7) AS BIGINT) AS turns,
+round(avg(CAST(o_orderstatus = 'F' AS DOUBLE)), 9) AS success_rate, round(avg(CAST(o_custkey % 3 = 0 AS DOUBLE)), 9) AS grounded_rate, round(avg(CAST(o_custkey % 2 = 0 AS DOUBLE)), 9) AS structured_rate FROM orders GROUP BY 1"""
+)
+def run_summary(spark, d):
+    o, k = A.read(spark, d, "orders"), F.col("o_custkey")
+    runs = o.select(F.col("o_orderpriority").alias("variant"), k.alias("tokens"), F.col("o_totalprice").cast("double").alias("duration"), (k % 7).alias("turns"), (F.col("o_orderstatus") == "F").alias("success"), (k % 3 == 0).alias("grounded"), (k % 2 == 0).alias("structured"))
+    s = feedback.run_summary(runs)
+    places = {"max_duration": 2, "avg_duration": 4, "success_rate": 9, "grounded_rate": 9, "structured_rate": 9}
+    return s.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+@query(f"WITH {S.EVENTS} SELECT id, ts, query_text, CASE WHEN id % 5 > 0 THEN len(predicted_globs) END AS globs FROM queries")
+def feedback_append(spark, d):
+    """Query events in two runs, read back; the events of every fifth id come without globs."""
+    from marlstone.sources.state import shared_folder
+
+    folder = shared_folder(spark, "events")
+    q, h, e = A.feedback(spark, d)
+    q = q.withColumn("predicted_globs", F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("predicted_globs")))
+    feedback.append_events(folder, q.filter("id % 2 = 0"), h)
+    feedback.append_events(folder, q.filter("id % 2 = 1"), expands=e)
+    return spark.read.parquet(f"{folder}/queries").select("id", "ts", "query_text", F.when(F.col("predicted_globs").isNotNull(), F.size("predicted_globs")).cast("long").alias("globs"))
+
+
 # ---- prediction
 
 ASKED = ("how does login work", "sql migration runner", "nothing known here", "feedback handler")
@@ -673,6 +800,14 @@ def first_match_glob(spark, d):
     return predict.first_globs(A.files(spark, d).select("file_path"), globs)
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x' || p_size || ',y' WHEN 1 THEN 'z' || p_size ELSE 'ts,js,py,rs' END AS extensions FROM part")
+def glob_extensions(spark, d):
+    size = F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 3
+    glob = F.when(k == 0, F.concat(F.lit("**/*.{x"), size, F.lit(", y}"))).when(k == 1, F.concat(F.lit("src/**/*.z"), size)).otherwise("src/*.d/lib")
+    return A.read(spark, d, "part").select("p_partkey", F.array_join(predict.extensions(glob), ",").alias("extensions"))
+
+
 # ---- streaming
 
 WINDOWS = """w AS (SELECT e.*, s FROM (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type FROM events) e, unnest(range(0, 7)) AS x(s)), g AS (SELECT t - t % 86400 - s * 86400 AS window_start, event_type FROM w),

@@ -281,3 +281,46 @@ def test_enclosing_prefers_the_smallest(spark):
 
 def test_adapter_clock():
     assert adapters.NOW == 1706745600
+
+
+def test_index_update_and_search(spark, tmp_path):
+    from marlstone.operators import index
+
+    files = [
+        ("a.py", "class A:\n    def run(self):\n        go(1)\n", 5), ("b.md", "# Top\n\ntext of Ärger\n", 5), ("c.txt", "plain words", 5), ("d.py", "x = f(1)\n", 5), ("e.md", "", 5), ("f.py", None, 5),
+    ]
+    make = lambda rows: spark.createDataFrame(rows, "file_path string, content string, mtime long").withColumns({"content_hash": F.sha2("content", 256), "token_count": F.lit(1)})
+    stored = spark.createDataFrame([], "file_path string, content_hash string, mtime long, indexed_at long")
+    folder = f"file://{tmp_path}/index"
+    index.update(make(files), stored, folder, 100)
+    nodes, refs = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/refs")
+    got = {(r.file_path, r.node_type, r.name, r.parent_name) for r in nodes.collect()}
+    assert got == {("a.py", 4, "A", None), ("a.py", 6, "run", "A"), ("b.md", 0, None, None), ("b.md", 2, None, None), ("c.txt", 7, None, None), ("d.py", 7, None, None)}
+    run = nodes.filter("name = 'run'").first()
+    assert [(r.name, r.source_id) for r in refs.filter("file_path = 'a.py'").collect()] == [("go", run.id)]
+    assert {r.file_path for r in search.grep(nodes, "arger").collect()} == {"b.md"}
+    assert [r.name for r in search.definition(nodes, "RUN").collect()] == ["run"]
+    # an unchanged file is left alone, a changed one is replaced
+    seen = make(files).filter("file_path <> 'a.py'").select("file_path", "content_hash", "mtime", F.lit(90).cast("long").alias("indexed_at"))
+    done = index.update(make([("a.py", "def other():\n    pass\n", 6), *files[1:]]), seen, folder, 100)
+    assert {r.file_path for r in done.filter("action = 'index'").collect()} == {"a.py"}
+    after = spark.read.parquet(f"{folder}/nodes")
+    assert {r.name for r in after.filter("file_path = 'a.py'").collect()} == {"other"} and after.count() == 5
+    assert index.nodes(make(files).limit(0)).count() == 0
+
+
+def test_metadata_json_reads_back(spark):
+    df = spark.createDataFrame([(4, "A", None, "P"), (0, None, "Top", None)], "t int, name string, heading string, parent string")
+    rows = df.select(X.metadata_of(X.metadata_json(F.col("t"), F.col("name"), F.col("heading"), F.col("parent"))).alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in rows] == [("class", "A", None, "P"), ("section", None, "Top", None)]
+
+
+def test_head_commit_and_fingerprint(spark, tmp_path):
+    from marlstone.sources import files
+
+    assert files.head_commit(str(tmp_path)) is None
+    dirty = spark.createDataFrame([("a", 1), ("b", 2)], "path string, mtime long")
+    files.save_fingerprint(dirty, f"file://{tmp_path}/fp")
+    saved = spark.read.parquet(f"file://{tmp_path}/fp")
+    assert not files.changed_since(dirty, saved).first().changed
+    assert files.changed_since(dirty.limit(1), saved).first().changed
