@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import exprs as X
+
 # Keywords, and the folders that a query with one of them is about.
 KEYWORDS = (
     (("auth", "login", "logout", "session", "jwt", "oauth", "password", "credential"), ("auth", "login", "session", "authentication")),
@@ -47,11 +49,10 @@ def reranked(predicted: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.select("query", "glob", "score", (order - 1).alias("place"))
 
 
-def first_globs(paths: DataFrame, globs: DataFrame) -> DataFrame:
-    """paths(file_path) with first_match_glob, the first of the few globs(place, pattern) that a path fits; pattern is its regex."""
-    hits = paths.join(F.broadcast(globs), F.expr("file_path RLIKE regex"))
-    best = hits.groupBy("file_path").agg(F.min_by("pattern", "place").alias("first_match_glob"))
-    return paths.join(best, "file_path", "left")
+def first_globs(paths: DataFrame, globs: tuple[str, ...]) -> DataFrame:
+    """paths(file_path) with first_match_glob, the first of the globs of a query that a path fits; a projection, no join."""
+    hits = (F.when(X.glob_match(F.col("file_path"), g), F.lit(g)) for g in globs)
+    return paths.withColumn("first_match_glob", F.coalesce(*hits, F.lit(None).cast("string")))
 
 
 def extensions(glob: Column) -> Column:

@@ -795,9 +795,7 @@ def predict_globs_reranked(spark, d):
     f"WITH {S.FILES} SELECT file_path, CASE WHEN file_path LIKE '%/de/%' THEN '**/de/**' WHEN file_path LIKE 'src1%' THEN 'src1*/**' END AS first_match_glob FROM files"
 )
 def first_match_glob(spark, d):
-    pairs = [F.struct(F.lit(k).alias("place"), F.lit(g).alias("pattern"), F.lit(X.glob_regex(g)).alias("regex")) for k, g in enumerate(("**/de/**", "src1*/**"))]
-    globs = spark.range(1).select(F.explode(F.array(*pairs)).alias("g")).select("g.*")
-    return predict.first_globs(A.files(spark, d).select("file_path"), globs)
+    return predict.first_globs(A.files(spark, d).select("file_path"), ("**/de/**", "src1*/**"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'x' || p_size || ',y' WHEN 1 THEN 'z' || p_size ELSE 'ts,js,py,rs' END AS extensions FROM part")
@@ -826,7 +824,7 @@ def stream_feedback_available_now(spark, d):
 
     events = A.read(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    return feedback_stream.run_available(feedback_stream.windowed_rates(stream), "feedback_rates", shared_folder(spark, "feedback"))
+    return feedback_stream.run_available(feedback_stream.windowed_rates(stream), ("window_start",), shared_folder(spark, "feedback"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

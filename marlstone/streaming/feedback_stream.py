@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def windowed_rates(events: DataFrame, window: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -29,8 +30,23 @@ def recently_expanded(events: DataFrame, late: str = "1 day") -> DataFrame:
     return own.groupBy("user_id", "handle").agg(F.min("ts").alias("ts"))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """What a stream has now, as a table: one availableNow run into a memory sink."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, keys: tuple[str, ...], folder: str) -> DataFrame:
+    """What a stream of changing rows has now, as a table: one availableNow run, of which the newest row of each of keys counts.
+
+    Changed rows of a batch are written below folder, a folder for each, so a batch that is run again replaces its own; the state
+    that the watermark has closed is dropped. Another run with the same folder goes on where this one ends.
+    """
+
+    spark, rows = stream.sparkSession, f"{folder}/rows"
+    # a stream that has had nothing yet gives an empty table
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{rows}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    started = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+    started.trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    kept = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    newest = spark.read.schema(kept).parquet(rows).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*keys, "r.*")

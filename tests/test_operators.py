@@ -324,3 +324,19 @@ def test_head_commit_and_fingerprint(spark, tmp_path):
     saved = spark.read.parquet(f"file://{tmp_path}/fp")
     assert not files.changed_since(dirty, saved).first().changed
     assert files.changed_since(dirty.limit(1), saved).first().changed
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    from marlstone.streaming import feedback_stream as S
+
+    schema = "ts timestamp, event_type string"
+    row = lambda day, kind: spark.sql(f"SELECT TIMESTAMP '2024-01-0{day} 12:00:00' AS ts, '{kind}' AS event_type")
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.createDataFrame([], schema).write.parquet(source)
+    stream = lambda: S.windowed_rates(spark.readStream.schema(schema).parquet(source), "1 day", "1 day")
+    assert S.run_available(stream(), ("window_start",), folder).count() == 0
+    row(1, "view").write.mode("append").parquet(source)
+    assert [(r["views"], r["acts"]) for r in S.run_available(stream(), ("window_start",), folder).collect()] == [(1, 0)]
+    row(1, "click").union(row(2, "view")).write.mode("append").parquet(source)
+    rows = S.run_available(stream(), ("window_start",), folder).orderBy("window_start").collect()
+    assert [(r["views"], r["acts"], r["rate"]) for r in rows] == [(1, 1, 1.0), (1, 0, 0.0)]
