@@ -747,7 +747,7 @@ def run_summary(spark, d):
     return s.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
-@query(f"WITH {S.EVENTS} SELECT id, ts, query_text, CASE WHEN id % 5 > 0 THEN len(predicted_globs) END AS globs FROM queries")
+@query(f"WITH {S.EVENTS} SELECT id, ts, query_text, CASE WHEN id % 5 > 0 THEN len(predicted_globs) ELSE -1 END AS globs FROM queries")
 def feedback_append(spark, d):
     """Query events in two runs, read back; the events of every fifth id come without globs."""
     from marlstone.sources.state import shared_folder
@@ -757,7 +757,7 @@ def feedback_append(spark, d):
     q = q.withColumn("predicted_globs", F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("predicted_globs")))
     feedback.append_events(folder, q.filter("id % 2 = 0"), h)
     feedback.append_events(folder, q.filter("id % 2 = 1"), expands=e)
-    return spark.read.parquet(f"{folder}/queries").select("id", "ts", "query_text", F.when(F.col("predicted_globs").isNotNull(), F.size("predicted_globs")).cast("long").alias("globs"))
+    return spark.read.parquet(f"{folder}/queries").select("id", "ts", "query_text", F.when(F.col("predicted_globs").isNotNull(), F.size("predicted_globs")).otherwise(-1).cast("long").alias("globs"))
 
 
 # ---- prediction
