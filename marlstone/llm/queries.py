@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ball_tree, chat_format, decontaminate, html_template, langid, licenses, mixing, secrets, simhash, suffix_dedup
+from marlstone.llm import ball_tree, chat_format, decontaminate, divergence, fill_in_middle, html_template, langid, licenses, mixing, secrets, simhash
+from marlstone.llm import suffix_dedup
 from marlstone.llm.common import table
 
 
@@ -62,6 +63,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns))
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -74,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_neardup": op8_simhash_neardup,
         "op9_decontaminate": op9_decontaminate,
         "op10_chat_format": op10_chat_format,
+        "op12_divergence_audit": op12_divergence_audit,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -111,5 +122,42 @@ FROM o GROUP BY conv_id
 """
 
 
+SQL_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(d) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+kc AS (SELECT c.* FROM c JOIN k USING (lang, term)),
+s AS (SELECT g.lang, g.source, coalesce(sum(kc.n), 0) AS n FROM g LEFT JOIN kc USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(kc.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(kc.n, 0) + 1)) // (s.n + v.v)::HUGEINT AS p,
+  1 + (1000000000::HUGEINT * (k.total + 1)::HUGEINT) // (v.n + v.v)::HUGEINT AS q
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN kc USING (lang, source, term)),
+two AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(two.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 200
+"""
+
+SQL_OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+n AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:], '') AS suffix FROM n)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": SQL_OP2, "op9_decontaminate": SQL_OP9, "op10_chat_format": SQL_OP10}
+    return {
+        "op2_exact_topk": SQL_OP2,
+        "op9_decontaminate": SQL_OP9,
+        "op10_chat_format": SQL_OP10,
+        "op12_divergence_audit": SQL_OP12,
+        "op13_fill_in_middle": SQL_OP13,
+    }
