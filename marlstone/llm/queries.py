@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import ball_tree, chat_format, decontaminate, divergence, fill_in_middle, html_template, langid, licenses, mixing, secrets, simhash
-from marlstone.llm import suffix_dedup
+from marlstone.llm import suffix_dedup, toxicity
 from marlstone.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_neardup": op8_simhash_neardup,
         "op9_decontaminate": op9_decontaminate,
         "op10_chat_format": op10_chat_format,
+        "op11_toxicity": op11_toxicity,
         "op12_divergence_audit": op12_divergence_audit,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
