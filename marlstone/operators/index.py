@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
-from marlstone.operators import lifecycle, parse
+from marlstone.operators import lifecycle, parse, postings
 from marlstone.operators.search import enclosing
+from marlstone.sources.snapshots import Snapshots
+from marlstone.sources.state import written
+
+#: Folders that the nodes of a new index are dealt over, by file.
+PARTS = 64
 
 #: Columns of the nodes of an index.
 NODE = (
@@ -65,13 +70,35 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n, refs(files, n)
 
 
-def update(files: DataFrame, stored: DataFrame, folder: str, now: int, ttl: int = 3600) -> DataFrame:
-    """Indexes what of files is new or changed since stored into the tables nodes and refs of a folder; returns what was done.
+def write(index: Snapshots, n: DataFrame, r: DataFrame | None, replaced: DataFrame | None = None) -> int:
+    """Nodes, references and postings in one commit, those of replaced(file_path) dying; returns the generation."""
+    settings = index.settings() or {"buckets": postings.BUCKETS, "parts": PARTS}
+    part = F.pmod(F.crc32("file_path"), F.lit(settings["parts"])).cast("int").alias("part")
+    tables = {"nodes": n.select("*", part), "postings": postings.postings(n, settings["buckets"])}
+    if r is not None:
+        tables["refs"] = r
+    layouts = {"nodes": {"partition": "part", "order": ["part", "file_path", "node_ord"]}, "postings": postings.layout(), "refs": {}}
+    return index.commit(tables, replaced, layouts, settings)
+
+
+def update(files: DataFrame, stored: DataFrame, index: Snapshots, now: int, ttl: int = 3600) -> DataFrame:
+    """Indexes what of files is new or changed since stored into nodes, refs and postings; returns what was done.
 
-    Rows of the same files are replaced; files of which there are no more keep theirs until they are invalidated.
+    Rows of the same files are replaced; files of which there are no more keep theirs until they are invalidated. Nodes are
+    written to the shared folder first, as three tables are made of them.
     """
     planned = lifecycle.plan_index(files, stored, now, ttl)
-    n, r = build(planned.filter("action = 'index'").drop("action"))
-    lifecycle.write_replacing(n, f"{folder}/nodes")
-    lifecycle.write_replacing(r, f"{folder}/refs")
+    changed = planned.filter("action = 'index'").drop("action")
+    n = written(nodes(changed))
+    write(index, n, refs(changed, n), changed.select("file_path"))
     return planned
+
+
+def invalidate(index: Snapshots, glob: str | None = None) -> int:
+    """Drops the files that fit, or all, from nodes, refs and postings; returns how many there were."""
+    files = index.read("nodes").select("file_path").distinct()
+    gone = written(files if glob is None else files.filter(X.glob_match(F.col("file_path"), glob)))
+    n = gone.count()
+    if n:
+        index.drop(gone)
+    return n

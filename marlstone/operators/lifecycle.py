@@ -45,21 +45,3 @@ def status(files: DataFrame, now: int) -> DataFrame:
         F.max("indexed_at").alias("last_indexed"),
     )
     return facts.withColumn("age", X.humane_age(F.lit(now) - F.col("last_indexed")))
-
-
-def write_replacing(new: DataFrame, path: str, key: str = "file_path", buckets: int = 64) -> None:
-    """new written to the table at path, whose rows of the same files it replaces.
-
-    The table is partitioned by a hash of the file, and only partitions with files of new are written again.
-    """
-    spark = new.sparkSession
-    part = F.pmod(F.hash(key), F.lit(buckets)).alias("part")
-    rows = new.select("*", part)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        from marlstone.sources.state import written
-
-        touched = rows.select("part").distinct()
-        old = spark.read.parquet(path).join(F.broadcast(touched), "part", "left_semi")
-        rows = written(replace_files(old.select(*rows.columns), rows))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)

@@ -17,15 +17,22 @@ def first(found: DataFrame, limit: int | None) -> DataFrame:
     return found if limit is None else found.orderBy(*ORDER).limit(limit)
 
 
-def _phrase(text: Column, literal: str, stored: bool) -> Column:
-    """Whether the tokens of a literal follow one another; never, if it has none. Text is lower-cased, or stored tokens."""
+def words_of(literal: str) -> list[str]:
+    """The tokens of a literal."""
     import unicodedata
 
     plain = "".join(X.PLAIN[X.ACCENTED.index(c)] if c in X.ACCENTED else c for c in literal.lower())
-    words = ["".join(c) for c in _runs(plain, lambda c: unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co")]
-    if not words:
-        return F.lit(False)
-    return F.contains(text, F.lit(f" {' '.join(words)} ")) if stored else text.rlike(X.token_pattern(words))
+    return ["".join(c) for c in _runs(plain, lambda c: unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co")]
+
+
+def phrases(asked: str) -> list[list[str]] | None:
+    """The phrases, as tokens, that must all occur: one of each word, or one of all if asked has any of " ( ) - * < >.
+
+    None, as nothing can be found, where there is no token in asked or in one of its words.
+    """
+    parts = [asked] if re.search(r'["()\-*<>]', asked) else asked.split()
+    found = [words_of(p) for p in parts]
+    return found if found and all(found) else None
 
 
 def _runs(text, inside):
@@ -41,13 +48,11 @@ def _runs(text, inside):
 
 
 def matches(text: Column, asked: str, stored: bool = False) -> Column:
-    """Terms of asked: all must occur in text (lower-cased, or stored tokens); asked with any of " ( ) - * < > is one phrase."""
-    if re.search(r'["()\-*<>]', asked):
-        return _phrase(text, asked, stored)
+    """Whether text (lower-cased, or stored tokens) holds all phrases() of asked."""
     out = F.lit(True)
-    for word in asked.split():
-        out = out & _phrase(text, word, stored)
-    return out if asked.split() else F.lit(False)
+    for words in (wanted := phrases(asked)) or ():
+        out = out & (F.contains(text, F.lit(f" {' '.join(words)} ")) if stored else text.rlike(X.token_pattern(words)))
+    return out if wanted else F.lit(False)
 
 
 def grep(nodes: DataFrame, *any_of: str, none_of: tuple[str, ...] = (), limit: int | None = 100) -> DataFrame:

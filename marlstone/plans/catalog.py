@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
-from marlstone.operators import combine, expand, feedback, index, lifecycle, overlay, parse, predict, rank, search
+from marlstone.operators import combine, expand, feedback, index, lifecycle, overlay, parse, postings, predict, rank, search
 from marlstone.plans import sql as S
 from marlstone.sources import adapters as A
+from marlstone.sources.snapshots import Snapshots
+from marlstone.sources.state import shared_folder, written
 from marlstone.streaming import feedback_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,9 +334,56 @@ def index_nodes(spark, d):
     return conversation_nodes(spark, d).select(*shown, F.sha2("content", 256).alias("content_sha"), F.sha2("norm_text", 256).alias("norm_sha"))
 
 
+def stored_index(spark, nodes):
+    """A new index of nodes, in the shared folder."""
+    made = Snapshots(spark, shared_folder(spark, "index"))
+    index.write(made, nodes, None)
+    return made
+
+
 @query(f"WITH {INDEXED} SELECT {S.HANDLE} FROM indexed WHERE {C('thing')} OR {C('user')}")
 def index_grep(spark, d):
-    return handles(search.grep(conversation_nodes(spark, d), "thing", "user", limit=None))
+    return handles(postings.grep(stored_index(spark, written(conversation_nodes(spark, d))), "thing", "user", limit=None))
+
+
+@query(f"WITH {S.NODES} SELECT {S.HANDLE} FROM nodes WHERE ({C('of the')} OR ({C('thing')} AND {C('attion')})) AND NOT {C('this')} AND NOT {C('and the')} AND file_path LIKE '%/en/%' ORDER BY file_path, node_ord LIMIT 50")
+def index_phrase(spark, d):
+    """Phrases and terms, some of them excluded, from postings alone; the first fifty nodes are then looked up."""
+    of = stored_index(spark, A.doc_nodes(spark, d))
+    return handles(postings.grep(of, '"of the"', "thing attion", none_of=("this", '"and the"'), glob="*/en/*", limit=50))
+
+
+CHANGED = f"""{S.NODES}, again AS (SELECT file_path, 'thing rewritten ' || doc_id AS content FROM files WHERE doc_id % 10 = 3 AND file_path NOT LIKE 'src5/%'),
+live AS (SELECT 1 AS generation, file_path, content FROM nodes UNION ALL SELECT 2, file_path, content FROM nodes WHERE file_path NOT IN (SELECT file_path FROM again) UNION ALL SELECT 2, file_path, content FROM again),
+every AS (SELECT * FROM live UNION ALL SELECT generation + g, file_path, content FROM live, (VALUES (1), (2)) t(g) WHERE generation = 2 AND file_path NOT LIKE 'src5/%')"""
+
+
+def changed_index(spark, d):
+    """An index of documents in four generations: as they are, a tenth of them written anew, a source dropped, and compacted."""
+    made = stored_index(spark, A.doc_nodes(spark, d))
+    files = A.files(spark, d).filter("doc_id % 10 = 3 AND source <> 'src5'").withColumn("content", F.concat(F.lit("thing rewritten "), F.col("doc_id").cast("string")))
+    again = A.whole_file_nodes(files)
+    index.write(made, again, None, again)
+    index.invalidate(made, "src5/*")
+    made.compact()
+    return made
+
+
+@query(f"WITH {CHANGED} SELECT generation, file_path FROM every WHERE {C('thing')} AND NOT {C('the')}")
+def index_generations(spark, d):
+    """A search of each generation of an index that was updated, invalidated and compacted."""
+    of = changed_index(spark, d)
+    each = [postings.grep(of, "thing", none_of=("the",), limit=None, generation=g).select(F.lit(g).alias("generation"), "file_path") for g in of.generations()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+@query(f"WITH {S.NODES}, gone AS (SELECT count(*) AS n FROM nodes WHERE regexp_matches(file_path, '^src[12]/.*')) SELECT n AS files_dropped, (SELECT count(*) FROM nodes WHERE {C('the')} AND NOT regexp_matches(file_path, '^src[12]/.*')) AS found, (SELECT count(*) FROM nodes) - n AS nodes FROM gone")
+def index_invalidate(spark, d):
+    """How many files an invalidation by glob dropped from an index, and what searches and reads find after it."""
+    of = stored_index(spark, A.doc_nodes(spark, d))
+    n = index.invalidate(of, "{src1,src2}/*")
+    hits = postings.found(of, "the").agg(F.count("*").alias("found"))
+    return hits.join(of.read("nodes").agg(F.count("*").alias("nodes"))).select(F.lit(n).cast("long").alias("files_dropped"), "found", "nodes")
 
 
 CODE = """u AS (SELECT 'shop/' || replace(p_brand, '#', '') || '.py' AS file_path, p_partkey, 'class Part' || p_partkey || '(Base):' AS c, '    def price(self, n):' AS m, '        return ' AS h, 'shop.find' || p_size || '(n, "f(1)")' AS x, p_size FROM part),

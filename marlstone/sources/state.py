@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one on a single machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='marlstone-')}")
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

@@ -239,18 +239,13 @@ def test_dirty_records(spark):
     ]
 
 
-def test_file_scan_and_table_replacement(spark, tmp_path):
+def test_file_scan(spark, tmp_path):
     root = tmp_path / "tree"
     for name, text in (("src/a.py", b"x = 1\n"), ("src/b.txt", b"b"), ("bad.py", b"\xff\xfe\x00"), ("node_modules/c.py", b"c")):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(text)
     found = files.scan(spark, str(root), "**/*.py")
     assert [(r.file_path, r.content) for r in found.collect()] == [("src/a.py", "x = 1\n")]
-    out = f"file://{tmp_path}/index"
-    one = spark.createDataFrame([("a", 1), ("b", 1)], "file_path string, v int")
-    lifecycle.write_replacing(one, out, buckets=4)
-    lifecycle.write_replacing(spark.createDataFrame([("a", 2), ("c", 2)], "file_path string, v int"), out, buckets=4)
-    assert sorted((r.file_path, r.v) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 1), ("c", 2)]
 
 
 def test_feedback_examples(spark):
@@ -284,16 +279,17 @@ def test_adapter_clock():
 
 
 def test_index_update_and_search(spark, tmp_path):
-    from marlstone.operators import index
+    from marlstone.operators import index, postings
+    from marlstone.sources.snapshots import Snapshots
 
     files = [
         ("a.py", "class A:\n    def run(self):\n        go(1)\n", 5), ("b.md", "# Top\n\ntext of Ärger\n", 5), ("c.txt", "plain words", 5), ("d.py", "x = f(1)\n", 5), ("e.md", "", 5), ("f.py", None, 5),
     ]
     make = lambda rows: spark.createDataFrame(rows, "file_path string, content string, mtime long").withColumns({"content_hash": F.sha2("content", 256), "token_count": F.lit(1)})
     stored = spark.createDataFrame([], "file_path string, content_hash string, mtime long, indexed_at long")
-    folder = f"file://{tmp_path}/index"
-    index.update(make(files), stored, folder, 100)
-    nodes, refs = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/refs")
+    of = Snapshots(spark, f"file://{tmp_path}/index")
+    index.update(make(files), stored, of, 100)
+    nodes, refs = of.read("nodes"), of.read("refs")
     got = {(r.file_path, r.node_type, r.name, r.parent_name) for r in nodes.collect()}
     assert got == {("a.py", 4, "A", None), ("a.py", 6, "run", "A"), ("b.md", 0, None, None), ("b.md", 2, None, None), ("c.txt", 7, None, None), ("d.py", 7, None, None)}
     run = nodes.filter("name = 'run'").first()
@@ -302,9 +298,10 @@ def test_index_update_and_search(spark, tmp_path):
     assert [r.name for r in search.definition(nodes, "RUN").collect()] == ["run"]
     # an unchanged file is left alone, a changed one is replaced
     seen = make(files).filter("file_path <> 'a.py'").select("file_path", "content_hash", "mtime", F.lit(90).cast("long").alias("indexed_at"))
-    done = index.update(make([("a.py", "def other():\n    pass\n", 6), *files[1:]]), seen, folder, 100)
+    done = index.update(make([("a.py", "def other():\n    pass\n", 6), *files[1:]]), seen, of, 100)
     assert {r.file_path for r in done.filter("action = 'index'").collect()} == {"a.py"}
-    after = spark.read.parquet(f"{folder}/nodes")
+    after = of.read("nodes")
+    assert postings.grep(of, "go").count() == 0 and {r.name for r in postings.grep(of, "other").collect()} == {"other"}
     assert {r.name for r in after.filter("file_path = 'a.py'").collect()} == {"other"} and after.count() == 5
     assert index.nodes(make(files).limit(0)).count() == 0
 
