@@ -12,7 +12,8 @@ Copies of a text are one example. Scoring is one pass over the texts, without a
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
@@ -36,7 +37,9 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’¡¿…
 STEMS, LEVELS = (4, 5, 6, 7), (1, 2)
 #: A learned entry is in that many toxic documents, and that many standard deviations above chance; of those the best stay.
 LEAST_DOCS, LEAST_Z, MOST_ENTRIES = 3, 4.0, 500
-FOLDS = 5
+FOLDS, SAMPLE_PARTS = 5, 16
+#: Terms of several toxic documents that are looked at, the most frequent ones.
+MOST_CANDIDATES = 50_000
 #: Words from a word of address that count as near; characters that are split at once; (term, fold) pairs that a task holds.
 NEAR, PIECE, HELD = 6, 1_000_000, 400_000
 
@@ -87,96 +90,108 @@ class Lexicon:
 
     def __init__(self, entries: list[tuple[str, int, float]]):
         self.words = {t: (n, w) for t, n, w in entries if not t.endswith("*")}
-        self.stems = {k: {t[:-1]: (n, w) for t, n, w in entries if t.endswith("*") and len(t) == k + 1} for k in STEMS}
+        self.stems = {t[:-1]: (n, w) for t, n, w in entries if t.endswith("*")}
+        self.starts = frozenset(t[: STEMS[0]] for t in self.stems)
+        self.known = _FIXED | self.words.keys()
+
+
+#: Letters with other signs between them.
+_OBFUSCATED = re.compile(r"[^\W\d_](?:[\d@$!|*._-]|[^\w\s'’-])+[^\W\d_]")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
+
+
+class _Letters:
+    """Counts over the bytes of a text, piece by piece."""
+
+    def __init__(self):
+        self.each, self.doubled, self.spaced, self.stretched = np.zeros(256, np.int64), 0, 0, 0
+
+    def add(self, piece: str) -> None:
+        raw = piece.encode("utf-8", "surrogatepass")
+        b = np.frombuffer(raw, np.uint8)
+        self.each += np.bincount(b, minlength=256)
+        self.doubled += raw.count(b"!!") + raw.count(b"??") + raw.count(b"***")
+        if len(b) > 4:
+            low = b | 32
+            same = (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (low[2:] >= 97) & (low[2:] <= 122)
+            self.stretched += int(np.count_nonzero(same))
+            gap = b == 32
+            alone = gap[:-4] & gap[2:-2] & gap[4:] & ~gap[1:-3] & ~gap[3:-1]
+            self.spaced += int(np.count_nonzero(alone))
+
+    def of(self, signs: str) -> int:
+        return sum(int(self.each[ord(c)]) for c in signs)
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """FEATURES of a text; all are zero for one without a token."""
-    tokens, bytes_seen, doubled, spaced = Counter(), np.zeros(256, np.int64), 0, 0
+    tokens, letters = Counter(), _Letters()
     for piece in _pieces(text):
-        own = piece.split()
-        tokens.update(own)
-        raw = piece.encode("utf-8", "surrogatepass")
-        bytes_seen += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        doubled += raw.count(b"!!") + raw.count(b"??") + raw.count(b"***")
-        spaced += piece.count(" ") and sum(a == b == 1 for a, b in _lengths(own))
+        tokens.update(piece.split())
+        letters.add(piece)
     n = tokens.total()
     if not n:
         return [0.0] * len(FEATURES)
-    hit, evidence, distinct, fixed, hidden, letters, shouted, obfuscated, stretched, second = 0, 0.0, 0, 0, 0, 0, 0, 0, 0, 0
-    stems: Counter = Counter()
-    near, by_word = set(), defaultdict(list)
-    tails = [(k, own) for k, own in lexicon.stems.items() if own]
-    for token in tokens:
-        by_word[token.strip(PUNCTUATION).lower()].append(token)
-    for word, forms in by_word.items():
-        c = sum(tokens[t] for t in forms)
-        letters += len(word) * c
-        known = lexicon.words.get(word)
-        if known and c >= known[0]:
-            hit, evidence, distinct = hit + c, evidence + c * known[1], distinct + 1
-            near.update(forms)
-        if word in _FIXED:
-            fixed += c
-            near.update(forms)
-        if word in _ADDRESS:
-            second += c
+    words: dict[str, int] = {}
+    shouted = obfuscated = hidden = size = 0
+    hits = set()
+    for token, c in tokens.items():
+        word = token.strip(PUNCTUATION).lower()
+        words[word] = words.get(word, 0) + c
+        size += len(word) * c
+        if len(token) > 1 and token.isupper():
+            shouted += c
         if word.isalpha():
-            for k, own in tails:
-                if len(word) > k and word[:k] in own:
-                    stems[word[:k]] += c
-                    near.update(forms)
-        for t in forms:
-            if t.isalpha():
-                shouted += tokens[t] * (len(t) > 1 and t.isupper())
-                if len(t) > 4 and _stretched(t) and decoded(t) in _FIXED and word not in _FIXED:
-                    hidden += tokens[t]
-                    near.add(t)
-                stretched += tokens[t] * _stretched(t)
-            elif word and not word.isalpha() and not word.isdigit():
-                core = t.strip(".,;:!?")
-                obfuscated += tokens[t] * any(a.isalpha() and not b.isalpha() for a, b in zip(core, core[1:], strict=False))
-                plain = decoded(t)
-                if (plain in _FIXED or plain in lexicon.words) and word not in _FIXED:
-                    hidden += tokens[t]
-                    near.add(t)
-            else:
-                core = t.strip(PUNCTUATION)
-                shouted += tokens[t] * (len(core) > 1 and core.isupper())
+            if letters.stretched and len(word) > 4 and word not in _FIXED and _STRETCHED.search(word) and decoded(token) in _FIXED:
+                hidden += c
+                hits.add(word)
+        elif word and not word.isdigit() and _OBFUSCATED.search(token):
+            obfuscated += c
+            if decoded(token) in lexicon.known and word not in _FIXED:
+                hidden += c
+                hits.add(word)
+    hit, evidence, distinct = 0, 0.0, 0
+    for word in lexicon.words.keys() & words.keys():
+        least, weight = lexicon.words[word]
+        if (c := words[word]) >= least:
+            hit, evidence, distinct = hit + c, evidence + c * weight, distinct + 1
+            hits.add(word)
+    fixed = 0
+    for word in _FIXED & words.keys():
+        fixed += words[word]
+        hits.add(word)
+    stems: Counter = Counter()
+    if lexicon.stems:
+        k, starts = STEMS[0], lexicon.starts
+        for word in [w for w in words if w[:k] in starts]:
+            for m in STEMS:
+                if len(word) > m and word[:m] in lexicon.stems and word.isalpha():
+                    stems[word[:m]] += words[word]
+                    hits.add(word)
     best, best_count = 0.0, 0
     for stem, c in stems.items():
-        least, w = lexicon.stems[len(stem)][stem]
+        least, w = lexicon.stems[stem]
         if c >= least:
             best, best_count = max(best, c * w), max(best_count, c)
-    chars = max(1, int(bytes_seen.sum()))
-    upper, lower = int(bytes_seen[65:91].sum()), int(bytes_seen[97:123].sum())
-    signs = sum(int(bytes_seen[ord(c)]) for c in "#$%&*@^~|_<>")
+    second = sum(words[w] for w in _ADDRESS & words.keys())
+    near = _near(text, hits) if hits and second else 0
+    upper, lower, chars = int(letters.each[65:91].sum()), int(letters.each[97:123].sum()), max(1, int(letters.each.sum()))
     return [
         100 * hit / n, 100 * evidence / n, float(distinct), float(best_count), 100 * best / n, 100 * (best + evidence) / n,
-        100 * fixed / n, 100 * hidden / n, 100 * _near(text, near) / n if near and second else 0.0, 100 * second / n,
-        upper / max(1, upper + lower), shouted / n, int(bytes_seen[33]) / n, int(bytes_seen[63]) / n, signs / n, doubled / n,
-        int(bytes_seen[48:58].sum()) / chars, obfuscated / n, stretched / n, spaced / n, letters / n, len(by_word) / n, math.log1p(n),
+        100 * fixed / n, 100 * hidden / n, 100 * near / n, 100 * second / n,
+        upper / max(1, upper + lower), shouted / n, letters.of("!") / n, letters.of("?") / n, letters.of("#$%&*@^~|_<>") / n, letters.doubled / n,
+        letters.of("0123456789") / chars, obfuscated / n, letters.stretched / n, letters.spaced / n, size / n, len(words) / n, math.log1p(n),
         math.log1p(hit + best_count + fixed + hidden),
     ]
 
 
-def _lengths(tokens: list[str]):
-    sizes = list(map(len, tokens))
-    return zip(sizes, sizes[1:], strict=False)
-
-
-def _stretched(word: str) -> bool:
-    """Whether a letter stands three times in a row."""
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
-
-
 def _near(text: str, hits: set[str]) -> int:
-    """How many of the tokens that are hits stand at most NEAR tokens from a word of address."""
+    """How many of the words that are hits stand at most NEAR words from a word of address."""
     found = 0
     for piece in _pieces(text):
-        own = piece.split()
+        own = [t.strip(PUNCTUATION).lower() for t in piece.split()]
         at = np.array([k for k, t in enumerate(own) if t in hits])
-        to = np.array([k for k, t in enumerate(own) if t.strip(PUNCTUATION).lower() in _ADDRESS])
+        to = np.array([k for k, t in enumerate(own) if t in _ADDRESS])
         if len(at) and len(to):
             right = np.searchsorted(to, at)
             after = to[np.minimum(right, len(to) - 1)] - at
@@ -185,41 +200,49 @@ def _near(text: str, hits: set[str]) -> int:
     return found
 
 
-def _entries(batches):
-    """Rows (text, toxic, fold) to (term, level, fold, toxic documents, others, occurrences in either), summed by task."""
-    import pyarrow as pa
-
-    def emit():
-        columns = list(zip(*held, strict=True)), list(zip(*held.values(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(x) for part in columns for x in part], names="term level fold pos neg pos_n neg_n".split())
-
-    held: dict = {}
-    for batch in batches:
-        for text, toxic, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            tokens = Counter()
-            for piece in _pieces(text):
-                tokens.update(piece.split())
-            words = words_of(tokens)
-            stems = Counter()
-            for word, n in words.items():
-                if word.isalpha():
-                    for k in STEMS:
-                        if len(word) > k:
-                            stems[word[:k] + "*"] += n
-            for terms in (words, stems):
-                for term, n in terms.items():
+def _terms(text: str) -> Counter:
+    """Words of a text, and their beginnings, which end with a star."""
+    tokens = Counter()
+    for piece in _pieces(text):
+        tokens.update(piece.split())
+    found = words_of(tokens)
+    for word, n in list(found.items()):
+        if word.isalpha():
+            for k in STEMS:
+                if len(word) > k:
+                    found[word[:k] + "*"] += n
+    return found
+
+
+def _counted(fields: list[str], candidates=None):
+    """Rows (text, toxic, fold) to sums by (term, level, fold), one pair of fields, documents and occurrences, for each toxic."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def emit():
+            columns = [*zip(*held, strict=True), *zip(*held.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["term", "level", "fold", *fields])
+
+        held: dict = {}
+        for batch in batches:
+            for text, toxic, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                place = 0 if toxic else 2
+                for term, n in _terms(text).items():
                     for level in LEVELS:
-                        if n >= level:
+                        if n >= level and (candidates is None or (term, level) in candidates.value):
                             own = held.get((term, level, fold))
                             if own is None:
-                                own = held[term, level, fold] = [0, 0, 0, 0]
-                            own[0 if toxic else 1] += 1
-                            own[2 if toxic else 3] += n
-            if len(held) > HELD:
-                yield emit()
-                held = {}
-    if held:
-        yield emit()
+                                own = held[term, level, fold] = [0] * len(fields)
+                            own[place] += 1
+                            own[place + 1] += n
+                if len(held) > HELD:
+                    yield emit()
+                    held = {}
+        if held:
+            yield emit()
+
+    return run
 
 
 def lexicons(sample: DataFrame) -> list[Lexicon]:
@@ -230,9 +253,13 @@ def lexicons(sample: DataFrame) -> list[Lexicon]:
     pos, neg = docs.sum(0).tolist()
     if not pos or not neg:
         return [Lexicon([])] * (FOLDS + 1)
-    counted = sample.select(F.col("text").cast("string"), "toxic", "fold").mapInArrow(
-        _entries, "term string, level long, fold long, pos long, neg long, pos_n long, neg_n long"
-    )
+    # only what several toxic documents hold can be an entry, so nothing else is counted in the others
+    rows, key = sample.select("text", "toxic", "fold"), "term string, level long, fold long"
+    own = rows.filter("toxic = 1").mapInArrow(_counted(["pos", "pos_n"]), f"{key}, pos long, pos_n long")
+    often = own.groupBy("term", "level").agg(F.sum("pos").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    some = often.orderBy(F.desc("n"), "term", "level").limit(MOST_CANDIDATES).collect()
+    candidates = sample.sparkSession.sparkContext.broadcast(frozenset((r.term, r.level) for r in some))
+    counted = rows.mapInArrow(_counted(["pos", "pos_n", "neg", "neg_n"], candidates), f"{key}, pos long, pos_n long, neg long, neg_n long")
     sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("pos", "neg", "pos_n", "neg_n")]
     total = lambda c: sum((F.col(f"{c}{f}") for f in range(1, FOLDS)), F.col(f"{c}0"))
     seen, share = total("pos") + total("neg"), pos / (pos + neg)
@@ -301,7 +328,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, rounds: in
     named = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(chosen, "doc_id")
     # copies of a text are one example, and fall into one fold
     own = named.select("text", "toxic", F.xxhash64("text").alias("h")).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    sample = cut(own.select("text", "toxic", "h", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold")))
+    # a bounded sample: in few partitions, so that what their tasks count is small
+    sample = cut(own.select("text", "toxic", "h", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"))).coalesce(SAMPLE_PARTS)
     kinds = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(kinds) < 2:
         return Scorer(None, None, None, float(kinds.get(1, 0) > 0))
