@@ -37,7 +37,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’¡¿…
 STEMS, LEVELS = (4, 5, 6, 7), (1, 2)
 #: A learned entry is in that many toxic documents, and that many standard deviations above chance; of those the best stay.
 LEAST_DOCS, LEAST_Z, MOST_ENTRIES = 3, 4.0, 500
-FOLDS, SAMPLE_PARTS = 5, 16
+FOLDS, SAMPLE_PARTS, GROW_PARTS = 5, 16, 4
 #: Terms of several toxic documents that are looked at, the most frequent ones.
 MOST_CANDIDATES = 50_000
 #: Words from a word of address that count as near; characters that are split at once; (term, fold) pairs that a task holds.
@@ -312,7 +312,7 @@ def _judged(trees, rows: DataFrame, carry: list[str]) -> DataFrame:
     return trees.transform(rows).select(*carry, vector_to_array("probability")[1].alias("margin"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, rounds: int = 20, depth: int = 3, seed: int = 42) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, rounds: int = 12, depth: int = 3, seed: int = 42) -> Scorer:
     """The scorer of docs(doc_id, text) by labels(doc_id, toxic), from rows that are not held out.
 
     About max_docs labelled documents are taken, all if there are no more, by a hash of their id. A document that is labelled
@@ -340,8 +340,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, rounds: in
         made = made.union(part)
     rows = made.select("h", F.col("toxic").cast("double").alias("toxic"), "features", F.pmod(F.shiftright("h", 20), F.lit(2)).alias("half"))
     # a bounded sample: few partitions, in one order, so that reruns agree
-    rows = cut(rows.repartitionByRange(4, "h").sortWithinPartitions("h"))
-    grow = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=3, seed=seed)
+    rows = cut(rows.repartitionByRange(GROW_PARTS, "h").sortWithinPartitions("h")).coalesce(GROW_PARTS)
+    grow = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=3, seed=seed)
     seen = None
     for half in range(2):
         learned, other = rows.filter(F.col("half") != half), rows.filter(F.col("half") == half)
@@ -349,7 +349,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, rounds: in
             judged = _judged(grow.fit(learned), other, ["toxic"])
             seen = judged if seen is None else seen.union(judged)
     trees = grow.fit(rows)
-    seen = cut(seen if seen is not None else _judged(trees, rows, ["toxic"]))
+    seen = cut(seen if seen is not None else _judged(trees, rows, ["toxic"])).coalesce(GROW_PARTS)
     calibration = IsotonicRegression(labelCol="toxic", featuresCol="margin", predictionCol="score").fit(seen)
     return Scorer(found[FOLDS], trees, calibration)
 
