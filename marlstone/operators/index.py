@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
@@ -28,35 +29,49 @@ def _spans(files: DataFrame, threshold: int) -> DataFrame:
     none = F.lit(None).cast("string")
     is_code = F.col("_language").isin(*parse.CODE_LANGUAGES)
     text = parse.markdown(f.filter("_language = 'markdown'")).withColumns({"name": none, "parent_name": none})
-    code = parse.declarations(f.filter(is_code)).withColumn("heading", none)
+    code = parse.declarations(f.filter(is_code))
     bare = f.filter("_language <> 'markdown'").join(code.select("file_path").distinct(), "file_path", "left_anti")
     rest = parse.chunks(bare.drop("_language"), threshold=threshold).withColumns({"node_type": F.lit(7), "name": none, "heading": none, "parent_name": none})
     return text.select(columns).unionByName(code.select(columns)).unionByName(rest.select(columns))
 
 
+def _slices(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Of each text, the bytes of each span, cut inwards to whole characters."""
+    out = []
+    for text, a, b in zip(texts, starts, ends, strict=True):
+        raw = text.encode("utf-8", "surrogatepass")
+        out.append([raw[i:j].decode("utf-8", "ignore") for i, j in zip(a, b, strict=True)])
+    return pd.Series(out)
+
+
 def nodes(files: DataFrame, threshold: int = 1_000_000) -> DataFrame:
     """Nodes of files(file_path, content, content_hash), in the columns NODE; a file's nodes are numbered by their place.
 
-    Texts meet their spans once, by file. Null and empty files have no nodes; files longer than threshold bytes, of no known
-    form, are cut into chunks. Tokens are stored with the nodes, so that a search need not make them.
+    A file meets its spans once, and all their texts are cut in one pass over it. Null and empty files have no nodes; files
+    longer than threshold bytes, of no known form, are cut into chunks. Tokens are stored with the nodes, so that a search need
+    not make them.
     """
     spans = _spans(files.filter("content IS NOT NULL"), threshold)
-    order = Window.partitionBy("file_path").orderBy("start_byte", F.desc("end_byte"), "node_type")
-    at = spans.withColumn("node_ord", F.row_number().over(order).cast("long") - 1)
-    own = at.join(files.select("file_path", "content", F.col("content_hash").alias("indexed_hash")), "file_path")
-    start, end = F.col("start_byte"), F.col("end_byte")
-    text = X.byte_slice(F.col("content"), start, end)
-    whole = own.withColumns(
+    place = F.struct("start_byte", (-F.col("end_byte")).alias("_back"), "node_type", "end_byte", "line_start", "line_end", "name", "heading", "parent_name")
+    by_file = spans.groupBy("file_path").agg(F.array_sort(F.collect_list(place)).alias("_spans"))
+    whole = by_file.join(files.select("file_path", "content", F.col("content_hash").alias("indexed_hash")), "file_path")
+    texts = F.pandas_udf(_slices, "array<string>")("content", F.col("_spans.start_byte"), F.col("_spans.end_byte"))
+    cut = whole.select("file_path", "indexed_hash", "_spans", texts.alias("_texts"))
+    each = cut.select("file_path", "indexed_hash", F.posexplode(F.arrays_zip("_spans", "_texts")).alias("node_ord", "_z"))
+    fields = ("start_byte", "end_byte", "node_type", "line_start", "line_end", "name", "heading", "parent_name")
+    own = each.select("file_path", "indexed_hash", F.col("node_ord").cast("long"), F.col("_z._texts").alias("content"), *(f"_z._spans.{c}" for c in fields))
+    start, end, zero = F.col("start_byte"), F.col("end_byte"), F.lit(0).cast("long")
+    return own.withColumns(
         {
             "id": X.handle_id(F.col("file_path"), F.col("node_type"), start, end),
-            "preview": X.preview(F.col("content"), start, end),
+            "preview": X.preview(F.col("content"), zero, end - start),
             "token_count": F.floor((end - start) / 4).cast("int"),
             "name_lower": F.lower("name"),
             "parent_name_lower": F.lower("parent_name"),
             "metadata": X.metadata_json(F.col("node_type"), F.col("name"), F.col("heading"), F.col("parent_name")),
+            "norm_text": X.norm(F.col("content")),
         }
-    )
-    return whole.withColumn("content", text).withColumn("norm_text", X.norm(F.col("content"))).select(*NODE)
+    ).select(*NODE)
 
 
 def refs(files: DataFrame, of: DataFrame) -> DataFrame:

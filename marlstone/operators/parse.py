@@ -1,8 +1,4 @@
-"""Files to nodes and references.
-
-Declarations are found by the form of their line and reach to the line before the next one that is indented no deeper, so
-spans are whole lines. References are found outside strings and comments, and have spans of their own.
-"""
+"""Files to nodes and references: lines and chunks in Spark, blocks of markdown and code read file by file in Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,59 +7,13 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
+from marlstone.operators import blocks, lexer, scopes
 
-# Forms of a declaration by language: node type, and a pattern whose group is the name.
-DECLARATIONS = {
-    "python": ((4, r"^\s*class\s+(\w+)"), (3, r"^\s*(?:async\s+)?def\s+(\w+)")),
-    "rust": (
-        (5, r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)"),
-        (5, r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)"),
-        (4, r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"),
-        (0, r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*\{"),
-        (3, r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"),
-    ),
-    "javascript": (
-        (4, r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
-        (5, r"^\s*(?:export\s+)?(?:interface|type)\s+(\w+)"),
-        (3, r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"),
-        (3, r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"),
-        (6, r"^\s+(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|with|return)\b)([\w$#]+)\s*\([^;()]*(?:\([^()]*\)[^;()]*)*\)\s*(?::[^{;=]+)?\{"),
-    ),
-    "go": (
-        (6, r"^func\s+\([^)]*\)\s*(\w+)"),
-        (3, r"^func\s+(\w+)"),
-        (5, r"^type\s+(\w+)\s"),
-    ),
-}
-DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
-# Import statements by language, and the groups of a statement that list the imported names.
-IMPORTS = {
-    "python": (r"(?m)^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", (1, 2, 3)),
-    "rust": (r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([^;]+);", (1,)),
-    "javascript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", (1,)),
-    "typescript": (r"(?m)^[ \t]*import[ \t]+(?:type[ \t]+)?([^;'\"]+?)\s+from\s+['\"]", (1,)),
-    "go": (r"(?m)^[ \t]*import[ \t]+(\([^)]*\)|(?:[\w.]+[ \t]+)?\"[^\"]*\")", (1,)),
-}
-CODE_LANGUAGES = tuple(DECLARATIONS)
-# Strings and comments by language (all others: as JavaScript), words before a parenthesis that call nothing, and
-# what stands before the name of a declaration.
-_QUOTED = r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
-_SLASHED = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
-PLAIN_TEXT = {
-    "python": rf"""\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|{_QUOTED}|\#[^\n]*""",
-    "rust": rf"""{_SLASHED}|"(?:\\.|[^"\\])*"|'(?:\\[^']*|[^'\\])'""",
-    "go": rf"{_SLASHED}|`[^`]*`|{_QUOTED}",
-    "javascript": rf"{_SLASHED}|`(?:\\.|[^`\\])*`|{_QUOTED}",
-}
-NO_CALLS = (
-    "if", "for", "while", "switch", "match", "return", "catch", "func", "fn", "def", "function", "class", "and", "or", "not",
-    "in", "elif", "except", "with", "await", "yield", "lambda",
-)
-_DECLARED = r"(?:\b(?:def|fn|func|function|class|interface)\b\s*\*?\s*|^[ \t]*func\s*\([^)]*\)\s*)\Z"
+CODE_LANGUAGES = lexer.LANGUAGES
 #: Bytes of the line around a reference that are shown.
 REFERENCE_PREVIEW = 200
 
@@ -103,184 +53,70 @@ def chunks(files: DataFrame, chunk_lines: int = 50, overlap: int = 10, threshold
     return every.withColumn("id", X.handle_id(F.col("file_path"), F.lit(7), F.col("start_byte"), F.col("end_byte")))
 
 
-def markdown(files: DataFrame) -> DataFrame:
-    """Sections (a heading to the next one of any level), fenced code blocks and paragraphs of files(file_path, content).
+def _byte_places(text: str):
+    """The byte that each character starts at, and the end."""
+    if text.isascii():
+        return range(len(text) + 1)
+    sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)))).tolist()
 
-    Headings are one to six # and a space. Fences are three backticks or tildes, closed by the same or by the file's end.
-    """
-    ls = lines(files)
-    order = Window.partitionBy("file_path").orderBy("line")
-    fence = F.regexp_extract("text", r"^ {0,3}(```|~~~)", 1)
-    # a fence is closed by the next one of its kind, so the state after each is found in order, over a file's fences only
-    each = ls.filter(fence != "").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line", fence.alias("kind")))).alias("all"))
-    none = F.lit(None).cast("string")
-    state = F.aggregate(
-        "all",
-        F.struct(none.alias("open"), F.array().cast("array<int>").alias("kept")),
-        lambda s, f: F.struct(
-            F.when(s["open"].isNull(), f["kind"]).when(s["open"] == f["kind"], none).otherwise(s["open"]).alias("open"),
-            F.when(s["open"].isNull() | (s["open"] == f["kind"]), F.concat(s["kept"], F.array(f["line"]))).otherwise(s["kept"]).alias("kept"),
-        ),
-    )
-    real = each.select("file_path", F.explode(state["kept"]).alias("line"), F.lit(True).alias("is_fence"))
-    ls = ls.join(real, ["file_path", "line"], "left").withColumn("is_fence", F.coalesce("is_fence", F.lit(False)))
-    marked = ls.withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(order))
-    inside = F.when(F.col("is_fence"), True).otherwise(F.col("fences") % 2 == 1)
-    heading = F.col("text").rlike(r"^ {0,3}#{1,6}(\s|$)") & ~inside
-    blank = (F.trim("text") == "") & ~inside
-    kind = F.when(inside, 1).when(heading, 0).when(blank, -1).otherwise(2)
-    block_no = F.when(F.col("is_fence"), F.ceil(F.col("fences") / 2)).otherwise(F.col("fences") / 2 + 0.5).cast("long")
-    marked = marked.withColumn("kind", kind).withColumn("block", F.when(kind == 1, block_no))
-    marked = marked.withColumn("new", (F.col("kind") != F.lag("kind", 1, -2).over(order)) | (F.col("kind") == 0))
-    marked = marked.withColumn("run", F.sum(F.col("new").cast("int")).over(order)).withColumn(
-        "section", F.sum((F.col("kind") == 0).cast("int")).over(order)
-    )
-    common = [F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.min("line").cast("int").alias("line_start"), F.max("line").cast("int").alias("line_end")]
-    title = F.trim(F.regexp_replace(F.regexp_replace("text", r"^ {0,3}#{1,6}\s*", ""), r"\s#+\s*$", ""))
-    sections = (
-        marked.filter("section > 0")
-        .groupBy("file_path", "section")
-        .agg(*common, F.min_by(title, "line").alias("heading"))
-        .select("file_path", F.lit(0).alias("node_type"), "start_byte", "end_byte", "line_start", "line_end", "heading")
-    )
-    info = F.nullif(F.regexp_extract("text", r"^ {0,3}(?:```|~~~)\s*(\w*)", 1), F.lit(""))
-    code = (
-        marked.filter("kind = 1")
-        .groupBy("file_path", "block")
-        .agg(*common, F.min_by(info, "line").alias("heading"))
-        .select("file_path", F.lit(1).alias("node_type"), "start_byte", "end_byte", "line_start", "line_end", "heading")
-    )
-    paragraphs = (
-        marked.filter("kind = 2")
-        .groupBy("file_path", "run")
-        .agg(*common)
-        .select("file_path", F.lit(2).alias("node_type"), "start_byte", "end_byte", "line_start", "line_end", F.lit(None).cast("string").alias("heading"))
-    )
-    return sections.unionByName(code).unionByName(paragraphs)
+
+_SPAN = "node_type: int, name: string, heading: string, parent_name: string, start_byte: long, end_byte: long, line_start: int, line_end: int"
 
 
-def _nesting(indents: pd.Series, kinds: pd.Series) -> pd.Series:
-    """For each line: the next one indented no deeper, and the class or type around it (-1: none), by a stack of open lines."""
+def _blocks(texts: pd.Series) -> pd.Series:
     out = []
-    for indent, kind in zip(indents, kinds, strict=True):
-        stop, parent, opened = [len(indent)] * len(indent), [-1] * len(indent), []
-        for k, depth in enumerate(indent):
-            while opened and indent[opened[-1]] >= depth:
-                stop[opened.pop()] = k
-            parent[k] = next((j for j in reversed(opened) if kind[j] in (4, 5)), -1)
-            opened.append(k)
-        out.append([{"stop": s, "parent": p} for s, p in zip(stop, parent, strict=True)])
+    for text in texts:
+        at = _byte_places(text or "")
+        out.append([(b.node_type, None, b.heading, None, at[b.start], at[b.end], b.line_start, b.line_end) for b in blocks.blocks(text)] if text else [])
     return pd.Series(out)
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """Functions, methods, classes and the like of source files, with the name of the class or type they are in.
-
-    Methods of Go have the type of their receiver."""
-    ls = lines(files.withColumn("language", X.file_type(F.col("file_path"))), "language")
-    found = F.lit(None).cast("struct<node_type: int, name: string, receiver: string>")
-    receiver = F.nullif(F.regexp_extract("text", r"^func\s+\(\s*(?:\w+\s+)?\*?\s*(\w+)", 1), F.lit(""))
-    for lang, forms in DECLARATIONS.items():
-        for kind, pattern in reversed(forms):
-            name = F.regexp_extract("text", pattern, 1)
-            hit = (F.col("language") == lang) & (name != "")
-            found = F.when(hit, F.struct(F.lit(kind).alias("node_type"), name.alias("name"), (receiver if lang == "go" else F.lit(None).cast("string")).alias("receiver"))).otherwise(found)
-    indent = F.length(F.regexp_extract("text", r"^(\s*)", 1))
-    own = ls.withColumn("d", found).withColumn("indent", indent)
-    # the lines of a declaration end where one no deeper starts; a closing brace may stand there alone
-    counts = (F.trim("text") != "") & ~F.col("text").rlike(r"^\s*[})\]]")
-    by_file = own.groupBy("file_path", "language").agg(
-        F.array_sort(F.collect_list(F.when(counts, F.struct("line", "start_byte", "indent", "d")))).alias("ls"),
-        F.max("line").alias("lines"),
-        F.max("end_byte").alias("bytes"),
-    )
-    nesting = F.pandas_udf(_nesting, "array<struct<stop: int, parent: int>>")
-    nested = by_file.withColumn("at", nesting(F.transform("ls", lambda x: x.indent), F.transform("ls", lambda x: F.coalesce(x.d.node_type, F.lit(-1)))))
-    each = nested.select("*", F.posexplode(F.arrays_zip("ls", "at")).alias("pos", "z")).filter("z.ls.d IS NOT NULL")
-    stop = F.get("ls", F.col("z.at.stop"))
-    out = each.select(
-        "file_path", "language", F.col("z.ls.line").alias("line"), F.col("z.ls.start_byte").alias("start_byte"),
-        F.col("z.ls.d.node_type").alias("node_type"), F.col("z.ls.d.name").alias("name"),
-        F.coalesce(stop["line"] - 1, F.col("lines")).alias("line_end"), F.coalesce(stop["start_byte"] - 1, F.col("bytes")).alias("end_byte"),
-        F.coalesce(F.col("z.ls.d.receiver"), F.get("ls", F.col("z.at.parent"))["d"]["name"]).alias("parent_name"),
-    )
-    kind = F.when((F.col("language") == "python") & (F.col("node_type") == 3) & F.col("parent_name").isNotNull(), 6).otherwise(F.col("node_type"))
-    return out.select(
-        "file_path", kind.alias("node_type"), "name", "parent_name", "start_byte", "end_byte", F.col("line").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end")
-    )
-
-
-def _imported(text: str, language: str):
-    """name, qualifier, start and end of every imported name: those that are imported, whatever they are called here."""
-    pattern, groups = IMPORTS[language]
-    for statement in re.finditer(pattern, text):
-        for g in groups:
-            for item in re.finditer(r"[^,{}()\s][^,{}()]*" if language != "go" else r"(?:[\w.]+[ \t]+)?\"[^\"]*\"", statement[g] or ""):
-                shown = re.sub(r"^\*\s+as\s+|\s+as\s+\w+\s*$", "", item[0].strip())
-                path = shown.split('"')[1] if language == "go" else None
-                name = path.rsplit("/", 1)[-1] if path is not None else shown.rsplit("::", 1)[-1] if language == "rust" else shown
-                # a module that is named by dots alone is no name
-                if re.fullmatch(r"[\w$-][\w.$-]*", name):
-                    start = statement.start(g) + item.start()
-                    yield name, path, start, start + len(item[0].rstrip())
+def markdown(files: DataFrame) -> DataFrame:
+    """Sections (a heading to the next one of any level), code blocks and paragraphs of files(file_path, content), see blocks.
 
+    A file is read in one place, without a shuffle. The heading of a code block is the language that its fence names.
+    """
+    own = files.select("file_path", F.explode(F.pandas_udf(_blocks, f"array<struct<{_SPAN}>>")("content")).alias("r"))
+    return own.select("file_path", *(f"r.{c}" for c in ("node_type", "start_byte", "end_byte", "line_start", "line_end", "heading")))
 
-def _called(text: str, language: str):
-    """name, qualifier, start and end of every call, to its closing parenthesis, outside strings and comments."""
-    skipped = PLAIN_TEXT.get(language, PLAIN_TEXT["javascript"])
-    token = re.compile(rf"(?P<skip>{skipped})|(?P<path>(?:\??\.|::)?(?:[\w$]+(?:\??\.|::))*[\w$]+)?[ \t]*(?P<open>[(\[])|(?P<close>[)\]])", re.S)
-    opened: list[tuple[int, tuple[str, str | None] | None]] = []
-    ends: dict[int, int] = {}
-    for m in token.finditer(text):
-        if m["close"]:
-            if opened:
-                start, call = opened.pop()
-                ends[m.end()] = start
-                # a body after the parentheses makes it a method, where nothing but modifiers stands before
-                if call and not (language in ("javascript", "typescript") and _is_method(text, start, m.end())):
-                    yield *call, start, m.end()
-        elif m["open"]:
-            path = m["path"] or ""
-            start, call = (m.start("path") if path else m.start("open")), None
-            before = ends.get(start)
-            parts = re.split(r"\??\.|::", path)
-            if before is not None:
-                start = before
-            line = _line_before(text, start)
-            if m["open"] == "(" and parts[-1] and parts[-1] not in NO_CALLS and not parts[-1][0].isdigit() and not re.search(_DECLARED, line):
-                cut = m.end("path") - len(parts[-1])
-                call = parts[-1], re.sub(r"(?:\??\.|::)\Z", "", text[start:cut]) or None
-            opened.append((start, call))
 
+def _declared(texts: pd.Series, languages: pd.Series) -> pd.Series:
+    out = []
+    for text, language in zip(texts, languages, strict=True):
+        if not text or language not in CODE_LANGUAGES:
+            out.append([])
+            continue
+        at, feeds = _byte_places(text), [m.start() for m in re.finditer("\n", text)]
+        line = lambda place: bisect.bisect_left(feeds, place) + 1  # noqa: B023, E731
+        found = scopes.declarations(text, language)
+        out.append([(d.node_type, d.name, d.heading, d.parent, at[d.start], at[d.end], line(d.start), line(d.end)) for d in found])
+    return pd.Series(out)
 
-def _line_before(text: str, start: int) -> str:
-    """The line up to start, its last 200 characters if it is longer."""
-    near = max(start - 200, 0)
-    return text[max(text.rfind("\n", near, start) + 1, near) : start]
 
+def declarations(files: DataFrame) -> DataFrame:
+    """Functions, methods, classes and the like of source files(file_path, content), with the class or type they are in, see scopes.
 
-def _is_method(text: str, start: int, end: int) -> bool:
-    line = _line_before(text, start)
-    modifiers = r"[ \t]*(?:(?:static|async|get|set|public|private|protected|readonly|override)[ \t]+)*\*?[ \t]*"
-    return re.fullmatch(modifiers, line) is not None and re.compile(r"\s*(?::[^{}();=]+)?\{").match(text, end) is not None
+    A file is read in one place, without a shuffle. Methods of Go have the type of their receiver; a module of Rust has a
+    heading, no name. Null and empty files have none.
+    """
+    kind = f"array<struct<{_SPAN}>>"
+    language = X.file_type(F.col("file_path"))
+    own = files.filter(language.isin(*CODE_LANGUAGES)).select("file_path", F.explode(F.pandas_udf(_declared, kind)("content", language)).alias("r"))
+    return own.select("file_path", *(f"r.{c}" for c in ("node_type", "name", "heading", "parent_name", "start_byte", "end_byte", "line_start", "line_end")))
 
 
 def _references(texts: pd.Series, languages: pd.Series) -> pd.Series:
     """All references of each file, in order of their start, with spans in bytes and the lines around them."""
     out = []
     for text, language in zip(texts, languages, strict=True):
-        if text is None or language not in IMPORTS:
+        if not text or language not in CODE_LANGUAGES:
             out.append([])
             continue
-        found = [(*r, "import") for r in _imported(text, language)] + [(*r, "call") for r in _called(text, language)]
-        if text.isascii():
-            at = range(len(text) + 1)
-        else:
-            sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            at = np.concatenate(([0], np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)))).tolist()
+        at = _byte_places(text)
         feeds = [m.start() for m in re.finditer("\n", text)]
         rows = []
-        for name, qualifier, a, b, kind in sorted(found, key=lambda r: (r[2], r[3], r[0])):
+        for name, qualifier, a, b, kind in scopes.references(text, language):
             first, last = bisect.bisect_left(feeds, a), bisect.bisect_left(feeds, b)
             head, stop = feeds[first - 1] + 1 if first else 0, feeds[last] if last < len(feeds) else len(text)
             whole = text[head : min(stop, head + REFERENCE_PREVIEW + 1)].encode("utf-8", "surrogatepass")
@@ -303,5 +139,5 @@ def references(files: DataFrame) -> DataFrame:
     """
     kind = "array<struct<name: string, qualifier: string, ref_type: string, start_byte: long, end_byte: long, line_start: int, line_end: int, preview: string>>"
     language = X.file_type(F.col("file_path"))
-    own = files.filter(language.isin(*IMPORTS)).select("file_path", F.explode(F.pandas_udf(_references, kind)("content", language)).alias("r"))
+    own = files.filter(language.isin(*CODE_LANGUAGES)).select("file_path", F.explode(F.pandas_udf(_references, kind)("content", language)).alias("r"))
     return own.select("file_path", "r.name", F.lower("r.name").alias("name_lower"), *(f"r.{c}" for c in ("qualifier", "ref_type", "start_byte", "end_byte", "line_start", "line_end", "preview")))

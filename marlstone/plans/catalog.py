@@ -270,27 +270,95 @@ def section_like(spark, d):
     return search.sections(nodes, "User%2").select("file_path", "start_byte", "heading")
 
 
-SNIPPETS = (
-    ("a/shop.py", "import os\nfrom shop.db import connect\n\nclass Cart:\n    def add(self, item):\n        self.items.append(item)\n\n    def total(self):\n        return sum(i.price for i in self.items)\n\ndef main():\n    Cart().add(1)\n"),
-    ("a/lib.rs", "use std::fs;\n\npub struct Config {\n    name: String,\n}\n\nimpl Config {\n    pub fn load(path: &str) -> Config {\n        parse(fs::read(path))\n    }\n}\n\nfn helper() {}\n"),
-    ("a/app.ts", "import x from 'lib';\nexport class App {\n  run() {\n    start(x);\n  }\n}\nexport const go = async () => {\n  App.run();\n}\n"),
-    ("a/main.go", "package main\n\nimport \"net/http\"\n\ntype Server struct {\n\tport int\n}\n\nfunc (s *Server) Run() {\n\thttp.Listen(s.port)\n}\n\nfunc main() {\n\tnewServer().Run()\n}\n"),
+# One source file of each language for every part; {k} is its key, {s} its size.
+SHAPES = {
+    "py": "\'\'\'\nimport doc\ndef doc(): pass\n\'\'\'\nfrom a.b import c as d\nclass P{k}(Base):\n    x = f(1)\n    @deco\n    async def run(self): return self.find{s}(\n        \"g(1)\")\n\n    def end(self):\n        def inner():\n            pass\n\n# done\n",
+    "rs": "use std::collections::{HashMap, io::Read};\n// fn no() {}\npub(crate) struct P{k}<T>(T);\nimpl<T: Clone> Show for P{k}<T> { pub unsafe extern \"C\" fn run(&self) -> u32 { println!(\"{}\", no(1)); a::b::find{s}::<T>(\"g(1)\") } }\npub trait Named { fn name(&self); fn twice(&self) { self.name() } }\nmod m{k} {}\n",
+    "ts": "import e, {a, b as c} from 'lib';\n/*\nimport {no} from 'y'\n*/\nexport class P{k}<T> extends Q<{x: T}> {\n  async run<U>(a: U): Promise<void> { return this.find{s}(/[(\"]/, new Foo(1)); }\n  go = (x: number): number => twice(x);\n  later(a: string): void;\n}\nexport const f{k} = async (a: number): Promise<X> => { g<string>(a) };\ninterface I{k} { call(x: number): void }\nlist.map(x => x + {s});\n",
+    "go": "package main\n\nimport (\n\t\"fmt\"\n\tweb \"net/http\"\n)\n\ntype (\n\tA{k} struct { x int }\n\tB{k} interface { M(a int) string }\n)\n\nfunc (s *A{k}) Run() interface{} { return web.Get{s}(`g(1)`) }\n\nfunc Map[T any](xs []T) []T {\n\tdefer s.go(1)\n\treturn make().Run(xs)\n}\n",
+}
+SHAPES_MD = "Title *{k}*\n===\n\nFirst of {k}\nsecond line\n---\n\n````py\n```\n# no {s}\n````\n\n    indented {k}\n\n> quoted {k}\nlazy\n\n- tight {k}\n- two\n\n1. loose\n\n2. items {s}\n\n   # Third `{s}` #\n\n[a]: /b\n<div>\nraw {k}\n</div>\n\n~~~\nopen # {k}\n"
+# Blocks of each: node type, heading, the text of the block, and what stands before it.
+MARKED = (
+    ("md", 0, "Title {k}", "Title *{k}*\n===\n", ""),
+    ("md", 0, "First of {k} second line", SHAPES_MD[SHAPES_MD.index("First") : SHAPES_MD.index("   # Third") - 1], ""),
+    ("md", 0, "Third", SHAPES_MD[SHAPES_MD.index("# Third") :], ""),
+    ("md", 1, "py", "````py\n```\n# no {s}\n````", ""), ("md", 1, None, "    indented {k}", ""), ("md", 1, None, "~~~\nopen # {k}\n", ""),
+    ("md", 2, None, "quoted {k}\nlazy", "> "), ("md", 2, None, "loose", "1. "), ("md", 2, None, "items {s}", "2. "),
 )
+# What each file declares: language, node type, name, heading, parent, and the text of the node.
+DECLARED = (
+    ("py", 4, "P{k}", None, None, "class P{k}(Base):\n    x = f(1)\n    @deco\n    async def run(self): return self.find{s}(\n        \"g(1)\")\n\n    def end(self):\n        def inner():\n            pass"),
+    ("py", 6, "run", None, "P{k}", "async def run(self): return self.find{s}(\n        \"g(1)\")"),
+    ("py", 6, "end", None, "P{k}", "def end(self):\n        def inner():\n            pass"),
+    ("py", 6, "inner", None, "P{k}", "def inner():\n            pass"),
+    ("rs", 5, "P{k}", None, None, "pub(crate) struct P{k}<T>(T);"),
+    ("rs", 5, "P{k}", None, None, "impl<T: Clone> Show for P{k}<T> { pub unsafe extern \"C\" fn run(&self) -> u32 { println!(\"{}\", no(1)); a::b::find{s}::<T>(\"g(1)\") } }"),
+    ("rs", 3, "run", None, "P{k}", "pub unsafe extern \"C\" fn run(&self) -> u32 { println!(\"{}\", no(1)); a::b::find{s}::<T>(\"g(1)\") }"),
+    ("rs", 4, "Named", None, None, "pub trait Named { fn name(&self); fn twice(&self) { self.name() } }"),
+    ("rs", 3, "twice", None, "Named", "fn twice(&self) { self.name() }"),
+    ("rs", 0, None, "mod m{k}", None, "mod m{k} {}"),
+    ("ts", 4, "P{k}", None, None, "class P{k}<T> extends Q<{x: T}> {\n  async run<U>(a: U): Promise<void> { return this.find{s}(/[(\"]/, new Foo(1)); }\n  go = (x: number): number => twice(x);\n  later(a: string): void;\n}"),
+    ("ts", 6, "run", None, "P{k}", "async run<U>(a: U): Promise<void> { return this.find{s}(/[(\"]/, new Foo(1)); }"),
+    ("ts", 3, "go", None, "P{k}", "(x: number): number => twice(x)"),
+    ("ts", 3, "f{k}", None, None, "async (a: number): Promise<X> => { g<string>(a) }"),
+    ("ts", 5, "I{k}", None, None, "interface I{k} { call(x: number): void }"),
+    ("ts", 3, "<anonymous>", None, None, "x => x + {s}"),
+    ("go", 5, "A{k}", None, None, "type (\n\tA{k} struct { x int }\n\tB{k} interface { M(a int) string }\n)"),
+    ("go", 5, "B{k}", None, None, "B{k} interface { M(a int) string }"),
+    ("go", 6, "Run", None, "A{k}", "func (s *A{k}) Run() interface{} { return web.Get{s}(`g(1)`) }"),
+    ("go", 3, "Map", None, None, "func Map[T any](xs []T) []T {\n\tdefer s.go(1)\n\treturn make().Run(xs)\n}"),
+)
+# What each file refers to: language, kind, name, qualifier, the text of the reference, and what stands before it.
+REFERRED = (
+    ("py", "import", "a.b", None, "a.b", "from "), ("py", "import", "c", None, "c as d", "import "), ("py", "call", "f", None, "f(1)", "x = "), ("py", "call", "find{s}", "self", "self.find{s}(\n        \"g(1)\")", "return "),
+    ("rs", "import", "collections", "std", "std::collections", "use "), ("rs", "import", "HashMap", None, "HashMap", "{"), ("rs", "import", "Read", "io", "io::Read", ", "), ("rs", "call", "find{s}", "a::b", "a::b::find{s}::<T>(\"g(1)\")", "; "), ("rs", "call", "name", "self", "self.name()", "{ "),
+    ("ts", "import", "e", None, "e", "import "), ("ts", "import", "a", None, "a", "{"), ("ts", "import", "b", None, "b", ", "), ("ts", "import", "c", None, "c", "as "), ("ts", "call", "find{s}", "this", "this.find{s}(/[(\"]/, new Foo(1))", "return "), ("ts", "call", "twice", None, "twice(x)", "=> "),
+    ("ts", "call", "g", None, "g<string>(a)", "{ "), ("ts", "call", "map", "list", "list.map(x => x + {s})", "\n"),
+    ("go", "import", "fmt", "fmt", "\"fmt\"", "\t"), ("go", "import", "http", "net/http", "web \"net/http\"", "\t"), ("go", "call", "Get{s}", "web", "web.Get{s}(`g(1)`)", "return "), ("go", "call", "go", "s", "s.go(1)", "defer "), ("go", "call", "make", None, "make()", "return "), ("go", "call", "Run", "make()", "make().Run(xs)", "return "),
+)
+
 
+def source_files(spark, d):
+    """part as source files and one of markdown, one of each language for every part."""
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
+    shapes = {**SHAPES, "md": SHAPES_MD}
+    each = F.array(*(F.struct(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(f".{e}")).alias("file_path"), filled(t).alias("content")) for e, t in shapes.items()))
+    return A.read(spark, d, "part").select(F.explode(each).alias("r")).select("r.*")
 
-def snippet_files(spark):
-    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("file_path"), F.lit(t).alias("content")) for p, t in SNIPPETS)))
-    return spark.range(1).select(rows.alias("r")).select("r.*")
 
+def filled_sql(t: str | None) -> str:
+    if t is None:
+        return "CAST(NULL AS VARCHAR)"
+    quoted = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))
+    return f"replace(replace({quoted}, '{{k}}', CAST(p_partkey AS VARCHAR)), '{{s}}', CAST(p_size AS VARCHAR))"
 
-@query()
+
+def placed_sql(rows: tuple, columns: str) -> str:
+    """Rows (language, values, text, what stands before it) as spans and lines in the files of their language."""
+    each = " UNION ALL ".join(
+        f"SELECT 'src/p' || p_partkey || '.{r[0]}' AS file_path, {filled_sql(SHAPES.get(r[0], SHAPES_MD))} AS content, {', '.join(str(x) if isinstance(x, int) else filled_sql(x) for x in r[1:-2])}, {filled_sql(r[-2])} AS x, {filled_sql(r[-1])} AS b FROM part"
+        for r in rows
+    )
+    return f"""e(file_path, content, {columns}, x, b) AS ({each}), placed AS (SELECT *, strpos(content, b || x) - 1 + strlen(b) AS s FROM e)
+SELECT file_path, {columns}, CAST(s AS BIGINT) AS start_byte, CAST(s + strlen(x) AS BIGINT) AS end_byte, CAST(1 + length(content[1:s]) - length(replace(content[1:s], chr(10), '')) AS INTEGER) AS line_start,
+  CAST(1 + length(content[1:s + length(x)]) - length(replace(content[1:s + length(x)], chr(10), '')) AS INTEGER) AS line_end FROM placed"""
+
+
+@query(f"WITH {placed_sql(tuple((*r, '') for r in DECLARED), 'node_type, name, heading, parent_name')}")
 def declarations(spark, d):
-    return parse.declarations(snippet_files(spark))
+    return parse.declarations(source_files(spark, d))
+
+
+@query(f"WITH {placed_sql(MARKED, 'node_type, heading')}")
+def markdown_blocks(spark, d):
+    """Headings of both kinds, fences of any length, indented code, quotes and lists, in one file for every part."""
+    return parse.markdown(source_files(spark, d).filter("file_path LIKE '%.md'"))
 
 
-@query()
+@query(f"WITH {placed_sql(REFERRED, 'ref_type, name, qualifier')}")
 def code_references(spark, d):
-    return parse.references(snippet_files(spark))
+    return parse.references(source_files(spark, d)).drop("name_lower", "preview")
 
 
 @query(
@@ -387,9 +455,9 @@ def index_invalidate(spark, d):
 
 
 CODE = """u AS (SELECT 'shop/' || replace(p_brand, '#', '') || '.py' AS file_path, p_partkey, 'class Part' || p_partkey || '(Base):' AS c, '    def price(self, n):' AS m, '        return ' AS h, 'shop.find' || p_size || '(n, "f(1)")' AS x, p_size FROM part),
-o AS (SELECT *, 12 + coalesce(sum(strlen(c || m || h || x) + 4) OVER w, 0) AS a, row_number() OVER w - 1 AS k, lead(1) OVER (PARTITION BY file_path ORDER BY p_partkey) IS NULL AS last FROM u WINDOW w AS (PARTITION BY file_path ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, 12 + coalesce(sum(strlen(c || m || h || x) + 4) OVER w, 0) AS a, row_number() OVER w - 1 AS k FROM u WINDOW w AS (PARTITION BY file_path ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 q AS (SELECT * REPLACE (CAST(k_ AS BIGINT) AS k) FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY p_partkey) - 1 AS k_ FROM o)),
-z AS (SELECT *, CAST(a AS BIGINT) AS s, CAST(a + strlen(c) + 1 AS BIGINT) AS d, CAST(a + strlen(c || m) + 2 + strlen(h) AS BIGINT) AS r, CAST(a + strlen(c || m || h || x) + CASE WHEN last THEN 4 ELSE 3 END AS BIGINT) AS e, CAST(4 * k + CASE WHEN last THEN 6 ELSE 5 END AS INTEGER) AS l FROM q),
+z AS (SELECT *, CAST(a AS BIGINT) AS s, CAST(a + strlen(c) + 5 AS BIGINT) AS d, CAST(a + strlen(c || m) + 2 + strlen(h) AS BIGINT) AS r, CAST(a + strlen(c || m || h || x) + 2 AS BIGINT) AS e, CAST(4 * k + 4 AS INTEGER) AS l FROM q),
 cn AS (SELECT file_path, 2 * k AS node_ord, 4 AS node_type, s AS start_byte, e AS end_byte, CAST(4 * k + 2 AS INTEGER) AS line_start, l AS line_end, 'Part' || p_partkey AS name, CAST(NULL AS VARCHAR) AS parent_name, '{"kind":"class","name":"Part' || p_partkey || '"}' AS metadata FROM z
   UNION ALL SELECT file_path, 2 * k + 1, 6, d, e, CAST(4 * k + 3 AS INTEGER), l, 'price', 'Part' || p_partkey, '{"kind":"method","name":"price","parent":"Part' || p_partkey || '"}' FROM z)"""
 

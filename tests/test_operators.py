@@ -102,17 +102,27 @@ def test_markdown(spark):
     assert sorted(cut(r) for r in rows if r.node_type == 2) == ["intro\nline", "last", "para"]
 
 
-def test_declarations_and_references(spark):
-    from marlstone.plans import catalog
+SNIPPETS = (
+    ("a/shop.py", "import os\nfrom shop.db import connect\n\nclass Cart:\n    def add(self, item):\n        self.items.append(item)\n\n    def total(self):\n        return sum(i.price for i in self.items)\n\ndef main():\n    Cart().add(1)\n"),
+    ("a/lib.rs", "use std::fs;\n\npub struct Config {\n    name: String,\n}\n\nimpl Config {\n    pub fn load(path: &str) -> Config {\n        parse(fs::read(path))\n    }\n}\n\nfn helper() {}\n"),
+    ("a/app.ts", "import x from 'lib';\nexport class App {\n  run() {\n    start(x);\n  }\n}\nexport const go = async () => {\n  App.run();\n}\n"),
+    ("a/main.go", "package main\n\nimport \"net/http\"\n\ntype Server struct {\n\tport int\n}\n\nfunc (s *Server) Run() {\n\thttp.Listen(s.port)\n}\n\nfunc main() {\n\tnewServer().Run()\n}\n"),
+)
+
 
-    rows = {(r.file_path, r.name): r for r in parse.declarations(catalog.snippet_files(spark)).collect()}
+def snippet_files(spark):
+    return spark.createDataFrame(SNIPPETS, "file_path string, content string")
+
+
+def test_declarations_and_references(spark):
+    rows = {(r.file_path, r.name): r for r in parse.declarations(snippet_files(spark)).collect()}
     add = rows["a/shop.py", "add"]
-    assert (add.node_type, add.parent_name, add.line_start, add.line_end) == (6, "Cart", 5, 7)
+    assert (add.node_type, add.parent_name, add.line_start, add.line_end) == (6, "Cart", 5, 6)
     assert rows["a/shop.py", "main"].node_type == 3 and rows["a/lib.rs", "load"].parent_name == "Config"
     assert (rows["a/main.go", "Run"].node_type, rows["a/main.go", "Run"].parent_name) == (6, "Server")
     assert (rows["a/app.ts", "run"].node_type, rows["a/app.ts", "run"].parent_name) == (6, "App")
     assert rows["a/app.ts", "go"].node_type == 3
-    refs = {(r.file_path, r.ref_type, r.name, r.qualifier) for r in parse.references(catalog.snippet_files(spark)).collect()}
+    refs = {(r.file_path, r.ref_type, r.name, r.qualifier) for r in parse.references(snippet_files(spark)).collect()}
     assert {("a/shop.py", "import", "connect", None), ("a/shop.py", "import", "os", None), ("a/lib.rs", "call", "read", "fs"), ("a/app.ts", "import", "x", None), ("a/main.go", "import", "http", "net/http"), ("a/main.go", "call", "Run", "newServer()"), ("a/shop.py", "call", "add", "Cart()"), ("a/shop.py", "call", "append", "self.items"), ("a/main.go", "call", "Listen", "http")} <= refs
     assert not any(t == "call" and n in ("load", "total", "Config") for _, t, n, _ in refs)
     assert ("a/app.ts", "call", "run", None) not in refs and ("a/app.ts", "call", "run", "App") in refs
@@ -130,8 +140,8 @@ def test_imported_names(spark):
     for r in refs.collect():
         got.setdefault(r.file_path, set()).add((r.name, r.line_start))
     assert got["a.py"] == {("os", 1), ("sys", 1), ("a.b", 2), ("c", 3), ("e", 4), ("x", 6), ("y", 6)}
-    assert got["b.rs"] == {("HashMap", 1), ("Read", 1), ("b", 2), ("solo", 3)}
-    assert got["c.js"] == {("a", 1), ("b", 1), ("d", 2), ("e", 2)}
+    assert got["b.rs"] == {("collections", 1), ("HashMap", 1), ("Read", 1), ("b", 2), ("solo", 3)}
+    assert got["c.js"] == {("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2)}
     assert got["d.go"] == {("http", 4), ("b", 5), ("fmt", 7)}
 
 
