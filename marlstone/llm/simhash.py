@@ -210,10 +210,12 @@ def digests(found: DataFrame) -> DataFrame:
 
 # ---- near-duplicates by similarity
 
-#: Bits of one of a text's short fingerprints, of which so many leading ones choose the cell.
-BAND_BITS, BAND_CELL_BITS = 32, 4
+#: Bits of one of a text's short fingerprints; about so many of them share a cell, which leading bits choose.
+BAND_BITS, BAND_CELL_ROWS = 32, 50_000
 #: Shingles below which a text's bits are compared more loosely.
 SMALL = 40
+#: Of nodes that share variants, so many are compared with each other at once, and a node names so many of the closest ones.
+BLOCK, NEAREST = 2_000, 2
 _TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
 
 
@@ -254,11 +256,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 _ENTRY = np.dtype([("node", "<i8"), ("label", "<i8"), ("fp", "<u4"), ("left", "u1")])
 
 
-def _to_band_cells(nodes: DataFrame, chosen: range, bands: int, radius: int) -> DataFrame:
+def _cell_bits(rows: int) -> int:
+    """So many leading bits that a cell of evenly spread fingerprints holds BAND_CELL_ROWS at most; what meets stays the same."""
+    bits = 4
+    while bits < 16 and rows * (1 + bits) >> bits > BAND_CELL_ROWS:
+        bits += 1
+    return bits
+
+
+def _to_band_cells(nodes: DataFrame, chosen: range, bands: int, radius: int, cell_bits: int) -> DataFrame:
     """cell, held: of nodes(node, label, bands), the entries of a batch that go to a cell of one of the chosen bands, packed: node,
     label, the rest of the fingerprint, and the flips that are left."""
-    low, side = BAND_BITS - BAND_CELL_BITS, 1 << BAND_CELL_BITS
-    masks = [(m, m.bit_count()) for m in _masks(BAND_CELL_BITS, radius // 2)]
+    low = BAND_BITS - cell_bits
+    masks = [(m, m.bit_count()) for m in _masks(cell_bits, radius // 2)]
 
     def run(batches):
         import pyarrow as pa
@@ -271,81 +281,143 @@ def _to_band_cells(nodes: DataFrame, chosen: range, bands: int, radius: int) ->
             fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(len(rows), bands)
             cells, blobs = [], []
             for band in chosen:
-                top = fps[:, band] >> np.uint32(low)
                 rows["fp"] = fps[:, band] & np.uint32((1 << low) - 1)
-                for cell in range(side):
-                    parts = []
-                    for mask, flips in masks:
-                        part = rows[top == cell ^ mask]
-                        part["left"] = radius // 2 - flips
-                        parts.append(part)
-                    if sum(map(len, parts)):
-                        cells.append(band * side + cell)
-                        blobs.append(np.concatenate(parts).tobytes())
+                top = (fps[:, band] >> np.uint32(low)).astype(np.int64)
+                to = np.concatenate([top ^ m for m, _ in masks])
+                sent = np.concatenate([rows] * len(masks))
+                sent["left"] = np.repeat([radius // 2 - flips for _, flips in masks], len(rows))
+                order = np.argsort(to, kind="stable")
+                firsts = np.flatnonzero(np.diff(to[order], prepend=-1))
+                for a, b in zip(firsts, [*firsts[1:], len(order)], strict=True):
+                    cells.append(band << cell_bits | int(to[order[a]]))
+                    blobs.append(sent[order[a:b]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "held"])
 
     return nodes.select("node", "label", "bands").mapInArrow(run, "cell int, held binary")
 
 
-def _candidates(cells: DataFrame, radius: int) -> DataFrame:
-    """a, b: nodes of different labels with a fingerprint in common at radius flips, chained through each variant that they share.
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n places, the least place of the component that the links a, b put it in."""
+    parent = np.arange(n)
+    while True:
+        least = np.minimum(parent[a], parent[b])
+        before = parent.copy()
+        np.minimum.at(parent, before[a], least)
+        np.minimum.at(parent, before[b], least)
+        np.minimum.at(parent, a, least)
+        np.minimum.at(parent, b, least)
+        parent = parent[parent]
+        if np.array_equal(parent, before):
+            return parent
 
-    In a chain the nodes of a label are together, in an order that each cell draws anew, so that other nodes meet others of them.
-    """
-    low = BAND_BITS - BAND_CELL_BITS
+
+def _crowds(cells: DataFrame, radius: int, cell_bits: int) -> DataFrame:
+    """crowd, node: the nodes of a cell that hang together by variants that they share, where they have more than one label."""
+    low = BAND_BITS - cell_bits
 
     def run(batches):
         import pyarrow as pa
 
         def solve(cell, held):
             rows = np.frombuffer(b"".join(held), _ENTRY)
-            drawn = ((rows["node"].astype(np.uint64) ^ np.uint64(cell)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            rows = rows[np.lexsort((drawn, rows["label"]))]
-            fps, left, label = rows["fp"].astype(np.uint64), rows["left"].astype(np.int64), rows["label"]
-            for i, j in _chain(fps, left, low, radius // 2, CHUNK):
-                other = label[i] != label[j]
-                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][i[other]]), pa.array(rows["node"][j[other]])], names=["a", "b"])
+            rows = rows[np.argsort(rows["label"], kind="stable")]
+            fps, left = rows["fp"].astype(np.uint64), rows["left"].astype(np.int64)
+            parts = _chain(fps, left, low, radius // 2, CHUNK)
+            a, b = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else ((), ())))
+            root = _roots(len(rows), a, b)
+            # a component counts if any link in it goes to another label
+            mixed = np.zeros(len(rows), bool)
+            mixed[root[a[rows["label"][a] != rows["label"][b]]]] = True
+            own = np.flatnonzero(mixed[root])
+            key = (rows["node"][root[own]].astype(np.uint64) ^ np.uint64(cell * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows["node"][own])], names=["crowd", "node"])
 
         cell, held = None, []
         for batch in batches:
             for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if c != cell and held:
-                    yield from solve(cell, held)
+                    yield solve(cell, held)
                     held = []
                 cell = c
                 held.append(h)
         if held:
-            yield from solve(cell, held)
+            yield solve(cell, held)
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.select("cell", "held").mapInArrow(run, "a long, b long").filter("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    return dealt.select("cell", "held").mapInArrow(run, "crowd long, node long")
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs(a, b) of nodes(node, bands, size) whose fingerprints differ in no more bits than so similar sets may.
+def _most_bits(similarity: float, size: np.ndarray, bits: int) -> np.ndarray:
+    """Differing bits, of so many, up to which two sets may be so similar; size: of the smaller set.
 
-    Each bit is drawn by a hash function of its own, and differs with the chance arccos(2 s / (1 + s)) / pi at similarity s. Of
-    all bits, 6% more are allowed, which is five standard deviations for 1,024 bits at 0.8, and 10% for sets of under SMALL
-    shingles, whose bits differ more often.
+    Each bit is drawn by a hash function of its own, and differs with the chance arccos(2 s / (1 + s)) / pi at similarity s. Four
+    standard deviations more are allowed, and 10% more for sets of under SMALL shingles, whose bits differ more often.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    slack = 4 * math.sqrt(chance * (1 - chance) / bits)
+    return np.where(size < SMALL, chance + max(slack, 0.1), chance + slack) * bits
+
+
+def _neighbours(label: np.ndarray, words: np.ndarray, size: np.ndarray, similarity: float):
+    """Positions of pairs of nodes of different labels: each node with those of the closest bits that may be similar enough."""
+    out = []
+    bits = 64 * words.shape[1]
+    for k in range(0, len(label), BLOCK // 2):
+        at = slice(k, k + BLOCK)
+        own, w, n = label[at], words[at], size[at]
+        if len(own) < 2 or k and len(own) <= BLOCK // 2:
+            break
+        apart = np.zeros((len(own), len(own)), np.uint16)
+        for j in range(w.shape[1]):
+            apart += np.bitwise_count(w[:, None, j] ^ w[None, :, j])
+        apart[own[:, None] == own[None, :]] = bits + 1
+        near = np.argpartition(apart, NEAREST, axis=1)[:, :NEAREST] if len(own) > NEAREST else np.argsort(apart, axis=1)
+        i, j = np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()
+        kept = apart[i, j] <= np.minimum(_most_bits(similarity, np.minimum(n[i], n[j]), bits), bits)
+        out.append((i[kept] + k, j[kept] + k))
+    return out
+
+
+def _candidates(crowds: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: nodes of a crowd that are close to each other by all bits, each with few of the closest of another label.
+
+    Crowds of over BLOCK nodes are put in an order of their bits, another one for each crowd, and compared in blocks that overlap.
     """
-    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
 
     def run(batches):
         import pyarrow as pa
 
+        def solve(crowd, parts):
+            node, label, size, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            node, first = np.unique(node, return_index=True)
+            label, size, words = label[first], size[first], words[first]
+            if len(node) > BLOCK:
+                turn = crowd % words.shape[1]
+                order = np.lexsort(np.roll(words, turn, axis=1).T)
+                node, label, size, words = node[order], label[order], size[order], words[order]
+            pairs = [(np.minimum(node[i], node[j]), np.maximum(node[i], node[j])) for i, j in _neighbours(label, words, size, similarity)]
+            a, b = (np.concatenate(x) if pairs else np.zeros(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        crowd, parts = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-            small = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy()) < SMALL
-            mask = pa.array(np.bitwise_count(one ^ two).sum(1) <= np.where(small, most + 0.1, most + 0.06) * BAND_BITS * one.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            key, node, label, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            words = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(key), -1)
+            edges = np.flatnonzero(np.diff(key)) + 1
+            for at, to in zip([0, *edges], [*edges, len(key)], strict=True):
+                if key[at] != crowd and parts:
+                    yield solve(crowd, parts)
+                    parts = []
+                crowd = int(key[at])
+                parts.append((node[at:to], label[at:to], size[at:to].astype(np.int64), words[at:to]))
+        if parts:
+            yield solve(crowd, parts)
 
-    one = nodes.select(F.col("node").alias("a"), F.col("bands").alias("fa"), F.col("size").alias("na"))
-    two = nodes.select(F.col("node").alias("b"), F.col("bands").alias("fb"), F.col("size").alias("nb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(run, "a long, b long")
+    known = crowds.join(nodes.select("node", "label", "size", "bands"), "node").select("crowd", "node", "label", "size", "bands")
+    dealt = known.repartition("crowd").sortWithinPartitions("crowd")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
@@ -376,22 +448,25 @@ def _only(rows: DataFrame, keys: DataFrame, key: str, how: str, broadcast_rows:
 
 def similar(
     nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5,
-    phases: tuple[int, ...] = (4, 28), radius: int = 2, broadcast_rows: int = 200_000,
+    phases: tuple[int, ...] = (4, 12, 16), radius: int = 2, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """node, root: the components of nodes(node, bands, size, key) by links that are so similar by the Jaccard measure of their word
     shingles, without nodes that have none; the key gives a node's text in texts(key, text).
 
     Candidates share one of their short SimHash fingerprints at radius flips: two texts at similarity 0.8 differ in 15% of
-    the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. Candidates whose fingerprints are too far
-    apart in all are put aside, and the others are verified on their texts. The fingerprints are taken in phases, so many in
-    each: what one phase has linked needs no more pairs in the next, so a large group of copies does not meet 32 times.
+    the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. Nodes that share variants, directly or by
+    others, are a crowd; in a crowd each node is compared with the others on all bits, and names the closest. Those that may be
+    similar enough are verified on their texts. The fingerprints are taken in phases, so many in each: what one phase has linked
+    has one label in the next and is not paired again, and what was compared is not compared again.
     """
-    found, first, roots = None, 0, None
+    found, compared, first, roots, cell_bits = None, None, 0, None, _cell_bits(nodes.count())
     for n in phases:
         labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("root", "label"), "node", "left")
         labelled = labelled.withColumn("label", F.coalesce("label", "node"))
-        cells = _to_band_cells(labelled, range(first, first + n), sum(phases), radius)
-        near = cut(_close(cut(_candidates(cells, radius)), nodes, similarity))
+        cells = _to_band_cells(labelled, range(first, first + n), sum(phases), radius, cell_bits)
+        near = _candidates(_crowds(cells, radius, cell_bits), labelled, similarity)
+        near = cut(near if compared is None else near.join(compared, ["a", "b"], "left_anti"))
+        compared = near if compared is None else compared.union(near)
         ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
         asked = cut(nodes.join(ends, "node", "left_semi").select("node", key))
         # a key that several equal rows have gives their text more than once
@@ -404,7 +479,7 @@ def similar(
 
 
 def keep_one(
-    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (4, 28), broadcast_rows: int = 200_000
+    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (4, 12, 16), broadcast_rows: int = 200_000
 ) -> DataFrame:
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
 

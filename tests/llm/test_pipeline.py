@@ -171,3 +171,39 @@ def test_stages_on_empty_tables_repeated_rows_and_ties(spark, tmp_path):
     assert len(kept) == len(set(kept)) and set(kept) == {r.doc_id for r in corpus_pipeline.near_duplicates(spark, once, "").collect()}
     one = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/twice").collect()}
     assert one <= set(kept) and len(one) > 0.5 * len(kept)
+
+
+def test_twins_in_a_crowd_are_linked(spark):
+    """Texts alike at 0.5 to 0.7, each with a twin at 0.86 or more: no text of another pair comes between twins."""
+    import random
+
+    from marlstone.llm.simhash import jaccard, keep_one, shingles_of
+
+    draw, base, texts = random.Random(1), [f"b{k}" for k in range(300)], []
+    for k in range(250):
+        own = list(base)
+        for j, at in enumerate(draw.sample(range(50), draw.choice([6, 7, 8, 9]))):
+            own[6 * at + 3] = f"x{k}e{j}"
+        twin = list(own)
+        for at in draw.sample(range(50), 3):
+            twin[6 * at] = f"y{k}e{at}"
+        texts += [" ".join(own), " ".join(twin)]
+    sets = [shingles_of(t) for t in texts]
+    assert all(jaccard(sets[2 * k], sets[2 * k + 1]) >= 0.86 for k in range(250)) and jaccard(sets[0], sets[2]) < 0.8
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in keep_one(d).collect()} == {2 * k for k in range(250)}
+
+
+def test_neighbours_of_a_large_crowd_meet_in_blocks(monkeypatch):
+    import numpy as np
+
+    from marlstone.llm import simhash
+
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 62, (300, 16)).astype(np.uint64)
+    words[1::2] = words[::2] ^ np.uint64(5)
+    order = np.lexsort(words.T)
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    label, size = np.arange(300), np.full(300, 500)
+    pairs = {(int(min(order[i], order[j])), int(max(order[i], order[j]))) for a, b in simhash._neighbours(label[order], words[order], size, 0.8) for i, j in zip(a, b, strict=True)}
+    assert pairs == {(2 * k, 2 * k + 1) for k in range(150)}
