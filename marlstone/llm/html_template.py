@@ -160,6 +160,7 @@ class Page:
             if any(s[0] in BLOCK for s in stack[k:]):
                 flush()
             for tag, element in stack[k:]:
+                places[tag].pop()
                 if tag == "a":
                     links -= 1
                 elif tag in BLOCK:
@@ -167,13 +168,17 @@ class Page:
             clock += 1
             del stack[k:]
 
+        places: dict[str, list[int]] = {}  # of the open elements of each tag
+
         def nearest(tags, stop):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in tags:
-                    return k
-                if stack[k][0] in stop:
-                    return None
-            return None
+            """The last open element of tags, unless one of stop was opened after it."""
+            last = lambda of: max((places[t][-1] for t in of if places.get(t)), default=-1)
+            k = last(tags)
+            return k if k >= 0 and k >= last(stop) else None
+
+        def push(tag, element):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, element))
 
         def said(text):
             nonlocal link_chars
@@ -228,10 +233,10 @@ class Page:
                 self.opens.append(clock)
                 self.closes.append(-1)
                 clock += 1
-                stack.append((tag, len(self.tags) - 1))
+                push(tag, len(self.tags) - 1)
             else:
                 links += tag == "a"
-                stack.append((tag, above))
+                push(tag, above)
         flush()
         pop(0)
         self.closes[0] = clock

@@ -26,10 +26,23 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Further candidates: kind, a string that a text must hold, pattern, group of the value.
 _MORE = (
-    ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*"), 0),
+    # to the line that ends the key, or, where that is missing, over all lines that look like a part of one
+    (
+        "pem", "PRIVATE KEY",
+        re.compile(
+            r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+            r"|(?:[ \t]*(?:[A-Za-z][A-Za-z-]*: [^\n]*|[A-Za-z0-9+/=]{20,}|[A-Za-z0-9+/]+==?|)[ \t\r]*\n)*(?:[A-Za-z0-9+/=]{20,}|[A-Za-z0-9+/=]+\Z)?)"
+        ),
+        0,
+    ),
     ("hosting", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0),
+    ("github_pat", "github_pat_", re.compile(r"\bgithub_pat_[A-Za-z0-9_]{22,}"), 0),
+    ("gitlab", "glpat-", re.compile(r"\bglpat-[A-Za-z0-9_-]{20,}"), 0),
+    ("google", "AIza", re.compile(r"\bAIza[A-Za-z0-9_-]{35}"), 0),
+    ("stripe", "_live_", re.compile(r"\b[prs]k_live_[A-Za-z0-9]{16,}"), 0),
+    ("npm", "npm_", re.compile(r"\bnpm_[A-Za-z0-9]{36,}"), 0),
     ("chat", "xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0),
-    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"), 0),
     ("url", "://", re.compile(r"://[^\s/:@]++:([^\s/:@]{3,}+)@"), 1),
     ("named", "_key", re.compile(r"""(?:\b|(?<=_))(?:access|private|secret|account)_key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", re.ASCII | re.IGNORECASE), 1),
     ("bearer", "earer ", re.compile(r"\b[Bb]earer ([A-Za-z0-9+/_.=-]{16,})"), 1),
@@ -172,9 +185,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def _redacted(text: str | None, spans) -> str | None:
-    for kind, start, end in sorted(spans, key=lambda s: -s[1]):
-        text = f"{text[:start]}[{kind} removed]{text[end:]}"
-    return text
+    if text is None or not spans:
+        return text
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: s[1]):
+        parts += [text[at:start], f"[{kind} removed]"]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def _merged(found) -> list[tuple[str, int, int]]:

@@ -448,7 +448,7 @@ def _only(rows: DataFrame, keys: DataFrame, key: str, how: str, broadcast_rows:
 
 def similar(
     nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5,
-    phases: tuple[int, ...] = (4, 12, 16), radius: int = 2, broadcast_rows: int = 200_000,
+    phases: tuple[int, ...] = (8, 24), radius: int = 2, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """node, root: the components of nodes(node, bands, size, key) by links that are so similar by the Jaccard measure of their word
     shingles, without nodes that have none; the key gives a node's text in texts(key, text).
@@ -479,7 +479,7 @@ def similar(
 
 
 def keep_one(
-    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (4, 12, 16), broadcast_rows: int = 200_000
+    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (8, 24), broadcast_rows: int = 200_000
 ) -> DataFrame:
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
 
