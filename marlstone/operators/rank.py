@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
 from marlstone.operators.search import ORDER
+from marlstone.sources.state import written
 
 # Weight by node type, in the order of X.NODE_TYPES.
 TYPE_WEIGHT = (0.6, 0.5, 0.2, 1.0, 0.8, 0.8, 1.0, 0.3)
@@ -87,37 +88,48 @@ def suggestions(pack: DataFrame, recent: DataFrame, most: int = 6) -> DataFrame:
     return pool.withColumn("place", place).filter(F.col("place") <= F.col("n")).select("place", "id", "is_recent")
 
 
-def choose(found: DataFrame, query: str, budget: int, priors: dict[int, float] | None = None, most: int | None = None) -> DataFrame:
+def choose(
+    found: DataFrame, query: str, budget: int, priors: dict[int, float] | None = None, most: int | None = None, step: int = 10_000
+) -> DataFrame:
     """found with chosen: by score, what fits the budget, PER_FILE of a file at most, none next to one chosen before.
 
-    A handle that is chosen takes a token at least, so the walk goes over the sorted rows and holds budget of them at most; most
-    bounds the rows that are looked at, all of them by default.
+    The choice goes along the handles by score, step of them at a time. What can no longer be chosen, as it is too large for what
+    is left, or as its file is full or it stands next to one that was chosen, is left out by Spark before the next step is
+    sorted, so each step chooses one at least. A handle that is chosen takes a token at least, so the state, which the driver
+    holds, is budget handles at most, but for those of no token. most bounds the rows that are looked at, all of them by default.
     """
     small = found.withColumn("score", F.round(score(query, priors), 9)).select(
         "id", "file_path", "node_ord", "line_start", "line_end", "token_count", "score"
     )
-    order = [F.desc("score"), F.asc("token_count"), *map(F.asc, ORDER)]
-    ranked = small if most is None else small.orderBy(*order).limit(most)
-
-    def walk(batches):
-        import pyarrow as pa
-
-        used, taken = 0, {}
-        for batch in batches:
-            chosen = []
-            for path, a, b, tokens in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True):
-                own = taken.get(path, ())
-                near = any(a <= d + LINE_GAP and c <= b + LINE_GAP for c, d in own)
-                ok = not near and len(own) < PER_FILE and used + tokens <= budget
-                if ok:
-                    taken[path] = (*own, (a, b))
-                    used += tokens
-                chosen.append(ok)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.bool_())], names=[*batch.schema.names, "chosen"])
-
-    # the choice depends on all before it, so one task sorts the handles, without their texts, and walks through them
-    kinds = ", ".join(f"{c} {t}" for c, t in small.dtypes)
-    return ranked.repartition(1).sortWithinPartitions(*order).mapInArrow(walk, f"{kinds}, chosen boolean")
+    order = [F.desc("score"), F.asc("token_count"), *map(F.asc, ORDER), F.asc("_row")]
+    ranked = small if most is None else small.orderBy(*order[:-1]).limit(most)
+    rows = written(ranked.withColumn("_row", F.monotonically_increasing_id()))
+    fields = {"score": -F.col("score"), **{c: F.col(c) for c in ("token_count", *ORDER, "_row")}}
+    place = F.struct(*(v.alias(c) for c, v in fields.items()))
+    used, taken, picked, last = 0, {}, [], None
+    while used <= budget:
+        left = rows.filter(F.col("token_count") <= budget - used)
+        if last is not None:
+            left = left.filter(place > F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in last.items())))
+        if taken:
+            spans = [(path, a, b, len(own) >= PER_FILE) for path, own in taken.items() for a, b in own]
+            known = rows.sparkSession.createDataFrame(spans, "_path string, _a int, _b int, _full boolean")
+            near = (F.col("line_start") <= F.col("_b") + LINE_GAP) & (F.col("_a") <= F.col("line_end") + LINE_GAP)
+            left = left.join(F.broadcast(known), (F.col("file_path") == F.col("_path")) & (F.col("_full") | near), "left_anti")
+        found_now = left.orderBy(*order).limit(step).collect()
+        if not found_now:
+            break
+        for r in found_now:
+            own = taken.get(r.file_path, ())
+            near = any(r.line_start <= d + LINE_GAP and c <= r.line_end + LINE_GAP for c, d in own)
+            if not near and len(own) < PER_FILE and used + r.token_count <= budget:
+                taken[r.file_path] = (*own, (r.line_start, r.line_end))
+                used += r.token_count
+                picked.append((r["_row"],))
+        r = found_now[-1]
+        last = {"score": -r.score, **{c: r[c] for c in ("token_count", *ORDER, "_row")}}
+    chosen = rows.sparkSession.createDataFrame(picked, "_row long").withColumn("chosen", F.lit(True))
+    return rows.join(F.broadcast(chosen), "_row", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))).drop("_row")
 
 
 # Words that are no symbols.

@@ -12,6 +12,7 @@ from marlstone.functions import exprs as X
 from marlstone.operators import combine, expand, feedback, index, lifecycle, overlay, parse, postings, predict, rank, search
 from marlstone.plans import sql as S
 from marlstone.sources import adapters as A
+from marlstone.sources import ignores
 from marlstone.sources.snapshots import Snapshots
 from marlstone.sources.state import shared_folder, written
 from marlstone.streaming import feedback_stream
@@ -229,6 +230,21 @@ def file_types(spark, d):
     return A.read(spark, d, "part").select("p_partkey", X.file_type(path).alias("kind"))
 
 
+RULE_FILES = (("", "*7.txt\n!src1/en/*7.txt\nsrc2/\n/src4/fr/\n# none\n"), ("src5", "/de/*\n!/de/1*.txt\n"), ("src6/en", "**/?[0-4].txt\n"))
+
+
+@query(
+    f"""WITH {S.FILES}, r AS (SELECT file_path, CASE WHEN file_path LIKE 'src2/%' OR file_path LIKE 'src4/fr/%' THEN true WHEN file_path LIKE 'src5/de/%' THEN file_path NOT LIKE 'src5/de/1%'
+  WHEN file_path LIKE 'src6/en/%' AND regexp_matches(file_path, '^src6/en/.[0-4][.]txt$') THEN true ELSE file_path LIKE '%7.txt' AND file_path NOT LIKE 'src1/en/%' END AS gone FROM files)
+SELECT file_path FROM r WHERE NOT gone"""
+)
+def walk_ignored(spark, d):
+    """The paths that the ignore rules of three folders leave."""
+    rules = spark.createDataFrame([r for base, text in RULE_FILES for r in ignores.rules_of(base, text)], ignores.RULES)
+    f = A.files(spark, d).select("file_path")
+    return f.join(ignores.ignored(f, rules), "file_path", "left_anti")
+
+
 # ---- parsing
 
 LINES = """l AS (SELECT file_path, n, i, ls[i] AS line FROM (SELECT file_path, string_split(content, chr(10)) AS ls, len(string_split(content, chr(10))) AS n FROM files), unnest(range(1, n + 1)) AS t(i)),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import exprs as X
+from marlstone.sources import ignores
 
 # Names that a scan leaves out by default.
 IGNORED = (
@@ -25,10 +26,11 @@ IGNORED = (
 )
 
 
-def scan(spark: SparkSession, root: str, glob: str = "**/*", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+def scan(spark: SparkSession, root: str, glob: str = "**/*", ignored: tuple[str, ...] = IGNORED, rules: bool = True) -> DataFrame:
     """Files below root whose relative path fits glob: file_path, content, content_hash, mtime, token_count.
 
-    Files that are no UTF-8 are left out.
+    Files that are no UTF-8 are left out, and those that the tree's own ignore files leave out, unless rules is false. Hidden
+    files are not listed by Spark's readers.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
@@ -38,6 +40,10 @@ def scan(spark: SparkSession, root: str, glob: str = "**/*", ignored: tuple[str,
     ).filter(X.glob_match(F.col("file_path"), glob))
     for name in ignored:
         found = found.filter(~(X.glob_match(F.col("file_path"), f"**/{name}") | X.glob_match(F.col("file_path"), f"**/{name}/**")))
+    if rules:
+        known = ignores.read_rules(spark, root)
+        if known.count():
+            found = found.join(ignores.ignored(found.select("file_path"), known), "file_path", "left_anti")
     text = F.col("content").cast("string")
     return found.filter(F.is_valid_utf8(text)).select(
         "file_path", text.alias("content"), F.sha2("content", 256).alias("content_hash"), "mtime", X.token_count(text).alias("token_count")

@@ -206,6 +206,24 @@ def test_budget_choice_keeps_its_rules(spark):
     assert not [r for r in rank.choose(n, "thing", 0).collect() if r.chosen]
 
 
+@pytest.mark.parametrize("step", [1, 7, 10_000])
+def test_budget_choice_equals_a_walk_over_all(spark, step):
+    import random
+
+    draw = random.Random(step)
+    rows = [(f"h{k}", f"f{draw.randrange(9)}", k, draw.randrange(8), (a := draw.randrange(120)), a + draw.randrange(6), draw.choice([0, 1, 3, 9, 30]), draw.choice(["thing", "other"])) for k in range(150)]
+    n = spark.createDataFrame(rows, "id string, file_path string, node_ord long, node_type int, line_start int, line_end int, token_count int, preview string").repartition(5)
+    got = rank.choose(n, "thing", 70, step=step).collect()
+    used, taken, want = 0, {}, set()
+    for r in sorted(got, key=lambda r: (-r.score, r.token_count, r.file_path, r.node_ord)):
+        own = taken.setdefault(r.file_path, [])
+        if len(own) < 2 and used + r.token_count <= 70 and not any(r.line_start <= d + 2 and c <= r.line_end + 2 for c, d in own):
+            own.append((r.line_start, r.line_end))
+            used += r.token_count
+            want.add(r.id)
+    assert len(got) == 150 and len(want) > 5 and {r.id for r in got if r.chosen} == want
+
+
 def test_pack_equals_a_loop(spark):
     n = nodes(spark, [f"word{k % 7} thing {'x' * (k * 37 % 90)}" for k in range(60)])
     pack = [r.id for r in rank.evidence(n, "thing word3", 8, 2).orderBy("rank").collect()]
