@@ -55,8 +55,8 @@ def matches(text: Column, asked: str, stored: bool = False) -> Column:
     return out if wanted else F.lit(False)
 
 
-def grep(nodes: DataFrame, *any_of: str, none_of: tuple[str, ...] = (), limit: int | None = 100) -> DataFrame:
-    """nodes(content, ...) that hold the terms of one of any_of and of none of none_of; one scan, whatever their number.
+def condition(nodes: DataFrame, *any_of: str, none_of: tuple[str, ...] = ()) -> Column:
+    """Whether a row of nodes(content, ...) holds the terms of one of any_of and of none of none_of.
 
     Nodes of an index hold norm_text, their tokens, which is looked into instead.
     """
@@ -67,7 +67,12 @@ def grep(nodes: DataFrame, *any_of: str, none_of: tuple[str, ...] = (), limit: i
         hit = hit | matches(text, asked, stored)
     for asked in none_of:
         hit = hit & ~matches(text, asked, stored)
-    return first(nodes.filter(hit), limit)
+    return hit
+
+
+def grep(nodes: DataFrame, *any_of: str, none_of: tuple[str, ...] = (), limit: int | None = 100) -> DataFrame:
+    """The rows of nodes that fit condition(); one scan, whatever the number of terms."""
+    return first(nodes.filter(condition(nodes, *any_of, none_of=none_of)), limit)
 
 
 def in_files(found: DataFrame, glob: str, limit: int | None = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import bpe
 from marlstone.functions import exprs as X
 from marlstone.operators import combine, expand, feedback, index, lifecycle, overlay, parse, postings, predict, rank, search
 from marlstone.plans import sql as S
@@ -45,6 +46,20 @@ C = S.contains
 # ---- full-text search
 
 
+MERGES = ("th", "the", "in", "ing", " a", " an", " and")
+
+
+@query(
+    "SELECT doc_id, CAST(strlen(text) - "
+    + " - ".join(f"CAST(length(regexp_replace(text, '{m}', '{m}#', 'g')) - length(text) AS BIGINT)" for m in ("th", "the", "in", "ing", " a", " an", " and"))
+    + " AS INTEGER) AS tokens FROM documents"
+)
+def token_counts(spark, d):
+    """Tokens of documents by byte pairs, over a vocabulary of all bytes and a few merges that never meet in a letter."""
+    ranks = {bytes([b]): b for b in range(256)} | {m.encode(): 256 + k for k, m in enumerate(MERGES)}
+    return A.read(spark, d, "documents").select("doc_id", bpe.counter(spark, ranks)(F.col("text")).alias("tokens"))
+
+
 @query(of(C("thing")))
 def grep_single(spark, d):
     return handles(search.grep(A.doc_nodes(spark, d), "thing"))
@@ -157,13 +172,13 @@ SELECT {S.HANDLE}, branch FROM o WHERE n = 1 ORDER BY branch, file_path, node_or
 )
 def union_any(spark, d):
     nodes = A.doc_nodes(spark, d)
-    return combine.union_any([search.grep(nodes, t, limit=60) for t in ("thing", "attion", "thble")])
+    return combine.union_where(nodes, [search.condition(nodes, t) for t in ("thing", "attion", "thble")], 60)
 
 
 @query(of(f"{C('thing')} AND {C('attion')}", limit=None))
 def intersect_all(spark, d):
     nodes = A.doc_nodes(spark, d)
-    return handles(combine.intersect_all([search.grep(nodes, t, limit=None) for t in ("thing", "attion")], None))
+    return handles(combine.intersect_where(nodes, [search.condition(nodes, t) for t in ("thing", "attion")], limit=None))
 
 
 @query(
@@ -171,7 +186,7 @@ def intersect_all(spark, d):
 )
 def intersect_bounded(spark, d):
     nodes = A.doc_nodes(spark, d)
-    return handles(combine.intersect_all([search.grep(nodes, t, limit=60) for t in ("thing", "attion")], 30))
+    return handles(combine.intersect_where(nodes, [search.condition(nodes, t) for t in ("thing", "attion")], 60, 30))
 
 
 @query(f"WITH {BRANCHES} SELECT * FROM a ORDER BY file_path, node_ord LIMIT 5")
@@ -903,7 +918,7 @@ EXTENSIONS = ("py", "rs")
 def _predicted_sql() -> str:
     words = ", ".join(f"({k}, '{w}')" for k, (ws, _) in enumerate(predict.KEYWORDS) for w in ws)
     names = ", ".join(f"({k}, '**/{n}/**')" for k, (_, ns) in enumerate(predict.KEYWORDS) for n in ns)
-    return f"""asked AS (SELECT * FROM (VALUES {', '.join(f"('{q}')" for q in ASKED)}) t(query)), ext AS (SELECT * FROM (VALUES {', '.join(f"('{e}')" for e in EXTENSIONS)}) t(ext)),
+    return f"""asked AS (SELECT DISTINCT ({[*ASKED]})[1 + conv_id % {len(ASKED)}] || ' ' || text AS query FROM conversations WHERE role = 'user'), ext AS (SELECT * FROM (VALUES {', '.join(f"('{e}')" for e in EXTENSIONS)}) t(ext)),
 words AS (SELECT * FROM (VALUES {words}) t(k, word)), names AS (SELECT * FROM (VALUES {names}) t(k, pattern)),
 hit AS (SELECT DISTINCT query, k FROM asked JOIN words ON contains(lower(query), word)),
 globs AS (SELECT query, pattern || '/*.' || ext AS g FROM hit JOIN names USING (k), ext UNION SELECT query, '**/' || n || '.' || ext FROM asked, ext, (VALUES {', '.join(f"('{n}')" for n in predict.ENTRY_POINTS)}) t(n)
@@ -911,16 +926,22 @@ globs AS (SELECT query, pattern || '/*.' || ext AS g FROM hit JOIN names USING (
 predicted AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY g) - 1 AS INTEGER) AS place, g FROM globs)"""
 
 
+def asked_queries(spark, d):
+    """What users say in conversations, each after one of ASKED."""
+    first = F.element_at(F.array(*map(F.lit, ASKED)), (1 + F.col("conv_id") % len(ASKED)).cast("int"))
+    return A.read(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(" ", first, "text").alias("query")).distinct()
+
+
 @query(f"WITH {_predicted_sql()} SELECT query, place, g AS \"glob\" FROM predicted")
 def predict_globs(spark, d):
-    return predict.predicted_globs(predict.literal_queries(spark, ASKED), EXTENSIONS)
+    return predict.predicted_globs(asked_queries(spark, d), EXTENSIONS)
 
 
 @query(
     f"WITH {_predicted_sql()}, s AS (SELECT *, CASE WHEN g LIKE '**/main%' THEN 0.75::DOUBLE WHEN g LIKE '%.rs' THEN 0.25::DOUBLE ELSE 0 END AS score FROM predicted) SELECT query, g AS \"glob\", score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, place) - 1 AS INTEGER) AS place FROM s"
 )
 def predict_globs_reranked(spark, d):
-    p = predict.predicted_globs(predict.literal_queries(spark, ASKED), EXTENSIONS)
+    p = predict.predicted_globs(asked_queries(spark, d), EXTENSIONS)
     s = F.when(F.col("glob").startswith("**/main"), 0.75).when(F.col("glob").endswith(".rs"), 0.25)
     return predict.reranked(p, p.select("glob", s.alias("score")).filter("score IS NOT NULL").distinct())
 
