@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,54 @@ def glob_scores(queries: DataFrame, handles: DataFrame, expands: DataFrame, now:
     return rows.groupBy(F.col("first_match_glob").alias("glob")).agg((done / F.sum(weight)).alias("score"))
 
 
+#: Columns of the state of decayed scores: sums of weights, all and of expanded handles, as they were at a time.
+STATE = "glob string, at long, returned double, expanded double"
+
+
+def _weights(rows: DataFrame, at: int, half_life_days: float, returned: bool, expanded: bool) -> DataFrame:
+    """STATE of rows(first_match_glob, ts), each counted with its weight at a time that is not before any of theirs."""
+    weight = X.decay(F.lit(at) - F.col("ts"), half_life_days)
+    own = rows.filter("first_match_glob IS NOT NULL").groupBy(F.col("first_match_glob").alias("glob"))
+    sums = own.agg(F.sum(weight if returned else F.lit(0.0)).alias("returned"), F.sum(weight if expanded else F.lit(0.0)).alias("expanded"))
+    return sums.select("glob", F.lit(at).cast("long").alias("at"), "returned", "expanded")
+
+
+def merge_decayed(*states: DataFrame, at: int, half_life_days: float = 7.0) -> DataFrame:
+    """One STATE of several: their sums, decayed to a time that is not before theirs. Any order and grouping gives the same."""
+    every = functools.reduce(DataFrame.unionByName, states)
+    fade = X.decay(F.lit(at) - F.col("at"), half_life_days)
+    sums = every.groupBy("glob").agg(F.sum(F.col("returned") * fade).alias("returned"), F.sum(F.col("expanded") * fade).alias("expanded"))
+    return sums.select("glob", F.lit(at).cast("long").alias("at"), "returned", "expanded")
+
+
+def update_decayed(
+    state: DataFrame, new: tuple[DataFrame, DataFrame], known: tuple[DataFrame, DataFrame], at: int, half_life_days: float = 7.0
+) -> DataFrame:
+    """The STATE after new events: new and known are each handles(query_event_id, handle_id, first_match_glob, ts) and expands.
+
+    New handles count at once, and as expanded if an expansion of theirs came before them. Known handles count as expanded by
+    their first expansion; of them only those that new expansions name are looked up, so the log is not summed again. Times
+    after at count as at when they come, so at must not be before them.
+    """
+    keys = ["query_event_id", "handle_id"]
+    handles, expands = new
+    fresh = expands.select(*keys).distinct().join(known[1].select(*keys).distinct(), keys, "left_anti")
+    late = known[0].join(fresh, keys, "left_semi")
+    ever = known[1].select(*keys).unionByName(expands.select(*keys)).distinct()
+    own = handles.join(ever, keys, "left_semi")
+    parts = (
+        _weights(handles, at, half_life_days, True, False),
+        _weights(own, at, half_life_days, False, True),
+        _weights(late, at, half_life_days, False, True),
+    )
+    return merge_decayed(state, *parts, at=at, half_life_days=half_life_days)
+
+
+def decayed_scores(state: DataFrame) -> DataFrame:
+    """glob, score of a STATE, as glob_scores() of all its events; a score does not change while nothing happens."""
+    return state.select("glob", (F.col("expanded") / F.col("returned")).alias("score"))
+
+
 def node_type_priors(handles: DataFrame, expands: DataFrame) -> DataFrame:
     rows = flagged(handles.filter(F.col("node_type").between(0, 7)), expands)
     return rows.groupBy("node_type").agg(F.avg(F.col("expanded").cast("double")).alias("prior"))

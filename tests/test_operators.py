@@ -290,6 +290,38 @@ def test_feedback_examples(spark):
     assert [t.count() for t in kept] == [0, 0, 0]
 
 
+def test_decayed_scores_of_any_split_of_the_log(spark):
+    import random
+
+    draw = random.Random(4)
+    q = [(k, draw.randrange(1_000_000)) for k in range(60)]
+    h = [(k, f"h{n}", f"g{draw.randrange(4)}" if draw.random() < 0.9 else None, t) for k, t in q for n in range(draw.randrange(4))]
+    e = [(k, i, draw.randrange(t, 1_100_000)) for k, i, _, t in h for _ in range(draw.choice([0, 0, 1, 2]))] + [(5, "none", 7)]
+    queries = spark.createDataFrame(q, "id long, ts long")
+    handles = spark.createDataFrame(h, "query_event_id long, handle_id string, first_match_glob string, ts long")
+    expands = spark.createDataFrame(e, "query_event_id long, handle_id string, expanded_at long")
+    want = {r.glob: r.score for r in feedback.glob_scores(queries, handles.drop("ts"), expands, 2_000_000).collect()}
+    for _ in range(2):
+        # events come in any order: an expansion may be there before its handle
+        part = lambda t: t.withColumn("_p", F.pmod(F.xxhash64(*t.columns, F.lit(draw.random())), F.lit(3)))
+        hs, es, state = part(handles).cache(), part(expands).cache(), spark.createDataFrame([], feedback.STATE)
+        for k in range(3):
+            cut = lambda t, how, k=k: t.filter(f"_p {how} {k}").drop("_p")
+            state = feedback.update_decayed(state, (cut(hs, "="), cut(es, "=")), (cut(hs, "<"), cut(es, "<")), 1_200_000 + k)
+        got = {r.glob: r.score for r in feedback.decayed_scores(feedback.merge_decayed(state, at=2_000_000)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_one_scan_for_all_branches(spark):
+    n = nodes(spark, [f"{'alpha ' * (k % 2)}{'beta ' * (k % 3)}x{k}" for k in range(40)])
+    terms = ("alpha", "beta", "x7")
+    conditions = [search.condition(n, t) for t in terms]
+    for each, limit in ((None, None), (9, 15), (3, 100)):
+        apart = [search.grep(n, t, limit=each) for t in terms]
+        for one, two in ((combine.union_where(n, conditions, each, limit), combine.union_any(apart, limit)), (combine.intersect_where(n, conditions[:2], each, limit), combine.intersect_all(apart[:2], limit))):
+            assert sorted(r.id for r in one.collect()) == sorted(r.id for r in two.collect())
+
+
 def test_prediction_falls_back(spark):
     p = predict.predicted_globs(predict.literal_queries(spark, ("Some FEEDBACK", "xyz")), ("py",)).collect()
     assert "**/db/**/*.py" in {r.glob for r in p if r.query == "Some FEEDBACK"}
