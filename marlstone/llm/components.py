@@ -28,15 +28,20 @@ def _state(links: DataFrame):
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, root for every node of links(a long, b long); root is the least node of its component.
 
-    Links count both ways; links of a node to itself and repeated links change nothing. Each round at least halves the depth
+    With a number of rounds, root may be another node of its component, and not the same one for all of it. Links count both ways; links of a node to itself and repeated links change nothing. Each round at least halves the depth
     of the trees, and writes its table to the shared checkpoint folder.
     """
     now = cut(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
+    if rounds is not None:
+        for _ in range(rounds):
+            now = cut(_small(cut(_large(now).distinct())))
+        least = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        return least.union(now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_anti").distinct().select("b", F.col("b").alias("root")))
     state = _state(now)
     while state[0]:
         now = cut(_small(cut(_large(now).distinct())))

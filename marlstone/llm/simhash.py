@@ -214,8 +214,9 @@ def digests(found: DataFrame) -> DataFrame:
 BAND_BITS, BAND_CELL_ROWS = 32, 50_000
 #: Shingles below which a text's bits are compared more loosely.
 SMALL = 40
-#: Of nodes that share variants, so many are compared with each other at once, and a node names so many of the closest ones.
-BLOCK, NEAREST = 2_000, 2
+#: Of nodes that share variants, so many are compared with each other at once; a node names so many of the closest ones, and of
+#: what two labels' nodes name so many stay.
+BLOCK, NEAREST, OF_LABELS = 2_000, 1, 2
 _TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
 
 
@@ -266,7 +267,11 @@ def _cell_bits(rows: int) -> int:
 
 def _to_band_cells(nodes: DataFrame, chosen: range, bands: int, radius: int, cell_bits: int) -> DataFrame:
     """cell, held: of nodes(node, label, bands), the entries of a batch that go to a cell of one of the chosen bands, packed: node,
-    label, the rest of the fingerprint, and the flips that are left."""
+    label, the rest of the fingerprint, and the flips that are left.
+
+    Of leading bits only set ones are flipped, so two fingerprints that differ in one of them meet in one cell, not in two; the
+    few that differ in two leading bits, both set in the same one, meet by other bands.
+    """
     low = BAND_BITS - cell_bits
     masks = [(m, m.bit_count()) for m in _masks(cell_bits, radius // 2)]
 
@@ -283,9 +288,10 @@ def _to_band_cells(nodes: DataFrame, chosen: range, bands: int, radius: int, cel
             for band in chosen:
                 rows["fp"] = fps[:, band] & np.uint32((1 << low) - 1)
                 top = (fps[:, band] >> np.uint32(low)).astype(np.int64)
-                to = np.concatenate([top ^ m for m, _ in masks])
-                sent = np.concatenate([rows] * len(masks))
-                sent["left"] = np.repeat([radius // 2 - flips for _, flips in masks], len(rows))
+                goes = [np.flatnonzero(top & m == m) for m, _ in masks]
+                to = np.concatenate([top[own] ^ m for own, (m, _) in zip(goes, masks, strict=True)])
+                sent = rows[np.concatenate(goes)]
+                sent["left"] = np.repeat([radius // 2 - flips for _, flips in masks], list(map(len, goes)))
                 order = np.argsort(to, kind="stable")
                 firsts = np.flatnonzero(np.diff(to[order], prepend=-1))
                 for a, b in zip(firsts, [*firsts[1:], len(order)], strict=True):
@@ -374,7 +380,13 @@ def _neighbours(label: np.ndarray, words: np.ndarray, size: np.ndarray, similari
         near = np.argpartition(apart, NEAREST, axis=1)[:, :NEAREST] if len(own) > NEAREST else np.argsort(apart, axis=1)
         i, j = np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()
         kept = apart[i, j] <= np.minimum(_most_bits(similarity, np.minimum(n[i], n[j]), bits), bits)
-        out.append((i[kept] + k, j[kept] + k))
+        i, j = i[kept], j[kept]
+        low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+        order = np.lexsort((apart[i, j], high, low))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[: len(low)])
+        rank = np.arange(len(low)) - np.repeat(first, np.diff(np.concatenate((first, [len(low)]))))
+        out.append((i[rank < OF_LABELS] + k, j[rank < OF_LABELS] + k))
     return out
 
 
@@ -448,7 +460,7 @@ def _only(rows: DataFrame, keys: DataFrame, key: str, how: str, broadcast_rows:
 
 def similar(
     nodes: DataFrame, texts: DataFrame, key: str, similarity: float = 0.8, words_per_shingle: int = 5,
-    phases: tuple[int, ...] = (8, 24), radius: int = 2, broadcast_rows: int = 200_000,
+    phases: tuple[int, ...] = (4, 28), radius: int = 2, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """node, root: the components of nodes(node, bands, size, key) by links that are so similar by the Jaccard measure of their word
     shingles, without nodes that have none; the key gives a node's text in texts(key, text).
@@ -473,13 +485,14 @@ def similar(
         own = _only(texts, asked, key, "inner", broadcast_rows).select("node", "text").dropDuplicates(["node"])
         links = cut(_verified(near, own, similarity, words_per_shingle))
         found = links if found is None else found.union(links)
-        roots = components(found)
         first += n
+        # labels of a phase need not be whole components, only right ones
+        roots = components(found, None if first == sum(phases) else 2)
     return roots
 
 
 def keep_one(
-    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (8, 24), broadcast_rows: int = 200_000
+    docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, phases: tuple[int, ...] = (4, 28), broadcast_rows: int = 200_000
 ) -> DataFrame:
     """docs without the rows that another row of their component stands for; the row with the least doc_id stays.
 
