@@ -216,7 +216,9 @@ BAND_BITS, BAND_CELL_ROWS = 32, 50_000
 SMALL = 40
 #: Of nodes that share variants, so many are compared with each other at once; a node names so many of the closest ones, and of
 #: what two labels' nodes name so many stay.
-BLOCK, NEAREST, OF_LABELS = 2_000, 1, 2
+BLOCK, NEAREST, OF_LABELS = 2_000, 2, 2
+#: Rows of such a comparison that are in memory at once.
+ROWS = 128
 _TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
 
 
@@ -373,16 +375,21 @@ def _neighbours(label: np.ndarray, words: np.ndarray, size: np.ndarray, similari
         own, w, n = label[at], words[at], size[at]
         if len(own) < 2 or k and len(own) <= BLOCK // 2:
             break
-        apart = np.zeros((len(own), len(own)), np.uint16)
-        for j in range(w.shape[1]):
-            apart += np.bitwise_count(w[:, None, j] ^ w[None, :, j])
-        apart[own[:, None] == own[None, :]] = bits + 1
-        near = np.argpartition(apart, NEAREST, axis=1)[:, :NEAREST] if len(own) > NEAREST else np.argsort(apart, axis=1)
-        i, j = np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()
-        kept = apart[i, j] <= np.minimum(_most_bits(similarity, np.minimum(n[i], n[j]), bits), bits)
-        i, j = i[kept], j[kept]
+        most = min(NEAREST, len(own) - 1)
+        near, far = np.zeros((len(own), most), np.int64), np.zeros((len(own), most), np.int64)
+        for r in range(0, len(own), ROWS):
+            rows = slice(r, r + ROWS)
+            apart = np.zeros((len(own[rows]), len(own)), np.uint16)
+            for j in range(w.shape[1]):
+                apart += np.bitwise_count(w[rows, None, j] ^ w[None, :, j])
+            apart[own[rows, None] == own[None, :]] = bits + 1
+            near[rows] = np.argpartition(apart, most - 1, axis=1)[:, :most]
+            far[rows] = np.take_along_axis(apart, near[rows], axis=1)
+        i, j, apart = np.repeat(np.arange(len(own)), most), near.ravel(), far.ravel()
+        kept = apart <= np.minimum(_most_bits(similarity, np.minimum(n[i], n[j]), bits), bits)
+        i, j, apart = i[kept], j[kept], apart[kept]
         low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-        order = np.lexsort((apart[i, j], high, low))
+        order = np.lexsort((apart, high, low))
         i, j, low, high = i[order], j[order], low[order], high[order]
         first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[: len(low)])
         rank = np.arange(len(low)) - np.repeat(first, np.diff(np.concatenate((first, [len(low)]))))
