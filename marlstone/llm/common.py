@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of tables that are no longer used; it does so when the driver collects
+    its garbage, which may be long after a loop of many small tables."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and more of df, and _doc, a struct of all its columns, whose names then clash with none."""
     return df.select("doc_id", "text", *more, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, spread_join
+from marlstone.llm.common import cut, release, spread_join
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     if rounds is not None:
         for _ in range(rounds):
             now = cut(_small(cut(_large(now).distinct())))
+            release(links.sparkSession)
         least = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         return least.union(now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_anti").distinct().select("b", F.col("b").alias("root")))
     state = _state(now)
@@ -49,5 +50,6 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         if after == state:
             break
         state = after
+        release(links.sparkSession)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

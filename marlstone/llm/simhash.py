@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, fits, map_text, spread_join
+from marlstone.llm.common import cut, fits, map_text, release, spread_join
 from marlstone.llm.components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -491,6 +491,7 @@ def similar(
         # a key that several equal rows have gives their text more than once
         own = _only(texts, asked, key, "inner", broadcast_rows).select("node", "text").dropDuplicates(["node"])
         links = cut(_verified(near, own, similarity, words_per_shingle))
+        release(links.sparkSession)
         found = links if found is None else found.union(links)
         first += n
         # labels of a phase need not be whole components, only right ones
