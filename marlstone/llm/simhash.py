@@ -214,9 +214,9 @@ def digests(found: DataFrame) -> DataFrame:
 BAND_BITS, BAND_CELL_ROWS = 32, 50_000
 #: Shingles below which a text's bits are compared more loosely.
 SMALL = 40
-#: Of nodes that share variants, so many are compared with each other at once; a node names so many of the closest ones, and of
-#: what two labels' nodes name so many stay.
-BLOCK, NEAREST, OF_LABELS = 2_000, 2, 2
+#: Nodes on each side of a block, in which all are compared with each other, and their shingles, about; larger crowds are dealt into
+#: pairs of parts, so that every two nodes meet in one block.
+BLOCK, BLOCK_SHINGLES = 1_000, 400_000
 #: Rows of such a comparison that are in memory at once.
 ROWS = 128
 _TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
@@ -366,98 +366,179 @@ def _most_bits(similarity: float, size: np.ndarray, bits: int) -> np.ndarray:
     return np.where(size < SMALL, chance + max(slack, 0.1), chance + slack) * bits
 
 
-def _neighbours(label: np.ndarray, words: np.ndarray, size: np.ndarray, similarity: float):
-    """Positions of pairs of nodes of different labels: each node with those of the closest bits that may be similar enough."""
-    out = []
+def _neighbours(label: np.ndarray, words: np.ndarray, size: np.ndarray, similarity: float, first: int = 0):
+    """Positions i < j of all pairs of nodes of different labels whose sizes and bits let them be similar enough, in parts.
+
+    With a number of nodes first, only pairs of one of these with one of the others.
+    """
     bits = 64 * words.shape[1]
-    for k in range(0, len(label), BLOCK // 2):
-        at = slice(k, k + BLOCK)
-        own, w, n = label[at], words[at], size[at]
-        if len(own) < 2 or k and len(own) <= BLOCK // 2:
-            break
-        most = min(NEAREST, len(own) - 1)
-        near, far = np.zeros((len(own), most), np.int64), np.zeros((len(own), most), np.int64)
-        for r in range(0, len(own), ROWS):
-            rows = slice(r, r + ROWS)
-            apart = np.zeros((len(own[rows]), len(own)), np.uint16)
-            for j in range(w.shape[1]):
-                apart += np.bitwise_count(w[rows, None, j] ^ w[None, :, j])
-            apart[own[rows, None] == own[None, :]] = bits + 1
-            near[rows] = np.argpartition(apart, most - 1, axis=1)[:, :most]
-            far[rows] = np.take_along_axis(apart, near[rows], axis=1)
-        i, j, apart = np.repeat(np.arange(len(own)), most), near.ravel(), far.ravel()
-        kept = apart <= np.minimum(_most_bits(similarity, np.minimum(n[i], n[j]), bits), bits)
-        i, j, apart = i[kept], j[kept], apart[kept]
-        low, high = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-        order = np.lexsort((apart, high, low))
-        i, j, low, high = i[order], j[order], low[order], high[order]
-        first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[: len(low)])
-        rank = np.arange(len(low)) - np.repeat(first, np.diff(np.concatenate((first, [len(low)]))))
-        out.append((i[rank < OF_LABELS] + k, j[rank < OF_LABELS] + k))
-    return out
+    for r in range(0, first or len(label), ROWS):
+        rows = slice(r, min(r + ROWS, first or len(label)))
+        for k in range(first or r, len(label), BLOCK):
+            cols = slice(k, k + BLOCK)
+            apart = np.zeros((len(label[rows]), len(label[cols])), np.uint16)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[rows, None, w] ^ words[None, cols, w])
+            i, j = np.nonzero((label[rows, None] != label[None, cols]) & (apart <= _most_bits(similarity, np.zeros(1), bits)))
+            apart, i, j = apart[i, j], i + r, j + k
+            least, most = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            kept = (i < j) & (least >= similarity * most - 1e-6) & (apart <= _most_bits(similarity, least, bits))
+            yield i[kept], j[kept]
+
+
+def _blocks(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """rows(crowd, node, ...) with part, a pair of a crowd's parts, and two, whether the row is on the second's side.
+
+    parts(crowd, _n) are the crowds that are dealt into several parts. A row of these is repeated for each part that its own meets,
+    so any two rows meet once: on different sides, or in the pair of a part with itself.
+    """
+    if parts is None:
+        return rows.withColumn("part", F.lit(0).cast("long")).withColumn("two", F.lit(False))
+    own, n = F.pmod(F.xxhash64("crowd", "node"), F.col("_n")), F.coalesce("_n", F.lit(1))
+    known = rows.join(parts, "crowd", "left").withColumn("_n", n).withColumn("_own", own)
+    each = known.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    part = F.least("_own", "_other") * F.lit(1 << 31) + F.greatest("_own", "_other")
+    return each.withColumn("part", part).withColumn("two", F.col("_own") > F.col("_other")).drop("_n", "_own", "_other")
+
+
+def _beyond(rows: DataFrame, size: str | None = None) -> DataFrame | None:
+    """crowd, _n: of the crowds of rows, a checkpoint, that are more than a block, the number of parts; None if there are none."""
+    parts = F.ceil(F.count("*") / BLOCK)
+    if size is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(size) / BLOCK_SHINGLES))
+    found = cut(rows.groupBy("crowd").agg(parts.cast("long").alias("_n")).filter("_n > 1"))
+    return None if found.isEmpty() else found
+
+
+def _runs(batches):
+    """Rows of sorted batches as a table for each value of the first two columns."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        crowd, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = np.flatnonzero((np.diff(crowd) != 0) | (np.diff(part) != 0)) + 1
+        for at, to in zip([0, *edges], [*edges, len(crowd)], strict=True):
+            if held and last != (crowd[at], part[at]):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = (crowd[at], part[at])
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(table):
+    """A block's rows, those of the first side first: node, label, size, the last column's values, and the number on the first side,
+    0 in the pair of a part with itself. No rows if one of two sides is empty."""
+    node, part, two, label, size = (table.column(c).to_numpy() for c in ("node", "part", "two", "label", "size"))
+    order, first = np.lexsort((node, two)), int((~two).sum())
+    if part[0] >> 31 == part[0] & (1 << 31) - 1:
+        first = 0
+    elif first in (0, len(node)):
+        order, first = order[:0], 0
+    held = table.column(table.num_columns - 1).to_pylist()
+    return node[order], label[order], size[order].astype(np.int64), [held[k] for k in order], first
 
 
 def _candidates(crowds: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes of a crowd that are close to each other by all bits, each with few of the closest of another label.
-
-    Crowds of over BLOCK nodes are put in an order of their bits, another one for each crowd, and compared in blocks that overlap.
-    """
+    """crowd, node, label, size: of the nodes of each of the crowds, a checkpoint, those that hang together by pairs of different
+    labels that may be similar enough by sizes and all bits. All pairs are compared; the same nodes found in several crowds are one."""
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(crowd, parts):
-            node, label, size, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            node, first = np.unique(node, return_index=True)
-            label, size, words = label[first], size[first], words[first]
-            if len(node) > BLOCK:
-                turn = crowd % words.shape[1]
-                order = np.lexsort(np.roll(words, turn, axis=1).T)
-                node, label, size, words = node[order], label[order], size[order], words[order]
-            pairs = [(np.minimum(node[i], node[j]), np.maximum(node[i], node[j])) for i, j in _neighbours(label, words, size, similarity)]
-            a, b = (np.concatenate(x) if pairs else np.zeros(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        crowd, parts = None, []
-        for batch in batches:
-            if not batch.num_rows:
+        for table in _runs(batches):
+            node, label, size, held, first = _sides(table)
+            if not held:
                 continue
-            key, node, label, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            words = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(key), -1)
-            edges = np.flatnonzero(np.diff(key)) + 1
-            for at, to in zip([0, *edges], [*edges, len(key)], strict=True):
-                if key[at] != crowd and parts:
-                    yield solve(crowd, parts)
-                    parts = []
-                crowd = int(key[at])
-                parts.append((node[at:to], label[at:to], size[at:to].astype(np.int64), words[at:to]))
-        if parts:
-            yield solve(crowd, parts)
-
-    known = crowds.join(nodes.select("node", "label", "size", "bands"), "node").select("crowd", "node", "label", "size", "bands")
-    dealt = known.repartition("crowd").sortWithinPartitions("crowd")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            words = np.frombuffer(b"".join(held), "<u8").reshape(len(node), -1)
+            root, met = np.arange(len(node)), np.zeros(len(node), bool)
+            for i, j in _neighbours(label, words, size, similarity, first):
+                met[i] = met[j] = True
+                # what is joined already stays so, by links to its root
+                root = _roots(len(node), np.concatenate((np.arange(len(node)), i)), np.concatenate((root, j))) if len(i) else root
+            own = np.flatnonzero(met)
+            if not len(own):
+                continue
+            own = own[np.argsort(root[own], kind="stable")]
+            edges = np.flatnonzero(np.diff(root[own], prepend=-1))
+            keys = np.zeros(len(own), np.uint64)
+            for at, to in zip(edges, [*edges[1:], len(own)], strict=True):
+                keys[at:to] = xxhash.xxh64_intdigest(np.sort(node[own[at:to]]).tobytes())
+            made = (keys.view(np.int64), node[own], label[own], size[own])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, made)), names=["crowd", "node", "label", "size"])
+
+    known = crowds.join(nodes.select("node", "label", "size", "bands"), "node")
+    blocks = _blocks(known, _beyond(crowds)).select("crowd", "part", "node", "two", "label", "size", "bands")
+    dealt = blocks.repartition("crowd", "part").sortWithinPartitions("crowd", "part")
+    return dealt.mapInArrow(run, "crowd long, node long, label long, size long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """The pairs(a, b) whose texts(node, text) have so similar sets of shingles."""
+def _shared(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """For each of the first sets and each of the others, the number of values in both; each is sorted and distinct.
+
+    Values in a large share of the sets are counted by a product of matrices, others by their pairs.
+    """
+    n, m = first, len(sets) - first
+    row = np.repeat(np.arange(n + m), list(map(len, sets)))
+    order = np.argsort(values := np.concatenate(sets), kind="stable")
+    row, starts = row[order], np.flatnonzero(np.diff(values[order], prepend=values[order[:1]] ^ np.uint64(1)))
+    ends = np.append(starts[1:], len(row))
+    split = starts + np.add.reduceat((row < n).astype(np.int64), starts) if len(starts) else starts
+    own, other = split - starts, ends - split
+    out = np.zeros(n * m, np.int64)
+    heavy = own * other > max(4096, n * m // 64)
+    places = np.flatnonzero(heavy)
+    for k in range(0, len(places), ROWS * 4):
+        left, right = np.zeros((n, ROWS * 4), np.float32), np.zeros((m, ROWS * 4), np.float32)
+        for c, p in enumerate(places[k : k + ROWS * 4]):
+            left[row[starts[p] : split[p]], c] = 1
+            right[row[split[p] : ends[p]] - n, c] = 1
+        out += (left @ right.T).astype(np.int64).ravel()
+    places = np.flatnonzero(~heavy & (own * other > 0))
+    work = np.cumsum(own[places] * other[places])
+    for k in range(int(work[-1]) // 1_000_000 + 1 if len(places) else 0):
+        some = places[np.searchsorted(work, k * 1_000_000, "right") : np.searchsorted(work, (k + 1) * 1_000_000, "right")]
+        number = own[some] * other[some]
+        at = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        width = np.repeat(other[some], number)
+        i, j = row[np.repeat(starts[some], number) + at // width], row[np.repeat(split[some], number) + at % width] - n
+        out += np.bincount(i * m + j, minlength=n * m)
+    return out.reshape(n, m)
+
+
+def _linked(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect any two nodes of different labels of one of the crowds(crowd, node, label, size), a checkpoint, whose
+    sets(node, shingles) are so similar, directly or by others. All pairs of a crowd are compared."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            kept, last, first = [], None, None
-            for k in range(batch.num_rows):
-                a = batch.column(0)[k].as_py()
-                if a != last:
-                    last, first = a, shingles_of(batch.column(2)[k].as_py(), words_per_shingle)
-                kept.append(jaccard(first, shingles_of(batch.column(3)[k].as_py(), words_per_shingle)) >= similarity)
-            mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        for table in _runs(batches):
+            node, label, size, held, first = _sides(table)
+            if not held:
+                continue
+            held, all_first = [np.frombuffer(h, "<u8") for h in held], first or len(node)
+            a, b = [], []
+            # in slices of rows, so that a block's matrix is small; a part with itself needs only later rows
+            for r in range(0, all_first, ROWS * 2):
+                rows, cols = slice(r, min(r + ROWS * 2, all_first)), slice(first or r, len(node))
+                both = _shared(held[rows] + held[cols], len(held[rows]))
+                alike = both / np.maximum(size[rows, None] + size[None, cols] - both, 1) >= similarity
+                i, j = np.nonzero(alike & (label[rows, None] != label[None, cols]))
+                root = _roots(len(node), i + r, j + cols.start)
+                far = np.flatnonzero(root != np.arange(len(node)))
+                a.append(node[root[far]])
+                b.append(node[far])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    known = crowds.join(sets, "node")
+    blocks = _blocks(known, _beyond(crowds, "size")).select("crowd", "part", "node", "two", "label", "size", "shingles")
+    dealt = blocks.repartition("crowd", "part").sortWithinPartitions("crowd", "part")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _only(rows: DataFrame, keys: DataFrame, key: str, how: str, broadcast_rows: int) -> DataFrame:
@@ -474,23 +555,24 @@ def similar(
 
     Candidates share one of their short SimHash fingerprints at radius flips: two texts at similarity 0.8 differ in 15% of
     the bits, so one fingerprint meets with a chance of 0.12, and one of 32 with 0.98. Nodes that share variants, directly or by
-    others, are a crowd; in a crowd each node is compared with the others on all bits, and names the closest. Those that may be
-    similar enough are verified on their texts. The fingerprints are taken in phases, so many in each: what one phase has linked
-    has one label in the next and is not paired again, and what was compared is not compared again.
+    others, are a crowd; in a crowd all nodes are compared with each other on all bits, and those that may be similar enough on
+    their shingles. The fingerprints are taken in phases, so many in each: what one phase has linked has one label in the next
+    and is not paired again.
     """
-    found, compared, first, roots, cell_bits = None, None, 0, None, _cell_bits(nodes.count())
+
+    def run(texts_of):
+        return [[shingles_of(t, words_per_shingle).astype("<u8").tobytes() for t in texts_of]]
+
+    found, first, roots, cell_bits = None, 0, None, _cell_bits(nodes.count())
     for n in phases:
         labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("root", "label"), "node", "left")
         labelled = labelled.withColumn("label", F.coalesce("label", "node"))
         cells = _to_band_cells(labelled, range(first, first + n), sum(phases), radius, cell_bits)
-        near = _candidates(_crowds(cells, radius, cell_bits), labelled, similarity)
-        near = cut(near if compared is None else near.join(compared, ["a", "b"], "left_anti"))
-        compared = near if compared is None else compared.union(near)
-        ends = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        asked = cut(nodes.join(ends, "node", "left_semi").select("node", key))
+        near = cut(_candidates(cut(_crowds(cells, radius, cell_bits)), labelled, similarity))
+        asked = cut(nodes.join(near.select("node").distinct(), "node", "left_semi").select("node", key))
         # a key that several equal rows have gives their text more than once
         own = _only(texts, asked, key, "inner", broadcast_rows).select("node", "text").dropDuplicates(["node"])
-        links = cut(_verified(near, own, similarity, words_per_shingle))
+        links = cut(_linked(near, map_text(own, ["node"], "text", run, "shingles binary"), similarity))
         release(links.sparkSession)
         found = links if found is None else found.union(links)
         first += n

@@ -207,3 +207,55 @@ def test_neighbours_of_a_large_crowd_meet_in_blocks(monkeypatch):
     label, size = np.arange(300), np.full(300, 500)
     pairs = {(int(min(order[i], order[j])), int(max(order[i], order[j]))) for a, b in simhash._neighbours(label[order], words[order], size, 0.8) for i, j in zip(a, b, strict=True)}
     assert pairs == {(2 * k, 2 * k + 1) for k in range(150)}
+
+
+def test_all_neighbours_of_a_crowd_are_paired(monkeypatch):
+    """Twelve close nodes in each of 25 groups, strewn over the blocks, with two labels' nodes in some."""
+    import numpy as np
+
+    from marlstone.llm import simhash
+
+    rng = np.random.default_rng(4)
+    words = np.repeat(rng.integers(0, 1 << 62, (25, 16)).astype(np.uint64), 12, axis=0) ^ (np.uint64(1) << rng.integers(0, 62, (300, 16)).astype(np.uint64))
+    order, label, size = rng.permutation(300), np.arange(300), np.full(300, 500)
+    label[:12] %= 2
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    pairs = {tuple(sorted((int(order[i]), int(order[j])))) for a, b in simhash._neighbours(label[order], words[order], size, 0.8) for i, j in zip(a, b, strict=True)}
+    assert pairs == {(a, b) for a in range(300) for b in range(a + 1, a // 12 * 12 + 12) if label[a] != label[b]}
+
+
+def test_links_behind_closer_looking_texts_are_found(spark, monkeypatch):
+    """Texts alike at 0.73 to 0.8, some above it, each have a twin at 0.81 or more; crowds that are dealt into parts
+    give the same."""
+    import random
+
+    from marlstone.llm import simhash
+
+    draw, base, texts = random.Random(8), [f"b{k}" for k in range(400)], {}
+    for k in range(100):
+        own = list(base)
+        for j, at in enumerate(draw.sample(range(66), 6)):
+            own[6 * at + 3] = f"x{k}e{j}"
+        twin = list(own)
+        for at in draw.sample(range(66), 8):
+            twin[6 * at] = f"y{k}e{at}"
+        texts |= {2 * k: " ".join(own), 2 * k + 1: " ".join(twin)}
+    want = brute_kept(texts)
+    assert 80 < len(want) < 120
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.keep_one(d).collect()} == want
+    monkeypatch.setattr(simhash, "BLOCK", 30)
+    assert {r.doc_id for r in simhash.keep_one(d).collect()} == want
+
+
+def test_shared_values_against_brute_force():
+    import numpy as np
+
+    from marlstone.llm import simhash
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 62, 700).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(common, rng.integers(1, 700)), rng.integers(0, 3000, rng.integers(0, 300)).astype(np.uint64)))) for _ in range(200)]
+    for part, first in ((sets, 90), (sets[:3], 1), (sets[:2], 1), ([s[:1] for s in sets], 7)):
+        got = simhash._shared(part, first)
+        assert (got == [[len(np.intersect1d(a, b)) for b in part[first:]] for a in part[:first]]).all()
