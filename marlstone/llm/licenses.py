@@ -1,9 +1,9 @@
 """License scans by a trained paragraph classifier, in DataFrame operations and Spark's own learner only.
 
 A paragraph is a line, or a run of short lines, as of a text that was wrapped; such a run is read as a whole and line by line.
-Paragraphs become sparse counts of their words and word pairs, slice by slice. A multinomial logistic regression, trained on
-pieces of licence texts and on a bounded sample of the corpus' own paragraphs, gives each slice a family or the class unknown.
-The unknown class is calibrated on paragraphs that were not trained on: a family is predicted only above the probability that
+Paragraphs become sparse counts of those of their words and word pairs that licence texts hold, slice by slice. A multinomial
+logistic regression, trained on pieces of licence texts and on the paragraphs of all documents, gives each slice a family or the
+class unknown. Slices of the same counts are one weighted example, so all of them are few. The unknown class is calibrated on paragraphs that were not trained on: a family is predicted only above the probability that
 a stated share of them stays under. A prediction counts once the slice shares enough word pairs with a text of its family.
 """
 
@@ -31,6 +31,10 @@ ENDINGS = ("All rights reserved.",)
 NEAR = 0.4
 #: Word pairs that a slice must share with a longer licence text.
 LEAST_PAIRS = 5
+#: All examples of the unknown class weigh so many times as much as all pieces of licence texts, however many there are.
+UNKNOWN_WEIGHT = 5.0
+#: Probabilities are counted in steps of 1 / BINS to find a level.
+BINS = 10_000
 #: The probability of a family is never asked to be below or above these.
 LEVELS = (0.5, 0.9)
 
@@ -63,10 +67,15 @@ def slices(w: Column) -> Column:
     return F.transform(starts, lambda i: F.slice(w, i, SLICE))
 
 
+def _held(rows: DataFrame, terms: str) -> DataFrame:
+    """rows(w) with words_held and pairs_held, the words and word pairs that licence texts hold."""
+    both = rows.withColumn("_pairs", pairs(F.col("w")))
+    return both.withColumn("words_held", F.expr(f"filter(w, x -> x IN ({terms}))")).withColumn("pairs_held", F.expr(f"filter(_pairs, x -> x IN ({terms}))")).drop("_pairs")
+
+
 def _counted(rows: DataFrame) -> DataFrame:
-    """rows(w) with features, the counts of words and pairs of words by hash."""
-    grams = rows.withColumn("grams", F.concat("w", pairs(F.col("w"))))
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES).transform(grams).drop("grams")
+    """rows(grams) with features, the counts of the words and pairs of words by hash."""
+    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES).transform(rows).drop("grams")
 
 
 def _texts(spark: SparkSession) -> DataFrame:
@@ -76,6 +85,13 @@ def _texts(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT col1 AS label, col2 AS text FROM VALUES {rows}")
 
 
+def known_terms(spark: SparkSession) -> str:
+    """The hashes of the licence texts' words and word pairs, comma-joined."""
+    w = _texts(spark).select(words(F.col("text")).alias("w"))
+    rows = w.select(F.explode(F.concat("w", pairs(F.col("w")))).alias("x")).distinct().orderBy("x").collect()
+    return ", ".join(f"{r.x}L" if r.x > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for r in rows)
+
+
 def known_texts(spark: SparkSession) -> Column:
     """The licence texts as a literal array of structs: label, pairs (distinct), ending (words of one of ENDINGS, else empty)."""
     ending = F.when(F.col("text").isin(*ENDINGS), F.col("w")).otherwise(F.array().cast("array<bigint>"))
@@ -105,22 +121,26 @@ def matches(w: Column, known: Column, overlap: float, label: Column | None = Non
     return _bound(F.array_distinct(pairs(w)), lambda own: F.exists(known, lambda t: one(own, t)))
 
 
-def train(docs: DataFrame, known: Column, sample: int = 1_000, sample_slices: int = 20_000, share: float = 0.999):
+def unknown_examples(docs: DataFrame, known: Column, terms: str) -> DataFrame:
+    """half, grams, n: how many slices of the paragraphs of all docs(text) hold just these licence words and pairs, in two halves by
+    a hash of their words. Slices that share NEAR of their word pairs, or of a licence text's, are no examples."""
+    cuts = docs.filter("text is not null").select(F.explode(paragraphs(F.col("text"))).alias("p"))
+    held = _held(cuts.select(F.explode(slices(words(F.col("p")))).alias("w")).filter(F.size("w") > 0), terms)
+    near = F.when(F.size("pairs_held") > 0, matches(F.col("w"), known, NEAR)).otherwise(F.lit(False))
+    grams = F.array_sort(F.concat("words_held", "pairs_held"))
+    each = held.select(F.pmod(F.xxhash64("w"), F.lit(2)).alias("half"), grams.alias("grams"), F.when(near, 0).otherwise(1).alias("one"))
+    return each.groupBy("half", "grams").agg(F.sum("one").alias("n")).filter("n > 0")
+
+
+def train(docs: DataFrame, known: Column, terms: str, share: float = 0.999):
     """The model, and the probability that a family must have.
 
-    sample bounds the documents whose paragraphs stand for the unknown class, the first by a hash of their id, and
-    sample_slices their slices, the first by a hash of their words. Slices that share NEAR of their word pairs, or of a licence
-    text's, are no examples. Of the rest, half trains, and of the other half a share must stay below the level that is
-    returned; it is kept within LEVELS, so that licences among the examples cannot raise it out of reach.
+    The slices of all documents' paragraphs stand for the unknown class, see unknown_examples(). Of these, half trains, and of
+    the other half a share must stay below the level that is returned; it is kept within LEVELS, so that licences among the
+    examples cannot raise it out of reach.
     """
     spark = docs.sparkSession
-    ranked = docs.filter("text is not null").select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h"))
-    # ids are ranked without their texts; sample bounds what is broadcast
-    ids = F.broadcast(ranked.orderBy("h", "doc_id").limit(sample).select("doc_id").distinct())
-    own = docs.select("doc_id", "text").filter("text is not null").join(ids, "doc_id", "left_semi")
-    cuts = own.select(F.explode(paragraphs(F.col("text"))).alias("p")).select(F.explode(slices(words(F.col("p")))).alias("w")).filter(F.size("w") > 0)
-    taken = cuts.select("w", F.xxhash64("w").alias("h")).distinct().orderBy("h").limit(sample_slices)
-    other = taken.repartition(32, "h").filter(~matches(F.col("w"), known, NEAR)).select(F.lit(0).alias("label"), "w", F.pmod("h", F.lit(2)).alias("half"))
+    other = cut(unknown_examples(docs, known, terms))
     text = _texts(spark).select("label", words(F.col("text")).alias("w"))
     # a text may be cut anywhere: its beginnings and its parts are examples as well
     pieces = text.select(
@@ -141,18 +161,21 @@ def train(docs: DataFrame, known: Column, sample: int = 1_000, sample_slices: in
         F.array_distinct(pairs(F.col("w"))),
         lambda own: F.exists(known, lambda t: (t["label"] != F.col("label")) & (F.size(F.array_except(own, t["pairs"])) == 0)),
     )
-    examples = cut(
-        other.union(pieces.filter(~shared).select("label", "w", F.lit(0).cast("long"))).select(F.col("label").cast("double").alias("label"), "w", "half")
-    )
-    vectors = _counted(examples.filter("half = 0").coalesce(4)).select("label", "features")
-    model = LogisticRegression(maxIter=20, regParam=1e-4, family="multinomial").fit(vectors)
-    others = model.transform(_counted(examples.filter("half = 1")))
+    pieces = _held(pieces.filter(~shared), terms).select("label", F.concat("words_held", "pairs_held").alias("grams"), F.lit(1.0).alias("weight"))
+    pieces = cut(pieces)
+    total = other.filter("half = 0").agg(F.sum("n").alias("n")).first().n or 1
+    weight = F.col("n") * F.lit(UNKNOWN_WEIGHT * pieces.count() / total)
+    examples = pieces.union(other.filter("half = 0").select(F.lit(0).alias("label"), "grams", weight.alias("weight")))
+    vectors = _counted(examples).select(F.col("label").cast("double").alias("label"), "features", "weight")
+    model = LogisticRegression(maxIter=20, regParam=1e-4, family="multinomial", weightCol="weight").fit(vectors)
+    others = model.transform(_counted(other.filter("half = 1")))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
-    level = others.agg(F.percentile_approx(best, F.lit(share), F.lit(10_000)).alias("p")).first().p
+    bins = others.groupBy((F.ceil(best * BINS) / BINS).alias("p")).agg(F.sum("n").alias("n"))
+    level = bins.agg(F.percentile("p", F.lit(share), F.col("n")).alias("p")).first().p
     return model, min(max(LEVELS[0], level or 0.0), LEVELS[1])
 
 
-def scan(docs: DataFrame, sample: int = 1_000, share: float = 0.999, overlap: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, share: float = 0.999, overlap: float = 0.6) -> DataFrame:
     """Every row of docs(doc_id, text): doc_id, n_paragraphs, n_licence, families (sorted, comma-joined), family, score.
 
     n_licence counts paragraphs with a slice that the classifier gives a family, and that a text of the family confirms, see
@@ -161,14 +184,16 @@ def scan(docs: DataFrame, sample: int = 1_000, share: float = 0.999, overlap: fl
     Repeated rows are scanned each; further columns are ignored; an empty table gives no rows.
     """
     known = known_texts(docs.sparkSession)
-    model, level = train(docs, known, sample, share=share)
+    terms = known_terms(docs.sparkSession)
+    model, level = train(docs, known, terms, share)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     each = rows.select("doc_id", "_row", F.posexplode_outer(paragraphs(F.col("text"))).alias("_no", "p"))
     read = each.select("doc_id", "_row", "_no", F.explode(readings(F.coalesce("p", F.lit("")))).alias("r"))
     cuts = read.select("doc_id", "_row", "_no", F.explode(slices(words(F.col("r")))).alias("w"))
     # the generator makes the probabilities one column, so they are computed once
     family = F.slice(vector_to_array("probability"), 2, len(FAMILIES))
-    scored = model.transform(_counted(cuts)).select("doc_id", "_row", "_no", "w", F.explode(F.array(family)).alias("family"))
+    held = _held(cuts, terms).withColumn("grams", F.concat("words_held", "pairs_held"))
+    scored = model.transform(_counted(held)).select("doc_id", "_row", "_no", "w", F.explode(F.array(family)).alias("family"))
     judged = scored.select(
         "doc_id", "_row", "_no", "w", F.array_max("family").alias("p"), F.array_position("family", F.array_max("family")).cast("int").alias("k")
     )
