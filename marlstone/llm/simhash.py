@@ -217,6 +217,8 @@ SMALL = 40
 #: Nodes on each side of a block, in which all are compared with each other, and their shingles, about; larger crowds are dealt into
 #: pairs of parts, so that every two nodes meet in one block.
 BLOCK, BLOCK_SHINGLES = 1_000, 400_000
+#: Nodes that hang together in a block, beyond which all such ones of a crowd's blocks are one crowd.
+LARGE = 64
 #: Rows of such a comparison that are in memory at once.
 ROWS = 128
 _TABLE = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :] & 1).astype(np.float32)
@@ -319,14 +321,35 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return parent
 
 
+def _keys(node: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each node, a key of its group by the two nodes of it that come first by a hash.
+
+    Groups that are much alike have mostly the same key, as under min-hashing; rows of the same key are then one crowd, of the nodes
+    of all of these groups, so that a pair that meets in many cells is compared once or a few times.
+    """
+    h = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    order = np.lexsort((h, group))
+    firsts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    seconds = np.minimum(firsts + 1, np.append(firsts[1:], len(order)) - 1)
+    least, next_ = h[order[firsts]], h[order[seconds]]
+    made = (least ^ (next_ >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + next_
+    out = np.zeros(len(node), np.uint64)
+    out[order] = np.repeat(made, np.diff(np.append(firsts, len(order))))
+    return out.view(np.int64)
+
+
 def _crowds(cells: DataFrame, radius: int, cell_bits: int) -> DataFrame:
-    """crowd, node: the nodes of a cell that hang together by variants that they share, where they have more than one label."""
+    """crowd, node: the nodes of a cell that hang together by variants that they share, where they have more than one label. Groups of
+    several cells that are much alike are one crowd, which holds the nodes of all of them once."""
     low = BAND_BITS - cell_bits
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(cell, held):
+        def solve(held):
             rows = np.frombuffer(b"".join(held), _ENTRY)
             rows = rows[np.argsort(rows["label"], kind="stable")]
             fps, left = rows["fp"].astype(np.uint64), rows["left"].astype(np.int64)
@@ -337,22 +360,22 @@ def _crowds(cells: DataFrame, radius: int, cell_bits: int) -> DataFrame:
             mixed = np.zeros(len(rows), bool)
             mixed[root[a[rows["label"][a] != rows["label"][b]]]] = True
             own = np.flatnonzero(mixed[root])
-            key = (rows["node"][root[own]].astype(np.uint64) ^ np.uint64(cell * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows["node"][own])], names=["crowd", "node"])
+            node = rows["node"][own].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(_keys(node, root[own])), pa.array(node)], names=["crowd", "node"])
 
         cell, held = None, []
         for batch in batches:
             for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if c != cell and held:
-                    yield solve(cell, held)
+                    yield solve(held)
                     held = []
                 cell = c
                 held.append(h)
         if held:
-            yield solve(cell, held)
+            yield solve(held)
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.select("cell", "held").mapInArrow(run, "crowd long, node long")
+    return dealt.select("cell", "held").mapInArrow(run, "crowd long, node long").distinct()
 
 
 def _most_bits(similarity: float, size: np.ndarray, bits: int) -> np.ndarray:
@@ -445,7 +468,8 @@ def _sides(table):
 
 def _candidates(crowds: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """crowd, node, label, size: of the nodes of each of the crowds, a checkpoint, those that hang together by pairs of different
-    labels that may be similar enough by sizes and all bits. All pairs are compared; the same nodes found in several crowds are one."""
+    labels that may be similar enough by sizes and all bits. All pairs are compared; much the same nodes found in several crowds or
+    blocks are one."""
 
     def run(batches):
         import pyarrow as pa
@@ -463,12 +487,11 @@ def _candidates(crowds: DataFrame, nodes: DataFrame, similarity: float) -> DataF
             own = np.flatnonzero(met)
             if not len(own):
                 continue
-            own = own[np.argsort(root[own], kind="stable")]
-            edges = np.flatnonzero(np.diff(root[own], prepend=-1))
-            keys = np.zeros(len(own), np.uint64)
-            for at, to in zip(edges, [*edges[1:], len(own)], strict=True):
-                keys[at:to] = xxhash.xxh64_intdigest(np.sort(node[own[at:to]]).tobytes())
-            made = (keys.view(np.int64), node[own], label[own], size[own])
+            keys = _keys(node[own], root[own])
+            if table.column("part")[0].as_py():
+                # of several blocks: what is large in many of them is one, so that rows grow with the crowd, not with its blocks
+                keys[np.bincount(root[own])[root[own]] > LARGE] = table.column("crowd")[0].as_py()
+            made = (keys, node[own], label[own], size[own])
             yield pa.RecordBatch.from_arrays(list(map(pa.array, made)), names=["crowd", "node", "label", "size"])
 
     known = crowds.join(nodes.select("node", "label", "size", "bands"), "node")

@@ -259,3 +259,24 @@ def test_shared_values_against_brute_force():
     for part, first in ((sets, 90), (sets[:3], 1), (sets[:2], 1), ([s[:1] for s in sets], 7)):
         got = simhash._shared(part, first)
         assert (got == [[len(np.intersect1d(a, b)) for b in part[first:]] for a in part[:first]]).all()
+
+
+def test_rows_of_a_group_that_meets_in_many_cells_and_blocks_grow_with_it(spark, monkeypatch):
+    """A group that meets in nearly all cells is a few crowds, each of its nodes being in all pairs; over blocks it is one crowd."""
+    import numpy as np
+
+    from marlstone.llm import simhash
+    from marlstone.llm.common import cut
+
+    rng, n = np.random.default_rng(6), 800
+    flips = np.packbits(rng.random((n, 32, 32)) < 0.03, axis=2).view(">u4")[:, :, 0]
+    bands = (rng.integers(0, 1 << 32, 32).astype(np.uint32) ^ flips.astype(np.uint32)).astype("<u4")
+    rows = [(k, k, 200, bytearray(bands[k].tobytes())) for k in range(n)]
+    nodes = cut(spark.createDataFrame(rows, "node long, label long, size int, bands binary"))
+    crowds = cut(simhash._crowds(simhash._to_band_cells(nodes, range(32), 32, 2, 4), 2, 4))
+    assert crowds.count() == crowds.distinct().count() < 12 * n
+    assert crowds.groupBy("crowd").count().agg(F.max("count")).first()[0] == n
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    one = cut(nodes.select(F.lit(1).cast("long").alias("crowd"), "node"))
+    near = simhash._candidates(one, nodes, 0.8)
+    assert near.select("node").distinct().count() == n and near.count() < 3 * n
