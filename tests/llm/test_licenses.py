@@ -106,3 +106,39 @@ def test_all_slices_of_all_documents_are_examples(spark):
     d = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
     rows = licenses.unknown_examples(d, licenses.known_texts(spark), licenses.known_terms(spark)).collect()
     assert sum(r.n for r in rows) == 4500 and {r.half for r in rows} == {0, 1} and len(rows) == 2
+
+
+def test_words_are_split_once_for_all_slices_and_few_pairs_need_no_comparison(spark):
+    """The plan of the examples has the words of a paragraph once; pairs that licence texts hold decide as all pairs do."""
+    d = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
+    known, terms = licenses.known_texts(spark), licenses.known_terms(spark)
+    plan = licenses.unknown_examples(d, known, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1
+    draw, cases = random.Random(13), []
+    for _ in range(200):
+        w = words(draw.choice(licenses.NOTICES)[1])
+        a = draw.randrange(max(1, len(w) - 5))
+        w = w[a : a + draw.randint(1, 40)]
+        for _ in range(draw.choice([0, 1, 4, 15])):
+            w.insert(draw.randrange(len(w) + 1), draw.choice(["other", "the", "reserved", "x"]))
+        cases.append(" ".join(w))
+    cases += ["all rights reserved", "x all rights reserved", "all rights reserved x", "public domain", "x", ""]
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, text string").withColumn("w", licenses.words(F.col("text")))
+    held = licenses._held(rows, terms)
+    for overlap in (0.4, 0.6):
+        got = held.select("k", licenses.matches(F.col("w"), known, overlap, held=F.col("pairs_held")).alias("hit")).collect()
+        want = {k: any(brute_match(words(t), f, overlap) for f in licenses.FAMILIES) for k, t in enumerate(cases)}
+        assert {r.k: r.hit for r in got} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_features_are_those_of_hashing_in_fewer_columns(spark):
+    from pyspark.ml.feature import HashingTF
+
+    hashes = licenses.known_hashes(spark)
+    draw = random.Random(14)
+    rows = [(k, [draw.choice(hashes) for _ in range(draw.choice([0, 1, 9, 60]))]) for k in range(200)]
+    d = spark.createDataFrame(rows, "k int, grams array<long>")
+    want = {r.k: r.f.values.tolist() for r in HashingTF(inputCol="grams", outputCol="f", numFeatures=licenses.FEATURES).transform(d).collect()}
+    got = {r.k: r.features for r in licenses._counted(d, hashes).collect()}
+    assert {k: sorted(v.values.tolist()) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(v.size < len(hashes) for v in got.values())
