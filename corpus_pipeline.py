@@ -4,17 +4,21 @@ run() writes each stage's result as Parquet below the session's checkpoint folde
 In every stage an empty table gives no rows, extra columns stay whatever their names (the mix keeps its own columns only), and
 rows without a doc_id or source are rows like others. Where a stage treats nulls, ties or repeated rows in a way of its own, it
 says so.
+
+A stage is evaluated after it returns, so those that run Python leave the session's Arrow batches small, unless the session has set
+their bytes itself; run() takes that back.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, langid, mixing, secrets, simhash
-from marlstone.llm.common import checkpoint_dir, packed, table
+from marlstone.llm.common import BATCH, checkpoint_dir, packed, small_batches, table
 from marlstone.sources.ship import shipped
 
 #: Least proportion of a kept document's main language; one that mixes two languages evenly, or has a foreign licence line, stays.
@@ -64,11 +68,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=("source", "lang")).filter("taken > 0")
 
 
+def batched(stage):
+    """stage, the batches that its tasks hand to Python being small."""
+
+    @functools.wraps(stage)
+    def run(spark, *arguments):
+        small_batches(spark)
+        return stage(spark, *arguments)
+
+    return run
+
+
 STAGES = [
-    ("language_id", shipped(language)),
-    ("simhash_neardup", shipped(near_duplicates)),
-    ("decontamination", shipped(benchmark)),
-    ("secret_scan", shipped(secret)),
+    ("language_id", shipped(batched(language))),
+    ("simhash_neardup", shipped(batched(near_duplicates))),
+    ("decontamination", shipped(batched(benchmark))),
+    ("secret_scan", shipped(batched(secret))),
     ("mixing", shipped(mix)),
 ]
 
@@ -79,8 +94,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    changed = small_batches(spark)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            out = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(out)
+            docs = spark.read.parquet(out)
+    finally:
+        if changed:
+            spark.conf.unset(BATCH)
     return docs

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word of a document: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The setting of Spark for the bytes of a batch of rows that Python gets at once, and a value that keeps tasks small.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +45,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> bool:
+    """Sets BATCH to BATCH_BYTES for the session, and says so, unless the session has a value of its own.
+
+    A task holds a batch several times over, outside of the heap of the JVM and in Python, and neither gives that memory back; with
+    Spark's own 64 MB that is several hundred MB of an executor. A longer row is a batch by itself, so no row is cut.
+    """
+    if spark.conf.get(BATCH, None) is not None:
+        return False
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    return True
+
+
 def packed(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and more of df, and _doc, a struct of all its columns, whose names then clash with none."""
     return df.select("doc_id", "text", *more, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_doc"))

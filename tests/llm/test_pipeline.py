@@ -280,3 +280,41 @@ def test_rows_of_a_group_that_meets_in_many_cells_and_blocks_grow_with_it(spark,
     one = cut(nodes.select(F.lit(1).cast("long").alias("crowd"), "node"))
     near = simhash._candidates(one, nodes, 0.8)
     assert near.select("node").distinct().count() == n and near.count() < 3 * n
+
+
+def test_stages_hand_small_batches_to_python(spark, folder, tmp_path):
+    """20 MB of texts of one partition come in batches of about 4 MB, and none is lost; a session's own value stays."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    text = F.concat(F.lit("der Hund und die Katze "), F.repeat(F.concat(F.lit("sind hier "), F.col("id").cast("string"), F.lit(" ")), 700))
+    docs = spark.range(2000).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs = docs.select("*", F.lit("de").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        try:
+            found = stage(spark, docs.limit(0), folder)
+            if name != "mixing":
+                seen = docs.coalesce(1).mapInArrow(sizes, "n long, bytes long").collect()
+                assert sum(r.n for r in seen) == 2000 and sum(r.bytes for r in seen) > 20_000_000
+                assert max(r.bytes for r in seen) < 5_000_000, name
+            assert found.count() == 0
+        finally:
+            spark.conf.unset(key)
+    corpus_pipeline.run(spark, folder)
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1m")
+    try:
+        corpus_pipeline.run(spark, folder)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
