@@ -230,7 +230,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: tupl
         return [[names[k] for k in found], share, sets, gain]
 
     carry = list(dict.fromkeys(("doc_id", *keep)))
-    made = map_text(docs, carry, "text", run, ADDED, max(50_000, 4_000_000 // max(4, len(languages))))
+    made = map_text(docs, carry, "text", run, ADDED, max(50_000, 1_000_000 // max(4, len(languages))))
     return made.select(*carry, held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "fit")
 
 

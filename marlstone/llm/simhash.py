@@ -77,18 +77,21 @@ def _chain(fps: np.ndarray, left: np.ndarray, bits: int, radius: int, most: int)
                 out += [(own[a], own[b]) for a, b in _chain(fps[own], rest[own], bits - 8, radius, most)]
         return out
     low = fps & np.uint64((1 << bits) - 1)
-    variants, owners = [], []
+    ends = np.cumsum(made * np.bincount(left, minlength=radius + 1)[: radius + 1])
+    # filled and sorted in place, as copies of all variants are most of a task's memory
+    v, o = np.empty(int(ends[-1]), np.uint64), np.empty(int(ends[-1]), np.int64)
     for allowed in range(radius + 1):
-        own = np.flatnonzero(left == allowed)
-        if len(own):
-            masks = np.array(_masks(bits, allowed), np.uint64)
-            variants.append((low[own][:, None] ^ masks[None, :]).ravel())
-            owners.append(np.repeat(own, len(masks)))
-    v, o = np.concatenate(variants), np.concatenate(owners)
+        own, masks = np.flatnonzero(left == allowed), np.array(_masks(bits, allowed), np.uint64)
+        part = slice(int(ends[allowed]) - len(own) * len(masks), int(ends[allowed]))
+        np.bitwise_xor(low[own][:, None], masks[None, :], out=v[part].reshape(len(own), len(masks)))
+        o[part].reshape(len(own), len(masks))[:] = own[:, None]
     width = max(1, int(len(fps) - 1).bit_length())
     if bits + width <= 64:
-        packed = np.sort((v << np.uint64(width)) | o.astype(np.uint64))
-        v, o = packed >> np.uint64(width), (packed & np.uint64((1 << width) - 1)).astype(np.int64)
+        v <<= np.uint64(width)
+        v |= o.view(np.uint64)
+        v.sort()
+        np.bitwise_and(v, np.uint64((1 << width) - 1), out=o.view(np.uint64))
+        v >>= np.uint64(width)
     else:
         order = np.argsort(v, kind="stable")
         v, o = v[order], o[order]
@@ -243,8 +246,8 @@ def bands_of(shingles: np.ndarray, bands: int) -> np.ndarray:
     seeds = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
     counts = np.zeros(words * 8 * 256, np.int64)
     places = (np.arange(words * 8) * 256)[None, :]
-    for k in range(0, len(shingles), 20_000):
-        h = shingles[k : k + 20_000, None] ^ seeds
+    for k in range(0, len(shingles), 4_000):
+        h = shingles[k : k + 4_000, None] ^ seeds
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)

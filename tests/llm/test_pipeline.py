@@ -318,3 +318,20 @@ def test_stages_hand_small_batches_to_python(spark, folder, tmp_path):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.unset(key)
+
+
+def test_variants_of_a_cell_are_held_few_times():
+    """The variants of a cell and their owners, 8 bytes each, are made and sorted in place."""
+    import tracemalloc
+
+    import numpy as np
+
+    from marlstone.llm import simhash
+
+    rng = np.random.default_rng(2)
+    fps, left = rng.integers(0, 1 << 22, 20_000).astype(np.uint64), np.full(20_000, 1)
+    tracemalloc.start()
+    simhash._chain(fps, left, 22, 1, simhash.CHUNK)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 8 * 20_000 * 23
