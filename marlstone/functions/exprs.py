@@ -101,10 +101,7 @@ def file_type(path: Column) -> Column:
         "cts": "typescript", "go": "go",
     }
     ext = F.regexp_extract(path, r"\.([^./]+)$", 1)
-    out = F.lit("other")
-    for e, name in known.items():
-        out = F.when(ext == e, name).otherwise(out)
-    return out
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), ext), F.lit("other"))
 
 
 def glob_regex(glob: str) -> str:

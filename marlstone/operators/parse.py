@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import bisect
 import re
 
@@ -53,12 +54,65 @@ def chunks(files: DataFrame, chunk_lines: int = 50, overlap: int = 10, threshold
     return every.withColumn("id", X.handle_id(F.col("file_path"), F.lit(7), F.col("start_byte"), F.col("end_byte")))
 
 
-def _byte_places(text: str):
+#: Rows, and characters of their texts, of a batch that goes from Python to Spark, and files that are taken out of one at a time.
+BATCH_ROWS, BATCH_CHARACTERS, FILES_AT_ONCE = 4_096, 2_000_000, 64
+#: Characters from which on places of a text are kept as plain numbers.
+LARGE = 100_000
+
+
+def _numbers(values: np.ndarray, large: bool):
+    return array.array("q", values.astype(np.int64).tobytes()) if large else values.tolist()
+
+
+def byte_places(text: str):
     """The byte that each character starts at, and the end."""
     if text.isascii():
         return range(len(text) + 1)
     sizes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate(([0], np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF) + (sizes > 0xFFFF)))).tolist()
+    places = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(np.add(1, sizes > 0x7F, dtype=np.int64) + (sizes > 0x7FF) + (sizes > 0xFFFF), out=places[1:])
+    return _numbers(places, len(text) > LARGE)
+
+
+def line_feeds(text: str):
+    """The places of the line feeds of a text, in characters."""
+    if len(text) <= LARGE:
+        return [m.start() for m in re.finditer("\n", text)]
+    if text.isascii():
+        return _numbers(np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10), True)
+    return _numbers(np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10), True)
+
+
+def in_batches(rows, kinds: dict, text: str | None = None):
+    """Rows, tuples of kinds, as Arrow batches of bounded size; text names the column that may be long."""
+    import pyarrow as pa
+
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    names, own = list(kinds), [types[k] for k in kinds.values()]
+    long = names.index(text) if text else -1
+    held: list[tuple] = []
+    characters = 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*held, strict=True), own, strict=True)], names=names)
+    for row in rows:
+        held.append(row)
+        if long >= 0:
+            characters += len(row[long] or "")
+        if len(held) >= BATCH_ROWS or characters >= BATCH_CHARACTERS:
+            yield out()
+            held, characters = [], 0
+    if held:
+        yield out()
+
+
+def each_file(batches):
+    """The rows of Arrow batches, few of them being Python's at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, FILES_AT_ONCE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, FILES_AT_ONCE).columns), strict=True)
+
+
+def _ddl(kinds: dict) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
 
 _SPAN = "node_type: int, name: string, heading: string, parent_name: string, start_byte: long, end_byte: long, line_start: int, line_end: int"
@@ -67,7 +121,7 @@ _SPAN = "node_type: int, name: string, heading: string, parent_name: string, sta
 def _blocks(texts: pd.Series) -> pd.Series:
     out = []
     for text in texts:
-        at = _byte_places(text or "")
+        at = byte_places(text or "")
         out.append([(b.node_type, None, b.heading, None, at[b.start], at[b.end], b.line_start, b.line_end) for b in blocks.blocks(text)] if text else [])
     return pd.Series(out)
 
@@ -81,17 +135,33 @@ def markdown(files: DataFrame) -> DataFrame:
     return own.select("file_path", *(f"r.{c}" for c in ("node_type", "start_byte", "end_byte", "line_start", "line_end", "heading")))
 
 
-def _declared(texts: pd.Series, languages: pd.Series) -> pd.Series:
-    out = []
-    for text, language in zip(texts, languages, strict=True):
-        if not text or language not in CODE_LANGUAGES:
-            out.append([])
-            continue
-        at, feeds = _byte_places(text), [m.start() for m in re.finditer("\n", text)]
-        line = lambda place: bisect.bisect_left(feeds, place) + 1  # noqa: B023, E731
-        found = scopes.declarations(text, language)
-        out.append([(d.node_type, d.name, d.heading, d.parent, at[d.start], at[d.end], line(d.start), line(d.end)) for d in found])
-    return pd.Series(out)
+_DECLARED = {
+    "file_path": "string", "node_type": "int", "name": "string", "heading": "string", "parent_name": "string",
+    "start_byte": "long", "end_byte": "long", "line_start": "int", "line_end": "int",
+}
+_REFERRED = {
+    "file_path": "string", "name": "string", "qualifier": "string", "ref_type": "string",
+    "start_byte": "long", "end_byte": "long", "line_start": "int", "line_end": "int", "preview": "string",
+}
+
+
+def _declared(batches):
+    def rows():
+        for path, text, language in each_file(batches):
+            if not text:
+                continue
+            at, feeds = byte_places(text), line_feeds(text)
+            line = lambda place: bisect.bisect_left(feeds, place) + 1  # noqa: B023, E731
+            for s in scopes.pieces(text, language):
+                for d in scopes.declared(s):
+                    yield path, d.node_type, d.name, d.heading, d.parent, at[d.start], at[d.end], line(d.start), line(d.end)
+
+    return in_batches(rows(), _DECLARED)
+
+
+def _code(files: DataFrame) -> DataFrame:
+    language = X.file_type(F.col("file_path"))
+    return files.select("file_path", "content", language.alias("language")).filter(F.col("language").isin(*CODE_LANGUAGES))
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -100,44 +170,47 @@ def declarations(files: DataFrame) -> DataFrame:
     A file is read in one place, without a shuffle. Methods of Go have the type of their receiver; a module of Rust has a
     heading, no name. Null and empty files have none.
     """
-    kind = f"array<struct<{_SPAN}>>"
-    language = X.file_type(F.col("file_path"))
-    own = files.filter(language.isin(*CODE_LANGUAGES)).select("file_path", F.explode(F.pandas_udf(_declared, kind)("content", language)).alias("r"))
-    return own.select("file_path", *(f"r.{c}" for c in ("node_type", "name", "heading", "parent_name", "start_byte", "end_byte", "line_start", "line_end")))
+    own = _code(files).mapInArrow(_declared, _ddl(_DECLARED))
+    return own.select("file_path", "node_type", "name", "heading", "parent_name", "start_byte", "end_byte", "line_start", "line_end")
 
 
-def _references(texts: pd.Series, languages: pd.Series) -> pd.Series:
-    """All references of each file, in order of their start, with spans in bytes and the lines around them."""
-    out = []
-    for text, language in zip(texts, languages, strict=True):
-        if not text or language not in CODE_LANGUAGES:
-            out.append([])
-            continue
-        at = _byte_places(text)
-        feeds = [m.start() for m in re.finditer("\n", text)]
-        rows = []
-        for name, qualifier, a, b, kind in scopes.references(text, language):
-            first, last = bisect.bisect_left(feeds, a), bisect.bisect_left(feeds, b)
-            head, stop = feeds[first - 1] + 1 if first else 0, feeds[last] if last < len(feeds) else len(text)
-            whole = text[head : min(stop, head + REFERENCE_PREVIEW + 1)].encode("utf-8", "surrogatepass")
-            shown = re.sub(r"[ \t\n\x0b\f\r]+", " ", whole[:REFERENCE_PREVIEW].decode("utf-8", "ignore")).strip(" ")
-            rows.append(
-                {
-                    "name": name, "qualifier": qualifier, "ref_type": kind, "start_byte": at[a], "end_byte": at[b],
-                    "line_start": first + 1, "line_end": last + 1, "preview": shown + ("..." if len(whole) > REFERENCE_PREVIEW else ""),
-                }
-            )
-        out.append(rows)
-    return pd.Series(out)
+_WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def references(files: DataFrame) -> DataFrame:
+def shown_lines(text: str, feeds, first: int, last: int) -> str:
+    """The lines around a reference, the first and the last of them being given, in one line."""
+    head, stop = feeds[first - 1] + 1 if first else 0, feeds[last] if last < len(feeds) else len(text)
+    whole = text[head : min(stop, head + REFERENCE_PREVIEW + 1)].encode("utf-8", "surrogatepass")
+    shown = _WHITE.sub(" ", whole[:REFERENCE_PREVIEW].decode("utf-8", "ignore")).strip(" ")
+    return shown + ("..." if len(whole) > REFERENCE_PREVIEW else "")
+
+
+def placed(text: str, at, feeds, found: list, previews: bool = True):
+    """References as rows: name, qualifier, ref_type, span in bytes, lines, and the text of these if previews are asked for."""
+    for name, qualifier, a, b, kind in found:
+        first = bisect.bisect_left(feeds, a)
+        last = bisect.bisect_left(feeds, b, first)
+        yield name, qualifier, kind, at[a], at[b], first + 1, last + 1, shown_lines(text, feeds, first, last) if previews else None
+
+
+def references(files: DataFrame, previews: bool = True) -> DataFrame:
     """Calls and imported names of source files(file_path, content): name, qualifier, ref_type, span, lines and the text of these.
 
     A file is read in one place, without a shuffle. A call reaches to its closing parenthesis; its qualifier is all that stands
-    before the last name. Null and empty files have none.
+    before the last name. Null and empty files have none. Without previews, there is no such column.
     """
-    kind = "array<struct<name: string, qualifier: string, ref_type: string, start_byte: long, end_byte: long, line_start: int, line_end: int, preview: string>>"
-    language = X.file_type(F.col("file_path"))
-    own = files.filter(language.isin(*CODE_LANGUAGES)).select("file_path", F.explode(F.pandas_udf(_references, kind)("content", language)).alias("r"))
-    return own.select("file_path", "r.name", F.lower("r.name").alias("name_lower"), *(f"r.{c}" for c in ("qualifier", "ref_type", "start_byte", "end_byte", "line_start", "line_end", "preview")))
+
+    def read(batches):
+        def rows():
+            for path, text, language in each_file(batches):
+                if text:
+                    at, feeds = byte_places(text), line_feeds(text)
+                    for s in scopes.pieces(text, language):
+                        for row in placed(text, at, feeds, scopes.read(s)[1], previews):
+                            yield path, *row
+
+        return in_batches(rows(), _REFERRED)
+
+    own = _code(files).mapInArrow(read, _ddl(_REFERRED))
+    shown = ("qualifier", "ref_type", "start_byte", "end_byte", "line_start", "line_end", *(["preview"] if previews else []))
+    return own.select("file_path", "name", F.lower("name").alias("name_lower"), *shown)

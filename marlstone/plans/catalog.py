@@ -355,7 +355,9 @@ def source_files(spark, d):
     filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
     shapes = {**SHAPES, "md": SHAPES_MD}
     each = F.array(*(F.struct(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(f".{e}")).alias("file_path"), filled(t).alias("content")) for e, t in shapes.items()))
-    return A.read(spark, d, "part").select(F.explode(each).alias("r")).select("r.*")
+    # a part is much work in few bytes, so that a split of the table holds too much of it
+    parts = A.read(spark, d, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.select(F.explode(each).alias("r")).select("r.*")
 
 
 def filled_sql(t: str | None) -> str:
@@ -389,7 +391,7 @@ def markdown_blocks(spark, d):
 
 @query(f"WITH {placed_sql(REFERRED, 'ref_type, name, qualifier')}")
 def code_references(spark, d):
-    return parse.references(source_files(spark, d)).drop("name_lower", "preview")
+    return parse.references(source_files(spark, d), previews=False).drop("name_lower")
 
 
 @query(

@@ -125,3 +125,25 @@ def test_a_large_file_is_indexed_in_one_pass(spark):
     n = index.nodes(files).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"), F.max("node_ord").alias("last")).first()
     assert time.perf_counter() - began < 60
     assert n.n == 50_000 and n.last == 49_999 and n.bytes < len(text.encode())
+
+
+def test_small_parts_make_work_for_many_tasks(spark, tmp_path):
+    """A table of few bytes is one split, but its files are read by as many tasks as there are cores, and more."""
+    from marlstone.plans import catalog
+
+    rows = [(k, k % 7) for k in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for query, n in ((catalog.declarations, 20), (catalog.code_references, 23)):
+        made = query(spark, str(tmp_path))
+        tasks = made.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in tasks) == 200 * n and len(tasks) >= spark.sparkContext.defaultParallelism
+
+
+def test_pieces_of_a_file_are_read_as_the_whole(monkeypatch):
+    from marlstone.operators import lexer
+
+    text = "import a.b\n(c).d(1)\nclass A(B):\n    x = e(1)\n    def f(self):\n        g(\n1)\n\n'''\nh(2)\n'''\n@i.j(1)\ndef k(é):\n  return l(é)\n# m(1)\nn = [\no(3)]\nasync def p(): pass\n" * 30
+    whole = scopes.declarations(text, "python"), scopes.references(text, "python")
+    monkeypatch.setattr(lexer, "PIECE", 50)
+    assert (scopes.declarations(text, "python"), scopes.references(text, "python")) == whole
+    assert len(list(scopes.pieces(text, "python"))) > 30 and max(s.n for s in scopes.pieces(text, "python")) < 150
