@@ -107,11 +107,12 @@ def in_batches(rows, kinds: dict, text: str | None = None):
 def each_file(batches):
     """The rows of Arrow batches, few of them being Python's at a time."""
     for batch in batches:
-        for k in range(0, batch.num_rows, FILES_AT_ONCE):
-            yield from zip(*(c.to_pylist() for c in batch.slice(k, FILES_AT_ONCE).columns), strict=True)
+        step = max(1, min(FILES_AT_ONCE, 2 * BATCH_CHARACTERS * batch.num_rows // max(batch.nbytes, 1)))
+        for k in range(0, batch.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, step).columns), strict=True)
 
 
-def _ddl(kinds: dict) -> str:
+def ddl(kinds: dict) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
 
@@ -159,7 +160,7 @@ def _declared(batches):
     return in_batches(rows(), _DECLARED)
 
 
-def _code(files: DataFrame) -> DataFrame:
+def code(files: DataFrame) -> DataFrame:
     language = X.file_type(F.col("file_path"))
     return files.select("file_path", "content", language.alias("language")).filter(F.col("language").isin(*CODE_LANGUAGES))
 
@@ -170,7 +171,7 @@ def declarations(files: DataFrame) -> DataFrame:
     A file is read in one place, without a shuffle. Methods of Go have the type of their receiver; a module of Rust has a
     heading, no name. Null and empty files have none.
     """
-    own = _code(files).mapInArrow(_declared, _ddl(_DECLARED))
+    own = code(files).mapInArrow(_declared, ddl(_DECLARED))
     return own.select("file_path", "node_type", "name", "heading", "parent_name", "start_byte", "end_byte", "line_start", "line_end")
 
 
@@ -211,6 +212,6 @@ def references(files: DataFrame, previews: bool = True) -> DataFrame:
 
         return in_batches(rows(), _REFERRED)
 
-    own = _code(files).mapInArrow(read, _ddl(_REFERRED))
+    own = code(files).mapInArrow(read, ddl(_REFERRED))
     shown = ("qualifier", "ref_type", "start_byte", "end_byte", "line_start", "line_end", *(["preview"] if previews else []))
     return own.select("file_path", "name", F.lower("name").alias("name_lower"), *shown)

@@ -497,11 +497,11 @@ cn AS (SELECT file_path, 2 * k AS node_ord, 4 AS node_type, s AS start_byte, e A
 
 def part_files(spark, d):
     """part as Python files, one of each brand, with a class of one method and one call for every part."""
-    p = A.read(spark, d, "part")
-    unit = F.format_string('class Part%d(Base):\n    def price(self, n):\n        return shop.find%d(n, "f(1)")\n\n', "p_partkey", "p_size")
     path = F.concat(F.lit("shop/"), F.regexp_replace("p_brand", "#", ""), F.lit(".py"))
-    f = p.groupBy(path.alias("file_path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", unit.alias("u")))).alias("us"))
-    f = f.select("file_path", F.concat(F.lit("import shop\n"), F.array_join(F.transform("us", lambda x: x.u), "")).alias("content"))
+    p = A.read(spark, d, "part").select(path.alias("file_path"), "p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "file_path")
+    unit = lambda x: F.format_string('class Part%d(Base):\n    def price(self, n):\n        return shop.find%d(n, "f(1)")\n\n', x.p_partkey, x.p_size)
+    f = p.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("us"))
+    f = f.select("file_path", F.concat(F.lit("import shop\n"), F.array_join(F.transform("us", unit), "")).alias("content"))
     return f.withColumn("content_hash", F.sha2("content", 256))
 
 

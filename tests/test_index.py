@@ -104,3 +104,21 @@ def test_empty_index_and_unknown_names(spark, tmp_path):
     with pytest.raises(ValueError, match="columns"):
         of.commit({"nodes": files(spark, ["x"])})
     assert Snapshots(spark, f"file://{tmp_path}/none").generations() == []
+
+
+def test_references_are_in_the_nodes_of_their_file(spark):
+    """source_id, made file by file, is what the join of all references and nodes gives, and no shuffle is needed."""
+    from marlstone.operators import parse
+
+    rng = random.Random(5)
+    lines = ["class A:", "    def f(self): g(1)", "def h(é): i(j(2))", "k(3)", "  l(4)", "import m.n", "    class B: o = p(5)", "async def q():", "        r(6)"]
+    texts = [("\n".join(rng.choices(lines, k=rng.randrange(1, 30))), "py") for _ in range(40)]
+    texts += [("a(x => b(x));\nclass C { d() { e(1); f(y => { g(2) }) } }\nh(1)\n" * 3, "ts"), ("i(1)\n" * 60, "py"), ("", "py"), (None, "py"), ("# x\n\ny(1)\n", "md"), ("z(1)", "txt")]
+    rows = [(f"p{k}.{e}", t) for k, (t, e) in enumerate(texts)]
+    own = spark.createDataFrame(rows, "file_path string, content string").withColumn("content_hash", F.sha2("content", 256)).repartition(3)
+    for threshold in (1_000_000, 100):
+        want = search.enclosing(parse.references(own), index.nodes(own, threshold))
+        got = index.refs(own, threshold)
+        assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
+    n, r = index.build(own)
+    assert all(x not in y._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate") for y in (n, r))
