@@ -168,10 +168,13 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write(index: Snapshots, n: DataFrame, r: DataFrame | None, replaced: DataFrame | None = None) -> int:
-    """Nodes, references and postings in one commit, those of replaced(file_path) dying; returns the generation."""
+    """Nodes, references and postings in one commit, those of replaced(file_path) dying; returns the generation.
+
+    Postings are made of the nodes as they are stored, so that n is made once.
+    """
     settings = index.settings() or {"buckets": postings.BUCKETS, "parts": PARTS}
     part = F.pmod(F.crc32("file_path"), F.lit(settings["parts"])).cast("int").alias("part")
-    tables = {"nodes": n.select("*", part), "postings": postings.postings(n, settings["buckets"])}
+    tables = {"nodes": n.select("*", part), "postings": ("nodes", lambda written: postings.postings(written, settings["buckets"]))}
     if r is not None:
         tables["refs"] = r
     layouts = {"nodes": {"partition": "part", "order": ["part", "file_path", "node_ord"]}, "postings": postings.layout(), "refs": {}}

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Column of stored rows: the generation that wrote them. Files that are gone are broadcast up to so many.
-GENERATION, BROADCAST_FILES = "_generation", 200_000
+GENERATION, BROADCAST_FILES = "_generation", 1_000_000
+#: Bytes that a task sorts and writes of a table that is laid out without a shuffle.
+TASK_BYTES = 64 << 20
+#: Spark then deletes the shuffles of a write when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Snapshots:
@@ -54,19 +58,37 @@ class Snapshots:
             raise RuntimeError(f"generation {manifest['generation']} of {self.folder} was written by another")
         return manifest["generation"]
 
-    def _load(self, table: str, rows: DataFrame, generation: int, layout: dict) -> str:
-        """Writes rows as a load of a table and returns its name; layout: partition (a column), order (columns in a file)."""
+    def _bytes(self, table: str, loads: list[str]) -> int:
+        return sum(self._fs.getContentSummary(self._path(table, f"load={x}")).getLength() for x in loads)
+
+    def _load(self, table: str, rows: DataFrame, generation: int, layout: dict, size: int | None = None) -> str:
+        """Writes rows as a load of a table and returns its name.
+
+        layout: partition (a column), order (columns in a file), local. Tasks of a local one write a file for each partition of
+        their own rows, sorted, so that rows are not shuffled; size, the bytes that they are made of, says how many tasks.
+        """
         load = f"{generation:012d}-{uuid.uuid4().hex[:8]}"
         named = rows.withColumn(GENERATION, F.lit(generation).cast("long"))
-        if layout.get("partition"):
-            keys = [layout["partition"], *([F.pmod(F.hash("file_path"), F.lit(layout["spread"]))] if layout.get("spread", 1) > 1 else [])]
-            named = named.repartition(*keys)
+        if layout.get("local"):
+            named = named if size is None else named.coalesce(max(-(-size // TASK_BYTES), self.spark.sparkContext.defaultParallelism))
+        elif layout.get("partition"):
+            named = named.repartition(layout["partition"])
         if layout.get("order"):
             named = named.sortWithinPartitions(*layout["order"])
-        writer = named.write.option("parquet.writer.version", "PARQUET_2_0")
-        (writer.partitionBy(layout["partition"]) if layout.get("partition") else writer).parquet(f"{self.folder}/{table}/load={load}")
+        writer = named.write.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd")
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(layout["partition"]) if layout.get("partition") else writer).parquet(f"{self.folder}/{table}/load={load}")
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return load
 
+    def _rows(self, table: str, schema: T.StructType, loads: list[str]) -> DataFrame:
+        stored = T.StructType([*schema.fields, T.StructField(GENERATION, T.LongType())])
+        paths = [f"{self.folder}/{table}/load={x}" for x in loads]
+        return self.spark.read.schema(stored).option("basePath", f"{self.folder}/{table}").parquet(*paths)
+
     def _gone(self, manifest: dict) -> DataFrame | None:
         """file_path, last: files whose rows of generations before last are dead."""
         if not manifest["gone"]:
@@ -85,9 +107,7 @@ class Snapshots:
         schema = T.StructType.fromJson(known["schema"])
         if not known["loads"]:
             return self.spark.createDataFrame([], schema)
-        stored = T.StructType([*schema.fields, T.StructField(GENERATION, T.LongType())])
-        paths = [f"{self.folder}/{table}/load={x}" for x in known["loads"]]
-        rows = self.spark.read.schema(stored).option("basePath", f"{self.folder}/{table}").parquet(*paths)
+        rows = self._rows(table, schema, known["loads"])
         rows = rows if where is None else rows.filter(where)
         gone = self._gone(m)
         if gone is not None:
@@ -95,16 +115,18 @@ class Snapshots:
             rows = rows.join(gone, dead, "left_anti")
         return rows.select(*schema.names)
 
-    def commit(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, layouts: dict[str, dict] | None = None, settings: dict | None = None) -> int:
+    def commit(self, tables: dict, gone: DataFrame | None = None, layouts: dict[str, dict] | None = None, settings: dict | None = None) -> int:
         """Adds rows to tables, the rows of all files in gone(file_path) dying, and returns the new generation.
 
+        Rows are a DataFrame, or a pair: the name of an earlier one of tables, and a function that makes a DataFrame of the rows
+        that were written of it.
         Raises if another commit was faster; what was written is then unused, as after a failed write.
         """
         m = self.manifest()
         generation, known = m["generation"] + 1, m["tables"]
         layouts = layouts or {}
         for name, rows in tables.items():
-            if name in known and sorted(T.StructType.fromJson(known[name]["schema"]).names) != sorted(rows.columns):
+            if isinstance(rows, DataFrame) and name in known and sorted(T.StructType.fromJson(known[name]["schema"]).names) != sorted(rows.columns):
                 raise ValueError(f"{name} has other columns than before")
         if gone is not None and m["generation"]:
             files = gone.select("file_path").distinct()
@@ -112,8 +134,12 @@ class Snapshots:
             n = self.spark.read.schema("file_path string").parquet(f"{self.folder}/gone/load={load}").count()
             m["gone"].append({"load": load, "files": n})
         for name, rows in tables.items():
-            layout = layouts.get(name) or known.get(name, {}).get("layout") or {}
-            load = self._load(name, rows, generation, layout)
+            layout, size = layouts.get(name) or known.get(name, {}).get("layout") or {}, None
+            if not isinstance(rows, DataFrame):
+                of, make = rows
+                made = known[of]["loads"][-1:]
+                rows, size = make(self._rows(of, T.StructType.fromJson(known[of]["schema"]), made)), self._bytes(of, made)
+            load = self._load(name, rows, generation, layout, size)
             before = known.get(name, {"loads": [], "schema": rows.schema.jsonValue()})
             known[name] = before | {"loads": [*before["loads"], load], "layout": layout}
         settings = m.get("settings", {}) | (settings or {})
@@ -131,5 +157,6 @@ class Snapshots:
         m = self.manifest()
         generation = m["generation"] + 1
         for name, known in m["tables"].items():
-            known["loads"] = [self._load(name, self.read(name), generation, known["layout"])]
+            size = self._bytes(name, known["loads"])
+            known["loads"] = [self._load(name, self.read(name), generation, known["layout"], size)]
         return self._publish(m | {"generation": generation, "gone": []})

@@ -122,3 +122,22 @@ def test_references_are_in_the_nodes_of_their_file(spark):
         assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
     n, r = index.build(own)
     assert all(x not in y._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate") for y in (n, r))
+
+
+def test_writes_leave_no_shuffle_files_and_postings_are_never_shuffled(spark, tmp_path, monkeypatch):
+    import time
+
+    frame = type(spark.range(0))
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, dealt, deal = held(), [], frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(set(self.columns)) or deal(self, *a))
+    of = stored(spark, tmp_path, drawn(60))
+    index.write(of, again := adapters.whole_file_nodes(files(spark, ["new"])), None, again)
+    of.compact()
+    assert dealt and not any("positions" in columns for columns in dealt)
+    end = time.time() + 20
+    while (left := {x for x in held() - before if x.endswith(".data")}) and time.time() < end:
+        time.sleep(0.5)
+    assert len(left) <= 4  # of the small queries in between
+    assert "id" not in of.read("postings").columns and of.read("postings").count() == of.read("postings", 2).count() > 100
