@@ -141,3 +141,20 @@ def test_writes_leave_no_shuffle_files_and_postings_are_never_shuffled(spark, tm
         time.sleep(0.5)
     assert len(left) <= 4  # of the small queries in between
     assert "id" not in of.read("postings").columns and of.read("postings").count() == of.read("postings", 2).count() > 100
+
+
+def test_files_that_an_invalidation_of_a_large_index_drops_are_broadcast(spark, tmp_path, monkeypatch):
+    """300,000 dropped files: no search or read shuffles the rows of the index by file for them; the results are the same."""
+    of = stored(spark, tmp_path, drawn(60))
+    assert index.invalidate(of, "d1/*") == 20
+    want = sorted(r.file_path for r in postings.found(of, "to").collect())
+    real = of.manifest()
+    monkeypatch.setattr(of, "manifest", lambda generation=None: real | {"gone": [g | {"files": 300_000} for g in real["gone"]]})
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (postings.found(of, "to"), of.read("nodes"))]
+    finally:
+        spark.conf.unset(key)
+    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+    assert sorted(r.file_path for r in postings.found(of, "to").collect()) == want and not any(f.startswith("d1/") for f in want)
