@@ -207,7 +207,7 @@ def references(files: DataFrame, previews: bool = True) -> DataFrame:
                 if text:
                     at, feeds = byte_places(text), line_feeds(text)
                     for s in scopes.pieces(text, language):
-                        for row in placed(text, at, feeds, scopes.read(s)[1], previews):
+                        for row in placed(text, at, feeds, scopes.referred(s), previews):
                             yield path, *row
 
         return in_batches(rows(), _REFERRED)
